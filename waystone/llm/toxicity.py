@@ -2,7 +2,8 @@
 
 The score of a text is sigmoid(bias + sum of its terms' weights + sum over pairs of terms of the product of their
 vectors): pairs such as an insult and a group's name count for more, or less, than their sum. Terms are distinct
-lower-cased words, hashed to 2**HASH_BITS buckets; the buckets most associated with either label are kept.
+lower-cased words and their first bytes (so the forms of one stem share terms), hashed to 2**HASH_BITS buckets; the
+buckets most associated with either label are kept.
 """
 
 from __future__ import annotations
@@ -18,15 +19,24 @@ from . import textarrays as T
 from .sampling import labelled
 
 HASH_BITS, FEATURES, FACTORS = 20, 1024, 8
+#: Bytes at the start of a word that are terms of their own.
+STEMS = (4, 5, 6, 8)
 #: Labelled texts that the model is fitted on, at most.
 FIT_ROWS = 12_000
 
 
 def _buckets(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Document and bucket of each word."""
+    """Document and bucket of each term."""
     buf = T.LOWER[buf]
     words = T.words_of(buf, offsets, T.NOT_ALNUM)
-    return words.owner(), (T.word_hashes(buf, words) >> np.uint64(64 - HASH_BITS)).astype(np.int64)
+    doc, size = words.owner(), words.end - words.start
+    docs, keys = [doc], [T.word_hashes(buf, words)]
+    for n in STEMS:
+        long = np.flatnonzero(size > n)
+        stems = T.Words(words.start[long], words.start[long] + n, words.first)
+        docs.append(doc[long])
+        keys.append(T.mix(T.word_hashes(buf, stems) + np.uint64(n)))
+    return np.concatenate(docs), (np.concatenate(keys) >> np.uint64(64 - HASH_BITS)).astype(np.int64)
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
