@@ -137,5 +137,5 @@ def title_year_day(title: Column, body: Column) -> Column:
 
 def publication(rows, key: str, order: str, columns: list[str], as_of: str):
     """DAT-09: of each article the first date, by row and then by column, that does not lie in the future."""
-    ranked = F.array(*[F.struct(F.col(c).alias("d"), (F.col(order) * len(columns) + i).alias("rank")) for i, c in enumerate(columns)])
-    return rows.select(key, F.inline(ranked)).filter(F.col("d") <= F.lit(as_of).cast("date")).groupBy(key).agg(F.min_by("d", "rank").alias("published"))
+    ranked = F.array(*[F.struct((F.col(order) * len(columns) + i).alias("rank"), F.col(c).alias("d")) for i, c in enumerate(columns)])
+    return rows.select(key, F.inline(ranked)).filter(F.col("d") <= F.lit(as_of).cast("date")).groupBy(key).agg(F.min(F.struct("rank", "d"))["d"].alias("published"))

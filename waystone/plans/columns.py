@@ -201,7 +201,7 @@ query("DAT-08", f"SELECT event_id, CAST(coalesce(list_max(list_transform(regexp_
 )
 query(
     "DAT-09",
-    "SELECT article_id, min_by(d, r) AS published FROM (SELECT l_orderkey AS article_id, CAST(l_shipdate AS DATE) + CAST(l_linenumber % 3 * 30 AS INT) AS d, l_linenumber * 2 AS r FROM lineitem UNION ALL SELECT l_orderkey, CAST(l_shipdate AS DATE), l_linenumber * 2 + 1 FROM lineitem) WHERE d <= DATE '1997-06-01' GROUP BY article_id",
+    "SELECT article_id, min({'r': r, 'd': d}).d AS published FROM (SELECT l_orderkey AS article_id, CAST(l_shipdate AS DATE) + CAST(l_linenumber % 3 * 30 AS INT) AS d, l_linenumber * 2 AS r FROM lineitem UNION ALL SELECT l_orderkey, CAST(l_shipdate AS DATE), l_linenumber * 2 + 1 FROM lineitem) WHERE d <= DATE '1997-06-01' GROUP BY article_id",
 )(
     lambda v: D.publication(
         v.lineitem.select(F.col("l_orderkey").alias("article_id"), F.col("l_linenumber").alias("n"), F.date_add(F.col("l_shipdate").cast("date"), (F.col("l_linenumber") % 3 * 30).cast("int")).alias("a"), F.col("l_shipdate").cast("date").alias("b")), "article_id", "n", ["a", "b"], "1997-06-01"
