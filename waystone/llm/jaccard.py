@@ -5,9 +5,14 @@ the first n - ceil(t n) + 1 tokens of each, n being that set's size. That holds
 pass the test under each of them. The first order puts frequent shingles last and makes the index; two more orders, by
 hashes, are intersected with it before any pair is verified on its full sets.
 
-Equal sets are one class from the start. A prefix shingle's bucket is not expanded into all its pairs: each member is
-first tried against the smallest member that its size allows. Pairs that a bucket still holds between different
-components are then all tried, so every link between components is found.
+Before the sets themselves are compared, a bitmap filter bounds their difference from below: each set has the parities
+of its tokens' hashes in BITS bits, and sets differ in at least as many tokens as their bitmaps do in bits.
+
+Equal sets are one class from the start. A prefix shingle's bucket is not expanded into all its pairs. First each member
+is tried against the smallest member that its size allows; then each against the member of another component with the
+nearest bitmap; last, all pairs between different components that pass every filter. So each link between components
+is found, while a bucket of many copies yields a few pairs for each. Buckets of more than TILE sets are compared in
+tiles, each a task of bounded size.
 """
 
 from __future__ import annotations
@@ -24,7 +29,8 @@ from . import textarrays as T
 from .graph import components
 
 U64 = np.uint64
-ENTRY = np.dtype([("token", "<u8"), ("set", "<i8"), ("size", "<u4")])
+ENTRY = np.dtype([("token", "<u8"), ("set", "<i8"), ("size", "<u4"), ("at", "<u2")])
+BITS, TILE = 1024, 8192
 #: Keys of the second and third order: tokens multiplied by these and mixed.
 ORDERS = (U64(0xD6E8FEB86659FD93), U64(0xA0761D6478BD642F))
 
@@ -60,11 +66,19 @@ def prefix(size: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.where(size > 0, size + (num * size) // -den + 1, 0)
 
 
-def first_by(sets: Sets, key: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Places of each set's prefix tokens under the order of `key`, set by set."""
+def first_by(sets: Sets, key: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of each set's prefix tokens under the order of `key`, set by set, and their places in the order."""
     order = np.lexsort((key, sets.doc))
     rank = np.arange(len(order)) - np.repeat(sets.first[:-1], sets.size)
-    return order[rank < np.repeat(prefix(sets.size, num, den), sets.size)]
+    some = rank < np.repeat(prefix(sets.size, num, den), sets.size)
+    return order[some], rank[some]
+
+
+def bitmaps(sets: Sets) -> np.ndarray:
+    """A row of BITS / 64 words for each set: the parities of its tokens by hash."""
+    bit = (T.mix(sets.token ^ U64(0x2545F4914F6CDD1D)) >> U64(40)).astype(np.int64) % BITS
+    odd = np.bincount(sets.doc * BITS + bit, minlength=len(sets.size) * BITS).reshape(-1, BITS) & 1
+    return np.packbits(odd.astype(np.uint8), axis=1).view(U64)
 
 
 def _texts(batches: Iterator[pa.RecordBatch], column: str, n: int):
@@ -116,9 +130,10 @@ def _indexed(n: int, num: int, den: int, blocks: int, often):
             if len(common) and len(key):
                 at = np.minimum(np.searchsorted(common, key), len(common) - 1)
                 key = np.where(common[at] == key, U64(1 << 63) | rank[at], key)
-            at = first_by(sets, key, num, den)
+            at, place = first_by(sets, key, num, den)
             out = np.zeros(len(at), ENTRY)
             out["token"], out["set"], out["size"] = sets.token[at], sets.name[sets.doc[at]], sets.size[sets.doc[at]]
+            out["at"] = np.minimum(place, 65535)
             out = np.unique(out)
             got = B.rows(0, B.block_of(out["token"] << U64(1), blocks), out, blocks)
             yield from got.to_batches()
@@ -126,24 +141,34 @@ def _indexed(n: int, num: int, den: int, blocks: int, often):
     return run
 
 
-BUCKET = "token bigint, set bigint, size int, hub bigint"
+BUCKET = "token bigint, set bigint, size int, at int, hub bigint"
+
+
+def fits(size_a, at_a, size_b, at_b, num: int, den: int) -> np.ndarray:
+    """Whether two sets can be similar if this token, at these places of their orders, is their first common one.
+
+    Similar sets share at least num / (num + den) of their sizes' sum, all of it from the first common token on.
+    """
+    least = -(-num * (size_a + size_b) // (num + den))
+    return (den * np.minimum(size_a, size_b) >= num * np.maximum(size_a, size_b)) & (size_a - at_a >= least) & (size_b - at_b >= least)
 
 
 def _buckets(num: int, den: int):
-    """Members of the buckets with two sets or more. hub: the smallest member within the size bound, chained upwards."""
+    """Members of buckets that have others near their size. hub: the smallest member within the size bound, chained
+    upwards, or the member itself."""
 
     def run(key: tuple, got: pa.Table) -> pa.Table:
         found, _ = B.gathered(got, ENTRY)
         found = np.unique(found)
         found = found[np.lexsort((found["set"], found["size"], found["token"]))]
+        token, size = found["token"], found["size"].astype(np.int64)
+        near = (token[1:] == token[:-1]) & (den * size[:-1] >= num * size[1:])
+        keep = np.concatenate([near, [False]]) | np.concatenate([[False], near]) if len(found) else np.zeros(0, bool)
+        found, size = found[keep], size[keep]
         new = np.ones(len(found), bool)
         new[1:] = found["token"][1:] != found["token"][:-1]
-        run_of = np.cumsum(new) - 1
-        many = np.bincount(run_of, minlength=1)[run_of] > 1 if len(found) else np.zeros(0, bool)
-        found, new = found[many], new[many]
         hub = np.flatnonzero(new)
         start = hub[np.cumsum(new) - 1] if len(found) else hub
-        size = found["size"].astype(np.int64)
         # beyond the size bound of its hub a member starts the next hub; few rounds, as sizes grow by 1 / t each time
         while True:
             over = np.flatnonzero(den * size[start] < num * size)
@@ -153,23 +178,90 @@ def _buckets(num: int, den: int):
             next_ = np.full(len(found), -1)
             next_[start[lead]] = lead
             start[over] = next_[start[over]]
-        return pa.table([pa.array(found["token"].astype(np.int64)), pa.array(found["set"]), pa.array(found["size"].astype(np.int32)), pa.array(found["set"][start])], names=["token", "set", "size", "hub"])
+        at = found["at"].astype(np.int64)
+        start = np.where(fits(size, at, size[start], at[start], num, den), start, np.arange(len(found)))
+        return pa.table([pa.array(found["token"].astype(np.int64)), pa.array(found["set"]), pa.array(size.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(found["set"][start])], names=["token", "set", "size", "at", "hub"])
 
     return run
 
 
+PROFILE = "_set bigint, _size int, _bits array<bigint>, _second array<int>, _third array<int>, _text string"
+
+
 def _profiled(n: int, num: int, den: int):
-    """Prefix tokens under the further orders, cut to 32 bits: equal tokens stay equal."""
+    """Bitmaps, and prefix tokens under the further orders, cut to 32 bits: equal tokens stay equal."""
 
     def run(batches):
         for part, sets in _texts(batches, "_text", n):
             made = []
             for odd in ORDERS:
                 key = T.mix(sets.token * odd)
-                at = first_by(sets, key, num, den)
+                at, _ = first_by(sets, key, num, den)
                 ends = np.concatenate([[0], np.cumsum(prefix(sets.size, num, den))])
                 made.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array((key[at] >> U64(32)).astype(np.uint32).view(np.int32))))
-            yield pa.RecordBatch.from_arrays([part.column("_set"), *made, part.column("_text")], ["_set", "_second", "_third", "_text"])
+            bits = bitmaps(sets)
+            bits = pa.ListArray.from_arrays(pa.array(np.arange(len(bits) + 1, dtype=np.int32) * (BITS // 64)), pa.array(bits.reshape(-1).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([part.column("_set"), pa.array(sets.size.astype(np.int32)), bits, *made, part.column("_text")], ["_set", "_size", "_bits", "_second", "_third", "_text"])
+
+    return run
+
+
+def _compared(num: int, den: int, nearest: bool):
+    """Pairs of one bucket or tile between different components that pass the filters; with `nearest` each member's
+    pair with the nearest bitmap only."""
+
+    def best(i, j, gap):
+        if not nearest or not len(i):
+            return i, j, gap
+        who, other, gap = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([gap, gap])
+        order = np.lexsort((other, gap, who))
+        first = order[np.concatenate([[True], np.diff(who[order]) != 0])]
+        return who[first], other[first], gap[first]
+
+    def run(key: tuple, got: pa.Table) -> pa.Table:
+        order = np.lexsort((got["set"].to_numpy(), got["token"].to_numpy(), got["_tile"].to_numpy()))
+        col = lambda c: got[c].to_numpy()[order].astype(np.int64)
+        token, tile, name, size, at, root, side = (col(c) for c in ("token", "_tile", "set", "size", "at", "root", "_side"))
+        words = got["_bits"].combine_chunks()
+        words = words.chunk(0) if isinstance(words, pa.ChunkedArray) else words
+        bits = words.flatten().to_numpy().reshape(-1, BITS // 64)[order].view(U64)
+        starts = np.flatnonzero(np.concatenate([[True], (np.diff(token) != 0) | (np.diff(tile) != 0)]))
+        ends = np.append(starts[1:], len(token))
+        out_i, out_j = [], []
+
+        def good(i, j):
+            some = (root[i] != root[j]) & fits(size[i], at[i], size[j], at[j], num, den) & ((tile[i] < 0) | (side[i] != side[j]))
+            i, j = i[some], j[some]
+            gap = np.concatenate([np.bitwise_count(bits[i[k : k + 100_000]] ^ bits[j[k : k + 100_000]]).sum(1, dtype=np.int64) for k in range(0, len(i), 100_000)] or [i])
+            some = (num + den) * gap <= (den - num) * (size[i] + size[j])
+            return i[some], j[some], gap[some]
+
+        # buckets of few members together, in batches of bounded size; large ones by blocks of rows
+        count = ends - starts
+        small = np.flatnonzero(count <= 64)
+        batch = np.cumsum(count[small] ** 2) // 400_000
+        for s, e in zip(np.split(starts[small], np.flatnonzero(np.diff(batch)) + 1), np.split(ends[small], np.flatnonzero(np.diff(batch)) + 1), strict=True):
+            first = np.cumsum(e - s) - (e - s)
+            member = np.arange((e - s).sum()) + np.repeat(s - first, e - s)
+            n = np.repeat(e, e - s) - member - 1
+            i = np.repeat(member, n)
+            j = i + 1 + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            i, j, _ = best(*good(i, j))
+            out_i.append(i)
+            out_j.append(j)
+        large = count > 64
+        for s, e in zip(starts[large].tolist(), ends[large].tolist(), strict=True):
+            held = (np.zeros(0, np.int64),) * 3
+            for x in range(s, e, 64):
+                i, j = np.meshgrid(np.arange(x, min(e, x + 64)), np.arange(x, e), indexing="ij")
+                later = j > i
+                found = good(i[later], j[later])
+                held = best(*(np.concatenate(p) for p in zip(held, found, strict=True)))
+            out_i.append(held[0])
+            out_j.append(held[1])
+        i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_i, out_j))
+        pairs = np.unique(np.stack([np.minimum(name[i], name[j]), np.maximum(name[i], name[j])], 1), axis=0) if len(i) else np.zeros((0, 2), np.int64)
+        return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     return run
 
@@ -212,33 +304,46 @@ class Join:
         inside = self.buckets.select(F.col("set").alias("_set")).distinct()
         held = self.texts.mapInArrow(_named(n, "_text"), "_text string, _set bigint, _size bigint").filter("_set is not null").select("_set", "_text")
         held = held.join(inside, "_set", "left_semi").dropDuplicates(["_set"])
-        self.profiles = B.written(held.mapInArrow(_profiled(n, num, den), "_set bigint, _second array<int>, _third array<int>, _text string"))
+        self.profiles = B.written(held.mapInArrow(_profiled(n, num, den), PROFILE))
 
     def verify(self, pairs: DataFrame) -> DataFrame:
-        """(a, b, linked) for those candidate pairs that pass the prefix test under every order."""
+        """(a, b, linked) for those candidate pairs that pass the bitmap filter and the prefix test under every order."""
         p = self.profiles
-        order = p.select("_set", "_second", "_third")
-        side = lambda x: order.select(F.col("_set").alias(x), F.col("_second").alias(f"_2{x}"), F.col("_third").alias(f"_3{x}"))
-        left = pairs.join(side("a"), "a").join(side("b"), "b").filter(F.arrays_overlap("_2a", "_2b") & F.arrays_overlap("_3a", "_3b")).select("a", "b")
+        side = lambda x: p.select(F.col("_set").alias(x), *[F.col(f"_{c}").alias(f"_{c}_{x}") for c in ("size", "bits", "second", "third")])
+        both = pairs.join(side("a"), "a").join(side("b"), "b")
+        gap = F.aggregate(F.zip_with("_bits_a", "_bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+        near = (self.num + self.den) * gap <= (self.den - self.num) * (F.col("_size_a") + F.col("_size_b"))
+        left = both.filter(near & F.arrays_overlap("_second_a", "_second_b") & F.arrays_overlap("_third_a", "_third_b")).select("a", "b")
         full = lambda x: p.select(F.col("_set").alias(x), F.col("_text").alias(f"_text_{x}"))
         return left.join(full("a"), "a").join(full("b"), "b").mapInArrow(_verified(self.n, self.num, self.den), "a bigint, b bigint, linked boolean")
 
+    def across(self, root: DataFrame, nearest: bool) -> DataFrame:
+        """Pairs of different components that share a bucket and pass the filters."""
+        labelled = self.buckets.join(root, self.buckets["set"] == root["node"], "left").select("token", "set", "size", "at", F.coalesce("root", "set").alias("root"))
+        labelled = B.written(labelled)
+        open_ = labelled.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("_n")).filter("x <> y").select("token", "_n")
+        rows = labelled.join(open_, "token").join(self.profiles.select(F.col("_set").alias("set"), "_bits"), "set")
+        # a large bucket's members are dealt to sides, and each pair of sides makes a tile; the other buckets are whole
+        sides = F.ceil(F.col("_n") / TILE).cast("int")
+        side = F.pmod(F.hash("set"), sides)
+        tiles = F.when(sides > 1, F.transform(F.sequence(F.lit(0), sides), lambda k: F.least(k, side) * 100000 + F.greatest(k, side))).otherwise(F.array(F.lit(-1)))
+        # side `sides` is a twin of each side: its tile compares a side with itself
+        rows = rows.withColumn("_side", side).withColumn("_tile", F.explode(tiles))
+        rows = rows.withColumn("_side", F.when((F.col("_tile") >= 0) & (F.col("_tile") % 100000 == sides), F.xxhash64("set", F.lit(1))).otherwise(F.col("_side").cast("bigint")))
+        key = F.pmod(F.hash("token", "_tile"), F.lit(4 * B.n_blocks(self.spark)))
+        return rows.drop("_n").withColumn("_block", key).groupBy("_block").applyInArrow(_compared(self.num, self.den, nearest), "a bigint, b bigint").distinct()
+
     def links(self) -> tuple[DataFrame, DataFrame]:
         """Links that join every pair of sets that are in one component, and the components' (node, root)."""
-        pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-        tried = B.written(self.verify(self.buckets.filter("set <> hub").select(*pair(F.col("set"), F.col("hub"))).distinct()))
+        pair = (F.least("set", "hub").alias("a"), F.greatest("set", "hub").alias("b"))
+        tried = B.written(self.verify(self.buckets.filter("set <> hub").select(*pair).distinct()))
+        for nearest in (True, False):
+            root = components(tried.filter("linked"))
+            more = B.written(self.verify(self.across(root, nearest).join(tried.select("a", "b"), ["a", "b"], "left_anti")))
+            if more.isEmpty():
+                return tried.filter("linked").select("a", "b"), root
+            tried = tried.unionByName(more)
         found = tried.filter("linked").select("a", "b")
-        root = components(found)
-        labelled = B.written(self.buckets.join(root, self.buckets.set == root.node, "left").select("token", "set", "size", F.coalesce("root", "set").alias("root")))
-        open_ = labelled.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("token")
-        left = labelled.join(open_, "token")
-        x, y = left.alias("x"), left.alias("y")
-        near = (F.col("x.token") == F.col("y.token")) & (F.col("x.root") < F.col("y.root")) & (self.den * F.least("x.size", "y.size") >= self.num * F.greatest("x.size", "y.size"))
-        more = x.join(y, near).select(*pair(F.col("x.set"), F.col("y.set"))).distinct()
-        again = B.written(self.verify(more.join(tried.select("a", "b"), ["a", "b"], "left_anti")).filter("linked").select("a", "b"))
-        if again.isEmpty():
-            return found, root
-        found = found.union(again)
         return found, components(found)
 
 
