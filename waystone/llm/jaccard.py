@@ -337,7 +337,7 @@ class Join:
         """Links that join every pair of sets that are in one component, and the components' (node, root)."""
         pair = (F.least("set", "hub").alias("a"), F.greatest("set", "hub").alias("b"))
         tried = B.written(self.verify(self.buckets.filter("set <> hub").select(*pair).distinct()))
-        for nearest in (True, False):
+        for nearest in (True, True, False):
             root = components(tried.filter("linked"))
             more = B.written(self.verify(self.across(root, nearest).join(tried.select("a", "b"), ["a", "b"], "left_anti")))
             if more.isEmpty():
