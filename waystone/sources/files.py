@@ -14,7 +14,7 @@ def read_feed(spark: SparkSession, path: str, version: int = 1) -> DataFrame:
     ok = F.assert_true(F.coalesce(F.col("schemaVersion") == version, F.lit(False)) & F.col("events").isNotNull(), F.lit("unexpected feed version"))
     rows = raw.withColumn("_ok", ok).filter("_ok is null").select(F.inline("events"))
     rows = rows.select(*[F.nullif(F.col(c), F.lit("")).alias(c) for c in rows.columns])
-    return rows.withColumns({c: F.try_to_date(c, F.lit("yyyy-MM-dd")) for c in ("startDate", "endDate", "publishedAt")})
+    return rows.withColumns({c: F.try_to_date(c, "yyyy-MM-dd") for c in ("startDate", "endDate", "publishedAt")})
 
 
 def read_prefixed(spark: SparkSession, path: str, prefix: str, schema: str, list_field: str) -> DataFrame:
@@ -108,3 +108,15 @@ def route_text(stops: DataFrame, key: str, order: str, vias: int = 6) -> DataFra
     line = F.concat(kind, F.format_string('"%s" %.7f %.7f', "name", "lat", "lng"))
     got = F.array_sort(F.collect_list(F.struct(F.col(order), line.alias("line"))))
     return stops.filter(F.col(order) <= vias + 2).groupBy(key).agg(F.array_join(F.transform(got, lambda x: x["line"]), "\n").alias("route"))
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder name in the cluster's shared folder; a local temporary one only where none is set, as in tests."""
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        import tempfile
+
+        root = tempfile.mkdtemp(prefix="waystone-")
+    return f"{root.rstrip('/')}/waystone-{uuid.uuid4().hex}"
