@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: (tag, pattern): a place gets all tags whose patterns its category matches.
-TAG_RULES = (("metal", "STEEL|COPPER|BRASS"), ("noble", "NICKEL|TIN"), ("large", "LARGE|ECONOMY"), ("small", "SMALL|MEDIUM"), ("finish", "POLISHED|PLATED|BRUSHED"), ("standard", "STANDARD"))
+TAG_RULES = (("bulk", "LARGE|ECONOMY"), ("compact", "SMALL"), ("offer", "PROMO|ECONOMY"), ("standard", "STANDARD"))
 #: (genre, pattern).
-GENRES = (("heavy", "STEEL|LARGE"), ("light", "TIN|SMALL"), ("shiny", "POLISHED|BRASS"), ("plain", "STANDARD|PROMO"))
+GENRES = (("heavy", "LARGE|MEDIUM"), ("light", "SMALL"), ("plain", "STANDARD|PROMO|MEDIUM"))
 #: (pattern, minutes), the first that matches counts.
-STAY = (("PROMO", 90), ("LARGE|ECONOMY", 60), ("POLISHED", 45), ("SMALL", 20))
+STAY = (("PROMO", 90), ("LARGE|ECONOMY", 60), ("MEDIUM", 45), ("SMALL", 20))
 
 
 def tags(category: Column, rules=TAG_RULES) -> Column:

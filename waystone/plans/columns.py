@@ -54,7 +54,7 @@ query("STR-08", "SELECT DISTINCT regexp_replace(trim(concat(prefecture, CASE eve
 _notices(
     "STR-09", "station", f"trim(regexp_replace(coalesce(nullif(regexp_extract({clean('title')}, '[【\\[]([^】\\]]+)[】\\]]', 1), ''), nullif(regexp_extract({clean('title')}, '道の駅\\s*「([^」]+)」', 1), '')), '^道の駅\\s*', ''))", T.station_from_title
 )
-_NATIONS = "ALGERIA ARGENTINA BRAZIL CANADA EGYPT ETHIOPIA FRANCE GERMANY INDIA INDONESIA IRAN IRAQ JAPAN JORDAN KENYA MOROCCO MOZAMBIQUE PERU CHINA ROMANIA RUSSIA VIETNAM".split()
+_NATIONS = [f"NATION_{i}" for i in (17, 4, 21, 2, 11, 9)]
 _notices("STR-10", "prefecture_found", f"list_filter([{', '.join(repr(n) for n in _NATIONS)}], lambda n: contains(title, n))[1]", lambda c: T.first_contained(c, _NATIONS))
 query("STR-11", f"SELECT id, CASE WHEN t = '' THEN NULL WHEN regexp_matches(t, '[。！？]$') THEN t ELSE concat(t, '。') END AS summary FROM (SELECT id, {clean("concat(name, CASE WHEN id % 3 = 0 THEN '。' ELSE '  ' END)")} AS t FROM landmarks)")(
     lambda v: v.landmarks.select("id", T.summary(F.concat("name", F.when(F.col("id") % 3 == 0, "。").otherwise("  "))).alias("summary"))

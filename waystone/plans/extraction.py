@@ -122,7 +122,7 @@ def _feed(v):
     s = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     e = F.struct(F.col("road_name").alias("roadName"), "prefecture", "title", s("start_date").alias("startDate"), s("end_date").alias("endDate"), F.when(F.col("event_id") % 5 == 0, "").otherwise(s("published_at")).alias("publishedAt"), "url", "status")
     path = files.scratch(v.spark)
-    v.events_pub.groupBy("feed").agg(F.lit(1).alias("schemaVersion"), F.collect_list(e).alias("events")).drop("feed").write.json(path)
+    v.events_pub.groupBy("feed").agg(F.lit(1).alias("schemaVersion"), F.collect_list(e).alias("events")).write.partitionBy("feed").json(path)
     return files.read_feed(v.spark, path)
 
 

@@ -129,7 +129,7 @@ query("FLT-06", f"SELECT request_id, id, round(angle, 6) AS angle FROM ({_SECT})
 )
 query("FLT-07", "SELECT request_id, CAST(CASE CAST(km AS INT) WHEN 30 THEN 8 WHEN 50 THEN 10 WHEN 100 THEN 15 WHEN 200 THEN 30 ELSE greatest(5, CAST(round(km * 0.15) AS INT)) END AS INT) AS tolerance FROM requests")(lambda v: v.requests.select("request_id", S.tolerance(F.col("km")).alias("tolerance")))
 query("FLT-08", "SELECT id FROM landmarks WHERE lat BETWEEN 24 AND 40 AND level = 'A' AND category NOT LIKE 'PROMO%'")(lambda v: v.landmarks.filter(F.col("lat").between(24, 40) & (F.col("level") == "A") & ~F.col("category").startswith("PROMO")).select("id"))
-query("FLT-10", "SELECT id FROM stations WHERE prefecture = 'JAPAN' AND category = 'BUILDING' AND contains(name, '7')")(lambda v: v.stations.filter((F.col("prefecture") == "JAPAN") & (F.col("category") == "BUILDING") & F.contains(F.col("name"), F.lit("7"))).select("id"))
+query("FLT-10", "SELECT id FROM stations WHERE prefecture = 'NATION_3' AND category = 'BUILDING' AND contains(name, '7')")(lambda v: v.stations.filter((F.col("prefecture") == "NATION_3") & (F.col("category") == "BUILDING") & F.contains(F.col("name"), F.lit("7"))).select("id"))
 query("SRT-07", f"SELECT request_id AS req_request_id, id, round(distance, 6) AS distance, round(abs(distance - km), 6) AS off FROM ({_SECT}) WHERE distance BETWEEN greatest(0.0, km - tol) AND km + tol AND angle <= 33.75 AND name IN (SELECT road_name FROM events_pub WHERE {_LIVE})")(
     lambda v: S.goal_candidates(v.requests, v.stations, v.events_pub, AS_OF)
 )

@@ -35,4 +35,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return goal_candidates(wide, v.stations, v.events_pub, as_of="1996-01-01", sector=None)
 
 
-from waystone.plans import columns, extraction, feeds, places, reports  # noqa: E402, F401
+from waystone.plans import columns, extraction, feeds, places, reports, streams  # noqa: E402, F401

@@ -74,11 +74,11 @@ def _classified(v):
 
 
 # Aggregations -----------------------------------------------------------------------------------------------------
-_UN = "SELECT prefecture FROM old_feed WHERE event_id % 97 = 0 AND prefecture < 'F'"
+_UN = "SELECT prefecture FROM old_feed WHERE event_id % 97 = 0 AND prefecture < 'NATION_2'"
 query(
     "AGG-01",
-    f"SELECT n_name AS prefecture, coalesce(events, 0) AS events, coalesce(stations, 0) AS stations, coalesce(feeds, 0) AS feeds, coalesce(u, 0) AS unconfirmed, CASE WHEN coalesce(u, 0) > 0 THEN 'needs_reconfirmation' WHEN coalesce(events, 0) > 0 THEN 'events_observed' ELSE 'no_registered_events' END AS state FROM nation LEFT JOIN (SELECT prefecture, count(*) AS events, count(DISTINCT road_name) AS stations, count(DISTINCT feed) AS feeds FROM events_pub WHERE {_LIVE} AND prefecture < 'P' GROUP BY prefecture) e ON n_name = e.prefecture LEFT JOIN (SELECT prefecture, count(*) AS u FROM ({_UN}) GROUP BY prefecture) u ON n_name = u.prefecture",
-)(lambda v: C.by_prefecture(v.nation.select(F.col("n_name").alias("prefecture")), v.events_pub.filter(R.live(AS_OF) & (F.col("prefecture") < "P")), v.old_feed.filter((F.col("event_id") % 97 == 0) & (F.col("prefecture") < "F"))))
+    f"SELECT n_name AS prefecture, coalesce(events, 0) AS events, coalesce(stations, 0) AS stations, coalesce(feeds, 0) AS feeds, coalesce(u, 0) AS unconfirmed, CASE WHEN coalesce(u, 0) > 0 THEN 'needs_reconfirmation' WHEN coalesce(events, 0) > 0 THEN 'events_observed' ELSE 'no_registered_events' END AS state FROM nation LEFT JOIN (SELECT prefecture, count(*) AS events, count(DISTINCT road_name) AS stations, count(DISTINCT feed) AS feeds FROM events_pub WHERE {_LIVE} AND prefecture < 'NATION_7' GROUP BY prefecture) e ON n_name = e.prefecture LEFT JOIN (SELECT prefecture, count(*) AS u FROM ({_UN}) GROUP BY prefecture) u ON n_name = u.prefecture",
+)(lambda v: C.by_prefecture(v.nation.select(F.col("n_name").alias("prefecture")), v.events_pub.filter(R.live(AS_OF) & (F.col("prefecture") < "NATION_7")), v.old_feed.filter((F.col("event_id") % 97 == 0) & (F.col("prefecture") < "NATION_2"))))
 query("AGG-02", "SELECT region, s.prefecture, CAST(grouping(region, s.prefecture) AS INT) AS grain, count(*) AS events, count(DISTINCT road_name) AS stations FROM events_pub e JOIN (SELECT DISTINCT prefecture, region FROM stations) s ON e.prefecture = s.prefecture GROUP BY ROLLUP (region, s.prefecture)")(
     lambda v: C.rolled_up(v.events_pub.join(v.nation.join(v.region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("prefecture"), F.col("r_name").alias("region")), "prefecture"))
 )
@@ -167,11 +167,11 @@ query("SRT-03", _queue_sql(150))(lambda v: _queue(v, 150))
 query("SRT-04", "SELECT region, count(*) AS gap, CASE WHEN count(*) > 300 THEN 1 ELSE 2 END AS action_rank FROM stations WHERE id NOT IN (SELECT source_id FROM source_audit) GROUP BY region ORDER BY 3, 2 DESC, 1")(
     lambda v: v.stations.join(v.source_audit.select(F.col("source_id").alias("id")), "id", "left_anti").groupBy("region").agg(F.count("*").alias("gap")).withColumn("action_rank", F.when(F.col("gap") > 300, 1).otherwise(2)).orderBy("action_rank", F.desc("gap"), "region")
 )
-query("SRT-05", "SELECT id FROM stations ORDER BY CASE WHEN prefecture IN ('JAPAN', 'CHINA') THEN 0 ELSE 1 END, id % 3, id LIMIT 50")(
-    lambda v: v.stations.orderBy(F.when(F.col("prefecture").isin("JAPAN", "CHINA"), 0).otherwise(1), F.col("id") % 3, "id").limit(50).select("id")
+query("SRT-05", "SELECT id FROM stations ORDER BY CASE WHEN prefecture IN ('NATION_3', 'NATION_7') THEN 0 ELSE 1 END, id % 3, id LIMIT 50")(
+    lambda v: v.stations.orderBy(F.when(F.col("prefecture").isin("NATION_3", "NATION_7"), 0).otherwise(1), F.col("id") % 3, "id").limit(50).select("id")
 )
-query("SRT-06", "SELECT id FROM stations ORDER BY CASE WHEN prefecture = 'PERU' THEN 0 ELSE 1 END, CASE category WHEN 'BUILDING' THEN 1 WHEN 'MACHINERY' THEN 2 ELSE 99 END, id LIMIT 96")(
-    lambda v: S.ranked_queue(v.stations.withColumn("urgent", F.when(F.col("prefecture") == "PERU", "y").otherwise("n")), {"urgent": {"y": 0, "n": 1}, "category": {"BUILDING": 1, "MACHINERY": 2}}, ["id"], 96).select("id")
+query("SRT-06", "SELECT id FROM stations ORDER BY CASE WHEN prefecture = 'NATION_5' THEN 0 ELSE 1 END, CASE category WHEN 'BUILDING' THEN 1 WHEN 'MACHINERY' THEN 2 ELSE 99 END, id LIMIT 96")(
+    lambda v: S.ranked_queue(v.stations.withColumn("urgent", F.when(F.col("prefecture") == "NATION_5", "y").otherwise("n")), {"urgent": {"y": 0, "n": 1}, "category": {"BUILDING": 1, "MACHINERY": 2}}, ["id"], 96).select("id")
 )
 query("SRT-12", "SELECT prefecture, n_nationkey AS ord, count(*) AS n FROM stations JOIN nation ON prefecture = n_name GROUP BY 1, 2 ORDER BY 2, 1")(
     lambda v: v.stations.groupBy("prefecture").agg(F.count("*").alias("n")).join(v.nation.select(F.col("n_name").alias("prefecture"), F.col("n_nationkey").alias("ord")), "prefecture").orderBy("ord", "prefecture")
