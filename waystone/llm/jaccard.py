@@ -30,7 +30,7 @@ from .graph import components
 
 U64 = np.uint64
 ENTRY = np.dtype([("token", "<u8"), ("set", "<i8"), ("size", "<u4"), ("at", "<u2")])
-BITS, TILE = 1024, 8192
+BITS, TILE = 512, 8192
 #: Keys of the second and third order: tokens multiplied by these and mixed.
 ORDERS = (U64(0xD6E8FEB86659FD93), U64(0xA0761D6478BD642F))
 
@@ -74,6 +74,27 @@ def first_by(sets: Sets, key: np.ndarray, num: int, den: int) -> tuple[np.ndarra
     return order[some], rank[some]
 
 
+def rare_first(sets: Sets, common: np.ndarray, rank: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """As first_by, for the first order: by token, frequent ones (those in `common`) last and by `rank`.
+
+    Tokens are sorted already, so only the frequent ones are moved.
+    """
+    token, doc = sets.token, sets.doc
+    often = np.zeros(len(token), bool)
+    if len(common) and len(token):
+        at = np.minimum(np.searchsorted(common, token), len(common) - 1)
+        often = common[at] == token
+    seen = np.concatenate([[0], np.cumsum(~often)])
+    place = seen[:-1] - seen[sets.first[:-1]][doc]
+    moved = np.flatnonzero(often)
+    if len(moved):
+        moved = moved[np.lexsort((rank[at[moved]], doc[moved]))]
+        order = np.arange(len(moved)) - np.searchsorted(doc[moved], doc[moved])
+        place[moved] = (seen[sets.first[1:]] - seen[sets.first[:-1]])[doc[moved]] + order
+    some = np.flatnonzero(place < prefix(sets.size, num, den)[doc])
+    return some, place[some]
+
+
 def bitmaps(sets: Sets) -> np.ndarray:
     """A row of BITS / 64 words for each set: the parities of its tokens by hash."""
     bit = (T.mix(sets.token ^ U64(0x2545F4914F6CDD1D)) >> U64(40)).astype(np.int64) % BITS
@@ -126,15 +147,17 @@ def _indexed(n: int, num: int, den: int, blocks: int, often):
     def run(batches):
         common, rank = often.value
         for _, sets in _texts(batches, "_text", n):
-            key = sets.token
-            if len(common) and len(key):
-                at = np.minimum(np.searchsorted(common, key), len(common) - 1)
-                key = np.where(common[at] == key, U64(1 << 63) | rank[at], key)
-            at, place = first_by(sets, key, num, den)
+            at, place = rare_first(sets, common, rank, num, den)
+            # copies among these texts send their tokens once
+            lead = np.zeros(len(sets.size), bool)
+            lead[np.unique(sets.name, return_index=True)[1]] = True
+            some = lead[sets.doc[at]]
+            at, place = at[some], place[some]
+            order = np.argsort(sets.token[at])
+            at, place = at[order], place[order]
             out = np.zeros(len(at), ENTRY)
             out["token"], out["set"], out["size"] = sets.token[at], sets.name[sets.doc[at]], sets.size[sets.doc[at]]
             out["at"] = np.minimum(place, 65535)
-            out = np.unique(out)
             got = B.rows(0, B.block_of(out["token"] << U64(1), blocks), out, blocks)
             yield from got.to_batches()
 
@@ -153,18 +176,51 @@ def fits(size_a, at_a, size_b, at_b, num: int, den: int) -> np.ndarray:
     return (den * np.minimum(size_a, size_b) >= num * np.maximum(size_a, size_b)) & (size_a - at_a >= least) & (size_b - at_b >= least)
 
 
+def _runs(starts: np.ndarray, ends: np.ndarray, pairs: int = 400_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs i < j inside each run, in batches of about so many."""
+    if not len(starts):
+        return
+    split = np.flatnonzero(np.diff(np.cumsum((ends - starts) ** 2) // pairs)) + 1
+    for s, e in zip(np.split(starts, split), np.split(ends, split), strict=True):
+        first = np.cumsum(e - s) - (e - s)
+        member = np.arange((e - s).sum()) + np.repeat(s - first, e - s)
+        n = np.repeat(e, e - s) - member - 1
+        i = np.repeat(member, n)
+        yield i, i + 1 + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _with_partner(found: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Entries (in the order of token and size) that can be the first common token of a similar pair. Buckets of more
+    than 64 are only judged by the next sizes."""
+    token, size, at = found["token"], found["size"].astype(np.int64), found["at"].astype(np.int64)
+    near = (token[1:] == token[:-1]) & (den * size[:-1] >= num * size[1:])
+    keep = np.concatenate([near, [False]]) | np.concatenate([[False], near]) if len(found) else np.zeros(0, bool)
+    starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(found) else np.zeros(0, np.int64)
+    ends = np.append(starts, len(found))[1:]
+    small = ends - starts <= 64
+    some = np.zeros(len(found), bool)
+    for i, j in _runs(starts[small], ends[small]):
+        good = fits(size[i], at[i], size[j], at[j], num, den)
+        some[i[good]] = some[j[good]] = True
+    large = np.repeat(~small, ends - starts)
+    return np.where(large, keep, some)
+
+
 def _buckets(num: int, den: int):
     """Members of buckets that have others near their size. hub: the smallest member within the size bound, chained
     upwards, or the member itself."""
 
     def run(key: tuple, got: pa.Table) -> pa.Table:
         found, _ = B.gathered(got, ENTRY)
-        found = np.unique(found)
+        token = found["token"]
+        order = np.argsort(token)
+        near = token[order][1:] == token[order][:-1]
+        found = found[order[np.concatenate([near, [False]]) | np.concatenate([[False], near])]] if len(found) else found
         found = found[np.lexsort((found["set"], found["size"], found["token"]))]
-        token, size = found["token"], found["size"].astype(np.int64)
-        near = (token[1:] == token[:-1]) & (den * size[:-1] >= num * size[1:])
-        keep = np.concatenate([near, [False]]) | np.concatenate([[False], near]) if len(found) else np.zeros(0, bool)
-        found, size = found[keep], size[keep]
+        if len(found):
+            found = found[np.concatenate([[True], (found["token"][1:] != found["token"][:-1]) | (found["set"][1:] != found["set"][:-1])])]
+        found = found[_with_partner(found, num, den)]
+        size = found["size"].astype(np.int64)
         new = np.ones(len(found), bool)
         new[1:] = found["token"][1:] != found["token"][:-1]
         hub = np.flatnonzero(new)
@@ -238,14 +294,7 @@ def _compared(num: int, den: int, nearest: bool):
 
         # buckets of few members together, in batches of bounded size; large ones by blocks of rows
         count = ends - starts
-        small = np.flatnonzero(count <= 64)
-        batch = np.cumsum(count[small] ** 2) // 400_000
-        for s, e in zip(np.split(starts[small], np.flatnonzero(np.diff(batch)) + 1), np.split(ends[small], np.flatnonzero(np.diff(batch)) + 1), strict=True):
-            first = np.cumsum(e - s) - (e - s)
-            member = np.arange((e - s).sum()) + np.repeat(s - first, e - s)
-            n = np.repeat(e, e - s) - member - 1
-            i = np.repeat(member, n)
-            j = i + 1 + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        for i, j in _runs(starts[count <= 64], ends[count <= 64]):
             i, j, _ = best(*good(i, j))
             out_i.append(i)
             out_j.append(j)
@@ -337,12 +386,17 @@ class Join:
         """Links that join every pair of sets that are in one component, and the components' (node, root)."""
         pair = (F.least("set", "hub").alias("a"), F.greatest("set", "hub").alias("b"))
         tried = B.written(self.verify(self.buckets.filter("set <> hub").select(*pair).distinct()))
-        for nearest in (True, True, False):
+        nearest = True
+        while True:
             root = components(tried.filter("linked"))
             more = B.written(self.verify(self.across(root, nearest).join(tried.select("a", "b"), ["a", "b"], "left_anti")))
             if more.isEmpty():
                 return tried.filter("linked").select("a", "b"), root
             tried = tried.unionByName(more)
+            if not nearest:
+                break
+            # go on with nearest members while that still joins many sets; then take all pairs that are left
+            nearest = 2 * more.filter("linked").count() >= root.count()
         found = tried.filter("linked").select("a", "b")
         return found, components(found)
 
