@@ -17,6 +17,7 @@ tiles, each a task of bounded size.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -353,7 +354,11 @@ class Join:
         inside = self.buckets.select(F.col("set").alias("_set")).distinct()
         held = self.texts.mapInArrow(_named(n, "_text"), "_text string, _set bigint, _size bigint").filter("_set is not null").select("_set", "_text")
         held = held.join(inside, "_set", "left_semi").dropDuplicates(["_set"])
-        self.profiles = B.written(held.mapInArrow(_profiled(n, num, den), PROFILE))
+        # bucketed by set, so that the joins below move pairs and not texts
+        self.table = f"waystone_{uuid.uuid4().hex}"
+        made = held.mapInArrow(_profiled(n, num, den), PROFILE).write.format("parquet").option("compression", "zstd")
+        made.bucketBy(blocks, "_set").saveAsTable(self.table)
+        self.profiles = self.spark.table(self.table)
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         """(a, b, linked) for those candidate pairs that pass the bitmap filter and the prefix test under every order."""
@@ -382,6 +387,10 @@ class Join:
         key = F.pmod(F.hash("token", "_tile"), F.lit(4 * B.n_blocks(self.spark)))
         return rows.drop("_n").withColumn("_block", key).groupBy("_block").applyInArrow(_compared(self.num, self.den, nearest), "a bigint, b bigint").distinct()
 
+    def close(self) -> None:
+        """Drops the profiles; links and components do not need them any more."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+
     def links(self) -> tuple[DataFrame, DataFrame]:
         """Links that join every pair of sets that are in one component, and the components' (node, root)."""
         pair = (F.least("set", "hub").alias("a"), F.greatest("set", "hub").alias("b"))
@@ -415,6 +424,7 @@ def near_copies(docs: DataFrame, *, id: str = "doc_id", text: str = "text", n: i
     names = [c for c in docs.columns if c not in ("n_shingles", "component_id", "_set", "_size", "_text", text)]
     join = Join(docs, text, n, num, den, order_size, at_once, least)
     _, root = join.links()
+    join.close()
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     rows = docs.select(*[f"`{c}`" for c in names], F.col(text).alias("_text"))
     named = rows.mapInArrow(_named(n, None), ", ".join([*(f"`{c}` {kinds[c]}" for c in names), "_set bigint, _size bigint"]))
