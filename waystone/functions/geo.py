@@ -66,8 +66,8 @@ def cells(lat: Column, lng: Column, km: Column, size: float, most_lat: float = 5
     The longitude reach is that of the latitude `most_lat` or of the circle's own edge, whichever is wider.
     """
     dy = km / KM_PER_DEGREE
-    dx = dy / F.cos(F.radians(F.least(F.lit(89.0), F.abs(lat) + dy)))
-    ys = F.sequence(F.floor((lat - dy) / size).cast("int"), F.floor((lat + dy) / size).cast("int"))
+    dx = F.least(F.lit(360.0), dy / F.cos(F.radians(F.least(F.lit(89.0), F.abs(lat) + dy))))
+    ys = F.sequence(F.floor(F.greatest(F.lit(-90.0), lat - dy) / size).cast("int"), F.floor(F.least(F.lit(90.0), lat + dy) / size).cast("int"))
     xs = F.sequence(F.floor((lng - dx) / size).cast("int"), F.floor((lng + dx) / size).cast("int"))
     return F.flatten(F.transform(ys, lambda y: F.transform(xs, lambda x: F.struct(y.alias("cell_y"), x.alias("cell_x")))))
 

@@ -65,23 +65,18 @@ def nearest(points: DataFrame, places: DataFrame, key: str, most_km: float, size
     return points.join(best, key, "left").select(*points.columns, F.col("b.id").alias("place_id"), F.round("b.d", 6).alias("distance"))
 
 
-def nearest_any(points: DataFrame, places: DataFrame, key: str, first_km: float, size: float = 1.0) -> DataFrame:
-    """JN-11 without a limit: rings of growing radius; a point leaves once its ring holds a place."""
+def nearest_any(points: DataFrame, places: DataFrame, key: str, first_km: float) -> DataFrame:
+    """JN-11 without a limit: rings four times as wide each time, in cells that grow with them, so a ring touches some
+    dozens of cells; a point leaves once its ring holds a place. The last ring is the globe."""
     left, found, km = points, None, first_km
     while True:
-        got = nearest(left, places, key, km, size)
+        got = nearest(left, places, key, km, max(0.25, km / 222))
+        if km > 20_100:
+            return got if found is None else found.unionByName(got)
         hit = got.filter("place_id is not null")
         found = hit if found is None else found.unionByName(hit)
-        if km > 20_100:
-            return found.unionByName(got.filter("place_id is null"))
         left = got.filter("place_id is null").select(*points.columns)
-        if km >= 3000:
-            # beyond this a ring covers most cells: one more pass takes everything
-            km = 20_200
-        else:
-            km *= 4
-        if left.isEmpty():
-            return found
+        km = km * 4 if km < 5000 else 20_200
 
 
 def scored_pick(requests: DataFrame, places: DataFrame, top: int = 24, seed: str = "1") -> DataFrame:

@@ -12,7 +12,7 @@ def read_feed(spark: SparkSession, path: str, version: int = 1) -> DataFrame:
     """SRC-01: events of versioned JSON files; a wrong version or malformed JSON fails the read. Empty text is null."""
     raw = spark.read.schema(EVENT_SCHEMA).option("multiLine", True).option("mode", "FAILFAST").json(path)
     ok = F.assert_true(F.coalesce(F.col("schemaVersion") == version, F.lit(False)) & F.col("events").isNotNull(), F.lit("unexpected feed version"))
-    rows = raw.withColumn("_ok", ok).filter("_ok is null").select(F.inline("events"))
+    rows = raw.withColumn("_ok", ok).filter("_ok is null").select(F.inline("events"))  # the check runs on every file
     rows = rows.select(*[F.nullif(F.col(c), F.lit("")).alias(c) for c in rows.columns])
     return rows.withColumns({c: F.try_to_date(c, "yyyy-MM-dd") for c in ("startDate", "endDate", "publishedAt")})
 
