@@ -62,10 +62,9 @@ class Machine:
         self.bias = float(np.log(rate / (1 - rate)))
         if not pos or not neg:
             return
-        doc = np.repeat(np.arange(len(terms)), [len(t) for t in terms])
-        bucket = np.concatenate(terms)
-        a = np.bincount(bucket[label[doc] == 1], minlength=size)
-        b = np.bincount(bucket[label[doc] == 0], minlength=size)
+        a, b = np.zeros(size, np.int32), np.zeros(size, np.int32)
+        for t, y in zip(terms, label, strict=True):  # terms are distinct in a text
+            (a if y else b)[t] += 1
         p = (a + b) / len(label)
         z = (a / pos - b / neg) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / pos + 1 / neg))
         z[a + b < 3] = 0
@@ -75,8 +74,9 @@ class Machine:
             return
         self.place[top] = np.arange(len(top))
         x = np.zeros((len(terms), len(top)), np.float32)
-        feature = self.place[bucket]
-        x[doc[feature >= 0], feature[feature >= 0]] = 1
+        for i, t in enumerate(terms):
+            feature = self.place[t]
+            x[i, feature[feature >= 0]] = 1
         self._fit(x, label.astype(np.float32), np.random.default_rng(seed))
 
     def _fit(self, x: np.ndarray, y: np.ndarray, rng, epochs: int = 40, batch: int = 400, rate: float = 0.05, shrink: float = 2e-4) -> None:
