@@ -205,7 +205,9 @@ def test_line_rules(spark, docs, rows):
 
 
 def test_line_frequency_keeps_unique_documents(spark):
-    rows = [(i, f"{' '.join(f'w{i}x{k}' for k in range(80))}\nshared footer", "h") for i in range(50)]
+    # letters, as all numbers count as one sign in a normalised line
+    name = lambda i, k: f"w{i}x{k}".translate(str.maketrans("0123456789", "abcdefghij"))
+    rows = [(i, f"{' '.join(name(i, k) for k in range(80))}\nshared footer", "h") for i in range(50)]
     assert all(r.kept for r in line_frequency.judge_lines(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect())
 
 
