@@ -204,6 +204,39 @@ def test_line_rules(spark, docs, rows):
     assert not got[3000].kept
 
 
+def test_jaccard_looks_behind_the_nearest_bitmap(spark):
+    """The first of three sets has the bitmap of the second, which it is no copy of; only its pair with the third is a link."""
+    from waystone.llm import textarrays as T
+
+    def sets(lines):
+        import pyarrow as pa
+
+        return jaccard.Sets(*T.utf8(pa.array(lines)), 1)
+
+    pool = [f"w{i}" for i in range(12_000)]
+    one = sets(pool)
+    token, bit = dict(zip(pool, one.token.tolist(), strict=True)), dict(zip(pool, np.unpackbits(jaccard.bitmaps(one).view(np.uint8), axis=1).argmax(1).tolist(), strict=True))
+    for seed in range(50):
+        rng = random.Random(seed)
+        a = sorted(rng.sample(pool, 100), key=token.get)
+        rest = [w for w in pool if w not in a and token[w] > token[a[30]]]
+        decoy, copy = list(a), list(a)
+        for k in range(40, 60):
+            decoy[k] = next(w for w in rest if bit[w] == bit[a[k]] and w not in decoy)
+        for k in range(90, 95):
+            copy[k] = next(w for w in rest if w not in decoy + copy and bit[w] not in {bit[x] for x in [*a, *copy]})
+        rows = list(enumerate(map(" ".join, (decoy, a, copy))))
+        s = sets([t for _, t in rows])
+        gap = np.bitwise_count(jaccard.bitmaps(s)[0] ^ jaccard.bitmaps(s)).sum(1).tolist()
+        if s.name.argmin() == 0:
+            break
+    assert s.name.argmin() == 0 and gap == [0, 0, 10]
+    got = jaccard.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), n=1, num=80, den=100).collect()
+    words = [set(t.split()) for _, t in rows]
+    want = {(i, j) for i in range(3) for j in range(i) if 100 * len(words[i] & words[j]) >= 80 * len(words[i] | words[j])}
+    assert want == {(2, 1)} and {r.doc_id: r.component_id for r in got} == {0: 0, 1: 1, 2: 1}
+
+
 def test_line_frequency_keeps_unique_documents(spark):
     # letters, as all numbers count as one sign in a normalised line
     name = lambda i, k: f"w{i}x{k}".translate(str.maketrans("0123456789", "abcdefghij"))

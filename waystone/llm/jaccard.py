@@ -399,13 +399,12 @@ class Join:
         while True:
             root = components(tried.filter("linked"))
             more = B.written(self.verify(self.across(root, nearest).join(tried.select("a", "b"), ["a", "b"], "left_anti")))
-            if more.isEmpty():
-                return tried.filter("linked").select("a", "b"), root
             tried = tried.unionByName(more)
             if not nearest:
                 break
-            # go on with nearest members while that still joins many sets; then take all pairs that are left
-            nearest = 2 * more.filter("linked").count() >= root.count()
+            # go on with nearest members while that still joins many sets; then always take all pairs that are left
+            joined = more.filter("linked").count()
+            nearest = joined > 0 and 2 * joined >= root.count()
         found = tried.filter("linked").select("a", "b")
         return found, components(found)
 
