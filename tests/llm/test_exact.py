@@ -237,6 +237,13 @@ def test_jaccard_looks_behind_the_nearest_bitmap(spark):
     assert want == {(2, 1)} and {r.doc_id: r.component_id for r in got} == {0: 0, 1: 1, 2: 1}
 
 
+def test_line_frequency_on_a_text_above_a_million_words(spark):
+    w = [f"{i:x}" for i in range((1 << 20) + 300)]
+    w[5:9] = w[(1 << 20) + 100 : (1 << 20) + 104] = ["p", "q", "r", "s"]
+    d = spark.createDataFrame([(1, " ".join(w), "h"), (2, "a b c d", "h")], "doc_id long, text string, source string")
+    assert {r.doc_id: r.n_repeat_words for r in line_frequency.judge_lines(d).collect()} == {1: 8, 2: 0}
+
+
 def test_line_frequency_keeps_unique_documents(spark):
     # letters, as all numbers count as one sign in a normalised line
     name = lambda i, k: f"w{i}x{k}".translate(str.maketrans("0123456789", "abcdefghij"))

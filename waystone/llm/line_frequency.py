@@ -29,19 +29,16 @@ def base_measures(docs: DataFrame, text: str, window: int = 3) -> DataFrame:
     docs = docs.withColumn("_words", words(body))
     n = F.size("_words")
     full = F.filter(F.split(body, "\n"), lambda x: F.rlike(x, F.lit(r"[^ \t-\r]")))
-    # a hash of each window; its upper bits together with its place are sorted, so equal windows become neighbours
-    low = (1 << 20) - 1
+    # a hash of each window and its place, sorted, so equal windows become neighbours
     docs = docs.withColumn("_n_words", n.cast("bigint"))
     docs = docs.withColumn("_hashes", F.when(n >= window, F.transform(F.sequence(F.lit(0), n - window), lambda i: F.xxhash64(*[F.get("_words", i + k) for k in range(window)]))).otherwise(F.array().cast("array<bigint>")))
-    docs = docs.withColumn("_keys", F.array_sort(F.transform("_hashes", lambda h, i: h.bitwiseAND(F.lit(~low)).bitwiseOR(i.cast("bigint")))))
-    at = lambda k: k.bitwiseAND(F.lit(low)).cast("int")
-    same = lambda a, b: F.get("_hashes", at(a)) == F.get("_hashes", at(b))
+    docs = docs.withColumn("_keys", F.sort_array(F.transform("_hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
 
     def met(k, i):
-        before, after = F.get("_keys", i - 1), F.get("_keys", i + 1)
-        return F.coalesce(same(k, before), F.lit(False)) | F.coalesce(same(k, after), F.lit(False))
+        same = lambda other: F.coalesce(k["h"] == F.get("_keys", other)["h"], F.lit(False))
+        return same(i - 1) | same(i + 1)
 
-    docs = docs.withColumn("_places", F.array_sort(F.transform(F.filter("_keys", met), at)))
+    docs = docs.withColumn("_places", F.sort_array(F.transform(F.filter("_keys", met), lambda k: k["i"])))
     # each repeated window covers its words up to the next one's start
     covered = F.aggregate(
         F.transform("_places", lambda p, i: F.least(F.lit(window), F.coalesce(F.get("_places", i + 1) - p, F.lit(window)))), F.lit(0), lambda a, x: a + x
@@ -69,7 +66,7 @@ def judge_lines(docs: DataFrame, *, text: str = "text", host: str = "source", mi
     at most `max_repeat` percent of words in 3-word windows that repeat) and `least_left` of its words are left.
 
     Null text has no words. Rows without a host are one host. A line twice in a document counts once; repeated rows
-    are documents of their own. Texts are taken whole; windows beyond 2**20 words are told apart by their full hashes.
+    are documents of their own. Texts are taken whole; windows are told apart by their 64-bit hashes.
     Columns of docs with the names of the results give way.
     """
     made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
