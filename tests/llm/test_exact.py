@@ -244,6 +244,16 @@ def test_line_frequency_on_a_text_above_a_million_words(spark):
     assert {r.doc_id: r.n_repeat_words for r in line_frequency.judge_lines(d).collect()} == {1: 8, 2: 0}
 
 
+def test_line_frequency_applies_the_share_before_collecting(spark):
+    """A host's lines come together only after its share has been applied row by row."""
+    d = spark.createDataFrame([(i, f"line {'abc'[i % 3]}\nall have it", "h") for i in range(90)], "doc_id long, text string, source string")
+    got = line_frequency.judge_lines(d, min_docs=20, share=0.5)
+    assert {r.n_left for r in got.collect()} == {2}
+    plan = got._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    at = next(k for k, x in enumerate(plan) if "collect_list(" in x)
+    assert "_line" in plan[at] and any("Join Inner" in x and "_docs" in x for x in plan[at + 1 :])
+
+
 def test_line_frequency_keeps_unique_documents(spark):
     # letters, as all numbers count as one sign in a normalised line
     name = lambda i, k: f"w{i}x{k}".translate(str.maketrans("0123456789", "abcdefghij"))

@@ -74,13 +74,10 @@ def judge_lines(docs: DataFrame, *, text: str = "text", host: str = "source", mi
     own = docs.columns
     key = F.coalesce(F.col(host).cast("string"), F.lit("")).alias("_host")
     lines = docs.select(key, F.array_distinct(F.transform(_lines(text), lambda x: x["line"])).alias("_l"))
-    # the null line counts the host's documents
-    counts = lines.select("_host", F.explode(F.array_append("_l", F.lit(None).cast("bigint"))).alias("_line")).groupBy("_host", "_line").agg(F.count("*").alias("_n"))
-    some = counts.filter(F.col("_line").isNull() | (F.col("_n") >= min_docs))
-    found = some.groupBy("_host").agg(
-        F.max(F.when(F.col("_line").isNull(), F.col("_n"))).alias("_docs"), F.collect_list(F.when(F.col("_line").isNotNull(), F.struct("_line", "_n"))).alias("_often")
-    )
-    above = found.select("_host", F.transform(F.filter("_often", lambda x: x["_n"] > F.col("_docs") * share), lambda x: x["_line"]).alias("_above"))
+    counts = lines.select("_host", F.explode("_l").alias("_line")).groupBy("_host", "_line").agg(F.count("*").alias("_n")).filter(F.col("_n") >= min_docs)
+    hosts = docs.select(key).groupBy("_host").agg(F.count("*").alias("_docs"))
+    # the share holds row by row, before a host's lines come together: what is left is bounded
+    above = counts.join(hosts, "_host").filter(F.col("_n") > F.col("_docs") * share).groupBy("_host").agg(F.collect_list("_line").alias("_above"))
     measured = base_measures(docs.withColumn("_host", key).withColumn("_lines", _lines(text)), text).drop(*([text] if text not in own else []))
     joined = measured.join(above, "_host", "left")
     lost = F.aggregate(F.filter("_lines", lambda x: F.array_contains(F.coalesce("_above", F.array().cast("array<bigint>")), x["line"])), F.lit(0).cast("bigint"), lambda a, x: a + x["n"])
