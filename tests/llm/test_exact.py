@@ -244,6 +244,14 @@ def test_line_frequency_on_a_text_above_a_million_words(spark):
     assert {r.doc_id: r.n_repeat_words for r in line_frequency.judge_lines(d).collect()} == {1: 8, 2: 0}
 
 
+def test_one_of_each_keeps_one_row_of_each_component(spark):
+    """Null ids, one id of several texts, and repeated rows."""
+    name = lambda k: " ".join(f"{k}w{j}" for j in range(30))
+    rows = [(None, name("a")), (None, name("b")), (None, name("b")), (1, name("b") + " x"), (5, name("c")), (5, name("d")), (5, name("d")), (5, name("e")), (3, name("e")), (None, "")]
+    got = [tuple(r) for r in jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), n=5, num=80, den=100).collect()]
+    assert sorted(got, key=str) == sorted([(None, name("a")), (1, name("b") + " x"), (5, name("c")), (5, name("d")), (3, name("e")), (None, "")], key=str)
+
+
 def test_line_frequency_applies_the_share_before_collecting(spark):
     """A host's lines come together only after its share has been applied row by row."""
     d = spark.createDataFrame([(i, f"line {'abc'[i % 3]}\nall have it", "h") for i in range(90)], "doc_id long, text string, source string")

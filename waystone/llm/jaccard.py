@@ -421,27 +421,42 @@ def near_copies(docs: DataFrame, *, id: str = "doc_id", text: str = "text", n: i
     Other columns stay; own ones with the names of the results give way.
     """
     names = [c for c in docs.columns if c not in ("n_shingles", "component_id", "_set", "_size", "_text", text)]
+    root = _roots(docs, text, n, num, den, order_size, at_once, least)
+    named = _with_sets(docs, names, text, n)
+    named = named.join(root, named._set == root.node, "left").withColumn("_group", F.coalesce("root", "_set"))
+    low = named.filter("_group is not null").groupBy("_group").agg(F.min(id).alias("_low"))
+    out = named.join(low, "_group", "left")
+    return out.select(*[f"`{c}`" for c in names], F.col("_size").alias("n_shingles"), F.coalesce("_low", F.col(id)).alias("component_id"))
+
+
+def _roots(docs: DataFrame, text: str, n: int, num: int, den: int, order_size: int = 1 << 16, at_once: int = 4_000_000, least: int = 4) -> DataFrame:
     join = Join(docs, text, n, num, den, order_size, at_once, least)
     _, root = join.links()
     join.close()
+    return root
+
+
+def _with_sets(docs: DataFrame, names: list[str], text: str, n: int) -> DataFrame:
+    """The named columns with each text's set and its size."""
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     rows = docs.select(*[f"`{c}`" for c in names], F.col(text).alias("_text"))
-    named = rows.mapInArrow(_named(n, None), ", ".join([*(f"`{c}` {kinds[c]}" for c in names), "_set bigint, _size bigint"]))
-    named = named.join(root, named._set == root.node, "left").withColumn("_group", F.coalesce("root", "_set"))
-    low = named.filter("_group is not null").groupBy("_group").agg(F.min(id).alias("_low"))
-    out = named.join(low, "_group", "left")
-    return out.select(*[f"`{c}`" for c in names], F.col("_size").alias("n_shingles"), F.coalesce("_low", F.col(id)).alias("component_id"))
+    return rows.mapInArrow(_named(n, None), ", ".join([*(f"`{c}` {kinds[c]}" for c in names), "_set bigint, _size bigint"]))
 
 
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """Docs with one document of each component: the one with the smallest id (one of its rows, if that id repeats).
+def one_of_each(docs: DataFrame, *, id: str = "doc_id", text: str = "text", n: int = 4, num: int = 85, den: int = 100, **options) -> DataFrame:
+    """Docs with one row of each component: the one with the smallest id, nulls last; among rows of that id the one with
+    the smallest hash of its columns. Different texts with one id are judged by their own components.
 
     Documents without words are no copies of anything and all stay.
     """
-    id = options.get("id", "doc_id")
-    text = options.get("text", "text")
-    keep = near_copies(docs.select(id, text), **options)
-    low = keep.filter((F.col(id) == F.col("component_id")) & (F.col("n_shingles") > 0)).select(id).distinct()
+    own = docs.columns
+    hashed = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()])
+    root = _roots(docs.select(id, text), text, n, num, den, **options)
+    sets = _with_sets(docs.select(F.col(id).alias("_id"), hashed.alias("_row"), F.col(text).alias("_body")), ["_id", "_row"], "_body", n).filter("_set is not null")
+    best = sets.groupBy("_set").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_row")).alias("_best"))
+    best = best.join(root, best._set == root.node, "left").groupBy(F.coalesce("root", "_set").alias("_group")).agg(F.min("_best").alias("_best"))
+    best = best.select(F.col("_best._id").alias("_low_id"), F.col("_best._row").alias("_low_row"))
     blank = F.coalesce(F.regexp_replace(text, r"[ \t-\r]+", ""), F.lit("")) == ""
-    some = docs.filter(~blank).join(low, id, "left_semi").dropDuplicates([id])
-    return some.select(*docs.columns).union(docs.filter(blank))
+    rows = docs.filter(~blank).withColumn("_row_hash", hashed)
+    some = rows.join(best, (F.col("_row_hash") == F.col("_low_row")) & F.col(id).eqNullSafe(F.col("_low_id")), "left_semi").dropDuplicates([id, "_row_hash"])
+    return some.select(*[f"`{c}`" for c in own]).union(docs.filter(blank))
