@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from waystone.llm import decontaminate, jaccard, language, licenses, line_frequency, packing, ppm, quality_model, substrings, toxicity
+from waystone.llm import blocks, decontaminate, jaccard, language, licenses, line_frequency, packing, ppm, quality_model, substrings, toxicity
 from waystone.llm.graph import components
 from waystone.llm.queries import tokenizer
 
@@ -132,7 +132,8 @@ def test_one_of_each(spark):
 
 def test_components(spark):
     path = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)]
-    got = {r.node: r.root for r in components(spark.createDataFrame(path, "a long, b long")).collect()}
+    with blocks.Scratch(spark) as scratch:
+        got = {r.node: r.root for r in components(spark.createDataFrame(path, "a long, b long").repartition(5), scratch).collect()}
     assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
 
 

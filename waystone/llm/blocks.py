@@ -3,7 +3,7 @@
 A chunk is a bounded group of whole documents, chosen by a hash of the row, so it is the same whenever a lost task runs
 again. A chunk sends each distinct value once, whatever the number of its occurrences there: that pre-aggregation is
 what splits hot values. Blocks see values from all chunks and answer each chunk. Chunks and blocks grow in number, not
-in size, with the input.
+in size, with the input: both numbers follow from the bytes of the texts.
 """
 
 from __future__ import annotations
@@ -17,35 +17,76 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 CHUNK_BYTES = 4 << 20
+#: Records of a block are held in a task at once.
+BLOCK_BYTES = 16 << 20
+#: Text in a Spark partition of chunks: a partition holds many chunks, one after another.
+PARTITION_BYTES = 128 << 20
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder name in the cluster's shared folder; a local temporary one only where none is set, as in tests."""
+def shared(spark: SparkSession) -> str:
+    """The cluster's shared folder. Where none is set and everything runs in one process, as in tests, one is made."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         import tempfile
 
         root = tempfile.mkdtemp(prefix="waystone-")
-    return f"{root.rstrip('/')}/waystone-{uuid.uuid4().hex}"
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root.rstrip("/")
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder name in the cluster's shared folder."""
+    return f"{shared(spark)}/waystone-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
+def written(df: DataFrame, codec: str = "zstd", path: str | None = None) -> DataFrame:
     """Cuts the lineage: the rows as a table in the shared folder."""
-    path = scratch(df.sparkSession)
+    path = path or scratch(df.sparkSession)
     df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def n_blocks(spark: SparkSession) -> int:
+class Scratch:
+    """A folder for intermediate tables, removed when the block ends, whether it succeeds or not."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.path, self.tables = spark, scratch(spark), 0
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *error) -> None:
+        jvm = self.spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def written(self, df: DataFrame, codec: str = "zstd") -> DataFrame:
+        self.tables += 1
+        return written(df, codec, f"{self.path}/{self.tables}")
+
+    def small(self, df: DataFrame) -> DataFrame:
+        """Written in an eighth of the usual partitions: links and labels are a small share of what they come from."""
+        return self.written(df.coalesce(max(1, partitions(self.spark) // 8)))
+
+
+def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def n_blocks(spark: SparkSession, size: int = 0, most: int = BLOCK_BYTES) -> int:
+    """Blocks of at most about `most` bytes each, for `size` bytes in all; enough of them to keep all tasks busy."""
+    return max(2 * partitions(spark), -(-int(size) // most))
+
+
 def in_chunks(docs: DataFrame, text: str, *keys: str, chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame, int]:
-    """Docs dealt out by a new column `_chunk`; about `chunk_bytes` of text in each, at least one chunk."""
-    total = docs.agg(F.sum(F.octet_length(text)).alias("b")).first()["b"] or 0
-    n = max(1, -(-int(total) // chunk_bytes))
+    """Docs dealt out by a new column `_chunk`, about `chunk_bytes` of text in each; and the bytes of text."""
+    total = int(docs.agg(F.sum(F.octet_length(text)).alias("b")).first()["b"] or 0)
+    n = max(1, -(-total // chunk_bytes))
     chunk = F.pmod(F.xxhash64(*[F.col(k) for k in keys], F.col(text)), F.lit(n)).cast("int")
-    return docs.withColumn("_chunk", chunk).repartition(max(n, n_blocks(docs.sparkSession)), "_chunk"), n
+    dealt = max(partitions(docs.sparkSession), -(-total // PARTITION_BYTES))
+    return docs.withColumn("_chunk", chunk).repartition(dealt, "_chunk"), total
 
 
 def block_of(keys: np.ndarray, n: int) -> np.ndarray:

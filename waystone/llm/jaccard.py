@@ -8,11 +8,18 @@ hashes, are intersected with it before any pair is verified on its full sets.
 Before the sets themselves are compared, a bitmap filter bounds their difference from below: each set has the parities
 of its tokens' hashes in BITS bits, and sets differ in at least as many tokens as their bitmaps do in bits.
 
-Equal sets are one class from the start. A prefix shingle's bucket is not expanded into all its pairs. First each member
-is tried against the smallest member that its size allows; then each against the member of another component with the
-nearest bitmap; last, all pairs between different components that pass every filter. So each link between components
-is found, while a bucket of many copies yields a few pairs for each. Buckets of more than TILE sets are compared in
-tiles, each a task of bounded size.
+Texts are turned into sets twice: once to count frequent shingles, once to write each row's set and its index entries.
+Later steps read only the texts of sets that share an index entry with another one.
+
+Equal sets are one class from the start. A bucket (the sets with one prefix shingle) is not expanded into all its pairs.
+A round offers candidates between sets that no link joins so far: all of a bucket's passing pairs if there are few, else
+a spanning forest of them by nearest bitmaps. In the first round a bucket of more than SMALL members tries each member
+with the one nearest to the majority of the bitmaps, so a large group of copies takes one pair for each. Rounds go on
+until one has offered every passing pair that is left, so each link between components is found.
+
+Blocks of the index hold a bounded number of bytes, and very frequent shingles are dealt to blocks of their own by set.
+Buckets of more than TILE sets are compared in tiles: the members of their largest component each in few, as they are
+not compared with each other.
 """
 
 from __future__ import annotations
@@ -22,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
@@ -31,7 +38,11 @@ from .graph import components
 
 U64 = np.uint64
 ENTRY = np.dtype([("token", "<u8"), ("set", "<i8"), ("size", "<u4"), ("at", "<u2")])
-BITS, TILE = 512, 8192
+BITS, SMALL, TILE = 512, 64, 2048
+#: Entries that a task gathers before it sends them to their blocks.
+SENT_AT_ONCE = 400_000
+#: A shingle that the corpus has so often is dealt to blocks by set.
+HOT = 200_000
 #: Keys of the second and third order: tokens multiplied by these and mixed.
 ORDERS = (U64(0xD6E8FEB86659FD93), U64(0xA0761D6478BD642F))
 
@@ -110,25 +121,13 @@ def _texts(batches: Iterator[pa.RecordBatch], column: str, n: int):
             yield batch.slice(a, b - a), Sets(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], n)
 
 
-def _named(n: int, text: str | None):
-    """Adds the set's name and size to the rows."""
-
-    def run(batches):
-        for part, sets in _texts(batches, "_text", n):
-            keep = [c for c in part.schema.names if c != "_text" or text]
-            name = pa.array(sets.name, mask=sets.size == 0)
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), name, pa.array(sets.size.astype(np.int64))], [*keep, "_set", "_size"])
-
-    return run
-
-
 def _often(n: int, at_once: int, least: int):
-    """Shingles that `least` or more of about at_once shingles are."""
+    """Shingles that `least` or more of about at_once shingles are; a row of token -1 has the number of all shingles."""
 
     def flush(parts):
         token, count = np.unique(np.concatenate(parts), return_counts=True)
         some = count >= least
-        return pa.RecordBatch.from_arrays([pa.array(token[some].astype(np.int64)), pa.array(count[some])], ["token", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(np.append(token[some].astype(np.int64), -1)), pa.array(np.append(count[some], count.sum()))], ["token", "n"])
 
     def run(batches):
         parts, size = [], 0
@@ -144,28 +143,61 @@ def _often(n: int, at_once: int, least: int):
     return run
 
 
-def _indexed(n: int, num: int, den: int, blocks: int, often):
+def _indexed(n: int, num: int, den: int, blocks: int, often, names: list[str]):
+    """A row for each text, with its number, its set's name and size; and rows of packed entries for each block.
+
+    Blocks from `blocks` on take the shingles that are hot, dealt by set.
+    """
+
+    def flush(parts):
+        out, hot = (np.concatenate(x) for x in zip(*parts, strict=True))
+        block = np.where(hot, blocks + (T.mix(out["set"].astype(U64)) % U64(blocks)).astype(np.int64), B.block_of(T.mix(out["token"]), blocks))
+        order = np.argsort(block, kind="stable")
+        return B.rows(0, block[order], out[order], 2 * blocks)
+
     def run(batches):
-        common, rank = often.value
-        for _, sets in _texts(batches, "_text", n):
+        from pyspark import TaskContext
+
+        common, rank, count = often.value
+        parts, size, kinds, made = [], 0, None, [*names, "_row", "_set", "_size", "_block", "data"]
+        row = TaskContext.get().partitionId() << 40
+
+        def sent():
+            got = flush(parts)
+            none = [pa.nulls(len(got), k) for k in [*kinds, *[pa.int64()] * 3]]
+            return pa.RecordBatch.from_arrays([*none, *(got.column(c).combine_chunks() for c in ("_block", "data"))], made)
+
+        for part, sets in _texts(batches, "_text", n):
+            own = [part.column(c) for c in names]
+            kinds = [c.type for c in own]
+            m = len(part)
+            yield pa.RecordBatch.from_arrays([*own, pa.array(np.arange(row, row + m)), pa.array(sets.name, mask=sets.size == 0), pa.array(sets.size.astype(np.int64)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], made)
+            row += m
             at, place = rare_first(sets, common, rank, num, den)
             # copies among these texts send their tokens once
             lead = np.zeros(len(sets.size), bool)
             lead[np.unique(sets.name, return_index=True)[1]] = True
             some = lead[sets.doc[at]]
             at, place = at[some], place[some]
-            order = np.argsort(sets.token[at])
-            at, place = at[order], place[order]
             out = np.zeros(len(at), ENTRY)
             out["token"], out["set"], out["size"] = sets.token[at], sets.name[sets.doc[at]], sets.size[sets.doc[at]]
             out["at"] = np.minimum(place, 65535)
-            got = B.rows(0, B.block_of(out["token"] << U64(1), blocks), out, blocks)
-            yield from got.to_batches()
+            hot = np.zeros(len(at), bool)
+            if len(common):
+                to = np.minimum(np.searchsorted(common, out["token"]), len(common) - 1)
+                hot = (common[to] == out["token"]) & (count[to] >= HOT)
+            parts.append((out, hot))
+            size += len(out)
+            if size >= SENT_AT_ONCE:
+                yield sent()
+                parts, size = [], 0
+        if size:
+            yield sent()
 
     return run
 
 
-BUCKET = "token bigint, set bigint, size int, at int, hub bigint"
+BUCKET = "token bigint, set bigint, size int, at int"
 
 
 def fits(size_a, at_a, size_b, at_b, num: int, den: int) -> np.ndarray:
@@ -207,37 +239,24 @@ def _with_partner(found: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.where(large, keep, some)
 
 
-def _buckets(num: int, den: int):
-    """Members of buckets that have others near their size. hub: the smallest member within the size bound, chained
-    upwards, or the member itself."""
+def _buckets(num: int, den: int, blocks: int):
+    """Members of buckets that have others near their size. A block of hot shingles has only part of their sets, so all
+    of those stay."""
 
     def run(key: tuple, got: pa.Table) -> pa.Table:
         found, _ = B.gathered(got, ENTRY)
         token = found["token"]
-        order = np.argsort(token)
-        near = token[order][1:] == token[order][:-1]
-        found = found[order[np.concatenate([near, [False]]) | np.concatenate([[False], near])]] if len(found) else found
+        whole = key[0].as_py() < blocks
+        if len(found) and whole:
+            order = np.argsort(token)
+            near = token[order][1:] == token[order][:-1]
+            found = found[order[np.concatenate([near, [False]]) | np.concatenate([[False], near])]]
         found = found[np.lexsort((found["set"], found["size"], found["token"]))]
         if len(found):
             found = found[np.concatenate([[True], (found["token"][1:] != found["token"][:-1]) | (found["set"][1:] != found["set"][:-1])])]
-        found = found[_with_partner(found, num, den)]
-        size = found["size"].astype(np.int64)
-        new = np.ones(len(found), bool)
-        new[1:] = found["token"][1:] != found["token"][:-1]
-        hub = np.flatnonzero(new)
-        start = hub[np.cumsum(new) - 1] if len(found) else hub
-        # beyond the size bound of its hub a member starts the next hub; few rounds, as sizes grow by 1 / t each time
-        while True:
-            over = np.flatnonzero(den * size[start] < num * size)
-            if not len(over):
-                break
-            lead = over[np.concatenate([[True], start[over[1:]] != start[over[:-1]]])]
-            next_ = np.full(len(found), -1)
-            next_[start[lead]] = lead
-            start[over] = next_[start[over]]
-        at = found["at"].astype(np.int64)
-        start = np.where(fits(size, at, size[start], at[start], num, den), start, np.arange(len(found)))
-        return pa.table([pa.array(found["token"].astype(np.int64)), pa.array(found["set"]), pa.array(size.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(found["set"][start])], names=["token", "set", "size", "at", "hub"])
+        if whole:
+            found = found[_with_partner(found, num, den)]
+        return pa.table([pa.array(found["token"].astype(np.int64)), pa.array(found["set"]), pa.array(found["size"].astype(np.int32)), pa.array(found["at"].astype(np.int32))], names=["token", "set", "size", "at"])
 
     return run
 
@@ -258,60 +277,127 @@ def _profiled(n: int, num: int, den: int):
                 made.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array((key[at] >> U64(32)).astype(np.uint32).view(np.int32))))
             bits = bitmaps(sets)
             bits = pa.ListArray.from_arrays(pa.array(np.arange(len(bits) + 1, dtype=np.int32) * (BITS // 64)), pa.array(bits.reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column("_set"), pa.array(sets.size.astype(np.int32)), bits, *made, part.column("_text")], ["_set", "_size", "_bits", "_second", "_third", "_text"])
+            yield pa.RecordBatch.from_arrays([pa.array(sets.name), pa.array(sets.size.astype(np.int32)), bits, *made, part.column("_text")], ["_set", "_size", "_bits", "_second", "_third", "_text"])
 
     return run
 
 
-def _compared(num: int, den: int, nearest: bool):
-    """Pairs of one bucket or tile between different components that pass the filters; with `nearest` each member's
-    pair with the nearest bitmap only."""
-
-    def best(i, j, gap):
-        if not nearest or not len(i):
-            return i, j, gap
-        who, other, gap = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([gap, gap])
-        order = np.lexsort((other, gap, who))
-        first = order[np.concatenate([[True], np.diff(who[order]) != 0])]
-        return who[first], other[first], gap[first]
+def forest(i: np.ndarray, j: np.ndarray, gap: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Places of pairs that join all labels which the pairs join, the nearest ones (Boruvka's rounds)."""
+    order = np.argsort(gap, kind="stable")
+    _, both = np.unique(np.concatenate([label[i], label[j]]), return_inverse=True)
+    a, b = both[: len(i)][order], both[len(i) :][order]
+    chosen = []
+    while len(order):
+        n = int(max(a.max(), b.max())) + 1
+        first = np.full(n, len(order))
+        place = np.arange(len(order))
+        np.minimum.at(first, a, place)
+        np.minimum.at(first, b, place)
+        seen = np.flatnonzero(first < len(order))
+        pick = first[seen]
+        chosen.append(order[np.unique(pick)])
+        to = np.arange(n)
+        to[seen] = a[pick] + b[pick] - seen
+        mutual = (to[to] == np.arange(n)) & (to > np.arange(n))
+        to[mutual] = np.flatnonzero(mutual)
+        while (to[to] != to).any():
+            to = to[to]
+        a, b = to[a], to[b]
+        left = a != b
+        order, a, b = order[left], a[left], b[left]
+    return np.concatenate(chosen) if chosen else np.zeros(0, np.int64)
+
+
+def central(size: np.ndarray, bits: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of each member (sorted by size) and the one nearest to the majority of bitmaps, by bands of size."""
+    out_i, out_j, s = [], [], 0
+    while s < len(size):
+        e = int(np.searchsorted(num * size, den * size[s], "right"))
+        shown = np.unpackbits(bits[s:e].view(np.uint8), axis=1)
+        most = np.packbits(2 * shown.sum(0, dtype=np.int64) > e - s).view(U64)
+        hub = s + int(np.bitwise_count(bits[s:e] ^ most).sum(1, dtype=np.int64).argmin())
+        rest = np.delete(np.arange(s, e), hub - s)
+        out_i.append(np.full(len(rest), hub))
+        out_j.append(rest)
+        s = e
+    return np.concatenate(out_i), np.concatenate(out_j)
+
+
+def _compared(num: int, den: int, first: bool, most: float):
+    """Candidates of each bucket or tile: pairs of different components that pass the filters.
+
+    All of them (`whole`) if they are at most `most` for each member, else a forest of them. `first`: nothing is joined
+    yet, and large buckets only give pairs with central members.
+    """
 
     def run(key: tuple, got: pa.Table) -> pa.Table:
-        order = np.lexsort((got["set"].to_numpy(), got["token"].to_numpy(), got["_tile"].to_numpy()))
+        order = np.lexsort((got["set"].to_numpy(), got["size"].to_numpy(), got["token"].to_numpy(), got["_tile"].to_numpy()))
         col = lambda c: got[c].to_numpy()[order].astype(np.int64)
         token, tile, name, size, at, root, side = (col(c) for c in ("token", "_tile", "set", "size", "at", "root", "_side"))
         words = got["_bits"].combine_chunks()
-        words = words.chunk(0) if isinstance(words, pa.ChunkedArray) else words
         bits = words.flatten().to_numpy().reshape(-1, BITS // 64)[order].view(U64)
         starts = np.flatnonzero(np.concatenate([[True], (np.diff(token) != 0) | (np.diff(tile) != 0)]))
         ends = np.append(starts[1:], len(token))
-        out_i, out_j = [], []
+        run_of = np.repeat(np.arange(len(starts)), ends - starts)
+        crossed = (tile >= 0) & (tile >> 20 != tile & ((1 << 20) - 1))
+        none = np.zeros(0, np.int64)
+        out = []
 
         def good(i, j):
-            some = (root[i] != root[j]) & fits(size[i], at[i], size[j], at[j], num, den) & ((tile[i] < 0) | (side[i] != side[j]))
+            some = (root[i] != root[j]) & fits(size[i], at[i], size[j], at[j], num, den) & (~crossed[i] | (side[i] != side[j]))
             i, j = i[some], j[some]
             gap = np.concatenate([np.bitwise_count(bits[i[k : k + 100_000]] ^ bits[j[k : k + 100_000]]).sum(1, dtype=np.int64) for k in range(0, len(i), 100_000)] or [i])
             some = (num + den) * gap <= (den - num) * (size[i] + size[j])
             return i[some], j[some], gap[some]
 
-        # buckets of few members together, in batches of bounded size; large ones by blocks of rows
+        def thinned(i, j, gap, members):
+            if len(i) <= most * members:
+                return i, j, np.ones(len(i), bool)
+            some = forest(i, j, gap, root)
+            return i[some], j[some], np.zeros(len(some), bool)
+
         count = ends - starts
-        for i, j in _runs(starts[count <= 64], ends[count <= 64]):
-            i, j, _ = best(*good(i, j))
-            out_i.append(i)
-            out_j.append(j)
-        large = count > 64
-        for s, e in zip(starts[large].tolist(), ends[large].tolist(), strict=True):
-            held = (np.zeros(0, np.int64),) * 3
-            for x in range(s, e, 64):
-                i, j = np.meshgrid(np.arange(x, min(e, x + 64)), np.arange(x, e), indexing="ij")
-                later = j > i
-                found = good(i[later], j[later])
-                held = best(*(np.concatenate(p) for p in zip(held, found, strict=True)))
-            out_i.append(held[0])
-            out_j.append(held[1])
-        i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_i, out_j))
-        pairs = np.unique(np.stack([np.minimum(name[i], name[j]), np.maximum(name[i], name[j])], 1), axis=0) if len(i) else np.zeros((0, 2), np.int64)
-        return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        small = count <= SMALL
+        # buckets of few members together, in batches of bounded size
+        for i, j in _runs(starts[small], ends[small]):
+            i, j, gap = good(i, j)
+            many = np.bincount(run_of[i], minlength=len(starts)) > most * count
+            few = ~many[run_of[i]]
+            out.append((i[few], j[few], np.ones(int(few.sum()), bool)))
+            for r in np.flatnonzero(many).tolist():
+                mine = np.flatnonzero(run_of[i] == r)
+                out.append(thinned(i[mine], j[mine], gap[mine], count[r]))
+        for s, e in zip(starts[~small].tolist(), ends[~small].tolist(), strict=True):
+            if first:
+                i, j = central(size[s:e], bits[s:e], num, den)
+                i, j, _ = good(s + i, s + j)
+                out.append((i, j, np.zeros(len(i), bool)))
+                if not len(i):  # what large buckets hold is left to the next round
+                    out.append((np.array([s]), np.array([s]), np.zeros(1, bool)))
+                continue
+            # members of the largest component are only compared with the others
+            labels, of, n = np.unique(root[s:e], return_inverse=True, return_counts=True)
+            top = of == n.argmax()
+            rows = s + np.concatenate([np.flatnonzero(~top), np.flatnonzero(top)])
+            held, whole = (none, none, none), True
+            for x in range(0, int((~top).sum()), SMALL):
+                a, b = np.meshgrid(np.arange(x, min(int((~top).sum()), x + SMALL)), np.arange(x, e - s), indexing="ij")
+                later = b > a
+                held = tuple(np.concatenate(p) for p in zip(held, good(rows[a[later]], rows[b[later]]), strict=True))
+                if len(held[0]) > max(most * (e - s), 4 * (e - s)):
+                    some = forest(*held, root)
+                    held, whole = tuple(p[some] for p in held), False
+            if whole:
+                out.append(thinned(*held, e - s))
+            else:
+                out.append((held[0], held[1], np.zeros(len(held[0]), bool)))
+        i, j, whole = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (none, none, np.zeros(0, bool))
+        a, b = np.minimum(name[i], name[j]), np.maximum(name[i], name[j])
+        order = np.lexsort((whole, b, a))
+        a, b, whole = a[order], b[order], whole[order]
+        new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, bool)
+        return pa.table([pa.array(a[new]), pa.array(b[new]), pa.array(whole[new])], names=["a", "b", "whole"])
 
     return run
 
@@ -337,79 +423,105 @@ def _verified(n: int, num: int, den: int):
 
 
 class Join:
-    """Links between classes of equal sets, with all that is needed to find them."""
-
-    def __init__(self, docs: DataFrame, text: str, n: int, num: int, den: int, order_size: int, at_once: int, least: int) -> None:
-        self.spark, self.n, self.num, self.den = docs.sparkSession, n, num, den
-        self.texts = docs.select(F.col(text).alias("_text")).filter(F.col("_text").isNotNull())
-        counts = self.texts.mapInArrow(_often(n, at_once, least), "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
-        top = counts.orderBy(F.desc("n"), "token").limit(order_size).toPandas()
-        token = top["token"].to_numpy().astype(U64)
+    """Finds the links between classes of equal sets of the texts in column `_text`.
+
+    `rows`: a row for each text with the other columns of `docs` (and the text, if `carry`), its number `_row`, `_set`
+    (null without words) and `_size`.
+    """
+
+    def __init__(self, docs: DataFrame, scratch: B.Scratch, n: int, num: int, den: int, order_size: int = 1 << 16, at_once: int = 1_000_000, least: int = 4, carry: bool = False) -> None:
+        self.spark, self.scratch, self.n, self.num, self.den = docs.sparkSession, scratch, n, num, den
+        texts = docs.withColumn("_key", F.xxhash64("_text"))
+        words = texts.select("_text").filter("_text is not null")
+        counts = words.mapInArrow(_often(n, at_once, least), "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
+        top = counts.orderBy(F.desc("n"), "token").limit(order_size).toArrow()
+        token, count = top["token"].to_numpy(), top["n"].to_numpy()
+        shingles = int(count[token == -1].sum())
+        token, count = token[token != -1].astype(U64), count[token != -1]
         rank = np.arange(len(token), 0, -1).astype(U64)  # the most frequent last
         by = np.argsort(token)
-        self.often = self.spark.sparkContext.broadcast((token[by], rank[by]))
-        blocks = B.n_blocks(self.spark)
-        packed = self.texts.mapInArrow(_indexed(n, num, den, blocks, self.often), B.SCHEMA)
-        self.buckets = B.written(packed.groupBy("_block").applyInArrow(_buckets(num, den), BUCKET))
+        often = self.spark.sparkContext.broadcast((token[by], rank[by], count[by]))
+        self.blocks = B.n_blocks(self.spark, shingles * (den - num) // den * ENTRY.itemsize)
+        kept = [f for f in texts.schema.fields if carry or f.name != "_text"]
+        schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "_row bigint, _set bigint, _size bigint, _block int, data binary"])
+        made = texts.mapInArrow(_indexed(n, num, den, self.blocks, often, [f.name for f in kept]), schema)
+        both = scratch.written(made)
+        often.unpersist()
+        self.rows = both.filter("_block is null").drop("_block", "data")
+        packed = both.filter("_block is not null").select("_block", "data")
+        self.buckets = scratch.written(packed.groupBy("_block").applyInArrow(_buckets(num, den, self.blocks), BUCKET))
+        # one text of each set that shares a bucket
         inside = self.buckets.select(F.col("set").alias("_set")).distinct()
-        held = self.texts.mapInArrow(_named(n, "_text"), "_text string, _set bigint, _size bigint").filter("_set is not null").select("_set", "_text")
-        held = held.join(inside, "_set", "left_semi").dropDuplicates(["_set"])
+        keys = scratch.small(self.rows.select("_set", "_key").join(inside, "_set", "left_semi").groupBy("_set").agg(F.min("_key").alias("_key")))
+        held = texts.select("_key", "_text").join(keys.select("_key"), "_key", "left_semi").dropDuplicates(["_key"])
         # bucketed by set, so that the joins below move pairs and not texts
         self.table = f"waystone_{uuid.uuid4().hex}"
-        made = held.mapInArrow(_profiled(n, num, den), PROFILE).write.format("parquet").option("compression", "zstd")
-        made.bucketBy(blocks, "_set").saveAsTable(self.table)
+        profiled = held.select("_text").mapInArrow(_profiled(n, num, den), PROFILE).write.format("parquet").option("compression", "zstd")
+        profiled.bucketBy(B.partitions(self.spark), "_set").saveAsTable(self.table)
         self.profiles = self.spark.table(self.table)
+        self.entries = scratch.written(self.buckets.join(self.profiles.select(F.col("_set").alias("set"), "_bits"), "set"))
+
+    def __enter__(self) -> Join:
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
 
     def verify(self, pairs: DataFrame) -> DataFrame:
-        """(a, b, linked) for those candidate pairs that pass the bitmap filter and the prefix test under every order."""
+        """(a, b, linked) for those candidate pairs that pass the prefix test under the other orders."""
         p = self.profiles
-        side = lambda x: p.select(F.col("_set").alias(x), *[F.col(f"_{c}").alias(f"_{c}_{x}") for c in ("size", "bits", "second", "third")])
+        side = lambda x: p.select(F.col("_set").alias(x), *[F.col(f"_{c}").alias(f"_{c}_{x}") for c in ("second", "third")])
         both = pairs.join(side("a"), "a").join(side("b"), "b")
-        gap = F.aggregate(F.zip_with("_bits_a", "_bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-        near = (self.num + self.den) * gap <= (self.den - self.num) * (F.col("_size_a") + F.col("_size_b"))
-        left = both.filter(near & F.arrays_overlap("_second_a", "_second_b") & F.arrays_overlap("_third_a", "_third_b")).select("a", "b")
+        left = both.filter(F.arrays_overlap("_second_a", "_second_b") & F.arrays_overlap("_third_a", "_third_b")).select("a", "b")
         full = lambda x: p.select(F.col("_set").alias(x), F.col("_text").alias(f"_text_{x}"))
         return left.join(full("a"), "a").join(full("b"), "b").mapInArrow(_verified(self.n, self.num, self.den), "a bigint, b bigint, linked boolean")
 
-    def across(self, root: DataFrame, nearest: bool) -> DataFrame:
-        """Pairs of different components that share a bucket and pass the filters."""
-        labelled = self.buckets.join(root, self.buckets["set"] == root["node"], "left").select("token", "set", "size", "at", F.coalesce("root", "set").alias("root"))
-        labelled = B.written(labelled)
-        open_ = labelled.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("_n")).filter("x <> y").select("token", "_n")
-        rows = labelled.join(open_, "token").join(self.profiles.select(F.col("_set").alias("set"), "_bits"), "set")
-        # a large bucket's members are dealt to sides, and each pair of sides makes a tile; the other buckets are whole
-        sides = F.ceil(F.col("_n") / TILE).cast("int")
-        side = F.pmod(F.hash("set"), sides)
-        tiles = F.when(sides > 1, F.transform(F.sequence(F.lit(0), sides), lambda k: F.least(k, side) * 100000 + F.greatest(k, side))).otherwise(F.array(F.lit(-1)))
-        # side `sides` is a twin of each side: its tile compares a side with itself
-        rows = rows.withColumn("_side", side).withColumn("_tile", F.explode(tiles))
-        rows = rows.withColumn("_side", F.when((F.col("_tile") >= 0) & (F.col("_tile") % 100000 == sides), F.xxhash64("set", F.lit(1))).otherwise(F.col("_side").cast("bigint")))
-        key = F.pmod(F.hash("token", "_tile"), F.lit(4 * B.n_blocks(self.spark)))
-        return rows.drop("_n").withColumn("_block", key).groupBy("_block").applyInArrow(_compared(self.num, self.den, nearest), "a bigint, b bigint").distinct()
-
-    def close(self) -> None:
-        """Drops the profiles; links and components do not need them any more."""
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+    def candidates(self, root: DataFrame | None, most: float) -> DataFrame:
+        """(a, b, whole): pairs of different components that share a bucket and pass the filters; see _compared."""
+        rows, h = self.entries, F.pmod(F.xxhash64("set"), F.lit(1 << 30))
+        deal = lambda n: F.ceil(F.col(n) / TILE).cast("bigint")
+        if root is None:
+            n = rows.groupBy("token").agg(F.count("*").alias("_n")).filter(F.col("_n") > TILE)
+            rows = rows.withColumn("root", F.col("set")).join(n, "token", "left")
+            rows = rows.withColumn("_side", F.when(F.col("_n").isNull(), F.lit(0)).otherwise(h % deal("_n"))).withColumn("_tile", F.when(F.col("_n").isNull(), F.lit(-1)).otherwise(F.col("_side") * ((1 << 20) + 1)))
+        else:
+            rows = rows.join(root, rows["set"] == root["node"], "left").select("token", "set", "size", "at", "_bits", F.coalesce("root", "set").alias("root"))
+            each = rows.groupBy("token", "root").agg(F.count("*").alias("n"))
+            each = each.groupBy("token").agg(F.sum("n").alias("_n"), F.max(F.struct("n", "root")).alias("_top"), F.count("*").alias("_roots")).filter("_roots > 1")
+            each = each.select("token", "_n", F.col("_top.root").alias("_top"), (F.col("_n") - F.col("_top.n")).alias("_rest"))
+            rows = rows.join(each, "token")
+            # members of the largest component are dealt to the first sides, the others to the sides behind them; a tile
+            # has a side of others and one more side
+            k, o = deal("_n"), deal("_rest")
+            side = F.when(F.col("root") == F.col("_top"), h % k).otherwise(k + h % o)
+            rows = rows.withColumn("_k", k).withColumn("_o", o).withColumn("_side", F.when(k == 1, F.lit(0)).otherwise(side))
+            others = F.transform(F.sequence(F.lit(0), F.col("_k") + F.col("_o") - 1), lambda x: F.least(x, F.col("_side")) * (1 << 20) + F.greatest(x, F.col("_side")))
+            tops = F.transform(F.sequence(F.col("_k"), F.col("_k") + F.col("_o") - 1), lambda x: F.col("_side") * (1 << 20) + x)
+            rows = rows.withColumn("_tile", F.explode(F.when(F.col("_k") == 1, F.array(F.lit(-1).cast("bigint"))).when(F.col("_side") < F.col("_k"), tops).otherwise(others)))
+        key = F.pmod(F.xxhash64("token", "_tile"), F.lit(2 * self.blocks))
+        rows = rows.select("token", "set", "size", "at", "root", "_bits", F.col("_side").cast("bigint"), F.col("_tile").cast("bigint"), key.alias("_block"))
+        return rows.groupBy("_block").applyInArrow(_compared(self.num, self.den, root is None, most), "a bigint, b bigint, whole boolean")
 
     def links(self) -> tuple[DataFrame, DataFrame]:
         """Links that join every pair of sets that are in one component, and the components' (node, root)."""
-        pair = (F.least("set", "hub").alias("a"), F.greatest("set", "hub").alias("b"))
-        tried = B.written(self.verify(self.buckets.filter("set <> hub").select(*pair).distinct()))
-        nearest = True
+        keep, root, tried, most = self.scratch, None, None, 4.0
         while True:
-            root = components(tried.filter("linked"))
-            more = B.written(self.verify(self.across(root, nearest).join(tried.select("a", "b"), ["a", "b"], "left_anti")))
-            tried = tried.unionByName(more)
-            if not nearest:
-                break
-            # go on with nearest members while that still joins many sets; then always take all pairs that are left
-            joined = more.filter("linked").count()
-            nearest = joined > 0 and 2 * joined >= root.count()
-        found = tried.filter("linked").select("a", "b")
-        return found, components(found)
-
-
-def near_copies(docs: DataFrame, *, id: str = "doc_id", text: str = "text", n: int = 4, num: int = 85, den: int = 100, order_size: int = 1 << 16, at_once: int = 4_000_000, least: int = 4) -> DataFrame:
+            found = keep.small(self.candidates(root, most).groupBy("a", "b").agg(F.min("whole").alias("whole")))
+            thin = not found.filter("not whole").isEmpty()
+            pairs = found.filter("a <> b").select("a", "b")
+            more = keep.small(self.verify(pairs if tried is None else pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")))
+            tried = more if tried is None else tried.unionByName(more)
+            news = not more.filter("linked").isEmpty()
+            if news or root is None:
+                root = components(tried.filter("linked").select("a", "b"), keep)
+            # a round that offered every pair ends it; one without new links is followed by one that offers every pair
+            if not thin:
+                return tried.filter("linked").select("a", "b"), root
+            if not news:
+                most = float("inf")
+
+
+def near_copies(docs: DataFrame, *, id: str = "doc_id", text: str = "text", n: int = 4, num: int = 85, den: int = 100, **options) -> DataFrame:
     """Docs without the text column, with `n_shingles` and `component_id`.
 
     Two texts link when their sets of n-word shingles (lower-cased A-Z, words apart by white space) have a Jaccard
@@ -417,46 +529,35 @@ def near_copies(docs: DataFrame, *, id: str = "doc_id", text: str = "text", n: i
     and link with nothing. `component_id` is the smallest id reachable by links; null ids never are the smallest unless
     there is no other. Copies and repeated rows share a component. Shingles are compared as 63-bit hashes.
 
-    `order_size` and what counts as frequent (`least` of `at_once` shingles) only shape the first order, hence speed.
-    Other columns stay; own ones with the names of the results give way.
+    Options `order_size`, `at_once` and `least` (a shingle is frequent if `least` of `at_once` are equal to it) only
+    shape the first order, hence speed. Other columns stay; own ones with the names of the results give way.
     """
-    names = [c for c in docs.columns if c not in ("n_shingles", "component_id", "_set", "_size", "_text", text)]
-    root = _roots(docs, text, n, num, den, order_size, at_once, least)
-    named = _with_sets(docs, names, text, n)
-    named = named.join(root, named._set == root.node, "left").withColumn("_group", F.coalesce("root", "_set"))
-    low = named.filter("_group is not null").groupBy("_group").agg(F.min(id).alias("_low"))
-    out = named.join(low, "_group", "left")
-    return out.select(*[f"`{c}`" for c in names], F.col("_size").alias("n_shingles"), F.coalesce("_low", F.col(id)).alias("component_id"))
-
-
-def _roots(docs: DataFrame, text: str, n: int, num: int, den: int, order_size: int = 1 << 16, at_once: int = 4_000_000, least: int = 4) -> DataFrame:
-    join = Join(docs, text, n, num, den, order_size, at_once, least)
-    _, root = join.links()
-    join.close()
-    return root
-
-
-def _with_sets(docs: DataFrame, names: list[str], text: str, n: int) -> DataFrame:
-    """The named columns with each text's set and its size."""
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    rows = docs.select(*[f"`{c}`" for c in names], F.col(text).alias("_text"))
-    return rows.mapInArrow(_named(n, None), ", ".join([*(f"`{c}` {kinds[c]}" for c in names), "_set bigint, _size bigint"]))
+    taken = ("n_shingles", "component_id", text)
+    names = [c for c in docs.columns if c not in taken]
+    hidden = {c: f"_{k}" for k, c in enumerate(names)}
+    rows = docs.select(*[F.col(f"`{c}`").alias(h) for c, h in hidden.items()], F.col(f"`{text}`").alias("_text"), F.col(f"`{id}`").alias("_id"))
+    with B.Scratch(docs.sparkSession) as scratch, Join(rows, scratch, n, num, den, **options) as join:
+        _, root = join.links()
+        named = join.rows.join(root, join.rows["_set"] == root["node"], "left").withColumn("_group", F.coalesce("root", "_set"))
+        # documents without a copy are their own smallest id
+        low = named.filter("_group is not null").groupBy("_group").agg(F.min("_id").alias("_low"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+        out = named.join(low, "_group", "left")
+        return B.written(out.select(*[F.col(h).alias(c) for c, h in hidden.items()], F.col("_size").alias("n_shingles"), F.coalesce("_low", "_id").alias("component_id")))
 
 
 def one_of_each(docs: DataFrame, *, id: str = "doc_id", text: str = "text", n: int = 4, num: int = 85, den: int = 100, **options) -> DataFrame:
     """Docs with one row of each component: the one with the smallest id, nulls last; among rows of that id the one with
     the smallest hash of its columns. Different texts with one id are judged by their own components.
 
-    Documents without words are no copies of anything and all stay.
+    Documents without words are no copies of anything and all stay, whatever their ids.
     """
-    own = docs.columns
+    own = {c: f"_{k}" for k, c in enumerate(docs.columns)} | {text: "_text"}
     hashed = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()])
-    root = _roots(docs.select(id, text), text, n, num, den, **options)
-    sets = _with_sets(docs.select(F.col(id).alias("_id"), hashed.alias("_row"), F.col(text).alias("_body")), ["_id", "_row"], "_body", n).filter("_set is not null")
-    best = sets.groupBy("_set").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_row")).alias("_best"))
-    best = best.join(root, best._set == root.node, "left").groupBy(F.coalesce("root", "_set").alias("_group")).agg(F.min("_best").alias("_best"))
-    best = best.select(F.col("_best._id").alias("_low_id"), F.col("_best._row").alias("_low_row"))
-    blank = F.coalesce(F.regexp_replace(text, r"[ \t-\r]+", ""), F.lit("")) == ""
-    rows = docs.filter(~blank).withColumn("_row_hash", hashed)
-    some = rows.join(best, (F.col("_row_hash") == F.col("_low_row")) & F.col(id).eqNullSafe(F.col("_low_id")), "left_semi").dropDuplicates([id, "_row_hash"])
-    return some.select(*[f"`{c}`" for c in own]).union(docs.filter(blank))
+    rows = docs.select(*[F.col(f"`{c}`").alias(h) for c, h in own.items()], F.col(f"`{id}`").alias("_id"), hashed.alias("_hash"))
+    with B.Scratch(docs.sparkSession) as scratch, Join(rows, scratch, n, num, den, carry=True, **options) as join:
+        _, root = join.links()
+        named = join.rows.select("_row", "_id", "_hash", "_set").filter("_set is not null")
+        named = named.join(root, named["_set"] == root["node"], "left").withColumn("_group", F.coalesce("root", "_set"))
+        best = named.groupBy("_group").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_hash", "_row"))["_row"].alias("_best"), F.count("*").alias("_n")).filter("_n > 1")
+        copies = scratch.small(named.join(best, "_group").filter("_row <> _best").select("_row"))
+        return B.written(join.rows.join(copies, "_row", "left_anti").select(*[F.col(h).alias(c) for c, h in own.items()]))
