@@ -456,8 +456,9 @@ class Join:
         held = texts.select("_key", "_text").join(keys.select("_key"), "_key", "left_semi").dropDuplicates(["_key"])
         # bucketed by set, so that the joins below move pairs and not texts
         self.table = f"waystone_{uuid.uuid4().hex}"
-        profiled = held.select("_text").mapInArrow(_profiled(n, num, den), PROFILE).write.format("parquet").option("compression", "zstd")
-        profiled.bucketBy(B.partitions(self.spark), "_set").saveAsTable(self.table)
+        n_files = B.partitions(self.spark)
+        profiled = held.select("_text").mapInArrow(_profiled(n, num, den), PROFILE).repartition(n_files, "_set")
+        profiled.write.format("parquet").option("compression", "zstd").bucketBy(n_files, "_set").saveAsTable(self.table)
         self.profiles = self.spark.table(self.table)
         self.entries = scratch.written(self.buckets.join(self.profiles.select(F.col("_set").alias("set"), "_bits"), "set"))
 
