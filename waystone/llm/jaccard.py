@@ -12,10 +12,11 @@ Texts are turned into sets twice: once to count frequent shingles, once to write
 Later steps read only the texts of sets that share an index entry with another one.
 
 Equal sets are one class from the start. A bucket (the sets with one prefix shingle) is not expanded into all its pairs.
-A round offers candidates between sets that no link joins so far: all of a bucket's passing pairs if there are few, else
-a spanning forest of them by nearest bitmaps. In the first round a bucket of more than SMALL members tries each member
-with the one nearest to the majority of the bitmaps, so a large group of copies takes one pair for each. Rounds go on
-until one has offered every passing pair that is left, so each link between components is found.
+A round offers candidates between sets that no link joins so far: all of a bucket's passing pairs if they are few for
+its members, else a spanning forest of them by nearest bitmaps. The first round takes only the leading shingles of each
+set, and in a bucket of more than SMALL members tries each member with the one nearest to the majority of the bitmaps,
+so a large group of copies takes one pair for each. What counts as few grows until a round has offered every passing
+pair that is left, in the fourth round at the latest, so each link between components is found.
 
 Blocks of the index hold a bounded number of bytes, and very frequent shingles are dealt to blocks of their own by set.
 Buckets of more than TILE sets are compared in tiles: the members of their largest component each in few, as they are
@@ -43,6 +44,10 @@ BITS, SMALL, TILE = 512, 64, 2048
 SENT_AT_ONCE = 400_000
 #: A shingle that the corpus has so often is dealt to blocks by set.
 HOT = 200_000
+#: Prefix shingles that the first round looks at: near copies mostly share the first.
+LEADING = 2
+#: Bits of the filter that picks the texts to be read again, in maps of 32,768: 8 MB however large the corpus is.
+FILTER_MAPS, MAP_BITS = 2048, 32768
 #: Keys of the second and third order: tokens multiplied by these and mixed.
 ORDERS = (U64(0xD6E8FEB86659FD93), U64(0xA0761D6478BD642F))
 
@@ -373,8 +378,6 @@ def _compared(num: int, den: int, first: bool, most: float):
                 i, j = central(size[s:e], bits[s:e], num, den)
                 i, j, _ = good(s + i, s + j)
                 out.append((i, j, np.zeros(len(i), bool)))
-                if not len(i):  # what large buckets hold is left to the next round
-                    out.append((np.array([s]), np.array([s]), np.zeros(1, bool)))
                 continue
             # members of the largest component are only compared with the others
             labels, of, n = np.unique(root[s:e], return_inverse=True, return_counts=True)
@@ -385,7 +388,7 @@ def _compared(num: int, den: int, first: bool, most: float):
                 a, b = np.meshgrid(np.arange(x, min(int((~top).sum()), x + SMALL)), np.arange(x, e - s), indexing="ij")
                 later = b > a
                 held = tuple(np.concatenate(p) for p in zip(held, good(rows[a[later]], rows[b[later]]), strict=True))
-                if len(held[0]) > max(most * (e - s), 4 * (e - s)):
+                if len(held[0]) > max(most, 4.0) * (e - s):
                     some = forest(*held, root)
                     held, whole = tuple(p[some] for p in held), False
             if whole:
@@ -422,17 +425,28 @@ def _verified(n: int, num: int, den: int):
     return run
 
 
+def picked(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is among `keys`, and a few others: those whose hashes meet a bit that a key has set.
+
+    At most FILTER_MAPS maps of MAP_BITS bits are broadcast.
+    """
+    h = F.pmod(F.xxhash64(key), F.lit(FILTER_MAPS * MAP_BITS))
+    maps = keys.select(h.alias("h")).groupBy((F.col("h") / MAP_BITS).cast("int").alias("_map")).agg(F.bitmap_construct_agg(F.col("h") % MAP_BITS).alias("_bits"))
+    at = h % MAP_BITS
+    byte = F.conv(F.hex(F.substring("_bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    met = rows.withColumn("_map", (h / MAP_BITS).cast("int")).join(F.broadcast(maps), "_map")
+    return met.filter((byte / F.pow(F.lit(2), at % 8)).cast("int") % 2 == 1).select(*rows.columns)
+
+
 class Join:
     """Finds the links between classes of equal sets of the texts in column `_text`.
 
-    `rows`: a row for each text with the other columns of `docs` (and the text, if `carry`), its number `_row`, `_set`
-    (null without words) and `_size`.
+    `rows`: docs with a number `_row` for each row, `_set` (null without words) and `_size`.
     """
 
-    def __init__(self, docs: DataFrame, scratch: B.Scratch, n: int, num: int, den: int, order_size: int = 1 << 16, at_once: int = 1_000_000, least: int = 4, carry: bool = False) -> None:
+    def __init__(self, docs: DataFrame, scratch: B.Scratch, n: int, num: int, den: int, order_size: int = 1 << 16, at_once: int = 1_000_000, least: int = 4) -> None:
         self.spark, self.scratch, self.n, self.num, self.den = docs.sparkSession, scratch, n, num, den
-        texts = docs.withColumn("_key", F.xxhash64("_text"))
-        words = texts.select("_text").filter("_text is not null")
+        words = docs.select("_text").filter("_text is not null")
         counts = words.mapInArrow(_often(n, at_once, least), "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
         top = counts.orderBy(F.desc("n"), "token").limit(order_size).toArrow()
         token, count = top["token"].to_numpy(), top["n"].to_numpy()
@@ -442,23 +456,21 @@ class Join:
         by = np.argsort(token)
         often = self.spark.sparkContext.broadcast((token[by], rank[by], count[by]))
         self.blocks = B.n_blocks(self.spark, shingles * (den - num) // den * ENTRY.itemsize)
-        kept = [f for f in texts.schema.fields if carry or f.name != "_text"]
-        schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "_row bigint, _set bigint, _size bigint, _block int, data binary"])
-        made = texts.mapInArrow(_indexed(n, num, den, self.blocks, often, [f.name for f in kept]), schema)
+        schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), "_row bigint, _set bigint, _size bigint, _block int, data binary"])
+        made = docs.mapInArrow(_indexed(n, num, den, self.blocks, often, docs.columns), schema)
         both = scratch.written(made)
         often.unpersist()
         self.rows = both.filter("_block is null").drop("_block", "data")
         packed = both.filter("_block is not null").select("_block", "data")
         self.buckets = scratch.written(packed.groupBy("_block").applyInArrow(_buckets(num, den, self.blocks), BUCKET))
-        # one text of each set that shares a bucket
+        # one text of each set that shares a bucket; a filter of fixed size spares moving the others
         inside = self.buckets.select(F.col("set").alias("_set")).distinct()
-        keys = scratch.small(self.rows.select("_set", "_key").join(inside, "_set", "left_semi").groupBy("_set").agg(F.min("_key").alias("_key")))
-        held = texts.select("_key", "_text").join(keys.select("_key"), "_key", "left_semi").dropDuplicates(["_key"])
+        chosen = self.rows.select("_set", "_row").join(inside, "_set", "left_semi").groupBy("_set").agg(F.min("_row").alias("_row"))
+        held = picked(self.rows.select("_row", "_text"), scratch.small(chosen.select("_row")), "_row").select("_text")
         # bucketed by set, so that the joins below move pairs and not texts
         self.table = f"waystone_{uuid.uuid4().hex}"
-        n_files = B.partitions(self.spark)
-        profiled = held.select("_text").mapInArrow(_profiled(n, num, den), PROFILE).repartition(n_files, "_set")
-        profiled.write.format("parquet").option("compression", "zstd").bucketBy(n_files, "_set").saveAsTable(self.table)
+        profiled = held.mapInArrow(_profiled(n, num, den), PROFILE).dropDuplicates(["_set"])
+        profiled.write.format("parquet").option("compression", "zstd").bucketBy(B.partitions(self.spark), "_set").saveAsTable(self.table)
         self.profiles = self.spark.table(self.table)
         self.entries = scratch.written(self.buckets.join(self.profiles.select(F.col("_set").alias("set"), "_bits"), "set"))
 
@@ -479,7 +491,7 @@ class Join:
 
     def candidates(self, root: DataFrame | None, most: float) -> DataFrame:
         """(a, b, whole): pairs of different components that share a bucket and pass the filters; see _compared."""
-        rows, h = self.entries, F.pmod(F.xxhash64("set"), F.lit(1 << 30))
+        rows, h = self.entries if root is not None else self.entries.filter(F.col("at") < LEADING), F.pmod(F.xxhash64("set"), F.lit(1 << 30))
         deal = lambda n: F.ceil(F.col(n) / TILE).cast("bigint")
         if root is None:
             n = rows.groupBy("token").agg(F.count("*").alias("_n")).filter(F.col("_n") > TILE)
@@ -505,21 +517,19 @@ class Join:
 
     def links(self) -> tuple[DataFrame, DataFrame]:
         """Links that join every pair of sets that are in one component, and the components' (node, root)."""
-        keep, root, tried, most = self.scratch, None, None, 4.0
+        keep, root, tried, most = self.scratch, None, None, 1.0
         while True:
             found = keep.small(self.candidates(root, most).groupBy("a", "b").agg(F.min("whole").alias("whole")))
-            thin = not found.filter("not whole").isEmpty()
-            pairs = found.filter("a <> b").select("a", "b")
-            more = keep.small(self.verify(pairs if tried is None else pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")))
+            thin = root is None or not found.filter("not whole").isEmpty()
+            pairs = found.select("a", "b")
+            more = keep.written(self.verify(pairs if tried is None else pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")))
             tried = more if tried is None else tried.unionByName(more)
-            news = not more.filter("linked").isEmpty()
-            if news or root is None:
+            if root is None or not more.filter("linked").isEmpty():
                 root = components(tried.filter("linked").select("a", "b"), keep)
-            # a round that offered every pair ends it; one without new links is followed by one that offers every pair
+            # the first round that offered every pair of all buckets ends it
             if not thin:
                 return tried.filter("linked").select("a", "b"), root
-            if not news:
-                most = float("inf")
+            most = 8 * most if most < 64 else float("inf")
 
 
 def near_copies(docs: DataFrame, *, id: str = "doc_id", text: str = "text", n: int = 4, num: int = 85, den: int = 100, **options) -> DataFrame:
@@ -539,7 +549,7 @@ def near_copies(docs: DataFrame, *, id: str = "doc_id", text: str = "text", n: i
     rows = docs.select(*[F.col(f"`{c}`").alias(h) for c, h in hidden.items()], F.col(f"`{text}`").alias("_text"), F.col(f"`{id}`").alias("_id"))
     with B.Scratch(docs.sparkSession) as scratch, Join(rows, scratch, n, num, den, **options) as join:
         _, root = join.links()
-        named = join.rows.join(root, join.rows["_set"] == root["node"], "left").withColumn("_group", F.coalesce("root", "_set"))
+        named = join.rows.drop("_text").join(root, join.rows["_set"] == root["node"], "left").withColumn("_group", F.coalesce("root", "_set"))
         # documents without a copy are their own smallest id
         low = named.filter("_group is not null").groupBy("_group").agg(F.min("_id").alias("_low"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
         out = named.join(low, "_group", "left")
@@ -555,7 +565,7 @@ def one_of_each(docs: DataFrame, *, id: str = "doc_id", text: str = "text", n: i
     own = {c: f"_{k}" for k, c in enumerate(docs.columns)} | {text: "_text"}
     hashed = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()])
     rows = docs.select(*[F.col(f"`{c}`").alias(h) for c, h in own.items()], F.col(f"`{id}`").alias("_id"), hashed.alias("_hash"))
-    with B.Scratch(docs.sparkSession) as scratch, Join(rows, scratch, n, num, den, carry=True, **options) as join:
+    with B.Scratch(docs.sparkSession) as scratch, Join(rows, scratch, n, num, den, **options) as join:
         _, root = join.links()
         named = join.rows.select("_row", "_id", "_hash", "_set").filter("_set is not null")
         named = named.join(root, named["_set"] == root["node"], "left").withColumn("_group", F.coalesce("root", "_set"))
