@@ -150,6 +150,14 @@ def ngram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     return _mix((sums[n:] - sums[:-n]) * down[: len(hashes) - n + 1])
 
 
+def span_hashes(hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The hash of each span of items; equal spans have equal hashes wherever they stand."""
+    up, down = _POWERS.upto(len(hashes) + 1)
+    sums = np.zeros(len(hashes) + 1, U64)
+    np.cumsum(hashes * up[: len(hashes)], out=sums[1:])
+    return _mix((sums[end] - sums[start]) * down[start] + (end - start).astype(U64))
+
+
 def ngram_starts(first: np.ndarray, n: int, total: int) -> np.ndarray:
     """True where a run of n items starts that lies in one document; length total - n + 1, none if shorter."""
     good = np.ones(max(0, total - n + 1), bool)
