@@ -9,7 +9,8 @@ Before the sets themselves are compared, a bitmap filter bounds their difference
 of its tokens' hashes in BITS bits, and sets differ in at least as many tokens as their bitmaps do in bits.
 
 Texts are turned into sets twice: once to count frequent shingles, once to write each row's set and its index entries.
-Later steps read only the texts of sets that share an index entry with another one.
+Sets that share an index entry with another one are read again for their bitmaps and their prefixes under the other
+orders; only sets of pairs that pass all filters move with their texts.
 
 Equal sets are one class from the start. A bucket (the sets with one prefix shingle) is not expanded into all its pairs.
 A round offers candidates between sets that no link joins so far: all of a bucket's passing pairs if they are few for
@@ -266,14 +267,14 @@ def _buckets(num: int, den: int, blocks: int):
     return run
 
 
-PROFILE = "_set bigint, _size int, _bits array<bigint>, _second array<int>, _third array<int>, _text string"
+PROFILE = "_set bigint, _bits array<bigint>, _second array<int>, _third array<int>"
 
 
 def _profiled(n: int, num: int, den: int):
     """Bitmaps, and prefix tokens under the further orders, cut to 32 bits: equal tokens stay equal."""
 
     def run(batches):
-        for part, sets in _texts(batches, "_text", n):
+        for _, sets in _texts(batches, "_text", n):
             made = []
             for odd in ORDERS:
                 key = T.mix(sets.token * odd)
@@ -282,7 +283,7 @@ def _profiled(n: int, num: int, den: int):
                 made.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array((key[at] >> U64(32)).astype(np.uint32).view(np.int32))))
             bits = bitmaps(sets)
             bits = pa.ListArray.from_arrays(pa.array(np.arange(len(bits) + 1, dtype=np.int32) * (BITS // 64)), pa.array(bits.reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(sets.name), pa.array(sets.size.astype(np.int32)), bits, *made, part.column("_text")], ["_set", "_size", "_bits", "_second", "_third", "_text"])
+            yield pa.RecordBatch.from_arrays([pa.array(sets.name), bits, *made], ["_set", "_bits", "_second", "_third"])
 
     return run
 
@@ -465,8 +466,8 @@ class Join:
         self.buckets = scratch.written(packed.groupBy("_block").applyInArrow(_buckets(num, den, self.blocks), BUCKET))
         # one text of each set that shares a bucket; a filter of fixed size spares moving the others
         inside = self.buckets.select(F.col("set").alias("_set")).distinct()
-        chosen = self.rows.select("_set", "_row").join(inside, "_set", "left_semi").groupBy("_set").agg(F.min("_row").alias("_row"))
-        held = picked(self.rows.select("_row", "_text"), scratch.small(chosen.select("_row")), "_row").select("_text")
+        self.chosen = scratch.small(self.rows.select("_set", "_row").join(inside, "_set", "left_semi").groupBy("_set").agg(F.min("_row").alias("_row")))
+        held = picked(self.rows.select("_row", "_text"), self.chosen, "_row").select("_text")
         # bucketed by set, so that the joins below move pairs and not texts
         self.table = f"waystone_{uuid.uuid4().hex}"
         profiled = held.mapInArrow(_profiled(n, num, den), PROFILE).dropDuplicates(["_set"])
@@ -485,8 +486,11 @@ class Join:
         p = self.profiles
         side = lambda x: p.select(F.col("_set").alias(x), *[F.col(f"_{c}").alias(f"_{c}_{x}") for c in ("second", "third")])
         both = pairs.join(side("a"), "a").join(side("b"), "b")
-        left = both.filter(F.arrays_overlap("_second_a", "_second_b") & F.arrays_overlap("_third_a", "_third_b")).select("a", "b")
-        full = lambda x: p.select(F.col("_set").alias(x), F.col("_text").alias(f"_text_{x}"))
+        left = self.scratch.small(both.filter(F.arrays_overlap("_second_a", "_second_b") & F.arrays_overlap("_third_a", "_third_b")).select("a", "b"))
+        wanted = left.select(F.col("a").alias("_set")).union(left.select(F.col("b").alias("_set"))).distinct()
+        wanted = self.scratch.small(self.chosen.join(wanted, "_set", "left_semi"))
+        texts = picked(self.rows.select("_row", "_set", "_text"), wanted, "_row")  # a few others too, which the joins drop
+        full = lambda x: texts.select(F.col("_set").alias(x), F.col("_text").alias(f"_text_{x}"))
         return left.join(full("a"), "a").join(full("b"), "b").mapInArrow(_verified(self.n, self.num, self.den), "a bigint, b bigint, linked boolean")
 
     def candidates(self, root: DataFrame | None, most: float) -> DataFrame:
