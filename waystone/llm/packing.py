@@ -1,17 +1,16 @@
 """Packing token sequences by non-negative least squares.
 
 A task packs the documents of its partition in shards of bounded size, so nothing is shuffled and no count goes through
-the driver. A document gives windows' worth of ids as they are; what is left of each document is packed: lengths are
-put in `BINS` classes, all combinations of up to `DEPTH` classes that fill a window are enumerated, and the repeat
-counts that reproduce the shard's histogram best are solved by non-negative least squares and rounded. Pieces left over
-are packed greedily: cut where needed, they fill the small gaps of the combinations and then windows of their own. The
-end of that stream is cut into sequences whose lengths are powers of two, which need no padding.
+the driver. A document gives windows' worth of ids as they are; what is left of each document is packed. Lengths are put
+in `BINS` classes, all combinations of up to `DEPTH` classes that fill a window are enumerated, and the repeat counts
+that reproduce the shard's histogram best are solved by non-negative least squares and rounded. What is left of short
+pieces is strung together to bundles, and these are planned in the same way. The rest is packed greedily: cut where needed, it fills the small gaps of the combinations and then
+windows of its own. The end of that stream is cut into sequences whose lengths are powers of two, which need no padding.
 """
 
 from __future__ import annotations
 
 import itertools
-from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -23,7 +22,9 @@ from pyspark.sql import functions as F
 BINS, DEPTH = 64, 3
 SHARD_TOKENS = 8_000_000
 #: Words whose ids a worker keeps; about 250 bytes each.
-CACHED_WORDS = 700_000
+CACHED_WORDS = 500_000
+#: New words that are encoded at once.
+WORDS_AT_ONCE = 5_000
 END_ID = 0
 
 
@@ -31,8 +32,7 @@ class Encoder:
     """Ids of texts by a tokenizer file.
 
     Where the file's splits never join what a single space separates, each word is encoded once and kept while there is
-    room. Where its merges are in the order of its ids, words are encoded by the faster library for such vocabularies;
-    the ids are the same.
+    room. New words are encoded many at a time, apart by line ends, which are pieces of their own.
     """
 
     def __init__(self, path: str) -> None:
@@ -47,31 +47,28 @@ class Encoder:
         self.by_word = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not made.get("normalizer")
         self.special = [x["content"] for x in made.get("added_tokens") or []]
         self.known: dict[str, bytes] = {}
-        self.ranked = self._ranked(made) if self.by_word else None
-
-    def _ranked(self, made: dict):
-        import tiktoken
-
-        model = made["model"]
-        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
-        hidden = [b for b in range(256) if b not in shown]
-        byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
-        vocab = {t: i for t, i in model["vocab"].items() if t not in self.special}
-        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        if any(vocab.get(a + b) != 256 + i for i, (a, b) in enumerate(merges)) or len(vocab) != 256 + len(merges):
-            return None
-        pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-        return tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks={bytes(byte[c] for c in t): i for t, i in vocab.items()}, special_tokens={})
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        if self.ranked:
-            encode = self.ranked.encode_ordinary
-            return [array("I", encode(t)).tobytes() for t in texts]
-        return [array("I", x.ids).tobytes() for x in self.whole.encode_batch(texts, add_special_tokens=False)]
+        self.line_end = self.whole.encode("a\n b", add_special_tokens=False).ids[1:2] if self.by_word else []
+
+    def _each(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, "<u4").tobytes() for x in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words with a space before each."""
+        plain = [w for w in words if w and w.split() == [w]]
+        ids = np.array(self.whole.encode_batch_fast(["\n".join(" " + w for w in plain)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.append(np.flatnonzero(ids == self.line_end[0]), len(ids))
+        if len(ends) != len(plain):  # an id of line ends inside a word: not so plain after all
+            return self._each([" " + w for w in words])
+        at = np.concatenate([[0], ends[:-1] + 1])
+        raw = ids.tobytes()
+        out = {w: raw[4 * i : 4 * j] for w, i, j in zip(plain, at.tolist(), ends.tolist(), strict=True)}
+        other = [w for w in words if w not in out]
+        out |= zip(other, self._each([" " + w for w in other]), strict=True)
+        return [out[w] for w in words]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
-            return self._ids(texts)
+            return self._each(texts)
         # two spaces in a row, or a space at the end, are split differently from single spaces
         odd = [i for i, t in enumerate(texts) if "  " in t or t.endswith(" ") or any(x in t for x in self.special)]
         parts = [t.split(" ") for t in texts]
@@ -79,12 +76,14 @@ class Encoder:
             parts[i] = [""]
         known = self.known
         new = [w for w in set().union(*(p[1:] for p in parts)) if w not in known]
-        known.update(zip(new, self._ids([" " + w for w in new]), strict=True))
-        heads = self._ids([p[0] for p in parts])
+        for at in range(0, len(new), WORDS_AT_ONCE):
+            some = new[at : at + WORDS_AT_ONCE]
+            known.update(zip(some, self._words(some), strict=True))
+        heads = self._each([p[0] for p in parts])
         get = known.__getitem__
         out = [h + b"".join(map(get, p[1:])) for h, p in zip(heads, parts, strict=True)]
-        for i in odd:
-            out[i] = array("I", self.whole.encode(texts[i], add_special_tokens=False).ids).tobytes()
+        for i, x in zip(odd, self._each([texts[i] for i in odd]), strict=True):
+            out[i] = x
         if len(known) > CACHED_WORDS:
             for w in new:
                 del known[w]
@@ -126,16 +125,33 @@ def nnls(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def combinations(bins: int = BINS, depth: int = DEPTH) -> list[tuple[int, ...]]:
-    """Up to `depth` classes (1 to bins) that sum to `bins`, or to one or two less where that is needed for depth."""
+    """Up to `depth` classes (1 to bins) that sum to `bins`."""
     return [c for k in range(1, depth + 1) for c in itertools.combinations_with_replacement(range(1, bins + 1), k) if sum(c) == bins]
 
 
-def plan(lengths: np.ndarray, window: int) -> tuple[list[list[int]], list[int]]:
-    """Windows as lists of pieces by NNLS, and the pieces left over. Pieces are shorter than the window."""
+def bundles(lengths: np.ndarray, pieces: list[int], window: int) -> list[list[int]]:
+    """Pieces of a third of a window or more alone; shorter ones, longest first, strung together until a bundle has its
+    share of the window. Shares differ from bundle to bundle (evenly from a quarter to a half), so that they combine."""
+    out, open_, size = [], [], 0
+    for i in sorted(pieces, key=lambda i: (-int(lengths[i]), i)):
+        if 3 * lengths[i] >= window:
+            out.append([i])
+            continue
+        open_.append(i)
+        size += int(lengths[i])
+        if size >= window * (0.25 + 0.25 * (len(out) * 0.618034 % 1)):
+            out.append(open_)
+            open_, size = [], 0
+    return [*out, open_] if open_ else out
+
+
+def solved(items: list[list[int]], lengths: np.ndarray, window: int) -> tuple[list[list[int]], list[int]]:
+    """Windows from items by NNLS over the histogram of their lengths, and the pieces of the items left over."""
     bins = min(BINS, window)
-    kind = -(-lengths * bins // window)
+    total = np.array([lengths[b].sum() for b in items], np.int64)
+    kind = -(-total * bins // window)
     have: dict[int, list[int]] = defaultdict(list)
-    for i in np.argsort(lengths, kind="stable").tolist():
+    for i in np.argsort(total, kind="stable").tolist():
         have[int(kind[i])].append(i)
     ways = [c for c in combinations(bins) if all(have.get(k) for k in c)]
     windows: list[list[int]] = []
@@ -146,13 +162,25 @@ def plan(lengths: np.ndarray, window: int) -> tuple[list[list[int]], list[int]]:
                 a[k, j] += 1
         x = nnls(a, np.bincount(kind, minlength=bins + 1).astype(float))
         for j in np.argsort(-x, kind="stable").tolist():
+            need = {k: ways[j].count(k) for k in ways[j]}
             for _ in range(int(round(x[j]))):
-                need = {k: ways[j].count(k) for k in ways[j]}
                 if any(len(have[k]) < n for k, n in need.items()):
                     break
-                windows.append([have[k].pop() for k in ways[j]])
-    left = sorted((i for v in have.values() for i in v), key=lambda i: (-int(lengths[i]), i))
-    return windows, left
+                windows.append([i for k in ways[j] for i in items[have[k].pop()]])
+    return windows, [i for v in have.values() for b in v for i in items[b]]
+
+
+def plan(lengths: np.ndarray, window: int) -> tuple[list[list[int]], list[int]]:
+    """Windows as lists of pieces by NNLS, and the pieces left over. Pieces are shorter than the window.
+
+    First the pieces themselves are combined, then, three times, what is left in bundles.
+    """
+    left, windows, items = list(range(len(lengths))), [], [[i] for i in range(len(lengths))]
+    for _ in range(4):
+        more, left = solved(items, lengths, window)
+        windows += more
+        items = bundles(lengths, left, window)
+    return windows, sorted(left, key=lambda i: (-int(lengths[i]), i))
 
 
 def pack(sizes: list[int], window: int) -> list[tuple[int, int, int, int, int]]:
