@@ -61,7 +61,7 @@ def op6_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_language_kn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     tool = language.fit(docs, fold("doc_id", 3) != 1)
-    return language.identify(docs.select("doc_id", "text"), tool).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+    return language.identify(docs.select("doc_id", "text"), tool).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "accepted", "bits")
 
 
 def op8_packing_nnls(spark: SparkSession, sf_dir: str) -> DataFrame:
