@@ -2,9 +2,11 @@
 
 The model is a trie of byte contexts up to `ORDER` bytes, counted over all training documents. It is not sent to the
 tasks: it grows with the corpus. It is split by the last two bytes of the context, so that a context of two bytes or
-more lies in one block together with all contexts that it falls back to. Contexts of one and no bytes make a table of
-at most 65,536 counts, which every task gets. A chunk sends its distinct (context, symbol) pairs with their training
-counts, gets the log probability of each, and adds them up for its documents. Words are counted the same way.
+more lies in one block together with all contexts that it falls back to. Where two bytes are hot (more than one in
+HOT_SHARE of all), the trie below them is split by three bytes, and again by four. The counts behind the contexts above
+such a split, and behind contexts of one and no bytes, are tables of bounded size which every task gets. A chunk sends
+its distinct (context, symbol) pairs with their training counts, gets the log probability of each, and adds them up for
+its documents. Words are counted the same way.
 
 Escape estimation is method C: a context seen n times with q distinct symbols escapes with q / (n + q). Symbols of the
 longer contexts that were escaped from are excluded. Behind the empty context all bytes are equally likely.
@@ -23,6 +25,8 @@ from . import blocks as B
 from . import textarrays as T
 
 ORDER = 4
+#: At most so many contexts of a length are hot.
+HOT_SHARE = 512
 GRAM = np.dtype([("gram", "<u8"), ("count", "<u4")])
 WORD = np.dtype([("key", "<u8"), ("count", "<u4")])
 #: Kinds of rows: pairs, words, totals of a block of words.
@@ -57,8 +61,21 @@ def counted(values: np.ndarray, trained: np.ndarray) -> tuple[np.ndarray, np.nda
     return key[first], np.add.reduceat(np.where(both & U64(1), n, 0), first) if len(first) else np.zeros(0, np.int64)
 
 
-def gram_blocks(gram: np.ndarray, n: int) -> np.ndarray:
-    return B.block_of(T.mix(((gram >> U64(8)) & U64(0xFFFF)) + U64(1)), n)
+def _among(table: np.ndarray, key: np.ndarray) -> np.ndarray:
+    if not len(table):
+        return np.zeros(len(key), bool)
+    return table[np.minimum(np.searchsorted(table, key), len(table) - 1)] == key
+
+
+def gram_blocks(gram: np.ndarray, n: int, hot: dict[int, tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The block of each pair, by the last two bytes of its context or more of them."""
+    context = gram >> U64(8)
+    key = context & U64(0xFFFF)
+    for k in (2, 3):
+        short = context & U64((1 << (8 * k)) - 1)
+        longer = _among(hot[k][0], short)
+        key[longer] = (context[longer] & U64((1 << (8 * k + 8)) - 1)) | U64(k << 40)
+    return B.block_of(T.mix(key + U64(1)), n)
 
 
 def _sides(got: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -66,11 +83,11 @@ def _sides(got: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return buf, offsets, got.column("_trained").to_numpy().astype(bool)
 
 
-def _chunk_grams(got: pa.Table, n: int):
+def _chunk_grams(got: pa.Table, n: int, hot):
     buf, offsets, trained = _sides(got)
     values, first = grams_of(buf, offsets)
     gram, count = counted(values, np.repeat(trained, np.diff(first)))
-    block = gram_blocks(gram, n)
+    block = gram_blocks(gram, n, hot)
     order = np.argsort(block, kind="stable")
     return values, first, gram, count, order, block
 
@@ -90,10 +107,10 @@ def word_blocks(key: np.ndarray, n: int) -> np.ndarray:
     return B.block_of(key << U64(1), n)
 
 
-def _sent(n: int):
+def _sent(n: int, low):
     def run(key: tuple, got: pa.Table) -> pa.Table:
         chunk = key[0].as_py()
-        _, _, gram, count, order, block = _chunk_grams(got, n)
+        _, _, gram, count, order, block = _chunk_grams(got, n, low.value[1])
         out = np.zeros(len(gram), GRAM)
         out["gram"], out["count"] = gram[order], count[order]
         _, _, words, many = _chunk_words(got)
@@ -107,11 +124,21 @@ def _sent(n: int):
 class Model:
     """PPM over a block's contexts: log10 probability of (context, symbol) pairs."""
 
-    def __init__(self, gram: np.ndarray, count: np.ndarray, low: np.ndarray) -> None:
-        """gram, count: distinct trained pairs of ORDER bytes of context; low: 256 x 256 counts after each byte."""
+    def __init__(self, gram: np.ndarray, count: np.ndarray, low: np.ndarray, hot: dict[int, tuple[np.ndarray, np.ndarray]], asked: np.ndarray) -> None:
+        """gram, count: distinct trained pairs of ORDER bytes of context; low: 256 x 256 counts after each byte; hot: by
+        length, hot contexts and 256 counts after each; asked: pairs whose probabilities will be wanted."""
         self.level = {}
         key, n = gram, count
         for k in range(ORDER, 1, -1):
+            if k in hot and len(hot[k][0]):
+                contexts, after = hot[k]
+                own = ~_among(contexts, key >> U64(8))
+                some = np.flatnonzero(_among(np.unique((asked >> U64(8)) & U64((1 << (8 * k)) - 1)), contexts))
+                c, symbol = np.nonzero(after[some])
+                key = np.concatenate([key[own], (contexts[some][c] << U64(8)) | symbol.astype(U64)])
+                n = np.concatenate([n[own], after[some][c, symbol]])
+                order = np.argsort(key)
+                key, n = key[order], n[order]
             self.level[k] = self._level(key, n)
             short = key & U64((1 << (8 * k)) - 1)
             key, back = np.unique(short, return_inverse=True)
@@ -192,7 +219,7 @@ def _answered(low):
             found, row = B.gathered(mine, GRAM)
             gram, back = np.unique(found["gram"], return_inverse=True)
             n = np.bincount(back, found["count"], minlength=len(gram))
-            prob = Model(gram[n > 0], n[n > 0], low.value).log10(gram).astype(np.float32)[back]
+            prob = Model(gram[n > 0], n[n > 0], *low.value, gram).log10(gram).astype(np.float32)[back]
             at = np.searchsorted(row, np.arange(mine.num_rows + 1))
             made.append(B.table(chunks[kinds == GRAMS], [block] * mine.num_rows, [prob[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)], GRAMS))
         mine = got.filter(pa.array(kinds == WORDS))
@@ -215,11 +242,11 @@ def _joined(got: pa.Table, kind: int, dtype: str) -> np.ndarray:
     return B.gathered(mine, np.dtype(dtype))[0]
 
 
-def _scored(n: int, schema: pa.Schema):
+def _scored(n: int, low, schema: pa.Schema):
     def run(key: tuple, answers: pa.Table, got: pa.Table) -> pa.Table:
         if not got.num_rows:
             return schema.empty_table()
-        values, first, gram, _, order, _ = _chunk_grams(got, n)
+        values, first, gram, _, order, _ = _chunk_grams(got, n, low.value[1])
         prob = np.empty(len(gram))
         prob[order] = _joined(answers, GRAMS, "<f4")
         score = np.add.reduceat(prob[np.searchsorted(gram, values)], first[:-1])
@@ -247,6 +274,50 @@ def _bytes_after(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(low[some])], ["pair", "n"])
 
 
+def _symbols_after(contexts: np.ndarray, k: int):
+    """Counts of each symbol after the given contexts of k bytes, as (place of the context, symbol)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(256 * len(contexts), np.int64)
+        for batch in batches:
+            buf, offsets = T.utf8(batch.column(0))
+            for a, b in T.pieces(offsets):
+                values, _ = grams_of(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                context = (values >> U64(8)) & U64((1 << (8 * k)) - 1)
+                some = np.flatnonzero(_among(contexts, context))
+                n += np.bincount(256 * np.searchsorted(contexts, context[some]) + (values[some] & U64(255)).astype(np.int64), minlength=len(n))
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], ["pair", "n"])
+
+    return run
+
+
+def _summed(texts: DataFrame, counted) -> tuple[np.ndarray, np.ndarray]:
+    got = texts.mapInArrow(counted, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    return got["pair"].to_numpy(), got["n"].to_numpy()
+
+
+def shared_counts(texts: DataFrame) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """Counts after contexts of one byte, and after the hot contexts of two and three; all of bounded size."""
+    after = np.zeros((256, 256))
+    pair, n = _summed(texts, _bytes_after)
+    after[pair >> 8, pair & 255] = n
+    least = max(1, after.sum() // HOT_SHARE)
+    hot = {k: (np.zeros(0, U64), np.zeros((0, 256))) for k in (2, 3)}
+    # a context of k bytes is a shorter context and its symbol
+    known, table = np.arange(256, dtype=U64), after
+    for k in (2, 3):
+        c, symbol = np.nonzero(table >= least)
+        known = np.sort((known[c] << U64(8)) | symbol.astype(U64))
+        if not len(known):
+            break
+        table = np.zeros((len(known), 256))
+        pair, n = _summed(texts, _symbols_after(known, k))
+        table[pair >> 8, pair & 255] = n
+        hot[k] = known, table
+    return after, hot
+
+
 def score_texts(docs: DataFrame, trained, *, text: str = "text", chunk_bytes: int = B.CHUNK_BYTES) -> DataFrame:
     """Docs without the text column, with `score`, `base_score`, `n_tokens`, `n_known` and `train_tokens`.
 
@@ -258,18 +329,15 @@ def score_texts(docs: DataFrame, trained, *, text: str = "text", chunk_bytes: in
     taken = ("score", "base_score", "n_tokens", "n_known", "train_tokens", "_counts", "_text", "_trained", "_chunk", text)
     names = [c for c in docs.columns if c not in taken]
     rows = docs.select(*[f"`{c}`" for c in names], F.col(text).alias("_text"), F.coalesce(trained, F.lit(True)).alias("_trained"))
-    after = np.zeros((256, 256))
-    for x in rows.filter("_trained").select("_text").mapInArrow(_bytes_after, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).collect():
-        after[x["pair"] >> 8, x["pair"] & 255] = x["n"]
-    low = spark.sparkContext.broadcast(after)
-    dealt, _ = B.in_chunks(rows, "_text", *names[:1], chunk_bytes=chunk_bytes)
-    n = B.n_blocks(spark)
-    answers = dealt.groupBy("_chunk").applyInArrow(_sent(n), B.SCHEMA).groupBy("_block").applyInArrow(_answered(low), B.SCHEMA)
+    low = spark.sparkContext.broadcast(shared_counts(rows.filter("_trained").select("_text")))
+    dealt, size = B.in_chunks(rows, "_text", *names[:1], chunk_bytes=chunk_bytes)
+    n = B.n_blocks(spark, size)
+    answers = dealt.groupBy("_chunk").applyInArrow(_sent(n, low), B.SCHEMA).groupBy("_block").applyInArrow(_answered(low), B.SCHEMA)
     both = F.split(F.col("data").cast("string"), ",")
     totals = answers.filter(F.col("_kind") == TOTALS).agg(F.coalesce(F.sum(both[0].cast("bigint")), F.lit(0)).alias("train_tokens"), F.coalesce(F.sum(both[1].cast("bigint")), F.lit(0)).alias("_types"))
     from pyspark.sql.pandas.types import to_arrow_schema
 
     result = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema.fields if f.name in names), "n_tokens bigint, n_known bigint, _counts double, score double"])
     schema = to_arrow_schema(spark.createDataFrame([], result).schema)
-    scored = answers.filter(F.col("_kind") != TOTALS).groupBy("_chunk").cogroup(dealt.groupBy("_chunk")).applyInArrow(_scored(n, schema), result)
+    scored = answers.filter(F.col("_kind") != TOTALS).groupBy("_chunk").cogroup(dealt.groupBy("_chunk")).applyInArrow(_scored(n, low, schema), result)
     return scored.crossJoin(F.broadcast(totals)).withColumn("base_score", F.col("_counts") - F.col("n_tokens") * F.log10(F.col("train_tokens") + F.col("_types") + 1)).drop("_counts", "_types")
