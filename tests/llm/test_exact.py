@@ -297,12 +297,23 @@ def test_encoder_equals_tokenizer():
     from tokenizers import Tokenizer
 
     tool, mine = Tokenizer.from_file(tokenizer()), packing.Encoder(tokenizer())
-    assert mine.ranked is not None
+    assert mine.by_word and len(mine.line_end) == 1
     odd = ["", " ", "a ", " a", "a  b", "a\n b\t c", "x<|endoftext|>y z", "don't we'll", "１２ ٣ ½", "é b  c", "\r\n\r\n x", "日本 語"]
     for t in odd + texts(9, 40):
         assert np.frombuffer(mine.encode([t])[0], "<u4").tolist() == tool.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+@pytest.mark.parametrize("kind", ["short", "even", "long tail"])
+def test_nnls_plans_most_windows(kind):
+    """Whatever the lengths, most tokens lie in windows that the combinations fill, with small gaps."""
+    rng = np.random.default_rng(4)
+    lengths = {"short": rng.integers(20, 300, 15_000), "even": rng.integers(1, 1024, 15_000), "long tail": np.minimum(rng.lognormal(5.5, 1, 15_000).astype(int) + 1, 1023)}[kind]
+    windows, left = packing.plan(lengths, 1024)
+    full = np.array([lengths[w].sum() for w in windows])
+    assert sorted([i for w in windows for i in w] + left) == list(range(len(lengths)))
+    assert full.max() <= 1024 and full.mean() > 0.95 * 1024 and full.sum() > 0.8 * lengths.sum()
+
+
 def test_nnls():
     rng = np.random.default_rng(0)
     a, x = rng.random((20, 8)), np.maximum(0, rng.normal(size=8))
@@ -343,15 +354,36 @@ def test_toxicity_learns(spark):
     assert {r.doc_id for r in toxicity.drop_toxic(d, labels).collect()} == {i for i in got if i % 3}
 
 
-def test_factorization_machine_learns_pairs():
-    """Two harmless terms whose pair is toxic: no additive weights separate them."""
+def test_factorization_machine_learns_pairs_through_fit(spark):
+    """Two terms that are harmless alone and toxic when just one of them stands, among others: no additive weights and no
+    selection of terms by their own association could tell."""
+    rng = np.random.default_rng(5)
+    rows, toxic = [], {}
+    for i in range(3000):
+        a, b = rng.random(2) < 0.5
+        words = [f"w{k}" for k in rng.choice(2000, 30, replace=False)] + ["qa"] * bool(a) + ["qb"] * bool(b)
+        rows.append((i, " ".join(words)))
+        toxic[i] = int(a != b)
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(d, spark.createDataFrame(list(toxic.items()), "doc_id long, toxic int"))
+    got = {r.doc_id: r.score for r in toxicity.score_toxicity(d, model).collect()}
+    held = [i for i in got if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert np.mean([(got[i] >= 0.5) == bool(toxic[i]) for i in held]) > 0.98
+
+
+def test_factorization_machine_gradient():
     rng = np.random.default_rng(1)
-    a, b = rng.random(4000) < 0.5, rng.random(4000) < 0.5
-    x = np.stack([a, b], 1).astype(np.float32)
-    model = toxicity.Machine([np.array([1])], np.array([1]))
-    model._fit(x, (a ^ b).astype(np.float32), np.random.default_rng(2), epochs=60)
-    score = model.bias + x @ model.w + 0.5 * ((x @ model.v) ** 2 - x @ model.v**2).sum(1)
-    assert ((score > 0) == (a ^ b)).mean() > 0.99
+    col = np.concatenate([np.sort(rng.choice(6, 3, replace=False)) for _ in range(20)])
+    x = toxicity.Sparse(np.repeat(np.arange(20), 3), col, rng.random(6).astype(np.float32), rng.random(6).astype(np.float32), 20)
+    y, square = rng.integers(0, 2, 20).astype(np.float32), np.full(7 + 6 * toxicity.FACTORS, 0.3, np.float32)
+    machine = toxicity.Machine([np.array([1], np.int32)], np.array([1]))
+    theta = rng.normal(0, 0.5, len(square)).astype(np.float32)
+    loss = lambda t: machine._loss(x, y, square, t)[0]
+    grad = machine._loss(x, y, square, theta)[1]
+    for k in range(len(theta)):
+        step = np.zeros_like(theta)
+        step[k] = 1e-2
+        assert (loss(theta + step) - loss(theta - step)) / 2e-2 == pytest.approx(grad[k], rel=2e-2, abs=5e-3)
 
 
 def test_quality_learns(spark):
@@ -385,15 +417,30 @@ def test_language(spark):
 
 
 def test_kneser_ney_sums_to_one():
-    words = b"abab abba baba"
+    words = "abab abba baba äb".encode()
     import pyarrow as pa
 
     from waystone.llm import textarrays as T
 
     buf, offsets = T.utf8(pa.array([words.decode()]))
     w = T.words_of(buf, offsets, T.NOT_ALNUM)
-    gram, _ = language.word_bytes(buf, w, np.arange(len(w)))
-    key, n = np.unique(gram, return_counts=True)
-    model = language.Counts(key, n.astype(float))
-    for context in (key[0] >> np.uint64(8), np.uint64(0x61626162)):
-        assert (2 ** model.log2((context << np.uint64(8)) | np.arange(256, dtype=np.uint64))).sum() == pytest.approx(1, abs=1e-4)
+    gram, _, n = language.distinct_grams(language.word_grams(buf, w, np.arange(len(w)))[0])
+    model = language.Counts(gram, n.astype(float))
+    letters = np.array(sorted({*gram[:, -1].tolist()}))
+    for context in (gram[0, :-1], np.array([0x61, 0x62, 0x61, 0x62])):
+        p = lambda last: 2 ** model.log2(*language.hashed(np.concatenate([np.tile(context, (len(last), 1)), last[:, None]], 1)))  # noqa: B023, E731
+        assert p(letters).sum() + (0x110000 - len(letters)) * p(np.array([0x10FFFF]))[0] == pytest.approx(1, abs=1e-4)
+
+
+def test_language_models_are_over_characters():
+    """Grams hold whole characters, whatever number of bytes they have."""
+    import pyarrow as pa
+
+    from waystone.llm import textarrays as T
+
+    text = "日本語 été x𝄞"
+    buf, offsets = T.utf8(pa.array([text]))
+    w = T.words_of(buf, offsets, T.NOT_ALNUM)
+    gram, first = language.word_grams(buf, w, np.arange(len(w)))
+    assert first.tolist() == [0, 4, 8, 11]
+    assert ["".join(map(chr, g)) for g in gram] == ["    日", "   日本", "  日本語", " 日本語 ", "    é", "   ét", "  été", " été ", "    x", "   x𝄞", "  x𝄞 "]
