@@ -149,6 +149,66 @@ def test_routes_by_brute_force(spark):
     assert cand and got.stops == 2 and got.path == min(best)[1] and got.score == pytest.approx(min(best)[0], abs=1e-6)
 
 
+def test_routes_without_stops_go_straight(spark):
+    r = spark.createDataFrame([(1, 35.0, 135.0, 36.0, 135.0), (2, 10.0, 10.0, 10.5, 10.0)], "request_id long, lat double, lng double, goal_lat double, goal_lng double")
+    p = spark.createDataFrame([(7, 35.5, 135.0)], "id long, lat double, lng double")
+    got = {x.request_id: x for x in G.routes(r, p).collect()}
+    assert (got[1].stops, got[1].path) == (1, [7]) and (got[2].stops, got[2].path, got[2].score) == (0, [], got[2].length) and got[2].length == pytest.approx(55.597, abs=1e-2)
+
+
+def test_five_stops_by_brute_force(spark):
+    places = [(i, 35 + 0.12 * i, 135 + 0.03 * ((i * 5) % 3 - 1)) for i in range(1, 8)]
+    r = spark.createDataFrame([(1, 35.0, 135.0, 36.0, 135.0)], "request_id long, lat double, lng double, goal_lat double, goal_lng double")
+    p = spark.createDataFrame(places, "id long, lat double, lng double")
+    cand = {c.id: c for c in G.corridor(r, p).collect()}
+
+    def km(a, b):
+        h = math.sin(math.radians(b[0] - a[0]) / 2) ** 2 + math.cos(math.radians(a[0])) * math.cos(math.radians(b[0])) * math.sin(math.radians(b[1] - a[1]) / 2) ** 2
+        return 12742 * math.atan2(math.sqrt(h), math.sqrt(1 - h))
+
+    d, best = km((35, 135), (36, 135)), []
+    for path in itertools.permutations(cand, 5):
+        c = [cand[i] for i in path]
+        points = [(35, 135), *[(x.lat, x.lng) for x in c], (36, 135)]
+        legs = sum(km(a, b) for a, b in itertools.pairwise(points))
+        if all(b.along - a.along >= max(1, 0.025 * d) for a, b in itertools.pairwise(c)) and legs <= 1.3 * d:
+            best.append((legs + 0.25 * d * sum(abs(x.along / d - (k + 1) / 6) for k, x in enumerate(c)), list(path)))
+    got = G.routes(r, p).first()
+    assert got.stops == 5 and got.path == min(best)[1] and got.score == pytest.approx(min(best)[0], abs=1e-5)
+
+
+def test_neighbours_across_180_degrees(spark):
+    a = spark.createDataFrame([(1, 10.0, 179.99), (2, 89.95, 0.0)], "id long, lat double, lng double")
+    b = spark.createDataFrame([(7, 10.0, -179.99), (8, 89.95, 180.0), (9, 10.0, 178.0)], "id long, lat double, lng double")
+    for size in (1.0, 0.25, 0.7):
+        assert sorted((r.req_id, r.id) for r in G.within(a, b, F.lit(30.0), size).collect()) == [(1, 7), (2, 8)]
+
+
+def test_route_text(spark):
+    rows = [(1, 1, 'a "b"', 35.0, 135.0), (1, 2, "c", 36.0, 136.0), (1, 3, "d", 37.0, 137.0), (2, 1, "x", 1.0, 2.0), (2, 2, None, 3.0, 4.0)]
+    d = spark.createDataFrame(rows, "r long, k int, name string, lat double, lng double")
+    got = {x.r: x.route.split("\n") for x in files.route_text(d, "r", "k").collect()}
+    assert got[1] == ["ROUTE/1", 'START,"a ""b""",35.0000000,135.0000000', 'VIA,"c",36.0000000,136.0000000', 'GOAL,"d",37.0000000,137.0000000']
+    assert got[2][1:] == ['START,"x",1.0000000,2.0000000', 'GOAL,"",3.0000000,4.0000000']
+    with pytest.raises(Exception, match="too many places"):
+        files.route_text(d, "r", "k", vias=0).collect()
+
+
+def test_stations_named_in_labels(spark):
+    s = spark.createDataFrame([(1, "あさひ"), (2, "ひ"), (3, "みなと"), (4, "みなと朝市"), (5, "う・み")], "id long, name string")
+    titles = ["【道の駅 あさひ】祭", "【あさひ】", "【あさひの丘】", "【ひ】", "【道の駅みなと朝市広場】", "【うみ】〖みなと〗", "[あさひ]", None, "〖うみ〗祭", "【道の駅 みなと】祭"]
+    n = spark.createDataFrame(list(enumerate(titles)), "event_id long, title string")
+    # containment wants 道の駅 in the label, and more than one station is none
+    assert {r.event_id: r.station for r in C.named_stations(n, s).collect()} == {0: 1, 1: 1, 8: 5, 9: 3}
+
+
+def test_quality_levels(spark):
+    e = spark.createDataFrame([(1, "A", "p", "x", day(2026, 1, 1), day(2026, 1, 2)), (2, "A", "p", "x", day(2026, 1, 1), day(2026, 1, 2)), (3, "B", "p", " ", day(2026, 1, 1), day(2026, 5, 2)), (4, "A", "p", "y", day(2026, 1, 1), day(2026, 5, 1)), (5, "A", "p", "z", None, day(2026, 5, 1))], "event_id long, road_name string, prefecture string, title string, start_date date, end_date date")
+    e = e.withColumns({"url": F.lit("https://a.jp/x"), "published_at": F.lit(None).cast("date")})
+    got = sorted(tuple(r) for r in C.quality_issues(e, spark.createDataFrame([("A", "p")], "name string, prefecture string"), "2025-12-01").collect())
+    assert got == [(2, "critical", "duplicate"), (3, "critical", "missing_title"), (3, "review", "long_period"), (3, "review", "unknown_station"), (5, "critical", "invalid_date")]
+
+
 def test_nearest_without_limit(spark):
     points = spark.createDataFrame([(1, 35.0, 135.0), (2, -40.0, -70.0)], "visit_id long, lat double, lng double")
     places = spark.createDataFrame([(7, 35.5, 135.0), (8, 36.0, 135.0)], "id long, lat double, lng double")
@@ -170,6 +230,9 @@ def test_html_tokens_and_nfkc(spark):
     pages = spark.createDataFrame([(1, "<p>a <a href='/x'>b</a><script>z</script>"), (2, None)], "page_id long, html string")
     got = [(r.kind, r.tag, r.text, r.href) for r in udfs.html_tokens(pages).collect()]
     assert got == [("start", "p", None, None), ("text", "p", "a", None), ("start", "a", None, "/x"), ("text", "a", "b", None), ("start", "script", None, None)]
-    rows = spark.createDataFrame([("①ｶﾞ",), ("ＡＢ　c",), (None,)], "t string")
-    assert {r.t for r in udfs.nfkc(rows, "t").collect()} == {"1ガ", "AB c", None}
+    import unicodedata
+
+    texts = ["①ｶﾞ", "ＡＢ　c", None, "第Ⅱ回 ￥500", "か\u3099", "e\u0301", "゛", "㌔", "ﬃ", "日本・語ー", "Ａé", "¼ cup", "株㈱"]
+    got = [r.t for r in udfs.nfkc(spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1), "t").collect()]
+    assert sorted(map(str, got)) == sorted(str(t and " ".join(unicodedata.normalize("NFKC", t).split())) for t in texts)
     assert one(spark, "abcd", lambda c: udfs.ratcliff(c, F.lit("bcde"))) == pytest.approx(0.75)

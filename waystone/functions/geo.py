@@ -39,6 +39,12 @@ def offset(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> tuple[Colu
     return (lng2 - lng1) * KM_PER_DEGREE * F.cos(F.radians((lat1 + lat2) / 2)), (lat2 - lat1) * KM_PER_DEGREE
 
 
+def heading(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
+    """GEO-02: the direction on the plane at the middle latitude, in degrees from north, 0 to 360."""
+    east, north = offset(lat1, lng1, lat2, lng2)
+    return F.pmod(F.degrees(F.atan2(east, north)) + 360, F.lit(360.0))
+
+
 def destination(lat: Column, lng: Column, km: Column, angle: Column) -> tuple[Column, Column]:
     """GEO-05: the point at a distance and bearing."""
     d, a, p = km / 6371.0, F.radians(angle), F.radians(lat)
@@ -60,20 +66,30 @@ def unit(*seeds: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *seeds)), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def cells(lat: Column, lng: Column, km: Column, size: float, most_lat: float = 50.0) -> Column:
-    """All grid cells (of `size` degrees) that a circle can touch, as an array of (cell_y, cell_x).
+def grid(size: float) -> tuple[int, float]:
+    """Cells around the globe and their size: the nearest to `size` that divides 360 degrees."""
+    n = max(1, round(360 / size))
+    return n, 360 / n
+
+
+def cells(lat: Column, lng: Column, km: Column, size: float) -> Column:
+    """All grid cells (of about `size` degrees) that a circle can touch, as an array of (cell_y, cell_x).
 
-    The longitude reach is that of the latitude `most_lat` or of the circle's own edge, whichever is wider.
+    The longitude reach is that of the circle's edge nearest to a pole. Cells go around the globe: those across 180
+    degrees are neighbours.
     """
+    n, size = grid(size)
     dy = km / KM_PER_DEGREE
-    dx = F.least(F.lit(360.0), dy / F.cos(F.radians(F.least(F.lit(89.0), F.abs(lat) + dy))))
+    edge = F.abs(lat) + dy
+    dx = F.when(edge >= 89, 180.0).otherwise(F.least(F.lit(180.0), dy / F.cos(F.radians(edge))))
     ys = F.sequence(F.floor(F.greatest(F.lit(-90.0), lat - dy) / size).cast("int"), F.floor(F.least(F.lit(90.0), lat + dy) / size).cast("int"))
-    xs = F.sequence(F.floor((lng - dx) / size).cast("int"), F.floor((lng + dx) / size).cast("int"))
+    xs = F.array_distinct(F.transform(F.sequence(F.floor((lng - dx) / size).cast("int"), F.floor((lng + dx) / size).cast("int")), lambda x: F.pmod(x, F.lit(n))))
     return F.flatten(F.transform(ys, lambda y: F.transform(xs, lambda x: F.struct(y.alias("cell_y"), x.alias("cell_x")))))
 
 
 def cell_of(lat: Column, lng: Column, size: float) -> tuple[Column, Column]:
-    return F.floor(lat / size).cast("int"), F.floor(lng / size).cast("int")
+    n, size = grid(size)
+    return F.floor(lat / size).cast("int"), F.pmod(F.floor(lng / size).cast("int"), F.lit(n))
 
 
 assert math.isclose(KM_PER_DEGREE, math.pi * 6371 / 180)

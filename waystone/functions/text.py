@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 #: Full-width ASCII and the ideographic space, by rule: U+FF01 to U+FF5E lie 0xFEE0 above U+0021 to U+007E.
 WIDE = "".join(chr(c + 0xFEE0) for c in range(0x21, 0x7F)) + "　 "
 NARROW = "".join(chr(c) for c in range(0x21, 0x7F)) + "  "
-#: Characters that translate() does not fold; only rows with them need true NFKC.
-COMPATIBILITY = "[①-⓿㈀-㏿ﬀ-ﬆ･-ﾟ™²³¹½]"
+#: Any character outside ASCII, kana, common ideographs, their punctuation and what translate() folds: only rows with
+#: one of these can need true NFKC.
+COMPATIBILITY = "[^\\x00-\\x7Eぁ-ゖァ-ヺー・、-〗一-鿿！-～\u3000\u00a0]"
 
 
 def clean(c: Column) -> Column:

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from waystone.functions import geo as G
 from waystone.functions import text as T
 
 
@@ -34,15 +35,35 @@ def unique_match(notices: DataFrame, master: DataFrame, key: str, id: str, other
     return got.select(*[c for c in notices.columns], F.when(F.col("_n") == 1, "matched").when(F.col("_n") > 1, "ambiguous").otherwise("unmatched").alias("state"), F.when(F.col("_n") == 1, F.col("_m")).alias("match_id"))
 
 
-def containment(notices: DataFrame, master: DataFrame, text: str, key: str, gram: int = 6) -> DataFrame:
-    """JN-06: notices whose text contains a master key of `gram` or more characters.
+def containment(notices: DataFrame, master: DataFrame, text: str, key: str, least: int = 3) -> DataFrame:
+    """Notices whose text contains a master key of `least` or more characters.
 
-    Candidates share the key's first `gram` characters at any place of the text (an equi-join), then `contains` decides.
+    Each text gives its parts of the lengths that keys have, so containment is an equi-join, whatever the keys share.
+    What the driver reads is the distinct lengths of keys.
     """
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - gram + 1, F.lit(1))), lambda i: F.substring(F.col(text), i, F.lit(gram)))
-    a = notices.withColumn("_g", F.explode(F.array_distinct(grams)))
-    b = master.filter(F.length(key) >= gram).withColumn("_g", F.substring(key, 1, gram))
-    return a.join(b, "_g").filter(F.contains(F.col(text), F.col(key))).drop("_g").distinct()
+    names = master.filter(F.length(key) >= least)
+    sizes = sorted(r["n"] for r in names.select(F.length(key).alias("n")).distinct().collect())
+    if not sizes:
+        return notices.join(master.limit(0), F.lit(True))
+    parts = [F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i, n=n: F.substring(F.col(text), i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in sizes]
+    a = notices.withColumn("_part", F.explode(F.array_distinct(F.concat(*parts))))
+    return a.join(names, F.col("_part") == F.col(key)).drop("_part")
+
+
+def named_stations(notices: DataFrame, stations: DataFrame, id: str = "event_id", title: str = "title") -> DataFrame:
+    """JN-06: (id, station) where the title's 【】 or 〖〗 labels name exactly one station.
+
+    A label names a station if their keys are equal (two characters or more), or if it says 道の駅 and its key contains
+    the station's (three or more).
+    """
+    bare = lambda c: F.regexp_replace(T.station_key(c), "[「」]", "")
+    labels = F.flatten(F.array(*[F.regexp_extract_all(F.col(title), F.lit(p), F.lit(1)) for p in ("【([^】]{2,80})】", "〖([^〗]{2,80})〗")]))
+    parts = notices.select(id, F.explode(labels).alias("_label")).select(id, bare(F.col("_label")).alias("_text"), F.contains("_label", F.lit("道の駅")).alias("_says"))
+    master = stations.select(F.col("id").alias("station"), bare(F.col("name")).alias("_key"))
+    equal = parts.join(master.filter(F.length("_key") >= 2), F.col("_text") == F.col("_key")).select(id, "station")
+    inside = containment(parts.filter("_says").select(id, "_text"), master, "_text", "_key").select(id, "station")
+    both = equal.union(inside).groupBy(id).agg(F.min("station").alias("station"), F.max("station").alias("_last"))
+    return both.filter("station = _last").drop("_last")
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -136,21 +157,27 @@ def recall(reviews: DataFrame, published: DataFrame, as_of: str, least: float =
     return got.agg(n.alias("positives"), F.count_if("_hit").alias("found"), F.round(F.when(n > 0, F.count_if("_hit") / n), 3).alias("recall"))
 
 
-def quality_issues(events: DataFrame, stations: DataFrame, as_of: str) -> DataFrame:
-    """AGG-11: (event_id, level, reason) of every check that a published event fails."""
+def quality_issues(events: DataFrame, stations: DataFrame, as_of: str, long_days: int = 120) -> DataFrame:
+    """AGG-11: (event_id, level, reason) of every check that a published event fails.
+
+    Of events equal in place, title and period all but the first by id are duplicates. An unknown station, a period of
+    more than `long_days` and a publication stamp in the future are for review; everything else is critical.
+    """
     known = stations.select(F.col("name").alias("road_name"), "prefecture").distinct().withColumn("_known", F.lit(True))
     rows = events.join(known, ["road_name", "prefecture"], "left")
-    rows = rows.withColumn("_copies", F.count("*").over(Window.partitionBy("road_name", "start_date", "title")))
+    rows = rows.withColumn("_copy", F.row_number().over(Window.partitionBy("prefecture", "road_name", "title", "start_date", "end_date").orderBy("event_id")))
     d = F.lit(as_of).cast("date")
     rule = lambda c, level, reason: F.when(c, F.struct(F.lit(level).alias("level"), F.lit(reason).alias("reason")))
     checks = F.array_compact(
         F.array(
-            rule(F.col("_copies") > 1, "review", "duplicate"),
+            rule(F.col("_copy") > 1, "critical", "duplicate"),
+            rule(F.col("start_date").isNull() | F.col("end_date").isNull(), "critical", "invalid_date"),
             rule(F.col("end_date") < F.col("start_date"), "critical", "reversed"),
             rule(F.col("end_date") < d, "critical", "expired"),
-            rule(~F.col("url").startswith("https://"), "critical", "unsafe_link"),
-            rule(F.datediff("end_date", "start_date") > 10, "review", "long_period"),
-            rule(F.col("_known").isNull(), "critical", "unknown_station"),
+            rule(~F.rlike(F.coalesce(F.col("url"), F.lit("")), F.lit("^https://[^/@?#]+([/?#]|$)")), "critical", "unsafe_link"),
+            rule(F.datediff("end_date", "start_date") > long_days, "review", "long_period"),
+            rule(F.col("_known").isNull(), "review", "unknown_station"),
+            rule(F.coalesce(F.trim("title"), F.lit("")) == "", "critical", "missing_title"),
             rule(F.col("published_at") > d, "review", "future_stamp"),
         )
     )
@@ -176,9 +203,25 @@ def summary_audit(rows: DataFrame, text: str) -> DataFrame:
     return n.agg(F.sum("f").alias("filled"), F.sum("s").alias("short"), F.sum("l").alias("long"), F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("duplicates"))
 
 
-def activity(visits: DataFrame) -> DataFrame:
-    """AGG-15: visits, last visit, latest note and last activity of each key."""
-    return visits.groupBy("user_id").agg(F.count("*").alias("visits"), F.max("ts").alias("last_visit"), F.max(F.struct("ts", "visit_id"))["visit_id"].alias("latest"))
+def activity(visits: DataFrame, *others: DataFrame, key: str = "user_id") -> DataFrame:
+    """AGG-15: visits, last visit and latest visit of each key, and its last activity: the latest stamp of the visits
+    and of the other sources (key, ts). Keys that only other sources have stay, with no visits."""
+    own = visits.groupBy(key).agg(F.count("*").alias("visits"), F.max("ts").alias("last_visit"), F.max(F.struct("ts", "visit_id"))["visit_id"].alias("latest"))
+    last = [o.groupBy(key).agg(F.max("ts").alias(f"_last{k}")) for k, o in enumerate(others)]
+    got = reduce(lambda a, b: a.join(b, key, "full"), last, own)
+    stamps = [F.col("last_visit"), *[F.col(f"_last{k}") for k in range(len(others))]]
+    latest = F.greatest(*stamps) if others else stamps[0]
+    return got.select(key, F.coalesce("visits", F.lit(0)).alias("visits"), "last_visit", "latest", latest.alias("last_activity"))
+
+
+def leg_totals(visits: DataFrame, key: str = "user_id") -> DataFrame:
+    """AGG-16: the kilometres of all legs of each key's track, and their ratio to the way from its first to its last
+    place (null where these are one)."""
+    w = Window.partitionBy(key).orderBy("ts", "visit_id")
+    first = {c: F.first(c).over(w.rowsBetween(Window.unboundedPreceding, 0)) for c in ("lat", "lng")}
+    rows = visits.withColumns({"_leg": G.haversine(F.lag("lat").over(w), F.lag("lng").over(w), F.col("lat"), F.col("lng")), "_direct": G.haversine(first["lat"], first["lng"], F.col("lat"), F.col("lng"))})
+    got = rows.groupBy(key).agg(F.sum("_leg").alias("total"), F.max(F.struct("ts", "visit_id", "_direct"))["_direct"].alias("d"))
+    return got.select(key, F.round("total", 6).alias("total"), F.round(F.when(F.col("d") > 0, F.col("total") / F.col("d")), 6).alias("ratio"))
 
 
 def grouped_events(events: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -116,7 +118,7 @@ def with_goal(requests: DataFrame) -> DataFrame:
 
 
 def corridor(requests: DataFrame, places: DataFrame) -> DataFrame:
-    """GEO-10: places ahead on the way to the goal: within 45 degrees, past the margins, inside the corridor.
+    """GEO-10: places ahead on the way to the goal: within 45 degrees on the plane, past the margins, inside the corridor.
 
     corridor = min(35, max(6, 0.2 d)); along in (m, d - m) with m = max(1, 0.04 d) on the plane; sideways no more than
     the corridor and than 2 + 0.85 min(along, rest).
@@ -129,7 +131,7 @@ def corridor(requests: DataFrame, places: DataFrame) -> DataFrame:
     got = near.withColumns({"_d": d, "along": (px * gx + py * gy) / d, "side": F.abs(px * gy - py * gx) / d})
     wide = F.least(F.lit(35.0), F.greatest(F.lit(6.0), 0.2 * F.col("req_direct")))
     m = F.greatest(F.lit(1.0), 0.04 * F.col("_d"))
-    angle = G.difference(G.bearing(F.col("req_lat"), F.col("req_lng"), F.col("lat"), F.col("lng")), G.bearing(F.col("req_lat"), F.col("req_lng"), F.col("req_goal_lat"), F.col("req_goal_lng")))
+    angle = G.difference(G.heading(F.col("req_lat"), F.col("req_lng"), F.col("lat"), F.col("lng")), G.heading(F.col("req_lat"), F.col("req_lng"), F.col("req_goal_lat"), F.col("req_goal_lng")))
     ok = (F.col("along") > m) & (F.col("along") < F.col("_d") - m) & (F.col("side") <= wide) & (F.col("side") <= 2 + 0.85 * F.least(F.col("along"), F.col("_d") - F.col("along"))) & (angle <= 45)
     return got.filter(ok)
 
@@ -144,30 +146,59 @@ def drawn_goals(requests: DataFrame, places: DataFrame, seed: str = "1") -> Data
     return ranked.filter(F.col("rn") == pick).select("req_request_id", "id", "n")
 
 
-def routes(requests: DataFrame, places: DataFrame, stops: int = 3, most_ratio: float = 1.30) -> DataFrame:
-    """GEO-12: of each request the best forward route of `stops` stops in its corridor; fewer stops where there is none.
-
-    Layer by layer: a path moves on by 2.5 % of the way or more; its score grows by the leg and by the spread penalty
-    0.25 d |along / d - step / (stops + 1)|; one best path is kept for each request and place, so a layer is never larger
-    than the corridor. Ties go to the smaller path.
+ROUTE = "request_id bigint, stops int, score double, path array<bigint>, length double"
+
+
+def _best_route(stops: int, most_ratio: float):
+    """The best path through one request's corridor, layer by layer over arrays: pairs of a corridor never become rows."""
+
+    def run(key: tuple, places: pd.DataFrame) -> pd.DataFrame:
+        p = places.sort_values(["along", "id"], kind="stable").reset_index(drop=True)
+        d, along = float(p["d"][0]), p["along"].to_numpy()
+        ends = (p[["lat", "lng"]].to_numpy(), p[["req_lat", "req_lng"]].to_numpy()[:1], p[["req_goal_lat", "req_goal_lng"]].to_numpy()[:1])
+        here, origin, goal = (np.radians(x) for x in ends)
+
+        def km(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            h = np.sin((b[None, :, 0] - a[:, None, 0]) / 2) ** 2 + np.cos(a[:, None, 0]) * np.cos(b[None, :, 0]) * np.sin((b[None, :, 1] - a[:, None, 1]) / 2) ** 2
+            return 12742.0 * np.arctan2(np.sqrt(h), np.sqrt(1 - h))
+
+        leg, first, last = km(here, here), km(origin, here)[0], km(here, goal)[:, 0]
+        forward = along[None, :] - along[:, None] >= max(1.0, 0.025 * d)
+        for count in range(stops, 0, -1):
+            score, length, paths = first.copy(), first.copy(), []
+            for step in range(1, count + 1):
+                if step > 1:
+                    total = length[:, None] + leg
+                    cost = np.where(forward & (total <= most_ratio * d), np.round(score[:, None] + leg, 9), np.inf)
+                    before = cost.argmin(0)
+                    paths.append(before)
+                    score, length = cost[before, np.arange(len(p))], total[before, np.arange(len(p))]
+                score = score + 0.25 * d * np.abs(along / d - step / (count + 1))
+                score[length > most_ratio * d] = np.inf
+            total, score = length + last, np.round(score + last, 6)
+            score[total > most_ratio * d + 1e-6] = np.inf
+            at = int(score.argmin())
+            if np.isfinite(score[at]):
+                path = [at]
+                for before in reversed(paths):
+                    path.append(int(before[path[-1]]))
+                return pd.DataFrame([(key[0], count, score[at], p["id"].to_numpy()[path[::-1]].tolist(), round(total[at], 6))], columns=["request_id", "stops", "score", "path", "length"])
+        return pd.DataFrame([], columns=["request_id", "stops", "score", "path", "length"])
+
+    return run
+
+
+def routes(requests: DataFrame, places: DataFrame, stops: int = 5, most_ratio: float = 1.30) -> DataFrame:
+    """GEO-12: of each request the best forward route of `stops` stops in its corridor; fewer where there is none, and the
+    direct way (no stops, score = length) where there is no route at all.
+
+    A path moves on by 2.5 % of the way and 1 km or more; its score grows by the leg and by the spread penalty
+    0.25 d |along / d - step / (stops + 1)|; one best path is kept for each place, and no path gets longer than
+    `most_ratio` of the direct way. Ties go to the place that comes first.
     """
     cand = corridor(requests, places).select(F.col("req_request_id").alias("request_id"), "id", "lat", "lng", F.round("along", 9).alias("along"), F.col("req_direct").alias("d"), "req_lat", "req_lng", "req_goal_lat", "req_goal_lng")
-    best = None
-    for count in range(stops, 0, -1):
-        penalty = lambda step: 0.25 * F.col("d") * F.abs(F.col("along") / F.col("d") - F.lit(step / (count + 1)))  # noqa: B023, E731
-        start = G.haversine(F.col("req_lat"), F.col("req_lng"), F.col("lat"), F.col("lng"))
-        layer = cand.withColumns({"length": start, "score": start + penalty(1), "path": F.array("id")})
-        for step in range(2, count + 1):
-            a = layer.select("request_id", F.col("lat").alias("lat0"), F.col("lng").alias("lng0"), F.col("along").alias("along0"), F.col("length").alias("length0"), F.col("score").alias("score0"), F.col("path").alias("path0"))
-            on = cand.join(a, "request_id").filter((F.col("along") - F.col("along0") >= 0.025 * F.col("d")))
-            leg = G.haversine(F.col("lat0"), F.col("lng0"), F.col("lat"), F.col("lng"))
-            on = on.withColumns({"length": F.col("length0") + leg, "score": F.round(F.col("score0") + leg + penalty(step), 9), "path": F.concat("path0", F.array("id"))})
-            on = on.filter(F.col("length") <= most_ratio * F.col("d"))
-            kept = on.groupBy("request_id", "id").agg(F.min(F.struct("score", "path", "length")).alias("b")).select("request_id", "id", "b.*")
-            layer = cand.join(kept, ["request_id", "id"])
-        rest = G.haversine(F.col("lat"), F.col("lng"), F.col("req_goal_lat"), F.col("req_goal_lng"))
-        done = layer.withColumns({"length": F.col("length") + rest, "score": F.round(F.col("score") + rest, 9)}).filter(F.col("length") <= most_ratio * F.col("d"))
-        got = done.groupBy("request_id").agg(F.min(F.struct("score", "path", "length")).alias("b")).select("request_id", F.lit(count).alias("stops"), "b.score", "b.path", F.round("b.length", 6).alias("length"))
-        best = got if best is None else best.unionByName(got)
-    top = best.groupBy("request_id").agg(F.max_by(F.struct("stops", "score", "path", "length"), "stops").alias("b"))
-    return top.select("request_id", "b.*")
+    found = cand.groupBy("request_id").applyInPandas(_best_route(stops, most_ratio), ROUTE)
+    direct = G.haversine(F.col("lat"), F.col("lng"), F.col("goal_lat"), F.col("goal_lng"))
+    every = requests.select("request_id", F.round(direct, 6).alias("_direct"))
+    got = every.join(found, "request_id", "left")
+    return got.select("request_id", F.coalesce("stops", F.lit(0)).alias("stops"), F.coalesce("score", "_direct").alias("score"), F.coalesce("path", F.array().cast("array<bigint>")).alias("path"), F.coalesce("length", "_direct").alias("length"))

@@ -23,6 +23,10 @@ def bear(a: str, b: str, c: str, d: str) -> str:
     return f"((degrees(atan2({y}, {x})) + 360) % 360)"
 
 
+def plane(a: str, b: str, c: str, d: str) -> str:
+    return f"((degrees(atan2(({d} - {b}) * {G.KM_PER_DEGREE!r} * cos(radians(({a} + {c}) / 2)), ({c} - {a}) * {G.KM_PER_DEGREE!r})) + 360) % 360)"
+
+
 def diff(a: str, b: str) -> str:
     return f"abs(({a} - {b} + 540) % 360 - 180)"
 
@@ -35,11 +39,16 @@ _D = hav("r.lat", "r.lng", "s.lat", "s.lng")
 _B = bear("r.lat", "r.lng", "s.lat", "s.lng")
 _PAIRS = f"SELECT r.request_id, r.km, r.tol, r.bearing, r.lat AS rlat, r.lng AS rlng, s.id, s.name, s.lat, s.lng, {_D} AS distance FROM requests r, stations s"
 
-query("GEO-01", f"SELECT request_id, id, round({_D}, 6) AS km FROM requests r JOIN stations s ON s.id % 50 = r.request_id % 50")(
-    lambda v: v.requests.alias("r").join(v.stations.alias("s"), F.col("s.id") % 50 == F.col("r.request_id") % 50).select("request_id", "id", F.round(G.haversine(F.col("r.lat"), F.col("r.lng"), F.col("s.lat"), F.col("s.lng")), 6).alias("km"))
+#: GEO-01 and GEO-02: every station around each request.
+_AROUND = 100.0
+query("GEO-01", f"SELECT request_id, id, round({_D}, 6) AS km FROM requests r JOIN stations s ON abs(r.lat - s.lat) < 1 AND {_D} <= {_AROUND}")(
+    lambda v: S.within(v.requests, v.stations, F.lit(_AROUND)).select(F.col("req_request_id").alias("request_id"), "id", F.round("distance", 6).alias("km"))
 )
-query("GEO-02", f"SELECT request_id, id, round({_B}, 6) AS bearing_deg FROM requests r JOIN stations s ON s.id % 50 = r.request_id % 50")(
-    lambda v: v.requests.alias("r").join(v.stations.alias("s"), F.col("s.id") % 50 == F.col("r.request_id") % 50).select("request_id", "id", F.round(G.bearing(F.col("r.lat"), F.col("r.lng"), F.col("s.lat"), F.col("s.lng")), 6).alias("bearing_deg"))
+_H = f"((degrees(atan2((s.lng - r.lng) * {G.KM_PER_DEGREE!r} * cos(radians((r.lat + s.lat) / 2)), (s.lat - r.lat) * {G.KM_PER_DEGREE!r})) + 360) % 360)"
+query("GEO-02", f"SELECT request_id, id, round({_B}, 6) AS bearing_deg, round({_H}, 6) AS heading_deg FROM requests r JOIN stations s ON abs(r.lat - s.lat) < 1 AND {_D} <= {_AROUND}")(
+    lambda v: S.within(v.requests, v.stations, F.lit(_AROUND)).select(
+        F.col("req_request_id").alias("request_id"), "id", *[F.round(f(F.col("req_lat"), F.col("req_lng"), F.col("lat"), F.col("lng")), 6).alias(n) for f, n in ((G.bearing, "bearing_deg"), (G.heading, "heading_deg"))]
+    )
 )
 query("GEO-03", f"SELECT id, round({diff('lng * 7 % 360', 'lat * 11')}, 6) AS angle, CAST(floor(lng * 7 % 360 / 45 + 0.5) % 8 AS INT) AS c8, CAST(floor(lng * 7 % 360 / 22.5 + 0.5) % 16 AS INT) AS c16 FROM stations")(
     lambda v: v.stations.select("id", F.round(G.difference(F.col("lng") * 7 % 360, F.col("lat") * 11), 6).alias("angle"), G.compass(F.col("lng") * 7 % 360).alias("c8"), G.compass(F.col("lng") * 7 % 360, 16).alias("c16"))
@@ -54,13 +63,13 @@ query("GEO-05", f"SELECT request_id, round({_GLAT}, 6) AS goal_lat, round({_GLNG
 query("GEO-06", "SELECT id, round(t, 6) AS t, round(sqrt(power(lng - 125 - t * 18, 2) + power(lat - 26 - t * 14, 2)), 6) AS away FROM (SELECT id, lat, lng, greatest(0.0, least(1.0, ((lng - 125) * 18 + (lat - 26) * 14) / (18 * 18 + 14 * 14))) AS t FROM stations)")(
     lambda v: v.stations.select("id", *[F.round(c, 6).alias(n) for c, n in zip(G.segment(F.col("lng"), F.col("lat"), F.lit(125.0), F.lit(26.0), F.lit(143.0), F.lit(40.0)), ("t", "away"), strict=True)])
 )
-_TRACK = "SELECT user_id, event_id, rn, lat, lng, lead(lat) OVER w AS lat2, lead(lng) OVER w AS lng2 FROM (SELECT user_id, visit_id AS event_id, lat, lng, row_number() OVER (PARTITION BY user_id ORDER BY ts, visit_id) AS rn FROM visits) WHERE rn <= 6 WINDOW w AS (PARTITION BY user_id ORDER BY rn)"
+_TRACK = "SELECT user_id, event_id, rn, lat, lng, lead(lat) OVER w AS lat2, lead(lng) OVER w AS lng2 FROM (SELECT user_id, visit_id AS event_id, lat, lng, row_number() OVER (PARTITION BY user_id ORDER BY ts, visit_id) AS rn FROM visits) WINDOW w AS (PARTITION BY user_id ORDER BY rn)"
 _SEGS = f"SELECT user_id, rn, lat, lng, lat2, lng2, sqrt(power(lat2 - lat, 2) + power(lng2 - lng, 2)) AS len FROM ({_TRACK}) WHERE lat2 IS NOT NULL"
 
 
 def _segments(v):
     w = Window.partitionBy("user_id")
-    t = v.visits.withColumn("rn", F.row_number().over(w.orderBy("ts", "visit_id"))).filter("rn <= 6")
+    t = v.visits.withColumn("rn", F.row_number().over(w.orderBy("ts", "visit_id")))
     t = t.withColumns({"lat2": F.lead("lat").over(w.orderBy("rn")), "lng2": F.lead("lng").over(w.orderBy("rn"))}).filter("lat2 is not null")
     t = t.withColumn("len", F.sqrt(F.pow(F.col("lat2") - F.col("lat"), 2) + F.pow(F.col("lng2") - F.col("lng"), 2)))
     return t.withColumns({"before": F.coalesce(F.sum("len").over(w.orderBy("rn").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)), "total": F.sum("len").over(w)})
@@ -111,14 +120,31 @@ def _along(v):
 
 _GX, _GY = f"(glng - rlng) * {_KM} * cos(radians((rlat + glat) / 2))", f"(glat - rlat) * {_KM}"
 _PX, _PY = f"(lng - rlng) * {_KM} * cos(radians((rlat + lat) / 2))", f"(lat - rlat) * {_KM}"
-_COR = f"""SELECT request_id, id, lat, lng, along, direct FROM (SELECT *, (px * gx + py * gy) / d AS along, abs(px * gy - py * gx) / d AS side FROM (SELECT *, sqrt(gx * gx + gy * gy) AS d FROM (SELECT *, {_GX} AS gx, {_GY} AS gy, {_PX} AS px, {_PY} AS py,
- {hav('rlat', 'rlng', 'glat', 'glng')} AS direct, {diff(bear('rlat', 'rlng', 'lat', 'lng'), bear('rlat', 'rlng', 'glat', 'glng'))} AS ang FROM (SELECT r.request_id, r.lat AS rlat, r.lng AS rlng, r.glat, r.glng, s.id, s.lat, s.lng FROM (SELECT *, {_GLAT} AS glat, {_GLNG} AS glng FROM requests) r, stations s))))
+_COR = f"""SELECT request_id, id, lat, lng, along, direct, rlat, rlng, glat, glng FROM (SELECT *, (px * gx + py * gy) / d AS along, abs(px * gy - py * gx) / d AS side FROM (SELECT *, sqrt(gx * gx + gy * gy) AS d FROM (SELECT *, {_GX} AS gx, {_GY} AS gy, {_PX} AS px, {_PY} AS py,
+ {hav('rlat', 'rlng', 'glat', 'glng')} AS direct, {diff(plane('rlat', 'rlng', 'lat', 'lng'), plane('rlat', 'rlng', 'glat', 'glng'))} AS ang FROM (SELECT r.request_id, r.lat AS rlat, r.lng AS rlng, r.glat, r.glng, s.id, s.lat, s.lng FROM (SELECT *, {_GLAT} AS glat, {_GLNG} AS glng FROM requests) r, stations s))))
  WHERE along > greatest(1.0, 0.04 * d) AND along < d - greatest(1.0, 0.04 * d) AND side <= least(35.0, greatest(6.0, 0.2 * direct)) AND side <= 2 + 0.85 * least(along, d - along) AND ang <= 45"""
 query("GEO-10", f"SELECT request_id, id, round(along, 6) AS along FROM ({_COR})")(lambda v: S.corridor(S.with_goal(v.requests), v.stations).select(F.col("req_request_id").alias("request_id"), "id", F.round("along", 6).alias("along")))
 query("GEO-11", f"WITH p AS (SELECT request_id, id, row_number() OVER (PARTITION BY request_id ORDER BY id) AS rn, count(*) OVER (PARTITION BY request_id) AS n FROM ({_PAIRS}) WHERE distance BETWEEN greatest(0.0, km - greatest(10.0, km * 0.12)) AND km + greatest(10.0, km * 0.12)) SELECT request_id, id, n FROM p WHERE rn = floor({unit('CAST(request_id AS VARCHAR)', chr(39) + '1' + chr(39))} * n) + 1")(
     lambda v: S.drawn_goals(v.requests, v.stations).withColumnRenamed("req_request_id", "request_id")
 )
-query("GEO-12")(lambda v: S.routes(S.with_goal(v.requests), v.stations).withColumn("path", F.array_join(F.transform("path", lambda x: x.cast("string")), ",")))
+def _routes(v, stops):
+    return S.routes(S.with_goal(v.requests), v.stations, stops).withColumn("path", F.array_join(F.transform("path", lambda x: x.cast("string")), ","))
+
+
+query("GEO-12")(lambda v: _routes(v, 5))
+# the same with at most two stops, which SQL can enumerate
+_AB, _A0, _AG, _BG = hav("a.lat", "a.lng", "b.lat", "b.lng"), hav("a.rlat", "a.rlng", "a.lat", "a.lng"), hav("a.lat", "a.lng", "a.glat", "a.glng"), hav("b.lat", "b.lng", "b.glat", "b.glng")
+_PEN = "0.25 * a.direct * abs({0}.along / a.direct - {1})"
+query(
+    "GEO-12-two",
+    f"""WITH c AS (SELECT request_id, id, lat, lng, round(along, 9) AS along, direct, rlat, rlng, glat, glng FROM ({_COR})),
+two AS (SELECT a.request_id, 2 AS stops, concat(a.id, ',', b.id) AS path, {_A0} + {_AB} + {_BG} AS length, {_A0} + {_PEN.format('a', '1 / 3.0')} + {_AB} + {_PEN.format('b', '2 / 3.0')} + {_BG} AS score, a.direct
+  FROM c a JOIN c b ON a.request_id = b.request_id AND b.along - a.along >= greatest(1.0, 0.025 * a.direct) AND {_A0} <= 1.3 * a.direct AND {_A0} + {_AB} <= 1.3 * a.direct),
+one AS (SELECT a.request_id, 1 AS stops, CAST(a.id AS VARCHAR) AS path, {_A0} + {_AG} AS length, {_A0} + {_PEN.format('a', '0.5')} + {_AG} AS score, a.direct FROM c a WHERE {_A0} <= 1.3 * a.direct),
+best AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY stops DESC, score) AS k FROM (SELECT * FROM two UNION ALL SELECT * FROM one) WHERE length <= 1.3 * direct + 1e-6)
+SELECT request_id, CAST(coalesce(stops, 0) AS INT) AS stops, round(coalesce(score, d), 6) AS score, coalesce(path, '') AS path, round(coalesce(length, d), 6) AS length
+FROM (SELECT request_id, {hav('lat', 'lng', 'glat', 'glng')} AS d FROM (SELECT *, {_GLAT} AS glat, {_GLNG} AS glng FROM requests)) LEFT JOIN (SELECT * FROM best WHERE k = 1) USING (request_id)""",
+)(lambda v: _routes(v, 2))
 
 query("FLT-05", f"SELECT request_id, id, round(distance, 6) AS distance FROM ({_PAIRS}) WHERE distance BETWEEN greatest(0.0, km - tol) AND km + tol")(
     lambda v: S.annulus(v.requests, v.stations).select(F.col("req_request_id").alias("request_id"), "id", F.round("distance", 6).alias("distance"))
@@ -173,14 +199,15 @@ _N = hav("a.lat", "a.lng", "b.lat", "b.lng")
 query("JN-12", f"SELECT a.id AS req_id, b.id, round({_N}, 6) AS distance FROM stations a JOIN stations b ON a.id <> b.id AND abs(a.lat - b.lat) < 1 AND {_N} <= 30")(
     lambda v: S.within(v.stations.select("id", "lat", "lng"), v.stations.select("id", "lat", "lng"), F.lit(30.0), 0.5).filter("req_id <> id").select("req_id", "id", F.round("distance", 6).alias("distance"))
 )
-query("SNK-03", "WITH t AS (SELECT request_id, printf('\"%s\" %.7f %.7f', name, s.lat, s.lng) AS line, row_number() OVER (PARTITION BY request_id ORDER BY s.id) AS rn FROM requests r JOIN stations s ON s.id % 100 = request_id % 100) SELECT request_id, string_agg(concat(CASE rn WHEN 1 THEN 'START ' WHEN 8 THEN 'GOAL ' ELSE 'VIA ' END, line), chr(10) ORDER BY rn) AS route FROM t WHERE rn <= 8 GROUP BY request_id")(
+query("SNK-03", "WITH t AS (SELECT request_id, printf(',\"%s\",%.7f,%.7f', replace(name, '\"', '\"\"'), s.lat, s.lng) AS line, row_number() OVER (PARTITION BY request_id ORDER BY s.id) AS rn FROM requests r JOIN stations s ON s.id % 100 = request_id % 100), u AS (SELECT *, count(*) OVER (PARTITION BY request_id) AS n FROM t WHERE rn <= 2 + request_id % 7) SELECT request_id, concat('ROUTE/1', chr(10), string_agg(concat(CASE WHEN rn = 1 THEN 'START' WHEN rn = n THEN 'GOAL' ELSE 'VIA' END, line), chr(10) ORDER BY rn)) AS route FROM u GROUP BY request_id")(
     lambda v: _route_text(v)
 )
 
 
 def _route_text(v):
+    """Routes of two to eight places."""
     from waystone.sources.files import route_text
 
     w = Window.partitionBy("request_id").orderBy("id")
-    t = v.requests.select("request_id").join(v.stations, F.col("id") % 100 == F.col("request_id") % 100).withColumn("rn", F.row_number().over(w)).filter("rn <= 8")
+    t = v.requests.select("request_id").join(v.stations, F.col("id") % 100 == F.col("request_id") % 100).withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= 2 + F.col("request_id") % 7)
     return route_text(t, "request_id", "rn")

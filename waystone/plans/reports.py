@@ -31,9 +31,14 @@ query("JN-04", "SELECT id FROM stations WHERE id NOT IN (SELECT source_id FROM s
 query("JN-05", "SELECT l.id, CASE WHEN n = 1 THEN 'matched' WHEN n > 1 THEN 'ambiguous' ELSE 'unmatched' END AS state, CASE WHEN n = 1 THEN m END AS match_id FROM (SELECT id, id % 1500 * 2 AS k FROM landmarks) l LEFT JOIN (SELECT k, count(*) AS n, min(id) AS m FROM (SELECT id, id - id % 3 AS k FROM stations) GROUP BY k) s USING (k)")(
     lambda v: C.unique_match(v.landmarks.select("id", (F.col("id") % 1500 * 2).alias("k")), v.stations.select((F.col("id") - F.col("id") % 3).alias("k"), F.col("id").alias("station_id")), "k", "id", "station_id").select("id", "state", "match_id")
 )
-query("JN-06", "SELECT DISTINCT a.event_id, s.id FROM (SELECT event_id, title FROM notices WHERE event_id % 8 IN (1, 2, 6) AND event_id % 5 = 0) a JOIN stations s ON contains(a.title, s.name)")(
-    lambda v: C.containment(v.notices.filter((F.col("event_id") % 8).isin(1, 2, 6) & (F.col("event_id") % 5 == 0)).select("event_id", "title"), v.stations.select("id", "name"), "title", "name", 18).select("event_id", "id")
-)
+_BARE = "regexp_replace({0}, '^道の駅|[\\s・･.\\-‐–—「」]', '', 'g')"
+query(
+    "JN-06",
+    f"""WITH l AS (SELECT event_id, unnest(list_concat(regexp_extract_all(title, '【([^】]{{2,80}})】', 1), regexp_extract_all(title, '〖([^〗]{{2,80}})〗', 1))) AS label FROM notices),
+k AS (SELECT event_id, label, {_BARE.format('label')} AS t FROM l), m AS (SELECT id, {_BARE.format('name')} AS t FROM stations),
+hit AS (SELECT event_id, id FROM k JOIN m ON k.t = m.t AND length(m.t) >= 2 UNION SELECT event_id, id FROM k JOIN m ON contains(label, '道の駅') AND length(m.t) >= 3 AND contains(k.t, m.t))
+SELECT event_id, min(id) AS station FROM hit GROUP BY event_id HAVING count(DISTINCT id) = 1""",
+)(lambda v: C.named_stations(v.notices, v.stations))
 _RATIO = "round(1 - CAST(levenshtein(x.title, y.title) AS DOUBLE) / greatest(length(x.title), length(y.title), 1), 6)"
 query("JN-08", f"SELECT x.event_id AS a_id, y.event_id AS b_id, {_RATIO} AS score FROM new_feed x JOIN old_feed y ON x.road_name = y.road_name AND x.start_date <= y.end_date AND y.start_date <= x.end_date WHERE {_RATIO} >= 0.6")(
     lambda v: C.similar_titles(v.new_feed, v.old_feed, "road_name", 0.6)
@@ -105,24 +110,28 @@ query("AGG-10", f"SELECT n_name AS prefecture, coalesce(c, 0) AS stations, coale
 )
 query(
     "AGG-11",
-    "WITH e AS (SELECT *, count(*) OVER (PARTITION BY road_name, start_date, title) AS copies FROM events_pub) SELECT event_id, 'review' AS level, 'duplicate' AS reason FROM e WHERE copies > 1 UNION ALL SELECT event_id, 'critical', 'expired' FROM e WHERE end_date < DATE '1996-01-01' UNION ALL SELECT event_id, 'review', 'long_period' FROM e WHERE date_diff('day', start_date, end_date) > 10 UNION ALL SELECT event_id, 'review', 'future_stamp' FROM e WHERE published_at > DATE '1996-01-01' UNION ALL SELECT event_id, 'critical', 'unknown_station' FROM e WHERE road_name NOT IN (SELECT name FROM stations WHERE id % 100 > 0)",
+    "WITH e AS (SELECT *, row_number() OVER (PARTITION BY prefecture, road_name, title, start_date, end_date ORDER BY event_id) AS copy FROM events_pub) SELECT event_id, 'critical' AS level, 'duplicate' AS reason FROM e WHERE copy > 1 UNION ALL SELECT event_id, 'critical', 'expired' FROM e WHERE end_date < DATE '1996-01-01' UNION ALL SELECT event_id, 'review', 'long_period' FROM e WHERE date_diff('day', start_date, end_date) > 120 UNION ALL SELECT event_id, 'review', 'future_stamp' FROM e WHERE published_at > DATE '1996-01-01' UNION ALL SELECT event_id, 'review', 'unknown_station' FROM e WHERE road_name NOT IN (SELECT name FROM stations WHERE id % 100 > 0)",
 )(lambda v: C.quality_issues(v.events_pub, v.stations.filter("id % 100 > 0"), AS_OF))
 query("AGG-12", "SELECT 'prefectures' AS name, (SELECT count(*) FROM nation) = 25 AS ok UNION ALL SELECT 'unique_ids', (SELECT count(*) = count(DISTINCT id) FROM stations) UNION ALL SELECT 'totals_agree', (SELECT count(*) FROM events_pub) = (SELECT count(*) FROM orders)")(
     lambda v: C.invariants([("prefectures", v.nation.agg((F.count("*") == 25).alias("ok"))), ("unique_ids", v.stations.agg((F.count("*") == F.countDistinct("id")).alias("ok"))), ("totals_agree", v.events_pub.agg(F.count("*").alias("a")).crossJoin(F.broadcast(v.orders.agg(F.count("*").alias("b")))).select((F.col("a") == F.col("b")).alias("ok")))])
 )
 query("AGG-13", "SELECT count(DISTINCT id) AS total, count(DISTINCT CASE WHEN id % 4 > 0 THEN id END) AS inspected, count(DISTINCT id) - count(DISTINCT CASE WHEN id % 4 > 0 THEN id END) AS remaining, CAST(ceil((count(DISTINCT id) - count(DISTINCT CASE WHEN id % 4 > 0 THEN id END)) / 96) AS BIGINT) AS days FROM stations")(lambda v: C.backlog(v.stations, "id", F.col("id") % 4 > 0, 96))
 query("AGG-14", "WITH k AS (SELECT regexp_replace(lower(name), '[\\s。、.,!?]', '', 'g') AS k, count(*) AS n, count(*) FILTER (length(name) > 0) AS f, count(*) FILTER (length(name) < 25) AS s, count(*) FILTER (length(name) > 35) AS l FROM landmarks GROUP BY 1) SELECT CAST(sum(f) AS BIGINT) AS filled, CAST(sum(s) AS BIGINT) AS short, CAST(sum(l) AS BIGINT) AS long, CAST(coalesce(sum(n) FILTER (n > 1), 0) AS BIGINT) AS duplicates FROM k")(lambda v: C.summary_audit(v.landmarks, "name"))
-query("AGG-15", "SELECT user_id, count(*) AS visits, max(ts) AS last_visit, max({'t': ts, 'v': visit_id}).v AS latest FROM visits GROUP BY user_id")(lambda v: C.activity(v.visits).withColumn("last_visit", F.col("last_visit").cast("timestamp_ntz")))
-query("AGG-16", "SELECT user_id, round(sum(abs(lat - p)), 6) AS total FROM (SELECT user_id, lat, lag(lat) OVER (PARTITION BY user_id ORDER BY ts, visit_id) AS p FROM visits) GROUP BY user_id")(lambda v: _legs(v))
-
+_SOURCES = ("purchase", "click", "error")
+query("AGG-15", f"SELECT user_id, coalesce(visits, 0) AS visits, last_visit, latest, greatest(last_visit, other) AS last_activity FROM (SELECT user_id, count(*) AS visits, max(ts) AS last_visit, max({{'t': ts, 'v': visit_id}}).v AS latest FROM visits WHERE visit_id % 2 = 0 GROUP BY user_id) FULL JOIN (SELECT user_id, max(ts) AS other FROM events WHERE event_type IN {_SOURCES} GROUP BY user_id) USING (user_id)")(
+    lambda v: C.activity(v.visits.filter("visit_id % 2 = 0"), *[v.events.filter(F.col("event_type") == k).select("user_id", "ts") for k in _SOURCES]).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("last_visit", "last_activity")})
+)
+_HAV = "(12742.0 * atan2(sqrt({h}), sqrt(1 - {h})))"
 
-def _legs(v):
-    from pyspark.sql import Window
 
-    leg = F.abs(F.col("lat") - F.lag("lat").over(Window.partitionBy("user_id").orderBy("ts", "visit_id")))
-    return v.visits.withColumn("leg", leg).groupBy("user_id").agg(F.round(F.sum("leg"), 6).alias("total"))
+def _km(a, b, c, d):
+    return _HAV.format(h=f"(power(sin(radians({c} - {a}) / 2), 2) + cos(radians({a})) * cos(radians({c})) * power(sin(radians({d} - {b}) / 2), 2))")
 
 
+query(
+    "AGG-16",
+    f"WITH t AS (SELECT user_id, {_km('p', 'q', 'lat', 'lng')} AS leg, {_km('f', 'g', 'lat', 'lng')} AS direct, ts, visit_id FROM (SELECT user_id, lat, lng, ts, visit_id, lag(lat) OVER w AS p, lag(lng) OVER w AS q, first_value(lat) OVER w AS f, first_value(lng) OVER w AS g FROM visits WINDOW w AS (PARTITION BY user_id ORDER BY ts, visit_id))), s AS (SELECT user_id, sum(leg) AS total, max({{'t': ts, 'v': visit_id, 'd': direct}}).d AS direct FROM t GROUP BY user_id) SELECT user_id, round(total, 6) AS total, round(CASE WHEN direct > 0 THEN total / direct END, 6) AS ratio FROM s",
+)(lambda v: C.leg_totals(v.visits))
 query("AGG-17", "SELECT road_name, string_agg(concat(start_date, ':', event_id), ',' ORDER BY start_date, event_id) AS events, min(start_date) AS first_start FROM events_pub GROUP BY road_name")(lambda v: C.grouped_events(v.events_pub))
 query("AGG-18", "SELECT source_id, run_date, CASE WHEN fetch_failed > 0 THEN 'error' WHEN candidates = 0 THEN 'no_candidates' WHEN checked < candidates THEN 'review_candidates' ELSE 'active' END AS state, greatest(0, candidates - checked) AS uninspected, candidates >= 4 AS at_limit FROM source_audit")(lambda v: C.health_row(v.source_audit, 4))
 _WARN = [("fetch_error", "fetch_failed > 0"), ("nothing_accepted", "accepted = 0"), ("at_limit", "candidates >= 4"), ("not_audited_since", "run_date < DATE '2024-01-15'")]

@@ -102,21 +102,30 @@ def nested_report(rows: DataFrame, keys: list[str], child: list[str]) -> DataFra
     return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct(*child))).alias("rows"))
 
 
-def route_text(stops: DataFrame, key: str, order: str, vias: int = 6) -> DataFrame:
-    """SNK-03: START, VIA and GOAL lines of each route: quoted names, seven decimals; at most `vias` stops between."""
-    kind = F.when(F.col(order) == 1, "START ").when(F.col(order) == vias + 2, "GOAL ").otherwise("VIA ")
-    line = F.concat(kind, F.format_string('"%s" %.7f %.7f', "name", "lat", "lng"))
-    got = F.array_sort(F.collect_list(F.struct(F.col(order), line.alias("line"))))
-    return stops.filter(F.col(order) <= vias + 2).groupBy(key).agg(F.array_join(F.transform(got, lambda x: x["line"]), "\n").alias("route"))
+def route_text(stops: DataFrame, key: str, order: str, vias: int = 6, header: str = "ROUTE/1") -> DataFrame:
+    """SNK-03: a header and the lines of each route: START, VIA and, for the route's own last place, GOAL; quoted names,
+    seven decimals. A route of more than `vias` places between, or one without coordinates, fails the job.
+    """
+    name = F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(F.coalesce(F.col("name"), F.lit("")), '"', '""'), r"[\r\n]+", " "), F.lit('"'))
+    line = F.concat(name, F.format_string(",%.7f,%.7f", "lat", "lng"))
+    got = stops.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order), line.alias("line")))).alias("_all"), F.bool_and(F.col("lat").isNotNull() & F.col("lng").isNotNull()).alias("_good"))
+    n = F.size("_all")
+    got = got.filter(F.assert_true((n <= vias + 2) & F.col("_good"), F.lit("a route has too many places or one without coordinates")).isNull())
+    role = lambda i: F.when(i == 0, "START,").when(i == n - 1, "GOAL,").otherwise("VIA,")
+    return got.select(key, F.concat(F.lit(header + "\n"), F.array_join(F.transform("_all", lambda x, i: F.concat(role(i), x["line"])), "\n")).alias("route"))
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder name in the cluster's shared folder; a local temporary one only where none is set, as in tests."""
+    """A new folder name in the cluster's shared folder. Where none is set and everything runs in one process, as in
+    tests, one is made."""
     import uuid
 
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         import tempfile
 
         root = tempfile.mkdtemp(prefix="waystone-")
+        spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/waystone-{uuid.uuid4().hex}"
