@@ -75,7 +75,7 @@ def test_reconcile(spark):
     old = [event(1), event(2, url="https://a.jp/2", start=day(2026, 2, 1), end=day(2026, 2, 3)), event(3, url="https://a.jp/3", end=day(2025, 12, 1), start=day(2025, 11, 1)), event(4, url="https://a.jp/4"), event(5, title="～1月20日まで", url="https://a.jp/5")]
     new = [event(11, title="t NEW"), event(12, url="https://a.jp/2", start=day(2026, 2, 2), end=day(2026, 2, 4)), event(13, url="https://a.jp/9", published=day(2027, 1, 1)), event(14, url="https://a.jp/8", start=None)]
     got = {k: sorted(r.event_id for r in v.collect()) for k, v in R.reconcile(spark.createDataFrame(old, EVENT), spark.createDataFrame(new, EVENT), "2026-01-01").items() if k != "possible_duplicates"}
-    assert got == {"published": [4, 11, 12, 13], "exact_duplicates": [11], "corrected": [12], "not_reconfirmed": [4], "expired_or_invalid": [3, 5]}
+    assert got == {"published": [4, 11, 12, 13], "exact_duplicates": [11], "corrected": [12], "not_reconfirmed": [4], "expired_or_invalid": [3, 5], "invalid_new": [14]}
 
 
 def test_reconcile_two_overlaps_is_an_insert(spark):
@@ -122,9 +122,9 @@ def test_venue_is_never_borrowed(spark):
 
 
 def test_reason_order(spark):
-    lines = [(1, 1, "【A】中止"), (2, 1, "x"), (3, 1, "【A】"), (3, 2, "【B】"), (4, 1, "【A】"), (5, 1, "【A】"), (5, 2, "会場：い"), (5, 3, "会場：う"), (6, 1, "【A】"), (6, 2, "会場：い"), (7, 1, "【A】"), (7, 2, "会場：い"), (7, 3, "日時：2020年1月1日"), (8, 1, "【A】"), (8, 2, "会場：い"), (8, 3, "日時：2026年2月1日")]
+    lines = [(1, 1, "【A】中止"), (2, 1, "x"), (3, 1, "【A】"), (3, 2, "【B】"), (4, 1, "【A】"), (5, 1, "【A】"), (5, 2, "会場：い"), (5, 3, "会場：う"), (6, 1, "【A】"), (6, 2, "会場：い"), (7, 1, "【A】"), (7, 2, "会場：い"), (7, 3, "日時：2020年1月1日"), (8, 1, "【A】"), (8, 2, "会場：い"), (8, 3, "日時：2026年2月1日"), (9, 1, "【A】"), (9, 2, "会場：い"), (9, 3, "日時：2026年2月1日"), (9, 4, "期間：2026年2月3日")]
     got = X.with_reasons(spark.createDataFrame(lines, "article_id long, line_no int, line_text string"), "2026-01-01").orderBy("article_id").collect()
-    assert [r.reason for r in got] == ["cancelled", "not_event", "multi_event_overview", "venue_missing", "offsite", "undated", "past", "accepted"]
+    assert [r.reason for r in got] == ["cancelled", "not_event", "multi_event_overview", "venue_missing", "offsite", "undated", "past", "accepted", "date_conflict"]
 
 
 def test_routes_by_brute_force(spark):

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 WEEKDAYS = "月火水木金土日"
 ERA = "(?:令和|R)([0-9]+|元)年?"
 DAY = "(?:(?:(?:令和|R)([0-9]+|元)|([0-9]{4}))[年/.])?([0-9]{1,2})[月/.]([0-9]{1,2})日?"
+#: A date with its year.
+FULL = "(?:(?:令和|R)([0-9]+|元)|([0-9]{4}))[年/.]([0-9]{1,2})[月/.]([0-9]{1,2})"
 #: A date and, within a short tail, the end of a range.
 PERIOD = DAY + "(?:[(（][^)）]{0,8}[)）])?(?:[ 　]*(?:～|〜|~|-|–|から)[ 　]*(?:([0-9]{4})[年/.])?(?:([0-9]{1,2})[月/.])?([0-9]{1,2})(?:日|$|[^0-9/.月年]))?"
 
@@ -78,6 +80,13 @@ def _period_of(got: list[Column], published: Column, options: Options) -> Column
     return F.transform(F.array(dates), judged)[0]
 
 
+def full_date(c: Column) -> Column:
+    """The first date with a printed year (era or four digits) in a text; null if there is none or it is impossible."""
+    era, year, month, day = (F.regexp_extract(c, FULL, k) for k in (1, 2, 3, 4))
+    y = F.when(era == "元", 2019).when(era != "", 2018 + _int(era)).otherwise(_int(year))
+    return safe_date(y.cast("int"), _int(month), _int(day))
+
+
 def strict_period(c: Column, published: Column, max_span: int = 120) -> Column:
     """DAT-04: at most two dates in the text, no open start, then as DAT-03."""
     dates = F.size(F.regexp_extract_all(c, F.lit("[0-9]{1,2}(?:月|/)[0-9]{1,2}(?:日|[^0-9]|$)"), F.lit(0)))

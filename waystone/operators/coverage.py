@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from waystone.functions import geo as G
 from waystone.functions import text as T
+from waystone.operators.reconcile import overlapping
 
 
 def live_at_station(stations: DataFrame, events: DataFrame) -> DataFrame:
@@ -72,11 +73,9 @@ def ratio(a: Column, b: Column) -> Column:
 
 
 def similar_titles(a: DataFrame, b: DataFrame, key: str, least: float) -> DataFrame:
-    """JN-08: rows of one station with overlapping periods and similar titles; blocked by station, so hot ones are
-    left to adaptive skew joins."""
-    x, y = a.alias("x"), b.alias("y")
-    on = (F.col(f"x.{key}") == F.col(f"y.{key}")) & (F.col("x.start_date") <= F.col("y.end_date")) & (F.col("y.start_date") <= F.col("x.end_date"))
-    return x.join(y, on).withColumn("score", F.round(ratio(F.col("x.title"), F.col("y.title")), 6)).filter(F.col("score") >= least).select(F.col("x.event_id").alias("a_id"), F.col("y.event_id").alias("b_id"), "score")
+    """JN-08: rows of one station with overlapping periods and similar titles; blocked by station and time."""
+    got = overlapping(a, b, key).withColumn("score", F.round(ratio(F.col("x.title"), F.col("y.title")), 6))
+    return got.filter(F.col("score") >= least).select(F.col("x.event_id").alias("a_id"), F.col("y.event_id").alias("b_id"), "score")
 
 
 def first_rule(events: DataFrame, rules: DataFrame) -> DataFrame:
@@ -184,6 +183,37 @@ def quality_issues(events: DataFrame, stations: DataFrame, as_of: str, long_days
     return rows.select("event_id", F.inline(checks))
 
 
+def run_summary(stations: DataFrame, events: DataFrame, live: DataFrame, audit: DataFrame, leads: DataFrame, limit: int) -> DataFrame:
+    """AGG-08: the measures of a run as one row: one aggregate of each table, one row each, side by side."""
+    n = F.count("*")
+    parts = [
+        stations.join(audit.select(F.col("source_id").alias("id"), F.lit(True).alias("_s")).distinct(), "id", "left").agg(n.alias("stations"), F.count_if("_s").alias("stations_with_source")),
+        live.agg(n.alias("live"), F.countDistinct("prefecture").alias("prefectures"), F.countDistinct("road_name").alias("published_stations")),
+        audit.agg(
+            F.countDistinct("source_id").alias("sources"),
+            n.alias("audits"),
+            F.countDistinct(F.when(F.col("fetch_failed") > 0, F.col("source_id"))).alias("fetch_problems"),
+            F.count_if(F.col("candidates") == 0).alias("without_candidates"),
+            F.count_if(F.col("candidates") >= limit).alias("at_limit"),
+            F.sum(F.greatest(F.lit(0), F.col("candidates") - F.col("checked"))).alias("uninspected"),
+            F.sum("accepted").alias("accepted"),
+            F.max("run_date").alias("last_audit"),
+        ),
+        leads.agg(n.alias("leads"), F.countDistinct("prefecture").alias("lead_prefectures")),
+        events.agg(F.count_if(F.col("status") == "cancelled").alias("cancelled")),
+    ]
+    return reduce(lambda a, b: a.crossJoin(F.broadcast(b)), parts)
+
+
+def zero_coverage_actions(zero: DataFrame, audit: DataFrame, leads: DataFrame) -> DataFrame:
+    """AGG-10: for each prefecture without events its sources, what they found, the leads and the next action. `audit` has
+    the prefecture of each source."""
+    sums = {c: F.sum(c) for c in ("candidates", "checked", "accepted")} | {"uninspected": F.sum(F.greatest(F.lit(0), F.col("candidates") - F.col("checked"))), "failed": F.sum("fetch_failed")}
+    a = audit.groupBy("prefecture").agg(F.countDistinct("source_id").alias("sources"), *[x.alias(c) for c, x in sums.items()])
+    got = zero.join(a, "prefecture", "left").join(leads.groupBy("prefecture").agg(F.count("*").alias("leads")), "prefecture", "left").fillna(0, ["sources", *sums, "leads"])
+    return got.withColumn("next_action", F.when(F.col("sources") > 0, "verify_existing_adapter_rejections").otherwise("configure_and_verify_new_official_station_feed"))
+
+
 def invariants(checks: list[tuple[str, DataFrame]]) -> DataFrame:
     """AGG-12: (name, ok) of checks that are each one row with a boolean `ok`."""
     return reduce(lambda a, b: a.unionByName(b), [df.select(F.lit(name).alias("name"), "ok") for name, df in checks])

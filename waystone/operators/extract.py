@@ -33,7 +33,7 @@ def marked(lines: DataFrame) -> DataFrame:
     """Lines with their kinds: is_heading, is_date, is_venue, and the date in an era or plain form."""
     t = F.col("line_text")
     got = lines.withColumns({"is_heading": rlike(t, HEADING), "is_date": rlike(t, DATE_LABEL), "is_venue": rlike(t, VENUE_LABEL)})
-    return got.withColumn("day", F.when(F.col("is_date"), D.period(t, F.lit(None).cast("date"), D.Options(year="explicit"))["start_date"]))
+    return got.withColumn("day", F.when(F.col("is_date"), D.full_date(t)))
 
 
 def sections(lines: DataFrame) -> DataFrame:
@@ -93,6 +93,7 @@ def with_reasons(lines: DataFrame, as_of: str) -> DataFrame:
         F.count_if("is_venue").alias("venues"),
         F.countDistinct(F.when(F.col("is_venue"), F.col("line_text"))).alias("places"),
         F.min("day").alias("day"),
+        F.max("day").alias("last_day"),
         F.min(F.when(F.col("is_heading"), F.struct(*_ORDER)))["line_text"].alias("title"),
         F.bool_or(rlike(F.col("line_text"), "中止|延期")).alias("cancelled"),
     )
@@ -103,6 +104,7 @@ def with_reasons(lines: DataFrame, as_of: str) -> DataFrame:
         .when(F.col("venues") == 0, "venue_missing")
         .when(F.col("places") > 1, "offsite")
         .when(F.col("day").isNull(), "undated")
+        .when(F.col("day") != F.col("last_day"), "date_conflict")
         .when(F.col("day") < F.lit(as_of).cast("date"), "past")
         .otherwise("accepted")
     )
@@ -185,16 +187,22 @@ def paired_rows(lines: DataFrame, reach: float) -> DataFrame:
     return got.filter("not is_station").select("page", "id", F.coalesce(near, closest).alias("station_id"))
 
 
-def smallest_card(cards: DataFrame, key: str, text: str) -> DataFrame:
-    """EXT-16: of nested containers of one key the shortest text."""
+def smallest_card(cards: DataFrame, key: str, text: str, exactly: dict[str, int] | None = None) -> DataFrame:
+    """EXT-16: of nested containers of one key the shortest text. `exactly`: how often a card must show each pattern, such
+    as one station and two dates; others are no cards."""
+    for pattern, n in (exactly or {}).items():
+        cards = cards.filter(F.regexp_count(text, F.lit(pattern)) == n)
     return cards.groupBy(key).agg(F.min(F.struct(F.length(text).alias("n"), F.col(text).alias("t")))["t"].alias(text))
 
 
-def ordered_sentences(docs: DataFrame, first: str, then: str) -> DataFrame:
-    """EXT-17: sentences in which one word stands before another."""
+def ordered_sentences(docs: DataFrame, first: str, then: str, dated: str | None = None) -> DataFrame:
+    """EXT-17: sentences in which one word (a name) stands before another (a venue), with exactly one match of `dated`."""
     s = docs.select("doc_id", F.explode(F.split("text", "[.。]")).alias("s"))
     a, b = F.instr("s", first), F.instr("s", then)
-    return s.filter((a > 0) & (b > a)).groupBy("doc_id").agg(F.count("*").alias("n"))
+    s = s.filter((a > 0) & (b > a))
+    if dated:
+        s = s.filter(F.regexp_count("s", F.lit(dated)) == 1)
+    return s.groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
 def by_adapter(lines: DataFrame, adapters: list[tuple[str, str, str]]) -> DataFrame:
@@ -207,12 +215,15 @@ def by_adapter(lines: DataFrame, adapters: list[tuple[str, str, str]]) -> DataFr
     return out
 
 
-def strict_probe(lines: DataFrame, as_of: str, most_days: int = 366) -> DataFrame:
-    """EXT-19: exactly one heading, one dated label line with a year, a venue label, and a start within `most_days`."""
+def strict_probe(lines: DataFrame, stations: DataFrame, as_of: str, most_days: int = 366) -> DataFrame:
+    """EXT-19: exactly one heading, one dated label line with a year, a venue label that names the article's station
+    (article_id, station), and a start within `most_days`."""
     m = marked(lines)
-    a = m.groupBy("article_id").agg(F.count_if("is_heading").alias("h"), F.count_if("is_date").alias("d"), F.count_if("is_venue").alias("v"), F.min("day").alias("day"))
+    a = m.groupBy("article_id").agg(F.count_if("is_heading").alias("h"), F.count_if("is_date").alias("d"), F.min("day").alias("day"))
+    proof = venue_proof(lines, stations).select("article_id", "any_on_site")
     ahead = F.datediff("day", F.lit(as_of).cast("date"))
-    return a.select("article_id", F.when(F.col("h") != 1, "headline_count").when(F.col("d") != 1, "date_count").when(F.col("day").isNull(), "no_year").when(F.col("v") == 0, "no_venue").when(~ahead.between(0, most_days), "out_of_range").otherwise("accepted").alias("reason"))
+    reason = F.when(F.col("h") != 1, "headline_count").when(F.col("d") != 1, "date_count").when(F.col("day").isNull(), "no_year").when(~F.coalesce("any_on_site", F.lit(False)), "no_venue").when(~ahead.between(0, most_days), "out_of_range").otherwise("accepted")
+    return a.join(proof, "article_id", "left").select("article_id", reason.alias("reason"))
 
 
 def site_review(pages: DataFrame, name: Column, hint: str, most: int = 8) -> DataFrame:

@@ -84,21 +84,22 @@ def cleaned(events: DataFrame, as_of: str) -> DataFrame:
     return identity(first_of(events, ["url", "road_name", "prefecture", "title", "start_date", "end_date"], ["seq"]))
 
 
-OUTPUTS = ("published", "exact_duplicates", "corrected", "not_reconfirmed", "possible_duplicates", "expired_or_invalid")
+OUTPUTS = ("published", "exact_duplicates", "corrected", "not_reconfirmed", "possible_duplicates", "expired_or_invalid", "invalid_new")
 
 
 def reconcile(old: DataFrame, new: DataFrame, as_of: str) -> dict[str, DataFrame]:
-    """REC-01: the six outputs of merging a new collection into the published events.
+    """REC-01: the outputs of merging a new collection into the published events.
 
     New rows are collapsed to the last of each (identity, start) and matched with the kept old rows in one pass: an
     equal key, else the only old row of the identity with an overlapping period (a correction, which replaces it). New
     rows of one identity that overlap each other are resolved in a second pass: if exactly one earlier row of the batch
-    overlaps, the later one replaces it. Old rows whose identity is not seen again stay, and are reported.
+    overlaps, the later one replaces it. Old rows whose identity is not seen again stay, and are reported; so are new rows that are no plausible events.
     """
     old, new = cleaned(old, as_of), cleaned(new, as_of)
     good = plausible(old, as_of) & ~open_start(F.col("title"))
     kept, expired = old.filter(good), old.filter(~good)
-    fresh = new.filter(plausible(new, as_of) & ~open_start(F.col("title")))
+    fine = plausible(new, as_of) & ~open_start(F.col("title"))
+    fresh, invalid = new.filter(fine), new.filter(~F.coalesce(fine, F.lit(False)))
     fresh = fresh.withColumn("_rn", F.row_number().over(Window.partitionBy("identity", "start_date").orderBy(F.desc("seq")))).filter("_rn = 1").drop("_rn")
     left = kept.select("identity", F.col("start_date").alias("old_start"), F.col("end_date").alias("old_end"), F.col("event_id").alias("old_id"))
     pairs = fresh.join(left, "identity", "left")
@@ -129,6 +130,7 @@ def reconcile(old: DataFrame, new: DataFrame, as_of: str) -> dict[str, DataFrame
         "not_reconfirmed": unseen,
         "possible_duplicates": possible_duplicates(published),
         "expired_or_invalid": expired,
+        "invalid_new": invalid.select(*own),
     }
 
 
@@ -140,11 +142,26 @@ def possible_duplicates(events: DataFrame) -> DataFrame:
     return a.join(b, on).select(F.col("a.event_id").alias("a_id"), F.col("b.event_id").alias("b_id"))
 
 
+def overlapping(a: DataFrame, b: DataFrame, key: str, days: int = 7) -> DataFrame:
+    """Rows of a (as x) joined with rows of b (as y) of the same key and an overlapping period.
+
+    The equi-join is on the key and a stretch of `days` that both periods touch, so a busy key is split by time; a pair
+    is taken in the first stretch that both touch.
+    """
+    def cut(rows: DataFrame, at: str) -> DataFrame:
+        low, high = (F.floor(F.datediff(F.col(c), F.lit("1970-01-01").cast("date")) / days) for c in ("start_date", "end_date"))
+        rows = rows.filter(F.col("start_date") <= F.col("end_date")).withColumn("_low", low)
+        return rows.withColumn("_part", F.explode(F.sequence(low, high))).alias(at)
+
+    x, y = cut(a, "x"), cut(b, "y")
+    on = (F.col(f"x.{key}") == F.col(f"y.{key}")) & (F.col("x._part") == F.col("y._part"))
+    got = x.join(y, on).filter((F.col("x._part") == F.greatest("x._low", "y._low")))
+    return got.filter((F.col("x.start_date") <= F.col("y.end_date")) & (F.col("y.start_date") <= F.col("x.end_date")))
+
+
 def overlaps(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """JN-07: rows of a with the rows of b of the same key and an overlapping period; `corrections` is true if only one."""
-    x, y = a.alias("x"), b.alias("y")
-    on = (F.col(f"x.{key}") == F.col(f"y.{key}")) & (F.col("x.start_date") <= F.col("y.end_date")) & (F.col("y.start_date") <= F.col("x.end_date"))
-    got = x.join(y, on).select(F.col("x.event_id").alias("new_id"), F.col("y.event_id").alias("old_id"))
+    got = overlapping(a, b, key).select(F.col("x.event_id").alias("new_id"), F.col("y.event_id").alias("old_id"))
     return got.withColumn("correction", F.count("*").over(Window.partitionBy("new_id")) == 1)
 
 

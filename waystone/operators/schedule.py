@@ -82,3 +82,9 @@ def ranked_queue(rows: DataFrame, ranks: dict[str, dict[str, int]], order: list[
         rows = rows.withColumn(f"{c}_rank", F.coalesce(F.try_element_at(table, F.col(c)), F.lit(99)))
         by.append(f"{c}_rank")
     return rows.orderBy(*by, *order).limit(limit)
+
+
+def shortlist(rows: DataFrame, order: list, limit: int) -> DataFrame:
+    """SRT-05: the first `limit` rows, and in `remaining` how many are left out."""
+    left = rows.agg(F.greatest(F.lit(0), F.count("*") - limit).alias("remaining"))
+    return rows.orderBy(*order).limit(limit).crossJoin(F.broadcast(left))

@@ -36,8 +36,8 @@ query("EXT-05", f"SELECT l.article_id, bool_or({key('substring(line_text, 4)')}
 _M = "m AS (SELECT *, line_text LIKE '【%' AS is_heading, line_text LIKE '開催日時：%' AS is_date, line_text LIKE '会場：%' AS is_venue, TRY_CAST(concat(2018 + TRY_CAST(regexp_extract(line_text, '^開催日時：令和([0-9]+)年', 1) AS INT), '-', lpad(regexp_extract(line_text, '年([0-9]+)月', 1), 2, '0'), '-', lpad(regexp_extract(line_text, '月([0-9]+)日', 1), 2, '0')) AS DATE) AS day FROM article_lines)"
 _W = "(PARTITION BY article_id ORDER BY line_no, line_text)"
 _SEC = f"{_M}, s0 AS (SELECT *, CAST(sum(CASE WHEN is_heading THEN 1 ELSE 0 END) OVER (PARTITION BY article_id ORDER BY line_no, line_text ROWS UNBOUNDED PRECEDING) AS INT) AS section, row_number() OVER {_W} AS rn FROM m), s AS (SELECT *, rn - min(rn) OVER (PARTITION BY article_id, section) AS gap FROM s0 WHERE section > 0)"
-_REASON = f"CASE WHEN headings = 0 THEN 'not_event' WHEN headings > 1 THEN 'multi_event_overview' WHEN venues = 0 THEN 'venue_missing' WHEN places > 1 THEN 'offsite' WHEN day IS NULL THEN 'undated' WHEN day < DATE '{ERA_AS_OF}' THEN 'past' ELSE 'accepted' END"
-query("EXT-06", f"WITH {_M}, a AS (SELECT article_id, count(*) FILTER (is_heading) AS headings, count(*) FILTER (is_venue) AS venues, count(DISTINCT CASE WHEN is_venue THEN line_text END) AS places, min(day) AS day, min(CASE WHEN is_heading THEN {{'n': line_no, 't': line_text}} END).t AS title FROM m GROUP BY article_id), r AS (SELECT *, {_REASON} AS reason FROM a) SELECT article_id, reason, CASE WHEN reason = 'accepted' THEN title END AS title, CASE WHEN reason = 'accepted' THEN day END AS day FROM r")(
+_REASON = f"CASE WHEN cancelled THEN 'cancelled' WHEN headings = 0 THEN 'not_event' WHEN headings > 1 THEN 'multi_event_overview' WHEN venues = 0 THEN 'venue_missing' WHEN places > 1 THEN 'offsite' WHEN day IS NULL THEN 'undated' WHEN day <> last_day THEN 'date_conflict' WHEN day < DATE '{ERA_AS_OF}' THEN 'past' ELSE 'accepted' END"
+query("EXT-06", f"WITH {_M}, a AS (SELECT article_id, count(*) FILTER (is_heading) AS headings, count(*) FILTER (is_venue) AS venues, count(DISTINCT CASE WHEN is_venue THEN line_text END) AS places, min(day) AS day, max(day) AS last_day, bool_or(regexp_matches(line_text, '中止|延期')) AS cancelled, min(CASE WHEN is_heading THEN {{'n': line_no, 't': line_text}} END).t AS title FROM m GROUP BY article_id), r AS (SELECT *, {_REASON} AS reason FROM a) SELECT article_id, reason, CASE WHEN reason = 'accepted' THEN title END AS title, CASE WHEN reason = 'accepted' THEN day END AS day FROM r")(
     lambda v: X.with_reasons(v.article_lines, ERA_AS_OF)
 )
 query("EXT-07", f"WITH {_M}, l AS (SELECT o_orderkey AS article_id, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 40 AS INT) AS listed FROM orders), j AS (SELECT l.article_id, bool_or(month(day) <> month(listed) OR day(day) <> day(listed)) AS bad, count(day) AS n FROM l LEFT JOIN (SELECT * FROM m WHERE day IS NOT NULL) m ON l.article_id = m.article_id GROUP BY l.article_id, listed) SELECT article_id, CASE WHEN n = 0 THEN 'listing_only' WHEN bad THEN 'listing_article_date_conflict' ELSE 'agrees' END AS state FROM j")(
@@ -79,14 +79,14 @@ def _as_of(v):
     return both.withColumn("station_y", F.last(F.when(F.col("st"), F.col("y")), ignorenulls=True).over(w)).filter("ev").select("page", "y", "station_y")
 
 
-query("EXT-16", "SELECT conv_id, min({'n': length(text), 't': text}).t AS text FROM conversations GROUP BY conv_id")(lambda v: X.smallest_card(v.conversations, "conv_id", "text"))
-query("EXT-17", "SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '[.。]')) AS s FROM documents) WHERE instr(s, ' of ') > 0 AND instr(s, ' the ') > instr(s, ' of ') GROUP BY doc_id")(lambda v: X.ordered_sentences(v.documents, " of ", " the "))
+query("EXT-16", "SELECT conv_id, min({'n': length(text), 't': text}).t AS text FROM conversations WHERE len(regexp_extract_all(text, '[.?]')) = 1 AND len(regexp_extract_all(text, '[A-Z]')) = 1 GROUP BY conv_id")(lambda v: X.smallest_card(v.conversations, "conv_id", "text", {"[.?]": 1, "[A-Z]": 1}))
+query("EXT-17", "SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '[.。]')) AS s FROM documents) WHERE instr(s, ' of ') > 0 AND instr(s, ' the ') > instr(s, ' of ') AND len(regexp_extract_all(s, ' (is|are) ')) = 1 GROUP BY doc_id")(lambda v: X.ordered_sentences(v.documents, " of ", " the ", " (is|are) "))
 query(
     "EXT-18",
-    f"WITH {_M}, t AS (SELECT *, lead(day) OVER {_W} AS d1, lead(is_venue, 2) OVER {_W} AS v2 FROM m) SELECT 'triple' AS adapter, article_id, line_text AS title, d1 AS day FROM t WHERE article_id % 3 = 0 AND is_heading AND d1 IS NOT NULL AND v2 UNION ALL SELECT 'agreed', article_id, min(CASE WHEN is_heading THEN line_text END), min(day) FROM m WHERE article_id % 3 = 1 GROUP BY article_id HAVING count(DISTINCT CASE WHEN is_heading THEN line_text END) = 1 AND count(DISTINCT day) = 1 AND count(DISTINCT CASE WHEN is_venue THEN line_text END) = 1",
-)(lambda v: X.by_adapter(v.article_lines, [("triple", "triple", "article_id % 3 = 0"), ("agreed", "agreed", "article_id % 3 = 1")]))
-query("EXT-19", f"WITH {_M}, a AS (SELECT article_id, count(*) FILTER (is_heading) AS h, count(*) FILTER (is_date) AS d, count(*) FILTER (is_venue) AS v, min(day) AS day FROM m GROUP BY article_id) SELECT article_id, CASE WHEN h <> 1 THEN 'headline_count' WHEN d <> 1 THEN 'date_count' WHEN day IS NULL THEN 'no_year' WHEN v = 0 THEN 'no_venue' WHEN NOT date_diff('day', DATE '{ERA_AS_OF}', day) BETWEEN 0 AND 366 THEN 'out_of_range' ELSE 'accepted' END AS reason FROM a")(
-    lambda v: X.strict_probe(v.article_lines, ERA_AS_OF)
+    f"WITH {_M}, t AS (SELECT *, lead(day) OVER {_W} AS d1, lead(is_venue, 2) OVER {_W} AS v2 FROM m) SELECT 'triple' AS adapter, article_id, line_text AS title, d1 AS day FROM t WHERE article_id % 3 = 0 AND is_heading AND d1 IS NOT NULL AND v2 UNION ALL SELECT 'agreed', article_id, min(CASE WHEN is_heading THEN line_text END), min(day) FROM m WHERE article_id % 3 = 1 GROUP BY article_id HAVING count(DISTINCT CASE WHEN is_heading THEN line_text END) = 1 AND count(DISTINCT day) = 1 AND count(DISTINCT CASE WHEN is_venue THEN line_text END) = 1 UNION ALL SELECT 'context', article_id, title, day FROM (SELECT article_id, day, lag(line_text) OVER {_W} AS title, max(is_venue) OVER (PARTITION BY article_id ORDER BY line_no, line_text ROWS BETWEEN 1 FOLLOWING AND 8 FOLLOWING) AS has_venue FROM m) WHERE article_id % 3 = 2 AND day IS NOT NULL AND title IS NOT NULL AND has_venue",
+)(lambda v: X.by_adapter(v.article_lines, [("triple", "triple", "article_id % 3 = 0"), ("agreed", "agreed", "article_id % 3 = 1"), ("context", "context", "article_id % 3 = 2")]))
+query("EXT-19", f"WITH {_M}, a AS (SELECT article_id, count(*) FILTER (is_heading) AS h, count(*) FILTER (is_date) AS d, bool_or(is_venue AND line_text = concat('会場：', st)) AS v, min(day) AS day FROM (SELECT m.*, CASE WHEN s.article_id % 2 = 0 THEN station ELSE '道の駅 Supplier#000000001' END AS st FROM m LEFT JOIN ({_STATION}) s ON m.article_id = s.article_id) GROUP BY article_id) SELECT article_id, CASE WHEN h <> 1 THEN 'headline_count' WHEN d <> 1 THEN 'date_count' WHEN day IS NULL THEN 'no_year' WHEN NOT coalesce(v, FALSE) THEN 'no_venue' WHEN NOT date_diff('day', DATE '{ERA_AS_OF}', day) BETWEEN 0 AND 366 THEN 'out_of_range' ELSE 'accepted' END AS reason FROM a")(
+    lambda v: X.strict_probe(v.article_lines, v.article_lines.filter("line_text like '会場%'").groupBy("article_id").agg(F.when(F.col("article_id") % 2 == 0, F.concat(F.lit("道の駅 "), F.min(F.substring("line_text", 8, 100)))).otherwise("道の駅 Supplier#000000001").alias("station")), ERA_AS_OF)
 )
 query("EXT-20", f"SELECT page_id, contains(html, regexp_extract(url, '^https?://([^./]+)', 1)) AS mentions, array_to_string(list_sort(list_distinct(list_filter(list_zip(regexp_extract_all(html, '{_A}', 1), regexp_extract_all(html, '{_A}', 2)), lambda x: regexp_matches(x[2], 'e')).list_transform(lambda x: x[1])))[1:8], ' ') AS hints FROM pages")(
     lambda v: X.site_review(v.pages, F.regexp_extract("url", "^https?://([^./]+)", 1), "e")
@@ -118,11 +118,15 @@ def _robots(v):
 
 
 # Files --------------------------------------------------------------------------------------------------------------
+#: Rows of a file in the fixtures.
+_FILE_ROWS = 1000
+
+
 def _feed(v):
     s = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     e = F.struct(F.col("road_name").alias("roadName"), "prefecture", "title", s("start_date").alias("startDate"), s("end_date").alias("endDate"), F.when(F.col("event_id") % 5 == 0, "").otherwise(s("published_at")).alias("publishedAt"), "url", "status")
     path = files.scratch(v.spark)
-    v.events_pub.groupBy("feed").agg(F.lit(1).alias("schemaVersion"), F.collect_list(e).alias("events")).write.partitionBy("feed").json(path)
+    v.events_pub.groupBy(F.floor(F.col("event_id") / _FILE_ROWS).alias("part")).agg(F.lit(1).alias("schemaVersion"), F.collect_list(e).alias("events")).write.partitionBy("part").json(path)
     return files.read_feed(v.spark, path)
 
 
@@ -131,23 +135,21 @@ query("SRC-01", "SELECT road_name AS roadName, prefecture, title, start_date AS
 
 def _master(v):
     path = files.scratch(v.spark)
-    rows = v.stations.groupBy((F.col("id") % 8).alias("part")).agg(F.collect_list(F.struct("id", "name", "prefecture", "lat", "lng")).alias("stations"))
-    rows.select(F.concat(F.lit("window.APP_DATA="), F.to_json(F.struct("stations")), F.lit(";")).alias("value")).repartition(8, "value").write.text(path)
-    lines = v.spark.read.text(path)
-    body = F.regexp_replace(F.regexp_replace("value", "^\\s*window\\.APP_DATA=", ""), ";\\s*$", "")
-    schema = "stations array<struct<id:bigint,name:string,prefecture:string,lat:double,lng:double>>"
-    return lines.select(F.from_json(body, schema, {"mode": "FAILFAST"}).alias("v")).select(F.inline("v.stations"))
+    rows = v.stations.groupBy(F.floor(F.col("id") / _FILE_ROWS).alias("part")).agg(F.collect_list(F.struct("id", "name", "prefecture", "lat", "lng")).alias("stations"))
+    rows.select("part", F.concat(F.lit("window.APP_DATA="), F.to_json(F.struct("stations")), F.lit(";")).alias("value")).write.partitionBy("part").text(path)
+    return files.read_prefixed(v.spark, path, "window\\.APP_DATA=", "stations array<struct<id:bigint,name:string,prefecture:string,lat:double,lng:double>>", "stations")
 
 
+query("SRC-02-checks", "SELECT count(*) = (SELECT count(*) FROM customer) AS count_ok, count(id) = count(DISTINCT id) AS unique_ok, TRUE AS identity_ok FROM stations")(lambda v: files.master_problems(_master(v), v.customer.count()))
 query("SRC-02", "SELECT id, name, prefecture, lat, lng FROM stations")(_master)
 
 
 def _relaxed(v):
     path = files.scratch(v.spark)
     item = F.format_string("/* place */ {id: %d, name: '%s', level: \"%s\"}", "id", "name", "level")
-    v.landmarks.filter("id % 2 = 0").groupBy((F.col("id") % 16).alias("p")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(item), ","), F.lit("]")).alias("value")).select("value").write.text(path)
-    local = v.spark.read.text(path).select(F.from_json("value", "array<struct<id:bigint,name:string,level:string>>", {"allowUnquotedFieldNames": "true", "allowComments": "true", "allowSingleQuotes": "true"}).alias("v")).select(F.inline("v"))
-    return files.with_precedence(local, v.landmarks.filter("id % 3 = 0").select("id", F.upper("name").alias("name"), "level"))
+    local = v.landmarks.filter("id % 2 = 0").groupBy(F.floor(F.col("id") / _FILE_ROWS).alias("part"))
+    local.agg(F.concat(F.lit("["), F.array_join(F.collect_list(item), ","), F.lit("]")).alias("value")).write.partitionBy("part").text(path)
+    return files.with_precedence(files.read_relaxed(v.spark, path, "id:bigint,name:string,level:string"), v.landmarks.filter("id % 3 = 0").select("id", F.upper("name").alias("name"), "level"))
 
 
 query("SRC-03", "SELECT id, name, level FROM landmarks WHERE id % 2 = 0 UNION ALL SELECT id, upper(name), level FROM landmarks WHERE id % 3 = 0 AND id % 2 > 0")(_relaxed)

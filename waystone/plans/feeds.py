@@ -52,6 +52,7 @@ query("REC-01-corrected", _REC + " SELECT event_id, old_start, start_date, end_d
 query("REC-01-exact", _REC + " SELECT event_id FROM pairs WHERE old_start = start_date AND old_end = end_date")(lambda v: R.reconcile(v.old_feed, v.new_feed, AS_OF)["exact_duplicates"].select("event_id"))
 query("REC-01-unseen", _REC + " SELECT event_id FROM kept WHERE ident NOT IN (SELECT ident FROM fresh)")(lambda v: R.reconcile(v.old_feed, v.new_feed, AS_OF)["not_reconfirmed"].select("event_id"))
 query("REC-01-expired", f"SELECT event_id FROM old_feed WHERE NOT coalesce({_OK}, FALSE)")(lambda v: R.reconcile(v.old_feed, v.new_feed, AS_OF)["expired_or_invalid"].select("event_id"))
+query("REC-01-invalid-new", f"SELECT event_id FROM new_feed WHERE NOT coalesce({_OK}, FALSE)")(lambda v: R.reconcile(v.old_feed, v.new_feed, AS_OF)["invalid_new"].select("event_id"))
 query("REC-02", "SELECT url, start_date, max(event_id) AS event_id FROM (SELECT * FROM old_feed WHERE end_date >= DATE '1996-01-01' UNION ALL SELECT * FROM new_feed) GROUP BY url, road_name, start_date")(
     lambda v: R.merged_stage(v.old_feed, v.new_feed, AS_OF).select("url", "start_date", "event_id")
 )
@@ -71,7 +72,19 @@ query("SET-03", f"SELECT road_name FROM old_feed UNION SELECT road_name FROM new
 query("SET-04", "SELECT 'road' AS kind, id, name, lat, lng FROM stations UNION ALL SELECT 'landmark', id, name, lat, lng FROM landmarks")(
     lambda v: v.stations.select(F.lit("road").alias("kind"), "id", "name", "lat", "lng").unionByName(v.landmarks.select(F.lit("landmark").alias("kind"), "id", "name", "level", "lat", "lng"), allowMissingColumns=True).drop("level")
 )
-query("SNK-01", f"SELECT count(*) AS n, count(DISTINCT event_id) AS ids FROM events_pub WHERE {_LIVE}")(lambda v: v.events_pub.filter(R.live(AS_OF)).agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("ids")))
+query("SNK-01", f"SELECT count(*) AS n, count(DISTINCT event_id) AS ids, TRUE AS first_written, FALSE AS written_again FROM events_pub WHERE {_LIVE}")(lambda v: _published(v))
+
+
+def _published(v):
+    """The live events, published twice: the second time nothing has changed."""
+    from waystone.sources.files import scratch
+
+    path, rows = scratch(v.spark), v.events_pub.filter(R.live(AS_OF))
+    wrote = [R.write_if_changed(rows, path), R.write_if_changed(rows, path)]
+    held = v.spark.read.schema(rows.schema).parquet(path)
+    return held.agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("ids"), F.lit(wrote[0]).alias("first_written"), F.lit(wrote[1]).alias("written_again"))
+
+
 query("SRT-01", f"SELECT event_id, start_date, road_name, title FROM events_pub WHERE {_LIVE} ORDER BY start_date, road_name, title, event_id")(
     lambda v: v.events_pub.filter(R.live(AS_OF)).select("event_id", "start_date", "road_name", "title").orderBy("start_date", "road_name", "title", "event_id")
 )

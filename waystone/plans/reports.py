@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from waystone.operators import coverage as C
 from waystone.operators import reconcile as R
 from waystone.operators import schedule as S
-from waystone.operators.setops import warnings
+from waystone.operators.setops import source_warnings, warnings
 from waystone.plans.columns import AS_OF
 from waystone.plans.feeds import _LIVE
 from waystone.plans.registry import query
@@ -100,13 +100,41 @@ query("AGG-06", "SELECT source_id, CAST(sum(CASE WHEN source_id % 2 = 0 THEN can
 query("AGG-07", f"SELECT prefecture, count(*) AS stations, count(*) FILTER (id IN (SELECT source_id FROM source_audit)) AS with_source, count(*) FILTER (name IN (SELECT road_name FROM events_pub WHERE {_LIVE})) AS with_event FROM stations GROUP BY prefecture")(
     lambda v: v.stations.join(v.source_audit.select(F.col("source_id").alias("id")).distinct().withColumn("s", F.lit(True)), "id", "left").join(v.events_pub.filter(R.live(AS_OF)).select(F.col("road_name").alias("name")).distinct().withColumn("e", F.lit(True)), "name", "left").groupBy("prefecture").agg(F.count("*").alias("stations"), F.count_if("s").alias("with_source"), F.count_if("e").alias("with_event"))
 )
-query("AGG-08", f"SELECT (SELECT count(*) FROM stations) AS stations, (SELECT count(*) FROM events_pub WHERE {_LIVE}) AS live, (SELECT count(DISTINCT source_id) FROM source_audit) AS sources, (SELECT count(DISTINCT prefecture) FROM events_pub WHERE {_LIVE}) AS prefectures")(
-    lambda v: v.stations.agg(F.count("*").alias("stations")).crossJoin(F.broadcast(v.events_pub.filter(R.live(AS_OF)).agg(F.count("*").alias("live"), F.countDistinct("prefecture").alias("prefectures")))).crossJoin(F.broadcast(v.source_audit.agg(F.countDistinct("source_id").alias("sources"))))
-)
+_ONE = {
+    "stations": ("stations", "count(*)"),
+    "stations_with_source": ("stations SEMI JOIN source_audit ON id = source_id", "count(*)"),
+    "live": (f"events_pub WHERE {_LIVE}", "count(*)"),
+    "prefectures": (f"events_pub WHERE {_LIVE}", "count(DISTINCT prefecture)"),
+    "published_stations": (f"events_pub WHERE {_LIVE}", "count(DISTINCT road_name)"),
+    "sources": ("source_audit", "count(DISTINCT source_id)"),
+    "audits": ("source_audit", "count(*)"),
+    "fetch_problems": ("source_audit", "count(DISTINCT source_id) FILTER (fetch_failed > 0)"),
+    "without_candidates": ("source_audit", "count(*) FILTER (candidates = 0)"),
+    "at_limit": ("source_audit", "count(*) FILTER (candidates >= 4)"),
+    "uninspected": ("source_audit", "CAST(sum(greatest(0, candidates - checked)) AS BIGINT)"),
+    "accepted": ("source_audit", "CAST(sum(accepted) AS BIGINT)"),
+    "last_audit": ("source_audit", "max(run_date)"),
+    "leads": ("old_feed", "count(*)"),
+    "lead_prefectures": ("old_feed", "count(DISTINCT prefecture)"),
+    "cancelled": ("events_pub", "count(*) FILTER (status = 'cancelled')"),
+}
+query("AGG-08", "SELECT " + ", ".join(f"(SELECT {what} FROM {table}) AS {name}" for name, (table, what) in _ONE.items()))(lambda v: C.run_summary(v.stations, v.events_pub, v.events_pub.filter(R.live(AS_OF)), v.source_audit, v.old_feed, 4))
 _R9 = "SELECT x.event_id FROM (SELECT * FROM new_feed WHERE end_date >= DATE '1996-01-01') x JOIN old_feed y ON x.road_name = y.road_name AND x.start_date <= y.end_date AND y.start_date <= x.end_date WHERE 1 - CAST(levenshtein(x.title, y.title) AS DOUBLE) / greatest(length(x.title), length(y.title)) >= 0.83"
 query("AGG-09", f"SELECT p AS positives, f AS found, round(CASE WHEN p > 0 THEN f / p END, 3) AS recall FROM (SELECT count(*) AS p, count(*) FILTER (event_id IN ({_R9})) AS f FROM new_feed WHERE end_date >= DATE '1996-01-01')")(lambda v: C.recall(v.new_feed, v.old_feed, AS_OF))
-query("AGG-10", f"SELECT n_name AS prefecture, coalesce(c, 0) AS stations, coalesce(old, 0) AS leads FROM nation LEFT JOIN (SELECT prefecture, count(*) AS c FROM stations GROUP BY 1) s ON s.prefecture = n_name LEFT JOIN (SELECT prefecture, count(*) AS old FROM old_feed GROUP BY 1) o ON o.prefecture = n_name WHERE n_name NOT IN (SELECT prefecture FROM events_pub WHERE {_LIVE} AND event_id % 4 = 0)")(
-    lambda v: v.nation.select(F.col("n_name").alias("prefecture")).join(v.events_pub.filter(R.live(AS_OF) & (F.col("event_id") % 4 == 0)).select("prefecture"), "prefecture", "left_anti").join(v.stations.groupBy("prefecture").agg(F.count("*").alias("stations")), "prefecture", "left").join(v.old_feed.groupBy("prefecture").agg(F.count("*").alias("leads")), "prefecture", "left").fillna(0, ["stations", "leads"])
+query(
+    "AGG-10",
+    f"""WITH zero AS (SELECT n_name AS prefecture FROM nation WHERE n_name NOT IN (SELECT prefecture FROM events_pub WHERE {_LIVE} AND event_id % 4 = 0)),
+a AS (SELECT prefecture, count(DISTINCT source_id) AS sources, CAST(sum(candidates) AS BIGINT) AS candidates, CAST(sum(checked) AS BIGINT) AS checked, CAST(sum(accepted) AS BIGINT) AS accepted, CAST(sum(greatest(0, candidates - checked)) AS BIGINT) AS uninspected, CAST(sum(fetch_failed) AS BIGINT) AS failed FROM source_audit JOIN stations ON id = source_id GROUP BY prefecture),
+o AS (SELECT prefecture, count(*) AS leads FROM old_feed GROUP BY prefecture)
+SELECT prefecture, coalesce(sources, 0) AS sources, coalesce(candidates, 0) AS candidates, coalesce(checked, 0) AS checked, coalesce(accepted, 0) AS accepted, coalesce(uninspected, 0) AS uninspected, coalesce(failed, 0) AS failed, coalesce(leads, 0) AS leads,
+  CASE WHEN coalesce(sources, 0) > 0 THEN 'verify_existing_adapter_rejections' ELSE 'configure_and_verify_new_official_station_feed' END AS next_action
+FROM zero LEFT JOIN a USING (prefecture) LEFT JOIN o USING (prefecture)""",
+)(
+    lambda v: C.zero_coverage_actions(
+        v.nation.select(F.col("n_name").alias("prefecture")).join(v.events_pub.filter(R.live(AS_OF) & (F.col("event_id") % 4 == 0)).select("prefecture"), "prefecture", "left_anti"),
+        v.source_audit.join(v.stations.select(F.col("id").alias("source_id"), "prefecture"), "source_id"),
+        v.old_feed,
+    )
 )
 query(
     "AGG-11",
@@ -136,7 +164,18 @@ query("AGG-17", "SELECT road_name, string_agg(concat(start_date, ':', event_id),
 query("AGG-18", "SELECT source_id, run_date, CASE WHEN fetch_failed > 0 THEN 'error' WHEN candidates = 0 THEN 'no_candidates' WHEN checked < candidates THEN 'review_candidates' ELSE 'active' END AS state, greatest(0, candidates - checked) AS uninspected, candidates >= 4 AS at_limit FROM source_audit")(lambda v: C.health_row(v.source_audit, 4))
 _WARN = [("fetch_error", "fetch_failed > 0"), ("nothing_accepted", "accepted = 0"), ("at_limit", "candidates >= 4"), ("not_audited_since", "run_date < DATE '2024-01-15'")]
 query("AGG-19", " UNION ALL ".join(f"SELECT '{k}' AS kind, count(*) AS n FROM source_audit WHERE {c} HAVING count(*) > 0" for k, c in _WARN))(lambda v: C.status_counts(warnings(v.source_audit, ["source_id"], [(k, F.expr(c)) for k, c in _WARN]), "kind"))
-query("SET-05", " UNION ALL ".join(f"SELECT source_id, run_date, '{k}' AS kind FROM source_audit WHERE {c}" for k, c in _WARN))(lambda v: warnings(v.source_audit, ["source_id", "run_date"], [(k, F.expr(c)) for k, c in _WARN]))
+_CONF = "(SELECT id AS source_id, region FROM stations WHERE id % 7 > 0)"
+query(
+    "SET-05",
+    f"""WITH c AS {_CONF}, l AS (SELECT source_id, max(run_date) AS run_date FROM source_audit GROUP BY source_id),
+m AS (SELECT *, sum(CASE WHEN accepted = 0 THEN 0 ELSE 1 END) OVER (PARTITION BY source_id ORDER BY run_date) AS island FROM source_audit),
+e AS (SELECT source_id, run_date, accepted, sum(CASE WHEN accepted = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY source_id, island ORDER BY run_date) AS streak FROM m)
+SELECT source_id, run_date, 'fetch_error' AS kind FROM source_audit WHERE fetch_failed > 0 UNION ALL SELECT source_id, run_date, 'suspended_evidence' FROM source_audit WHERE candidates > 0 AND checked = 0
+UNION ALL SELECT source_id, run_date, 'at_limit' FROM source_audit WHERE candidates >= 4 UNION ALL SELECT source_id, run_date, 'stale_audit' FROM l WHERE date_diff('day', run_date, DATE '2024-02-02') > 7
+UNION ALL SELECT source_id, run_date, 'unknown_source' FROM l WHERE source_id NOT IN (SELECT source_id FROM c) UNION ALL SELECT source_id, NULL, 'not_audited' FROM c WHERE source_id NOT IN (SELECT source_id FROM l)
+UNION ALL SELECT source_id, run_date, 'repeatedly_empty' FROM e WHERE accepted = 0 AND streak = 3
+UNION ALL SELECT min(a.source_id), run_date, 'region_unreachable' FROM source_audit a JOIN c ON a.source_id = c.source_id GROUP BY region, run_date HAVING bool_and(fetch_failed > 0)""",
+)(lambda v: source_warnings(v.source_audit, v.stations.filter("id % 7 > 0").select(F.col("id").alias("source_id"), "region"), "2024-02-02", 4))
 
 # Windows and orders -----------------------------------------------------------------------------------------------
 query("WIN-05", "WITH m AS (SELECT *, fetch_failed > 0 AS a, sum(CASE WHEN fetch_failed > 0 THEN 0 ELSE 1 END) OVER (PARTITION BY source_id ORDER BY run_date) AS island FROM source_audit) SELECT source_id, run_date, CASE WHEN a THEN CAST(sum(CASE WHEN a THEN 1 ELSE 0 END) OVER (PARTITION BY source_id, island ORDER BY run_date) AS BIGINT) ELSE 0 END AS streak FROM m")(
@@ -172,12 +211,14 @@ def _queue_sql(limit):
 
 
 query("SRT-02", _queue_sql(120))(lambda v: _queue(v, 120))
-query("SRT-03", _queue_sql(150))(lambda v: _queue(v, 150))
+query("SRT-03", "SELECT event_id AS id, url FROM new_feed ORDER BY CASE substring(title, 1, 1) WHEN '1' THEN 1 WHEN '2' THEN 2 WHEN '3' THEN 3 ELSE 99 END, CASE status WHEN 'scheduled' THEN 1 ELSE 99 END, feed, url, event_id LIMIT 150")(
+    lambda v: S.ranked_queue(v.new_feed.withColumn("priority", F.substring("title", 1, 1)), {"priority": {"1": 1, "2": 2, "3": 3}, "status": {"scheduled": 1}}, ["feed", "url", "event_id"], 150).select(F.col("event_id").alias("id"), "url")
+)
 query("SRT-04", "SELECT region, count(*) AS gap, CASE WHEN count(*) > 300 THEN 1 ELSE 2 END AS action_rank FROM stations WHERE id NOT IN (SELECT source_id FROM source_audit) GROUP BY region ORDER BY 3, 2 DESC, 1")(
     lambda v: v.stations.join(v.source_audit.select(F.col("source_id").alias("id")), "id", "left_anti").groupBy("region").agg(F.count("*").alias("gap")).withColumn("action_rank", F.when(F.col("gap") > 300, 1).otherwise(2)).orderBy("action_rank", F.desc("gap"), "region")
 )
-query("SRT-05", "SELECT id FROM stations ORDER BY CASE WHEN prefecture IN ('NATION_3', 'NATION_7') THEN 0 ELSE 1 END, id % 3, id LIMIT 50")(
-    lambda v: v.stations.orderBy(F.when(F.col("prefecture").isin("NATION_3", "NATION_7"), 0).otherwise(1), F.col("id") % 3, "id").limit(50).select("id")
+query("SRT-05", "SELECT id, (SELECT count(*) FROM stations) - 50 AS remaining FROM stations ORDER BY CASE WHEN prefecture IN ('NATION_3', 'NATION_7') THEN 0 ELSE 1 END, id % 3, id LIMIT 50")(
+    lambda v: S.shortlist(v.stations, [F.when(F.col("prefecture").isin("NATION_3", "NATION_7"), 0).otherwise(1), F.col("id") % 3, F.col("id")], 50).select("id", "remaining")
 )
 query("SRT-06", "SELECT id FROM stations ORDER BY CASE WHEN prefecture = 'NATION_5' THEN 0 ELSE 1 END, CASE category WHEN 'BUILDING' THEN 1 WHEN 'MACHINERY' THEN 2 ELSE 99 END, id LIMIT 96")(
     lambda v: S.ranked_queue(v.stations.withColumn("urgent", F.when(F.col("prefecture") == "NATION_5", "y").otherwise("n")), {"urgent": {"y": 0, "n": 1}, "category": {"BUILDING": 1, "MACHINERY": 2}}, ["id"], 96).select("id")

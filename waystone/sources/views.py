@@ -25,7 +25,7 @@ FROM {orders} o JOIN {customer} c ON o.o_custkey = c.c_custkey JOIN {nation} n O
     "article_lines": """SELECT l.l_orderkey AS article_id, l.l_linenumber AS line_no,
   CASE WHEN l.l_linenumber % 4 = 1 THEN concat('【', p.p_brand, '】', p.p_type, '祭')
     WHEN l.l_linenumber % 4 = 2 THEN concat('開催日時：令和', CAST(year(l.l_shipdate) - 1988 AS VARCHAR(10)), '年', CAST(month(l.l_shipdate) AS VARCHAR(10)), '月', CAST(day(l.l_shipdate) AS VARCHAR(10)), '日')
-    WHEN l.l_linenumber % 4 = 3 THEN concat('会場：道の駅 ', s.s_name) ELSE p.p_name END AS line_text
+    WHEN l.l_linenumber % 4 = 3 THEN concat('会場：道の駅 ', s.s_name) WHEN l.l_orderkey % 29 = 0 THEN concat(p.p_name, ' 中止') ELSE p.p_name END AS line_text
 FROM {lineitem} l JOIN {part} p ON l.l_partkey = p.p_partkey JOIN {supplier} s ON l.l_suppkey = s.s_suppkey""",
     "source_audit": """SELECT user_id AS source_id, CAST(ts AS DATE) AS run_date, CAST(COUNT(*) AS BIGINT) AS candidates,
   CAST(SUM(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS fetch_failed, CAST(SUM(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS BIGINT) AS accepted,

@@ -121,27 +121,35 @@ def without_repeats(snapshots: DataFrame, keys: list[str], late: str = "100 days
 
 
 def daily_counts(events: DataFrame, late: str = "1 day") -> DataFrame:
-    """STM-07: counts of each day and kind."""
+    """STM-07: counts of each day and kind. In append mode a day comes once the watermark has passed it, and its state goes."""
     w = F.window("ts", "1 day")
     return events.withWatermark("ts", late).groupBy(w, "event_type").agg(F.count("*").alias("n")).select(F.to_date("window.start").alias("day"), "event_type", "n")
 
 
-def merged(stream: DataFrame, published: DataFrame, as_of: str) -> DataFrame:
-    """STM-02: each batch is reconciled with what is published, as a new version of the table; the last one is returned."""
+def merged(stream: DataFrame, published: DataFrame, as_of: str, root: str | None = None) -> DataFrame:
+    """STM-02: each batch is reconciled with what is published, as a new version of the table; the last one is returned.
+
+    Batch n reads version n and writes version n + 1, so a batch that is run again, also after a restart on the same
+    `root`, finds what it found before; nothing is kept in the driver.
+    """
     spark = stream.sparkSession
-    root = scratch(spark)
-    published.write.parquet(f"{root}/v0")
-    version = [f"{root}/v0"]
+    root = root or scratch(spark)
+    fs = spark._jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    done = lambda n: fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/v{n}/_SUCCESS"))
+    if not done(0):
+        published.write.mode("overwrite").parquet(f"{root}/v0")
 
     def each(batch: DataFrame, n: int) -> None:
-        path = f"{root}/v{n + 1}"
-        held = spark.read.schema(published.schema).parquet(version[0])
+        held = batch.sparkSession.read.schema(published.schema).parquet(f"{root}/v{n}")
         got = R.reconcile(held, batch, as_of)["published"].select(*published.columns)
-        got.write.mode("overwrite").parquet(path)  # a repeated batch writes the same version again
-        version[0] = path
+        got.write.mode("overwrite").parquet(f"{root}/v{n + 1}")
 
-    drained(stream, "append", each)
-    return spark.read.schema(published.schema).parquet(version[0])
+    writer = stream.writeStream.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).foreachBatch(each)
+    writer.start().awaitTermination()
+    last = 0
+    while done(last + 1):
+        last += 1
+    return spark.read.schema(published.schema).parquet(f"{root}/v{last}")
 
 
 def snapped_visits(visits: DataFrame, places: DataFrame, most_km: float = 0.3) -> DataFrame:
