@@ -1,8 +1,8 @@
 """Licence scan: Aho-Corasick over words, and licence expressions by a shunting-yard parser.
 
 One automaton holds all notice phrases and the identifier tag. Texts are lower-cased (A-Z) and their words joined by
-single spaces, so a phrase matches where its words stand consecutively, whatever stands between them. Expressions after
-an identifier tag are parsed from the raw text.
+single spaces, so a phrase matches where its words stand consecutively, whatever stands between them. Where the tag is
+found, the expression behind it, to the end of its line, is parsed from the raw text.
 """
 
 from __future__ import annotations
@@ -37,7 +37,9 @@ MORE = {
 #: Labels that allow free reuse.
 FREE = {"mit", "apache", "bsd", "mpl", "cc-by", "cc-by-sa", "public-domain", "cc"}
 TAG = "spdx license identifier"
-_TAG_LINE = re.compile(r"(?i)SPDX-License-Identifier:[ \t]*([^\r\n]*)")
+#: What stands between an identifier tag's words and its expression, which ends with the line.
+_AFTER_TAG = re.compile(rb"[ \t]*:[ \t]*([^\r\n]*)")
+_RUN = re.compile(rb"[^ ]+")
 _TOKEN = re.compile(r"\(|\)|[A-Za-z0-9.+:-]+")
 _PRIORITY = {"or": 1, "and": 2, "with": 3}
 _WORDS = bytes(32 if NOT_ALNUM[LOWER_BYTES[i]] else LOWER_BYTES[i] for i in range(256))
@@ -118,9 +120,11 @@ def _automaton():
 
 def scan(text: str, found) -> tuple[int, list[dict], str, str, float]:
     """Words, places of base phrases, base labels, all labels and score of one text."""
-    words = text.encode().translate(_WORDS).split()
+    raw = text.encode()
+    flat = raw.translate(_WORDS)
+    words = flat.split()
     joined = " " + b" ".join(words).decode() + " "
-    places, base, more, tagged = [], set(), set(), False
+    places, base, more, tags = [], set(), set(), []
     at, word = 0, 0
     hits = sorted((end - len(p) - 1, p) for end, p in found.iter(joined))
     for start, phrase in hits:
@@ -130,13 +134,16 @@ def scan(text: str, found) -> tuple[int, list[dict], str, str, float]:
             places.append({"phrase": phrase, "word": word})
             base.add(BASE[phrase])
         elif phrase == TAG:
-            tagged = True
+            tags.append(word + TAG.count(" "))
         else:
             more.add(MORE[phrase])
     free = [1.0 if x in FREE else 0.0 for x in base | more]
-    if tagged:
-        for m in _TAG_LINE.finditer(text):
-            postfix = parse(m[1])
+    if tags:
+        # translation keeps every byte's place, so a tag's last word tells where its expression begins
+        ends = [m.end() for m in _RUN.finditer(flat)]
+        for last in tags:
+            m = _AFTER_TAG.match(raw, ends[last])
+            postfix = parse(m[1].decode(errors="replace")) if m else None
             if postfix:
                 labels, use = evaluate(postfix)
                 more |= labels
