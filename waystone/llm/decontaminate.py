@@ -4,7 +4,8 @@ Documents are read in shards of bounded size. Each shard gets a word-level suffi
 of every benchmark item is binary-searched in it, for all suffixes at once, one word deeper at each step. That gives
 the longest verbatim match of each test suffix and its places. Documents never leave their task: there is no shuffle.
 
-The benchmark is sent to the tasks in blocks of at most `block_words` words, each a further pass over the same rows.
+The benchmark is sent to the tasks in blocks of at most `block_words` words (an item is not cut), one block at a time:
+each is a further pass over the rows, and all but the last write their result before the next block is read.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import blocks as B
 from . import textarrays as T
 
 SHARD_BYTES = 4 << 20
@@ -174,9 +176,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "te
     null reads as the empty string. Other columns of `docs` stay; own ones named `matches`, `n_words`, `n_hit` give way.
     """
     docs = docs.drop("matches", "n_words", "n_hit")
-    out = docs
+    out, held = docs, None
     for ids, texts in _blocks(benchmark, item, item_text, block_words):
-        suites = docs.sparkSession.sparkContext.broadcast(Suites(ids, texts, window))
+        if held is not None:
+            out = B.written(out)
+            held.destroy()
+        held = suites = docs.sparkSession.sparkContext.broadcast(Suites(ids, texts, window))
         names = out.columns
         keep = [f for f in out.schema.fields if f.name not in ("_matches", "_n_words", "_n_hit")]
         schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), f"_matches {MATCHES}", "_n_words bigint", "_n_hit bigint"])
