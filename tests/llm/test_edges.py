@@ -52,6 +52,49 @@ def test_odd_rows(spark, name):
         assert {r.doc_id for r in got} == {r[0] for r in ROWS}
 
 
+#: What rows 2 (null), 3 (empty) and 4 (white space) give.
+BARE = {
+    "decontaminate": lambda r: (r.n_words, r.n_hit, r.matches) == (0, 0, []),
+    "jaccard": lambda r: (r.n_shingles, r.component_id) == (0, r.doc_id),
+    "lines": lambda r: (r.n_words, r.word_chars, r.n_repeat_words, r.n_left, r.base_failed, r.kept) == (0, 0, 0, 0, True, False),
+    "licenses": lambda r: (r.n_words, r.places, r.base_labels, r.labels, r.score) == (0, [], "", "", 0.5),
+    "language": lambda r: (r.lang_pred, r.score, r.accepted) == ("und", 0.0, False),
+    "substrings": lambda r: (r.n_words, r.n_removed, r.kept_text, r.factors) == (0, 0, "", []),
+    "ppm": lambda r: r.n_tokens == 1 and r.score < 0,
+    "quality": lambda r: 0 <= r.score <= 1 and r.focus == 0,
+    "toxicity": lambda r: 0 <= r.score <= 1,
+}
+
+
+@pytest.mark.parametrize("name", BARE)
+def test_texts_without_words(spark, name):
+    got = {r.doc_id: r for r in OPERATORS[name](*tables(spark, ROWS)).collect() if r.doc_id in (2, 3, 4)}
+    assert all(BARE[name](r) for r in got.values()), got
+    if "score" in got[2]:
+        assert got[2].score == got[3].score
+
+
+def test_null_ids_and_repeated_rows(spark):
+    d, labels, bench = tables(spark, ROWS)
+    same = [r for r in jaccard.near_copies(d).collect() if r.doc_id in (1, None)]
+    assert [(r.doc_id, r.component_id) for r in sorted(same, key=str)] == [(1, 1), (1, 1), (None, 1)]
+    assert {r.doc_id: r.n_hit for r in decontaminate.find_contamination(d, bench).collect() if r.doc_id in (1, None)} == {1: 6, None: 6}
+    long = {r.doc_id: r for r in substrings.remove_repeats(d).collect()}[5]
+    assert (long.n_words, long.n_removed) == (27000, 27000)
+
+
+def test_ties(spark):
+    """Equal passages: the first has the focus. Equal languages: the first by name. Equal documents: each is packed."""
+    d = spark.createDataFrame([(i, " ".join(["same words again"] * 100), "ba"[i % 2]) for i in range(40)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    assert {r.focus for r in quality_model.score_quality(d.filter("doc_id = 1").withColumn("text", F.expr("substring(text, 1, 0)")), quality_model.fit(d, labels)).collect()} == {0}
+    tool = language.fit(d, F.lit(True))
+    assert {r.lang_pred for r in language.identify(d, tool).collect()} == {"a"}
+    packed = packing.pack_sequences(d, queries.tokenizer()).collect()
+    total = sum(r.length for r in packed)
+    assert {r.doc_id for r in packed} == set(range(40)) and total == 40 * packed[0].doc_tokens and len({(r.doc_id, r.start) for r in packed}) == len(packed)
+
+
 @pytest.mark.parametrize("name", OPERATORS)
 def test_empty_tables(spark, name):
     assert OPERATORS[name](*tables(spark, [])).collect() == []
