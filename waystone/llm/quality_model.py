@@ -1,7 +1,8 @@
 """Quality classifier by attention-based multiple-instance learning.
 
-A text is a bag of passages (runs of `PASSAGE` words). A passage is encoded from its bytes and words alone; a gated
-attention, softmax over w . (tanh(V h) * sigmoid(U h)), weights the encoded passages; the weighted sum is scored. Only
+A text is a bag of passages (runs of `PASSAGE` words). A passage is encoded from its bytes and words alone: shares of
+kinds of bytes, lengths, repeats, and embeddings of its words and word pairs, each a mean of SKETCH signs that a hash
+gives to every word or pair. A gated attention, softmax over w . (tanh(V h) * sigmoid(U h)), weights the encoded passages; the weighted sum is scored. Only
 documents have labels: the attention learns which passages matter.
 """
 
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from . import textarrays as T
 from .sampling import labelled
 
-PASSAGE, SHAPES, HIDDEN, GATE = 64, 16, 16, 8
+PASSAGE, SKETCH, HIDDEN, GATE = 64, 32, 16, 8
 #: Labelled texts that the model is fitted on, at most.
 FIT_ROWS = 5_000
 
@@ -31,7 +32,7 @@ _CLASS[128:] = 6
 _CLASS[T.WHITE] = 7
 _CLASS[10] = 8
 _CLASSES = 9
-WIDTH = _CLASSES + 9 + SHAPES
+WIDTH = _CLASSES + 9 + 2 * SKETCH
 
 
 def passages(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -83,8 +84,13 @@ def passages(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     out[:, k + 6] = sums(length == 1) / has
     out[:, k + 7] = np.log1p(size) / 5
     out[:, k + 8] = np.log1p(words.counts)[np.repeat(np.arange(n), counts)] / 10
-    shape = (hashes >> np.uint64(60)).astype(np.int64)
-    out[:, k + 9 :] = np.bincount(of * SHAPES + shape, minlength=m * SHAPES).reshape(m, SHAPES) / has[:, None]
+    place = of[head]
+    pair = T.mix(hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashes[1:])
+    pair = np.append(pair, np.uint64(0))  # a passage's last pair reaches into the next one
+    for j, key in enumerate((T.mix(hashes), pair)):
+        signs = np.unpackbits(key.view(np.uint8).reshape(-1, 8)[:, : SKETCH // 8], axis=1)
+        mean = np.add.reduceat(signs, head, axis=0, dtype=np.float32) / size[place][:, None]
+        out[place, k + 9 + j * SKETCH : k + 9 + (j + 1) * SKETCH] = 2 * mean - 1
     return out, first
 
 
