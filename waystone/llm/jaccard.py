@@ -473,7 +473,7 @@ class Join:
         profiled = held.mapInArrow(_profiled(n, num, den), PROFILE).dropDuplicates(["_set"])
         profiled.write.format("parquet").option("compression", "zstd").bucketBy(B.partitions(self.spark), "_set").saveAsTable(self.table)
         self.profiles = self.spark.table(self.table)
-        self.entries = scratch.written(self.buckets.join(self.profiles.select(F.col("_set").alias("set"), "_bits"), "set"))
+        self.entries = self.buckets
 
     def __enter__(self) -> Join:
         return self
@@ -495,18 +495,21 @@ class Join:
 
     def candidates(self, root: DataFrame | None, most: float) -> DataFrame:
         """(a, b, whole): pairs of different components that share a bucket and pass the filters; see _compared."""
-        rows, h = self.entries if root is not None else self.entries.filter(F.col("at") < LEADING), F.pmod(F.xxhash64("set"), F.lit(1 << 30))
+        h = F.pmod(F.xxhash64("set"), F.lit(1 << 30))
         deal = lambda n: F.ceil(F.col(n) / TILE).cast("bigint")
+        whole, own = F.lit(-1).cast("bigint"), ["token", "set", "size", "at"]
         if root is None:
-            n = rows.groupBy("token").agg(F.count("*").alias("_n")).filter(F.col("_n") > TILE)
-            rows = rows.withColumn("root", F.col("set")).join(n, "token", "left")
-            rows = rows.withColumn("_side", F.when(F.col("_n").isNull(), F.lit(0)).otherwise(h % deal("_n"))).withColumn("_tile", F.when(F.col("_n").isNull(), F.lit(-1)).otherwise(F.col("_side") * ((1 << 20) + 1)))
+            rows = self.entries.filter(F.col("at") < LEADING)
+            rows = rows.join(rows.groupBy("token").agg(F.count("*").alias("_n")).filter("_n > 1"), "token").withColumn("root", F.col("set"))
+            rows = rows.withColumn("_side", h % deal("_n")).withColumn("_tile", F.when(F.col("_n") <= TILE, whole).otherwise(F.col("_side") * ((1 << 20) + 1)))
         else:
-            rows = rows.join(root, rows["set"] == root["node"], "left").select("token", "set", "size", "at", "_bits", F.coalesce("root", "set").alias("root"))
+            rows = self.entries.join(root, self.entries["set"] == root["node"], "left").select(*own, F.coalesce("root", "set").alias("root"))
             each = rows.groupBy("token", "root").agg(F.count("*").alias("n"))
             each = each.groupBy("token").agg(F.sum("n").alias("_n"), F.max(F.struct("n", "root")).alias("_top"), F.count("*").alias("_roots")).filter("_roots > 1")
             each = each.select("token", "_n", F.col("_top.root").alias("_top"), (F.col("_n") - F.col("_top.n")).alias("_rest"))
-            rows = rows.join(each, "token")
+            # components only grow, so a bucket of one component has nothing to offer any more
+            rows = self.scratch.written(rows.join(each, "token"))
+            self.entries = rows.select(*own)
             # members of the largest component are dealt to the first sides, the others to the sides behind them; a tile
             # has a side of others and one more side
             k, o = deal("_n"), deal("_rest")
@@ -514,9 +517,10 @@ class Join:
             rows = rows.withColumn("_k", k).withColumn("_o", o).withColumn("_side", F.when(k == 1, F.lit(0)).otherwise(side))
             others = F.transform(F.sequence(F.lit(0), F.col("_k") + F.col("_o") - 1), lambda x: F.least(x, F.col("_side")) * (1 << 20) + F.greatest(x, F.col("_side")))
             tops = F.transform(F.sequence(F.col("_k"), F.col("_k") + F.col("_o") - 1), lambda x: F.col("_side") * (1 << 20) + x)
-            rows = rows.withColumn("_tile", F.explode(F.when(F.col("_k") == 1, F.array(F.lit(-1).cast("bigint"))).when(F.col("_side") < F.col("_k"), tops).otherwise(others)))
+            rows = rows.withColumn("_tile", F.explode(F.when(F.col("_k") == 1, F.array(whole)).when(F.col("_side") < F.col("_k"), tops).otherwise(others)))
+        rows = rows.join(self.profiles.select(F.col("_set").alias("set"), "_bits"), "set")
         key = F.pmod(F.xxhash64("token", "_tile"), F.lit(2 * self.blocks))
-        rows = rows.select("token", "set", "size", "at", "root", "_bits", F.col("_side").cast("bigint"), F.col("_tile").cast("bigint"), key.alias("_block"))
+        rows = rows.select(*own, "root", "_bits", F.col("_side").cast("bigint"), F.col("_tile").cast("bigint"), key.alias("_block"))
         return rows.groupBy("_block").applyInArrow(_compared(self.num, self.den, root is None, most), "a bigint, b bigint, whole boolean")
 
     def links(self) -> tuple[DataFrame, DataFrame]:
@@ -533,7 +537,7 @@ class Join:
             # the first round that offered every pair of all buckets ends it
             if not thin:
                 return tried.filter("linked").select("a", "b"), root
-            most = 8 * most if most < 64 else float("inf")
+            most = {1.0: 2.0, 2.0: 16.0}.get(most, float("inf"))
 
 
 def near_copies(docs: DataFrame, *, id: str = "doc_id", text: str = "text", n: int = 4, num: int = 85, den: int = 100, **options) -> DataFrame:
