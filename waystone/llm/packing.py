@@ -11,6 +11,8 @@ windows of its own. The end of that stream is cut into sequences whose lengths a
 from __future__ import annotations
 
 import itertools
+import re
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -23,16 +25,26 @@ BINS, DEPTH = 64, 3
 SHARD_TOKENS = 8_000_000
 #: Words whose ids a worker keeps; about 250 bytes each.
 CACHED_WORDS = 500_000
-#: New words that are encoded at once.
-WORDS_AT_ONCE = 5_000
 END_ID = 0
 
 
+#: Words that a byte-level file splits into their letters and the signs behind them, if at all.
+_SIMPLE = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\[-`{-~]*)")
+
+
+def byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte in a byte-level vocabulary, for str.translate: bytes that print stand for
+    themselves, the others for the letters from 256 on, in their order."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: b for b in shown} | {b: 256 + i for i, b in enumerate(hidden)}
+
+
 class Encoder:
     """Ids of texts by a tokenizer file.
 
     Where the file's splits never join what a single space separates, each word is encoded once and kept while there is
-    room. New words are encoded many at a time, apart by line ends, which are pieces of their own.
+    room: plain words go straight to the file's model, others through its splits first.
     """
 
     def __init__(self, path: str) -> None:
@@ -47,24 +59,27 @@ class Encoder:
         self.by_word = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not made.get("normalizer")
         self.special = [x["content"] for x in made.get("added_tokens") or []]
         self.known: dict[str, bytes] = {}
-        self.line_end = self.whole.encode("a\n b", add_special_tokens=False).ids[1:2] if self.by_word else []
+        self.letters = byte_letters()
+        self.space = chr(self.letters[32])
 
     def _each(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", x.ids).tobytes() for x in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _words(self, words: list[str]) -> list[bytes]:
         """Ids of words with a space before each."""
-        plain = [w for w in words if w and w.split() == [w]]
-        ids = np.array(self.whole.encode_batch_fast(["\n".join(" " + w for w in plain)], add_special_tokens=False)[0].ids, "<u4")
-        ends = np.append(np.flatnonzero(ids == self.line_end[0]), len(ids))
-        if len(ends) != len(plain):  # an id of line ends inside a word: not so plain after all
-            return self._each([" " + w for w in words])
-        at = np.concatenate([[0], ends[:-1] + 1])
-        raw = ids.tobytes()
-        out = {w: raw[4 * i : 4 * j] for w, i, j in zip(plain, at.tolist(), ends.tolist(), strict=True)}
-        other = [w for w in words if w not in out]
-        out |= zip(other, self._each([" " + w for w in other]), strict=True)
-        return [out[w] for w in words]
+        tokenize, split, letters = self.whole.model.tokenize, self.whole.pre_tokenizer.pre_tokenize_str, self.letters
+        out, tails = [], {"": []}
+        for w in words:
+            m = _SIMPLE.fullmatch(w)
+            if m:
+                body, signs = m.groups()
+                if signs not in tails:
+                    tails[signs] = [t.id for t in tokenize(signs)]
+                ids = [t.id for t in tokenize(self.space + (body if body.isascii() else body.encode().decode("latin-1").translate(letters)))] + tails[signs]
+            else:
+                ids = [t.id for part, _ in split(" " + w) for t in tokenize(part)]
+            out.append(array("I", ids).tobytes())
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
@@ -76,9 +91,7 @@ class Encoder:
             parts[i] = [""]
         known = self.known
         new = [w for w in set().union(*(p[1:] for p in parts)) if w not in known]
-        for at in range(0, len(new), WORDS_AT_ONCE):
-            some = new[at : at + WORDS_AT_ONCE]
-            known.update(zip(some, self._words(some), strict=True))
+        known.update(zip(new, self._words(new), strict=True))
         heads = self._each([p[0] for p in parts])
         get = known.__getitem__
         out = [h + b"".join(map(get, p[1:])) for h, p in zip(heads, parts, strict=True)]
