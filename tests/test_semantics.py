@@ -209,6 +209,18 @@ def test_quality_levels(spark):
     assert got == [(2, "critical", "duplicate"), (3, "critical", "missing_title"), (3, "review", "long_period"), (3, "review", "unknown_station"), (5, "critical", "invalid_date")]
 
 
+def test_review_priorities(spark):
+    as_of = F.lit("2026-06-01").cast("date")
+    texts = {"2024年の祭": "older_year_mentioned", "2024/2026": "date_and_venue_verification_needed", "令和 6年": "older_year_mentioned", "6月7日(日)": "date_and_venue_verification_needed", "6月7日（月）": "weekday_year_mismatch_check", "2月30日(月) 6月7日（月）": "date_in_title_needs_verification", "12026": "date_and_venue_verification_needed", "祭": "date_and_venue_verification_needed"}
+    assert {t: one(spark, t, lambda c: D.review_priority(c, F.lit("unknown"), as_of)) for t in texts} == texts
+    assert [one(spark, "2024年", lambda c, h=h: D.review_priority(c, F.lit(h), as_of)) for h in ("future", "past")] == ["future_schedule_hint", "older_year_mentioned"]
+
+
+def test_title_year_periods(spark):
+    got = [one(spark, t, lambda c: D.title_year_period(c, c)) for t in ("令和7年 3月1日", "令和7年 3月1日・3月2日", "令和7年 2月28日と3月1日", "令和7年 3月1日・3月3日", "令和7年 2月30日", "3月1日")]
+    assert [g and (g.start_date, g.end_date) for g in got] == [(day(2025, 3, 1), day(2025, 3, 1)), (day(2025, 3, 1), day(2025, 3, 2)), (day(2025, 2, 28), day(2025, 3, 1)), None, None, None]
+
+
 def test_nearest_without_limit(spark):
     points = spark.createDataFrame([(1, 35.0, 135.0), (2, -40.0, -70.0)], "visit_id long, lat double, lng double")
     places = spark.createDataFrame([(7, 35.5, 135.0), (8, 36.0, 135.0)], "id long, lat double, lng double")

@@ -100,16 +100,26 @@ def schedule_hint(c: Column, as_of: Column) -> Column:
     return F.when(day.isNull(), "unknown").when(day >= as_of, "future").otherwise("past")
 
 
-def review_priority(c: Column, as_of: Column) -> Column:
-    """DAT-08: 4 for an older year, 3 for a date that does not exist, 2 for a past date, else 1; the largest counts."""
-    found = F.regexp_extract_all(c, F.lit("([0-9]{4}[年/.][0-9]{1,2}[月/.][0-9]{1,2})"), F.lit(1))
+#: A month, a day and its printed weekday.
+MARKED_DAY = "([0-9]{1,2})月 *([0-9]{1,2})日 *[(（]([月火水木金土日])[)）]"
 
-    def rank(x: Column) -> Column:
-        y, m, d = (_int(F.regexp_extract(x, p, 1)) for p in ("^([0-9]{4})", "[年/.]([0-9]{1,2})[月/.]", "([0-9]{1,2})$"))
-        day = safe_date(y, m, d)
-        return F.when(y < F.year(as_of), 4).when(day.isNull(), 3).when(day < as_of, 2).otherwise(1)
 
-    return F.coalesce(F.array_max(F.transform(found, rank)), F.lit(1))
+def review_priority(c: Column, hint: Column, as_of: Column) -> Column:
+    """DAT-08: why a notice should be looked at, by the first of: a hint of a future schedule, only older years (of four
+    digits or of an era), a day that this year does not have, a weekday that is another this year, a hint of a past
+    schedule, nothing of these. It only orders a queue."""
+    runs = F.regexp_replace(c, "([0-9]+)", " $1 ")
+    years = F.concat(F.transform(F.regexp_extract_all(runs, F.lit(" (20[0-9]{2}) "), F.lit(1)), lambda x: x.cast("int")), F.transform(F.regexp_extract_all(c, F.lit("令和 *([0-9]{1,2})年"), F.lit(1)), lambda x: x.cast("int") + 2018))
+    parts = F.arrays_zip(*[F.regexp_extract_all(c, F.lit(MARKED_DAY), F.lit(k)).alias(n) for k, n in ((1, "m"), (2, "d"), (3, "w"))])
+
+    def judged(x: Column) -> Column:
+        day = safe_date(F.year(as_of), _int(x["m"]), _int(x["d"]))
+        sign = F.substring(F.lit(WEEKDAYS), F.weekday(day) + 1, F.lit(1))
+        return F.when(day.isNull(), "date_in_title_needs_verification").when(sign != x["w"], "weekday_year_mismatch_check")
+
+    first = F.try_element_at(F.array_compact(F.transform(parts, judged)), F.lit(1))
+    rule = F.when(hint == "future", "future_schedule_hint").when(F.array_max(years) < F.year(as_of), "older_year_mentioned").when(first.isNotNull(), first)
+    return rule.when(hint == "past", "past_schedule_hint").otherwise("date_and_venue_verification_needed")
 
 
 def opening_status(hours: Column, at: Column, manual: Column) -> Column:
@@ -137,11 +147,14 @@ def weekend_bucket(day: Column, as_of: Column) -> Column:
     return F.when(day <= as_of, 0).when((F.weekday(day) >= 5) & (day <= sunday), 1).otherwise(2)
 
 
-def title_year_day(title: Column, body: Column) -> Column:
-    """DAT-06: the era year of a title with the only month and day of its body; null if the body names several days."""
+def title_year_period(title: Column, body: Column) -> Column:
+    """DAT-06: (start, end) by the era year of a title and the month and day of its body: the only one, or two that follow
+    each other; null if the body names other days."""
     days = F.array_distinct(F.regexp_extract_all(body, F.lit("([0-9]{1,2}月[0-9]{1,2}日)"), F.lit(1)))
-    day = safe_date(era_year(title), _int(F.regexp_extract(days[0], "^([0-9]+)", 1)), _int(F.regexp_extract(days[0], "月([0-9]+)", 1)))
-    return F.when(F.size(days) == 1, day)
+    day = lambda k: safe_date(era_year(title), *[_int(F.regexp_extract(F.get(days, F.lit(k)), p, 1)) for p in ("^([0-9]+)", "月([0-9]+)")])
+    first, second = day(0), day(1)
+    ok = (F.size(days) == 1) & first.isNotNull() | (F.size(days) == 2) & (F.datediff(second, first) == 1)
+    return F.when(ok, F.struct(first.alias("start_date"), F.coalesce(second, first).alias("end_date")))
 
 
 def publication(rows, key: str, order: str, columns: list[str], as_of: str):

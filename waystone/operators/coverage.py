@@ -111,12 +111,19 @@ def without_secondary(rows: DataFrame, primary: Column, keys: list[str]) -> Data
     return rows.filter(primary).unionByName(rows.filter(~primary).join(main, keys, "left_anti"))
 
 
-def by_prefecture(prefectures: DataFrame, events: DataFrame, unconfirmed: DataFrame) -> DataFrame:
-    """AGG-01: events, stations, feeds, unconfirmed and state of every prefecture, those without rows included."""
+def by_prefecture(prefectures: DataFrame, events: DataFrame, unconfirmed: DataFrame, history: DataFrame, configured: DataFrame) -> DataFrame:
+    """AGG-01: events, stations, feeds, unconfirmed events, whether any was ever observed, configured sources, state and
+    next action of every prefecture, those without rows included. `history` and `configured` have a column prefecture."""
     e = events.groupBy("prefecture").agg(F.count("*").alias("events"), F.countDistinct("road_name").alias("stations"), F.countDistinct("feed").alias("feeds"))
     u = unconfirmed.groupBy("prefecture").agg(F.count("*").alias("unconfirmed"))
-    got = prefectures.join(e, "prefecture", "left").join(u, "prefecture", "left").fillna(0, ["events", "stations", "feeds", "unconfirmed"])
-    return got.withColumn("state", F.when(F.col("unconfirmed") > 0, "needs_reconfirmation").when(F.col("events") > 0, "events_observed").otherwise("no_registered_events"))
+    c = configured.groupBy("prefecture").agg(F.count("*").alias("configured"))
+    h = history.select("prefecture").distinct().withColumn("_ever", F.lit(True))
+    got = prefectures.join(e, "prefecture", "left").join(u, "prefecture", "left").join(c, "prefecture", "left").join(h, "prefecture", "left")
+    got = got.fillna(0, ["events", "stations", "feeds", "unconfirmed", "configured"])
+    rule = lambda *names: F.when(F.col("unconfirmed") > 0, names[0]).when(F.col("events") > 0, names[1]).when(F.col("configured") > 0, names[2]).otherwise(names[3])
+    state = rule("needs_reconfirmation", "events_observed", "targeted_feed_no_registered_events", "no_registered_events")
+    action = rule("recheck_known_event", "expand_station_coverage", "inspect_official_article_dates", "discover_prefecture_station_feeds")
+    return got.withColumns({"ever_observed": F.coalesce("_ever", F.col("events") > 0), "state": state, "next_action": action}).drop("_ever")
 
 
 def rolled_up(rows: DataFrame) -> DataFrame:
@@ -214,6 +221,40 @@ def zero_coverage_actions(zero: DataFrame, audit: DataFrame, leads: DataFrame) -
     return got.withColumn("next_action", F.when(F.col("sources") > 0, "verify_existing_adapter_rejections").otherwise("configure_and_verify_new_official_station_feed"))
 
 
+def same_set(a: DataFrame, b: DataFrame) -> DataFrame:
+    """AGG-12: whether two tables of one column hold the same values."""
+    odd = a.subtract(b).union(b.subtract(a))
+    return odd.agg((F.count("*") == 0).alias("ok"))
+
+
+def fresh(rows: DataFrame, day: str, as_of: str, most: int) -> DataFrame:
+    """AGG-12: whether the last day is `most` days old at most; false for no rows and for a day to come."""
+    return rows.agg(F.coalesce(F.datediff(F.lit(as_of).cast("date"), F.max(day)).between(0, most), F.lit(False)).alias("ok"))
+
+
+#: Titles and addresses of pages that only lead to notices.
+NAVIGATION = ("イベント", "イベント情報", "お知らせ", "催し")
+INDEX_PAGE = "/category/|/(?:events|news|notices|news-tag/event)/?$"
+
+
+def classified(notices: DataFrame, published: DataFrame, same: float = 0.75, near: float = 0.8) -> DataFrame:
+    """JN-20: (event_id, state) of each notice: published at its url with a like title (one contains the other, or the
+    ratio is `same` or more), at its url with another title, probably at another url of its station (`near`), not at all,
+    or of no known station. Navigation pages are left out.
+
+    Titles are compared once for each distinct (url, title) and (station, title), not for each row.
+    """
+    t = F.regexp_replace(F.lower("title"), r"[\s\-]", "")
+    n = notices.filter(~F.col("title").isin(*NAVIGATION) & ~F.rlike("url", F.lit(INDEX_PAGE))).select("event_id", "road_name", "url", t.alias("_t"))
+    o = published.select("road_name", "url", t.alias("_o"))
+    like = F.contains("_o", "_t") | F.contains("_t", "_o") | (ratio(F.col("_t"), F.col("_o")) >= same)
+    by_url = n.select("url", "_t").distinct().join(o.select("url", "_o").distinct(), "url").groupBy("url", "_t").agg(F.bool_or(like).alias("_same"))
+    by_name = n.select("road_name", "_t").distinct().join(o.select("road_name", "_o").distinct(), "road_name").groupBy("road_name", "_t").agg(F.bool_or(ratio(F.col("_t"), F.col("_o")) >= near).alias("_near"))
+    got = n.join(by_url, ["url", "_t"], "left").join(by_name, ["road_name", "_t"], "left")
+    state = F.when(F.col("_same"), "same_url_and_title").when(F.col("_same").isNotNull(), "same_url_title_differs").when(F.col("_near"), "possible_same_event_other_url").when(F.col("_near").isNotNull(), "unmatched_official_notice").otherwise("station_not_identified")
+    return got.select("event_id", state.alias("state"))
+
+
 def invariants(checks: list[tuple[str, DataFrame]]) -> DataFrame:
     """AGG-12: (name, ok) of checks that are each one row with a boolean `ok`."""
     return reduce(lambda a, b: a.unionByName(b), [df.select(F.lit(name).alias("name"), "ok") for name, df in checks])

@@ -184,21 +184,38 @@ query("DAT-04", period_sql("periods", more="len(regexp_extract_all(text, '[0-9]{
     lambda v: v.periods.select("event_id", D.strict_period(F.col("text"), F.col("published")).alias("p")).select("event_id", "p.start_date", "p.end_date")
 )
 query("DAT-05", period_sql("periods", year="explicit", end="required", max_span=9))(_period(D.Options(max_span=9, year="explicit", end="required")))
-_D6 = "concat(p_name, ' 令和7年開催 ', CAST(1 + p_partkey % 12 AS VARCHAR), '月', CAST(1 + p_partkey % 30 AS VARCHAR), '日', CASE WHEN p_partkey % 3 = 0 THEN concat(' ', CAST(1 + p_partkey % 11 AS VARCHAR), '月1日') ELSE '' END)"
+# one day, the next one too, or some other one too
+_D6 = "concat(p_name, ' 令和7年開催 ', CAST(1 + p_partkey % 12 AS VARCHAR), '月', CAST(1 + p_partkey % 30 AS VARCHAR), '日', CASE p_partkey % 3 WHEN 0 THEN concat(' ', CAST(1 + p_partkey % 11 AS VARCHAR), '月1日') WHEN 1 THEN concat('・', CAST(1 + p_partkey % 12 AS VARCHAR), '月', CAST(2 + p_partkey % 30 AS VARCHAR), '日') ELSE '' END)"
+_DAY6 = "TRY_CAST(concat(y, '-', lpad(regexp_extract(days[{0}], '^([0-9]+)', 1), 2, '0'), '-', lpad(regexp_extract(days[{0}], '月([0-9]+)', 1), 2, '0')) AS DATE)"
 query(
     "DAT-06",
-    f"WITH t AS (SELECT p_partkey AS id, {_D6} AS text FROM part), g AS (SELECT id, 2018 + CAST(regexp_extract(text, '令和([0-9]+)年', 1) AS INT) AS y, list_distinct(regexp_extract_all(text, '[0-9]{{1,2}}月[0-9]{{1,2}}日')) AS days FROM t) SELECT id, CASE WHEN len(days) = 1 THEN TRY_CAST(concat(y, '-', lpad(regexp_extract(days[1], '^([0-9]+)', 1), 2, '0'), '-', lpad(regexp_extract(days[1], '月([0-9]+)', 1), 2, '0')) AS DATE) END AS day FROM g",
-)(
-    lambda v: v.part.select(F.col("p_partkey").alias("id"), F.concat("p_name", F.lit(" 令和7年開催 "), F.col("p_partkey") % 12 + 1, F.lit("月"), F.col("p_partkey") % 30 + 1, F.lit("日"), F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit(" "), F.col("p_partkey") % 11 + 1, F.lit("月1日"))).otherwise("")).alias("text")).select("id", D.title_year_day(F.col("text"), F.col("text")).alias("day"))
-)
+    f"WITH t AS (SELECT p_partkey AS id, {_D6} AS text FROM part), m AS (SELECT id, 2018 + CAST(regexp_extract(text, '令和([0-9]+)年', 1) AS INT) AS y, regexp_extract_all(text, '[0-9]{{1,2}}月[0-9]{{1,2}}日') AS x FROM t), g AS (SELECT id, y, list_filter(x, lambda e, i: list_position(x, e) = i) AS days FROM m), d AS (SELECT *, {_DAY6.format(1)} AS a, {_DAY6.format(2)} AS b FROM g) SELECT id, CASE WHEN len(days) = 1 OR len(days) = 2 AND date_diff('day', a, b) = 1 THEN a END AS start_date, CASE WHEN len(days) = 1 THEN a WHEN len(days) = 2 AND date_diff('day', a, b) = 1 THEN b END AS end_date FROM d",
+)(lambda v: _title_periods(v))
+
+
+def _title_periods(v):
+    k = F.col("p_partkey")
+    more = F.when(k % 3 == 0, F.concat(F.lit(" "), k % 11 + 1, F.lit("月1日"))).when(k % 3 == 1, F.concat(F.lit("・"), k % 12 + 1, F.lit("月"), k % 30 + 2, F.lit("日"))).otherwise("")
+    text = F.concat("p_name", F.lit(" 令和7年開催 "), k % 12 + 1, F.lit("月"), k % 30 + 1, F.lit("日"), more)
+    return v.part.select(k.alias("id"), text.alias("text")).select("id", D.title_year_period(F.col("text"), F.col("text")).alias("p")).select("id", "p.start_date", "p.end_date")
+
+
 _FULL = "(?:開催|日時|期間)[^0-9]{0,8}([0-9]{4}[年/.][0-9]{1,2}[月/.][0-9]{1,2})"
 _AS_DAY = "TRY_CAST(concat(regexp_extract({0}, '^([0-9]{{4}})', 1), '-', lpad(regexp_extract({0}, '[年/.]([0-9]{{1,2}})[月/.]', 1), 2, '0'), '-', lpad(regexp_extract({0}, '([0-9]{{1,2}})$', 1), 2, '0')) AS DATE)"
 query("DAT-07", f"SELECT event_id, CASE WHEN d IS NULL THEN 'unknown' WHEN d >= DATE '{ERA_AS_OF}' THEN 'future' ELSE 'past' END AS hint FROM (SELECT event_id, {_AS_DAY.format('x')} AS d FROM (SELECT event_id, regexp_extract(text, '{_FULL}', 1) AS x FROM periods))")(
     lambda v: v.periods.select("event_id", D.schedule_hint(F.col("text"), F.lit(ERA_AS_OF).cast("date")).alias("hint"))
 )
-query("DAT-08", f"SELECT event_id, CAST(coalesce(list_max(list_transform(regexp_extract_all(text, '[0-9]{{4}}[年/.][0-9]{{1,2}}[月/.][0-9]{{1,2}}'), lambda x: CASE WHEN CAST(substring(x, 1, 4) AS INT) < 2026 THEN 4 WHEN {_AS_DAY.format('x')} IS NULL THEN 3 WHEN {_AS_DAY.format('x')} < DATE '{ERA_AS_OF}' THEN 2 ELSE 1 END)), 1) AS INT) AS priority FROM periods")(
-    lambda v: v.periods.select("event_id", D.review_priority(F.col("text"), F.lit(ERA_AS_OF).cast("date")).alias("priority"))
-)
+_MARK = "([0-9]{1,2})月 *([0-9]{1,2})日 *[(（]([月火水木金土日])[)）]"
+_Y8 = ERA_AS_OF[:4]
+_D8 = f"TRY_CAST(concat('{_Y8}-', lpad(m[i], 2, '0'), '-', lpad(d[i], 2, '0')) AS DATE)"
+query(
+    "DAT-08",
+    f"""WITH h AS (SELECT event_id, text, CASE WHEN d IS NULL THEN 'unknown' WHEN d >= DATE '{ERA_AS_OF}' THEN 'future' ELSE 'past' END AS hint FROM (SELECT event_id, text, {_AS_DAY.format('x')} AS d FROM (SELECT event_id, text, regexp_extract(text, '{_FULL}', 1) AS x FROM periods))),
+p AS (SELECT event_id, hint, list_max(list_concat(list_transform(regexp_extract_all(regexp_replace(text, '([0-9]+)', ' \\1 ', 'g'), ' (20[0-9]{{2}}) ', 1), lambda x: CAST(x AS INT)), list_transform(regexp_extract_all(text, '令和 *([0-9]{{1,2}})年', 1), lambda x: CAST(x AS INT) + 2018))) AS top,
+  regexp_extract_all(text, '{_MARK}', 1) AS m, regexp_extract_all(text, '{_MARK}', 2) AS d, regexp_extract_all(text, '{_MARK}', 3) AS w FROM h),
+k AS (SELECT *, list_filter(list_transform(range(1, len(m) + 1), lambda i: CASE WHEN {_D8} IS NULL THEN 'date_in_title_needs_verification' WHEN substring('月火水木金土日', isodow({_D8}), 1) <> w[i] THEN 'weekday_year_mismatch_check' END), lambda x: x IS NOT NULL) AS bad FROM p)
+SELECT event_id, CASE WHEN hint = 'future' THEN 'future_schedule_hint' WHEN top < {_Y8} THEN 'older_year_mentioned' WHEN len(bad) > 0 THEN bad[1] WHEN hint = 'past' THEN 'past_schedule_hint' ELSE 'date_and_venue_verification_needed' END AS priority FROM k""",
+)(lambda v: v.periods.select("event_id", D.review_priority(F.col("text"), D.schedule_hint(F.col("text"), F.lit(ERA_AS_OF).cast("date")), F.lit(ERA_AS_OF).cast("date")).alias("priority")))
 query(
     "DAT-09",
     "SELECT article_id, min({'r': r, 'd': d}).d AS published FROM (SELECT l_orderkey AS article_id, CAST(l_shipdate AS DATE) + CAST(l_linenumber % 3 * 30 AS INT) AS d, l_linenumber * 2 AS r FROM lineitem UNION ALL SELECT l_orderkey, CAST(l_shipdate AS DATE), l_linenumber * 2 + 1 FROM lineitem) WHERE d <= DATE '1997-06-01' GROUP BY article_id",

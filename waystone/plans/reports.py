@@ -63,27 +63,39 @@ query("JN-18", "SELECT event_id FROM events_pub e WHERE feed < 3 OR NOT EXISTS (
 query("JN-19", "SELECT source_id, kind, priority FROM (SELECT DISTINCT user_id AS source_id, event_type AS kind FROM events) JOIN (VALUES ('error', 1), ('view', 3), ('click', 2)) r(kind, priority) USING (kind)")(
     lambda v: v.events.select(F.col("user_id").alias("source_id"), F.col("event_type").alias("kind")).distinct().withColumn("priority", F.try_element_at(F.create_map(F.lit("error"), F.lit(1), F.lit("view"), F.lit(3), F.lit("click"), F.lit(2)), F.col("kind"))).filter("priority is not null")
 )
+_NAV = "title IN ('イベント', 'イベント情報', 'お知らせ', '催し') OR contains(url, '/category/') OR regexp_matches(url, '/(events|news|notices|news-tag/event)/?$')"
+_T20 = "regexp_replace(lower({0}title), '[\\s\\-]', '', 'g')"
+_SIM = "1 - CAST(levenshtein(n.t, o.t) AS DOUBLE) / greatest(length(n.t), length(o.t), 1)"
 query(
     "JN-20",
-    "SELECT n.event_id, CASE WHEN o.url IS NOT NULL AND (contains(o.t, n.t) OR contains(n.t, o.t)) THEN 'same_url_and_title' WHEN o.url IS NOT NULL THEN 'same_url_title_differs' WHEN s.n > 0 THEN 'unmatched_official_notice' ELSE 'station_not_identified' END AS state FROM (SELECT *, regexp_replace(lower(title), '[\\s\\-]', '', 'g') AS t FROM new_feed) n LEFT JOIN (SELECT url, min(regexp_replace(lower(title), '[\\s\\-]', '', 'g')) AS t FROM old_feed GROUP BY url) o ON n.url = o.url LEFT JOIN (SELECT road_name, count(*) AS n FROM old_feed GROUP BY road_name) s ON n.road_name = s.road_name",
-)(lambda v: _classified(v))
-
-
-def _classified(v):
-    t = F.regexp_replace(F.lower("title"), r"[\s\-]", "")
-    o = v.old_feed.groupBy("url").agg(F.min(t).alias("ot"))
-    s = v.old_feed.groupBy("road_name").agg(F.count("*").alias("n"))
-    got = v.new_feed.withColumn("t", t).join(o, "url", "left").join(s, "road_name", "left")
-    same = F.contains("ot", "t") | F.contains("t", "ot")
-    return got.select("event_id", F.when(same, "same_url_and_title").when(F.col("ot").isNotNull(), "same_url_title_differs").when(F.col("n") > 0, "unmatched_official_notice").otherwise("station_not_identified").alias("state"))
+    f"""WITH n AS (SELECT event_id, road_name, url, {_T20.format('')} AS t FROM (SELECT * REPLACE (CASE WHEN event_id % 41 = 0 THEN 'イベント情報' ELSE title END AS title, CASE WHEN event_id % 7 = 0 THEN concat(url, '-b') ELSE url END AS url) FROM new_feed) WHERE NOT ({_NAV})),
+o AS (SELECT url, road_name, {_T20.format('')} AS t FROM old_feed),
+u AS (SELECT n.event_id, bool_or(contains(o.t, n.t) OR contains(n.t, o.t) OR {_SIM} >= 0.75) AS same FROM n JOIN o ON n.url = o.url GROUP BY n.event_id),
+r AS (SELECT n.event_id, bool_or({_SIM} >= 0.8) AS near FROM n JOIN o ON n.road_name = o.road_name GROUP BY n.event_id)
+SELECT n.event_id, CASE WHEN u.same THEN 'same_url_and_title' WHEN u.event_id IS NOT NULL THEN 'same_url_title_differs' WHEN r.near THEN 'possible_same_event_other_url' WHEN r.event_id IS NOT NULL THEN 'unmatched_official_notice' ELSE 'station_not_identified' END AS state FROM n LEFT JOIN u USING (event_id) LEFT JOIN r USING (event_id)""",
+)(
+    lambda v: C.classified(
+        v.new_feed.withColumns({"title": F.when(F.col("event_id") % 41 == 0, "イベント情報").otherwise(F.col("title")), "url": F.when(F.col("event_id") % 7 == 0, F.concat("url", F.lit("-b"))).otherwise(F.col("url"))}),
+        v.old_feed,
+    )
+)
 
 
 # Aggregations -----------------------------------------------------------------------------------------------------
 _UN = "SELECT prefecture FROM old_feed WHERE event_id % 97 = 0 AND prefecture < 'NATION_2'"
+_RULE01 = "CASE WHEN coalesce(u, 0) > 0 THEN '{0}' WHEN coalesce(events, 0) > 0 THEN '{1}' WHEN coalesce(c, 0) > 0 THEN '{2}' ELSE '{3}' END"
 query(
     "AGG-01",
-    f"SELECT n_name AS prefecture, coalesce(events, 0) AS events, coalesce(stations, 0) AS stations, coalesce(feeds, 0) AS feeds, coalesce(u, 0) AS unconfirmed, CASE WHEN coalesce(u, 0) > 0 THEN 'needs_reconfirmation' WHEN coalesce(events, 0) > 0 THEN 'events_observed' ELSE 'no_registered_events' END AS state FROM nation LEFT JOIN (SELECT prefecture, count(*) AS events, count(DISTINCT road_name) AS stations, count(DISTINCT feed) AS feeds FROM events_pub WHERE {_LIVE} AND prefecture < 'NATION_7' GROUP BY prefecture) e ON n_name = e.prefecture LEFT JOIN (SELECT prefecture, count(*) AS u FROM ({_UN}) GROUP BY prefecture) u ON n_name = u.prefecture",
-)(lambda v: C.by_prefecture(v.nation.select(F.col("n_name").alias("prefecture")), v.events_pub.filter(R.live(AS_OF) & (F.col("prefecture") < "NATION_7")), v.old_feed.filter((F.col("event_id") % 97 == 0) & (F.col("prefecture") < "NATION_2"))))
+    f"""SELECT n_name AS prefecture, coalesce(events, 0) AS events, coalesce(stations, 0) AS stations, coalesce(feeds, 0) AS feeds, coalesce(u, 0) AS unconfirmed, coalesce(c, 0) AS configured, h.prefecture IS NOT NULL OR coalesce(events, 0) > 0 AS ever_observed,
+  {_RULE01.format('needs_reconfirmation', 'events_observed', 'targeted_feed_no_registered_events', 'no_registered_events')} AS state, {_RULE01.format('recheck_known_event', 'expand_station_coverage', 'inspect_official_article_dates', 'discover_prefecture_station_feeds')} AS next_action
+FROM nation LEFT JOIN (SELECT prefecture, count(*) AS events, count(DISTINCT road_name) AS stations, count(DISTINCT feed) AS feeds FROM events_pub WHERE {_LIVE} AND prefecture < 'NATION_7' GROUP BY prefecture) e ON n_name = e.prefecture LEFT JOIN (SELECT prefecture, count(*) AS u FROM ({_UN}) GROUP BY prefecture) u ON n_name = u.prefecture
+LEFT JOIN (SELECT prefecture, count(*) AS c FROM stations WHERE id % 9 = 0 AND prefecture > 'NATION_5' GROUP BY prefecture) c ON n_name = c.prefecture LEFT JOIN (SELECT DISTINCT prefecture FROM old_feed WHERE prefecture < 'NATION_8') h ON n_name = h.prefecture""",
+)(
+    lambda v: C.by_prefecture(
+        v.nation.select(F.col("n_name").alias("prefecture")), v.events_pub.filter(R.live(AS_OF) & (F.col("prefecture") < "NATION_7")), v.old_feed.filter((F.col("event_id") % 97 == 0) & (F.col("prefecture") < "NATION_2")),
+        v.old_feed.filter("prefecture < 'NATION_8'"), v.stations.filter("id % 9 = 0 and prefecture > 'NATION_5'"),
+    )
+)
 query("AGG-02", "SELECT region, s.prefecture, CAST(grouping(region, s.prefecture) AS INT) AS grain, count(*) AS events, count(DISTINCT road_name) AS stations FROM events_pub e JOIN (SELECT DISTINCT prefecture, region FROM stations) s ON e.prefecture = s.prefecture GROUP BY ROLLUP (region, s.prefecture)")(
     lambda v: C.rolled_up(v.events_pub.join(v.nation.join(v.region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("prefecture"), F.col("r_name").alias("region")), "prefecture"))
 )
@@ -140,8 +152,19 @@ query(
     "AGG-11",
     "WITH e AS (SELECT *, row_number() OVER (PARTITION BY prefecture, road_name, title, start_date, end_date ORDER BY event_id) AS copy FROM events_pub) SELECT event_id, 'critical' AS level, 'duplicate' AS reason FROM e WHERE copy > 1 UNION ALL SELECT event_id, 'critical', 'expired' FROM e WHERE end_date < DATE '1996-01-01' UNION ALL SELECT event_id, 'review', 'long_period' FROM e WHERE date_diff('day', start_date, end_date) > 120 UNION ALL SELECT event_id, 'review', 'future_stamp' FROM e WHERE published_at > DATE '1996-01-01' UNION ALL SELECT event_id, 'review', 'unknown_station' FROM e WHERE road_name NOT IN (SELECT name FROM stations WHERE id % 100 > 0)",
 )(lambda v: C.quality_issues(v.events_pub, v.stations.filter("id % 100 > 0"), AS_OF))
-query("AGG-12", "SELECT 'prefectures' AS name, (SELECT count(*) FROM nation) = 25 AS ok UNION ALL SELECT 'unique_ids', (SELECT count(*) = count(DISTINCT id) FROM stations) UNION ALL SELECT 'totals_agree', (SELECT count(*) FROM events_pub) = (SELECT count(*) FROM orders)")(
-    lambda v: C.invariants([("prefectures", v.nation.agg((F.count("*") == 25).alias("ok"))), ("unique_ids", v.stations.agg((F.count("*") == F.countDistinct("id")).alias("ok"))), ("totals_agree", v.events_pub.agg(F.count("*").alias("a")).crossJoin(F.broadcast(v.orders.agg(F.count("*").alias("b")))).select((F.col("a") == F.col("b")).alias("ok")))])
+query(
+    "AGG-12",
+    "SELECT 'prefectures' AS name, (SELECT count(*) FROM nation) = 25 AS ok UNION ALL SELECT 'unique_ids', (SELECT count(*) = count(DISTINCT id) FROM stations) UNION ALL SELECT 'totals_agree', (SELECT count(*) FROM events_pub) = (SELECT count(*) FROM orders) UNION ALL SELECT 'same_prefectures', (SELECT count(*) FROM ((SELECT prefecture FROM stations EXCEPT SELECT n_name FROM nation) UNION ALL (SELECT n_name FROM nation EXCEPT SELECT prefecture FROM stations))) = 0 UNION ALL SELECT 'audits_fresh', coalesce((SELECT date_diff('day', max(run_date), DATE '2024-02-02') FROM source_audit) BETWEEN 0 AND 7, FALSE)",
+)(
+    lambda v: C.invariants(
+        [
+            ("prefectures", v.nation.agg((F.count("*") == 25).alias("ok"))),
+            ("unique_ids", v.stations.agg((F.count("*") == F.countDistinct("id")).alias("ok"))),
+            ("totals_agree", v.events_pub.agg(F.count("*").alias("a")).crossJoin(F.broadcast(v.orders.agg(F.count("*").alias("b")))).select((F.col("a") == F.col("b")).alias("ok"))),
+            ("same_prefectures", C.same_set(v.stations.select("prefecture"), v.nation.select(F.col("n_name").alias("prefecture")))),
+            ("audits_fresh", C.fresh(v.source_audit, "run_date", "2024-02-02", 7)),
+        ]
+    )
 )
 query("AGG-13", "SELECT count(DISTINCT id) AS total, count(DISTINCT CASE WHEN id % 4 > 0 THEN id END) AS inspected, count(DISTINCT id) - count(DISTINCT CASE WHEN id % 4 > 0 THEN id END) AS remaining, CAST(ceil((count(DISTINCT id) - count(DISTINCT CASE WHEN id % 4 > 0 THEN id END)) / 96) AS BIGINT) AS days FROM stations")(lambda v: C.backlog(v.stations, "id", F.col("id") % 4 > 0, 96))
 query("AGG-14", "WITH k AS (SELECT regexp_replace(lower(name), '[\\s。、.,!?]', '', 'g') AS k, count(*) AS n, count(*) FILTER (length(name) > 0) AS f, count(*) FILTER (length(name) < 25) AS s, count(*) FILTER (length(name) > 35) AS l FROM landmarks GROUP BY 1) SELECT CAST(sum(f) AS BIGINT) AS filled, CAST(sum(s) AS BIGINT) AS short, CAST(sum(l) AS BIGINT) AS long, CAST(coalesce(sum(n) FILTER (n > 1), 0) AS BIGINT) AS duplicates FROM k")(lambda v: C.summary_audit(v.landmarks, "name"))
