@@ -16,8 +16,8 @@ Equal sets are one class from the start. A bucket (the sets with one prefix shin
 A round offers candidates between sets that no link joins so far: all of a bucket's passing pairs if they are few for
 its members, else a spanning forest of them by nearest bitmaps. The first round takes only the leading shingles of each
 set, and in a bucket of more than SMALL members tries each member with the one nearest to the majority of the bitmaps,
-so a large group of copies takes one pair for each. What counts as few grows until a round has offered every passing
-pair that is left, in the fourth round at the latest, so each link between components is found.
+so a large group of copies takes one pair for each. A bucket that offered all its passing pairs is done; what counts as
+few grows until all are, in the fourth round at the latest, so each link between components is found.
 
 Blocks of the index hold a bounded number of bytes, and very frequent shingles are dealt to blocks of their own by set.
 Buckets of more than TILE sets are compared in tiles: the members of their largest component each in few, as they are
@@ -333,11 +333,12 @@ def central(size: np.ndarray, bits: np.ndarray, num: int, den: int) -> tuple[np.
 def _compared(num: int, den: int, first: bool, most: float):
     """Candidates of each bucket or tile: pairs of different components that pass the filters.
 
-    All of them (`whole`) if they are at most `most` for each member, else a forest of them. `first`: nothing is joined
-    yet, and large buckets only give pairs with central members.
+    All of them if they are at most `most` for each member, else a forest of them, marked with their bucket. `first`:
+    nothing is joined yet, and large buckets only give pairs with central members.
     """
 
-    def run(key: tuple, got: pa.Table) -> pa.Table:
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = pa.Table.from_batches(list(batches))
         order = np.lexsort((got["set"].to_numpy(), got["size"].to_numpy(), got["token"].to_numpy(), got["_tile"].to_numpy()))
         col = lambda c: got[c].to_numpy()[order].astype(np.int64)
         token, tile, name, size, at, root, side = (col(c) for c in ("token", "_tile", "set", "size", "at", "root", "_side"))
@@ -350,6 +351,17 @@ def _compared(num: int, den: int, first: bool, most: float):
         none = np.zeros(0, np.int64)
         out = []
 
+        def sent():
+            i, j, whole = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (none, none, np.zeros(0, bool))
+            out.clear()
+            a, b = np.minimum(name[i], name[j]), np.maximum(name[i], name[j])
+            # a pair that several buckets have is sent once, and once more for each bucket that it thins
+            thin = np.where(whole, 0, token[i])
+            order = np.lexsort((thin, b, a))
+            a, b, whole, thin = a[order], b[order], whole[order], thin[order]
+            new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (thin[1:] != thin[:-1])]) if len(a) else np.zeros(0, bool)
+            return pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new]), pa.array(thin[new], mask=whole[new])], ["a", "b", "thin"])
+
         def good(i, j):
             some = (root[i] != root[j]) & fits(size[i], at[i], size[j], at[j], num, den) & (~crossed[i] | (side[i] != side[j]))
             i, j = i[some], j[some]
@@ -384,11 +396,17 @@ def _compared(num: int, den: int, first: bool, most: float):
             labels, of, n = np.unique(root[s:e], return_inverse=True, return_counts=True)
             top = of == n.argmax()
             rows = s + np.concatenate([np.flatnonzero(~top), np.flatnonzero(top)])
-            held, whole = (none, none, none), True
-            for x in range(0, int((~top).sum()), SMALL):
-                a, b = np.meshgrid(np.arange(x, min(int((~top).sum()), x + SMALL)), np.arange(x, e - s), indexing="ij")
+            held, whole, n_rest = (none, none, none), True, int((~top).sum())
+            for x in range(0, n_rest, SMALL):
+                a, b = np.meshgrid(np.arange(x, min(n_rest, x + SMALL)), np.arange(x, e - s), indexing="ij")
                 later = b > a
-                held = tuple(np.concatenate(p) for p in zip(held, good(rows[a[later]], rows[b[later]]), strict=True))
+                i, j, gap = good(rows[a[later]], rows[b[later]])
+                if np.isinf(most):  # every pair is wanted, so none is held back
+                    out.append((i, j, np.ones(len(i), bool)))
+                    if sum(len(x[0]) for x in out) >= SENT_AT_ONCE:
+                        yield sent()
+                    continue
+                held = tuple(np.concatenate(p) for p in zip(held, (i, j, gap), strict=True))
                 if len(held[0]) > max(most, 4.0) * (e - s):
                     some = forest(*held, root)
                     held, whole = tuple(p[some] for p in held), False
@@ -396,12 +414,7 @@ def _compared(num: int, den: int, first: bool, most: float):
                 out.append(thinned(*held, e - s))
             else:
                 out.append((held[0], held[1], np.zeros(len(held[0]), bool)))
-        i, j, whole = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (none, none, np.zeros(0, bool))
-        a, b = np.minimum(name[i], name[j]), np.maximum(name[i], name[j])
-        order = np.lexsort((whole, b, a))
-        a, b, whole = a[order], b[order], whole[order]
-        new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, bool)
-        return pa.table([pa.array(a[new]), pa.array(b[new]), pa.array(whole[new])], names=["a", "b", "whole"])
+        yield sent()
 
     return run
 
@@ -494,7 +507,8 @@ class Join:
         return left.join(full("a"), "a").join(full("b"), "b").mapInArrow(_verified(self.n, self.num, self.den), "a bigint, b bigint, linked boolean")
 
     def candidates(self, root: DataFrame | None, most: float) -> DataFrame:
-        """(a, b, whole): pairs of different components that share a bucket and pass the filters; see _compared."""
+        """(a, b, thin): pairs of different components that share a bucket and pass the filters. `thin` is the bucket, if it
+        has more of them than it offers here."""
         h = F.pmod(F.xxhash64("set"), F.lit(1 << 30))
         deal = lambda n: F.ceil(F.col(n) / TILE).cast("bigint")
         whole, own = F.lit(-1).cast("bigint"), ["token", "set", "size", "at"]
@@ -521,23 +535,26 @@ class Join:
         rows = rows.join(self.profiles.select(F.col("_set").alias("set"), "_bits"), "set")
         key = F.pmod(F.xxhash64("token", "_tile"), F.lit(2 * self.blocks))
         rows = rows.select(*own, "root", "_bits", F.col("_side").cast("bigint"), F.col("_tile").cast("bigint"), key.alias("_block"))
-        return rows.groupBy("_block").applyInArrow(_compared(self.num, self.den, root is None, most), "a bigint, b bigint, whole boolean")
+        return rows.groupBy("_block").applyInArrow(_compared(self.num, self.den, root is None, most), "a bigint, b bigint, thin bigint")
 
     def links(self) -> tuple[DataFrame, DataFrame]:
         """Links that join every pair of sets that are in one component, and the components' (node, root)."""
-        keep, root, tried, most = self.scratch, None, None, 1.0
-        while True:
-            found = keep.small(self.candidates(root, most).groupBy("a", "b").agg(F.min("whole").alias("whole")))
-            thin = root is None or not found.filter("not whole").isEmpty()
-            pairs = found.select("a", "b")
+        keep, root, tried = self.scratch, None, None
+        for most in (1.0, 1.0, 16.0, float("inf")):
+            found = keep.small(self.candidates(root, most))
+            pairs = found.select("a", "b").distinct()
             more = keep.written(self.verify(pairs if tried is None else pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")))
             tried = more if tried is None else tried.unionByName(more)
-            if root is None or not more.filter("linked").isEmpty():
+            first = root is None
+            if first or not more.filter("linked").isEmpty():
                 root = components(tried.filter("linked").select("a", "b"), keep)
-            # the first round that offered every pair of all buckets ends it
-            if not thin:
-                return tried.filter("linked").select("a", "b"), root
-            most = {1.0: 2.0, 2.0: 16.0}.get(most, float("inf"))
+            if not first:
+                # buckets that offered every pair are done, and so is the search when all are
+                thin = keep.small(found.filter("thin is not null").select(F.col("thin").alias("token")).distinct())
+                if thin.isEmpty():
+                    break
+                self.entries = keep.written(self.entries.join(thin, "token", "left_semi"))
+        return tried.filter("linked").select("a", "b"), root
 
 
 def near_copies(docs: DataFrame, *, id: str = "doc_id", text: str = "text", n: int = 4, num: int = 85, den: int = 100, **options) -> DataFrame:
