@@ -126,11 +126,25 @@ def _lowered(loss, x: np.ndarray, rounds: int, sparse: np.ndarray, stop=None, me
     return x
 
 
+def calibrated(z: np.ndarray, y: np.ndarray, prior: float = 2.0) -> tuple[float, float]:
+    """Slope (a half to four) and shift of logits that fit the labels best, held near 1 and 0 as by `prior` texts:
+    penalties make logits too small, and the texts that judge are not those that were fitted."""
+    a, b = 1.0, 0.0
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
+        h = p * (1 - p)
+        grad = np.array([((p - y) * z).sum() + prior * (a - 1), (p - y).sum() + prior * b])
+        hess = np.array([[(h * z * z).sum() + prior, (h * z).sum()], [(h * z).sum(), h.sum() + prior]])
+        step = np.linalg.solve(hess, grad)
+        a, b = float(np.clip(a - step[0], 0.5, 4)), float(np.clip(b - step[1], -5, 5))
+    return a, b
+
+
 class Machine:
     """Weights w, vectors v and bias over features; `place` has each bucket's feature or -1.
 
     The weights are fitted first, then all together. One text in five only judges: fitting ends when it no longer helps
-    those. `sparse` is the penalty of absolute values for 2,500 texts (it grows with the root of their number): it lets
+    those, and they set the scale of the scores. `sparse` is the penalty of absolute values for 2,500 texts (it grows with the root of their number): it lets
     most weights and vectors become 0, by what they do in the whole model. `ridge` is that of squares.
     """
 
@@ -216,10 +230,11 @@ class Machine:
         best[2] = 0
         _lowered(lambda t: self._loss(x, y, square, t), theta, rounds, absolute, judged)
         theta = best[1]
-        self.bias, self.w = float(theta[0]), theta[1 : m + 1] * x.scale
+        slope, shift = calibrated(self._logits(held, theta)[0], truth) if len(truth) else (1.0, 0.0)
+        self.bias, self.w = slope * float(theta[0]) + shift, slope * theta[1 : m + 1] * x.scale
         self.v = np.zeros((m, FACTORS), np.float32)
         if len(theta) > m + 1:
-            self.v = theta[m + 1 :].reshape(FACTORS, m).T * x.pull[:, None]
+            self.v = np.sqrt(slope) * theta[m + 1 :].reshape(FACTORS, m).T * x.pull[:, None]
 
     def scores(self, doc: np.ndarray, bucket: np.ndarray, n: int) -> np.ndarray:
         feature = self.place[bucket]
