@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, language, licenses, line_frequency, packing, ppm, quality_model, substrings, toxicity
+from . import decontaminate, divergence, exact_dedup, fp_search, jaccard, language, licenses, line_frequency, packing, ppm, quality_model, substrings, toxicity
 from .sampling import fold
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -79,10 +79,22 @@ def op10_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_fp_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fp_search.best_documents(_table(spark, sf_dir, "documents", "doc_id", "text"), _table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(_table(spark, sf_dir, "documents", "text", "lang", "source"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.find_copies(_table(spark, sf_dir, "documents", "doc_id", "text")).drop("known")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_decontamination, op2_ngram_jaccard, op3_line_frequency, op4_quality_attention, op5_license_scan, op6_toxicity_fm, op7_language_kn, op8_packing_nnls, op9_substring_rlz, op10_ppm)
-}
+} | {f.__name__: f for f in (op11_fp_tree_search, op12_source_divergence, op13_exact_dedup)}
 
 _W = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _LOW = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -132,4 +144,40 @@ kept AS (SELECT r, string_agg(x, ' ' ORDER BY k) AS t, count(*) AS n FROM word A
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (r)"""
 
-ORACLE_SQL: dict[str, str] = {"op1_decontamination": _OP1, "op3_line_frequency": _OP3, "op9_substring_rlz": _OP9}
+#: Every document with a term of an item is scored.
+_OP11 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOW.format("text")}, '{_W}') AS w FROM documents WHERE text IS NOT NULL),
+n AS (SELECT r, doc_id, len(w) AS n FROM d WHERE len(w) > 0), s AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM n),
+tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) GROUP BY ALL),
+df AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * n_docs + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS n_docs FROM tf GROUP BY term), s),
+q AS (SELECT i, item_id, term, count(*) AS times FROM (SELECT i, item_id, unnest(regexp_extract_all({_LOW.format("text")}, '{_W}')) AS term FROM (SELECT row_number() OVER () AS i, * FROM benchmark WHERE text IS NOT NULL)) GROUP BY ALL),
+m AS (SELECT r, doc_id, 25 + (75 * n * docs) // terms AS m FROM n, s),
+scored AS (SELECT i, item_id, doc_id, r, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM q JOIN df USING (term) JOIN tf USING (term) JOIN m USING (r) GROUP BY ALL),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10"""
+
+#: Every group is crossed with every term that its language keeps.
+_OP12 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, {_LOW.format("coalesce(text, '')")} AS t, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+tok AS (SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS total FROM tok GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+counts AS (SELECT lang, source, term, count(*) AS c FROM tok JOIN kept USING (lang, term) GROUP BY ALL),
+v AS (SELECT lang, count(*) AS v, CAST(sum(total) AS BIGINT) AS n FROM kept GROUP BY lang),
+g AS (SELECT lang, source, CAST(coalesce(sum(c), 0) AS BIGINT) AS n FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN counts USING (lang, source) GROUP BY ALL),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c, 0) AS c, CAST(1 + (1000000000::HUGEINT * (coalesce(c, 0) + 2)) // (g.n + 2 * v.v) AS BIGINT) AS p, CAST(1 + (1000000000::HUGEINT * (k.total + 2)) // (v.n + 2 * v.v) AS BIGINT) AS q
+  FROM g JOIN v USING (lang) JOIN kept k ON k.lang = g.lang LEFT JOIN counts ON counts.lang = g.lang AND counts.source = g.source AND counts.term = k.term),
+pair AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pair ON pair.lang = a.lang AND pair.source = a.source AND pair.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // (p + q) AS value FROM p WHERE c > 0 AND p > q),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM (FROM pairs UNION ALL FROM terms))
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 10"""
+
+_OP13 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+x AS (SELECT *, regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g') AS norm FROM d)
+SELECT doc_id, first_value(doc_id) OVER best AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size, row_number() OVER best = 1 AS kept, sha256(norm) AS text_sha256
+FROM x WINDOW best AS (PARTITION BY norm ORDER BY length(t) DESC, doc_id NULLS LAST, r)"""
+
+ORACLE_SQL: dict[str, str] = {"op1_decontamination": _OP1, "op3_line_frequency": _OP3, "op9_substring_rlz": _OP9, "op11_fp_tree_search": _OP11, "op12_source_divergence": _OP12, "op13_exact_dedup": _OP13}
