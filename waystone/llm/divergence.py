@@ -5,8 +5,8 @@ the same (count there, count in the language) are one cell with a multiplicity,
 ranked by cumulative multiplicity, and only the cells that reach the report are expanded into terms, in UTF-8 order.
 
 The distance of two sources sums the score over all kept terms. It is written as the value for terms that neither has,
-corrected by the cells of each source (count, 0) and by the joint cells of terms that both have. Joint cells come from a join on the term, and
-are summed up where they are made; the result itself has one row for each ordered pair of a language's sources.
+corrected by the cells of each source (count, 0) and by the terms that both have. Those come from a join on the term and are summed up
+by pair of sources where they are made; the result itself has one row for each ordered pair of a language's sources.
 """
 
 from __future__ import annotations
@@ -71,7 +71,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def share(count: str, total: str, terms: str) -> Column:
     """1 + floor(10**9 * (count + 2) / (total + 2 * terms)), exact; 0 where a language keeps no term."""
-    return F.expr(f"case when {terms} = 0 then 0L else 1L + (cast({count} + 2 as decimal(20, 0)) * 1000000000) div cast({total} + 2 * {terms} as decimal(20, 0)) end")
+    small = f"({count} + 2) * 1000000000 div ({total} + 2 * {terms})"
+    large = f"(cast({count} + 2 as decimal(20, 0)) * 1000000000) div cast({total} + 2 * {terms} as decimal(20, 0))"
+    # 10**9 times a count below 9 * 10**9 fits into 64 bits
+    return F.expr(f"case when {terms} = 0 then 0L when {count} < 9000000000 then 1L + {small} else 1L + {large} end")
 
 
 def apart(p: str, q: str) -> Column:
@@ -102,10 +105,10 @@ def _pairs(kept: DataFrame, groups: DataFrame) -> DataFrame:
     for x, y in ("ab", "ba"):
         one = cells.withColumnRenamed("source", x).join(pairs, ["lang", x]).withColumn("p", share("n", f"n_{x}", "v"))
         parts.append(one.select("lang", "a", "b", (F.col("terms") * (apart("p", f"p0_{y}") - F.col("none"))).alias("value")))
-    x, y = (kept.select("lang", "term", F.col("source").alias(c), F.col("n").alias(f"c_{c}")) for c in "ab")
-    joint = x.join(y, ["lang", "term"]).filter("a < b").groupBy("lang", "a", "b", "c_a", "c_b").agg(F.count("*").alias("terms"))
-    joint = joint.join(pairs, ["lang", "a", "b"]).withColumns({"p": share("c_a", "n_a", "v"), "q": share("c_b", "n_b", "v")})
-    parts.append(joint.select("lang", "a", "b", (F.col("terms") * (apart("p", "q") - apart("p", "p0_b") - apart("q", "p0_a") + F.col("none"))).alias("value")))
+    shares = kept.join(g, ["lang", "source"]).withColumn("p", share("n", "group_n", "v"))
+    x, y = (shares.select("lang", "term", F.col("source").alias(c), F.col("p").alias(f"p_{c}"), F.col("p0").alias(f"p0_{c}")) for c in "ab")
+    both = apart("p_a", "p_b") - apart("p_a", "p0_b") - apart("p_b", "p0_a") + apart("p0_a", "p0_b")
+    parts.append(x.join(y, ["lang", "term"]).filter("a < b").groupBy("lang", "a", "b").agg(F.sum(both).alias("value")))
     out = parts[0]
     for more in parts[1:]:
         out = out.unionByName(more)
