@@ -22,6 +22,7 @@ COLUMNS = {
     "op8_packing_nnls": ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
     "op9_substring_rlz": ["doc_id", "n_words", "n_removed", "kept_sha256"],
     "op10_ppm": ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+    "op13_exact_dedup": ["doc_id", "keep_id", "group_size", "kept", "text_sha256"],
 }
 
 
