@@ -36,6 +36,21 @@ def one(spark, value, make, kind="string"):
         ("2026年1月1日～8月1日", None, None),
         ("5月1日", None, None),
         ("no date", day(2026, 1, 1), None),
+        ("2026年10月10日（日）", None, None),
+        ("10月17日(土)", day(2026, 10, 8), (day(2026, 10, 17), day(2026, 10, 17))),
+        ("10月17日（土）", None, None),
+        ("10月30日～1月3日", day(2026, 9, 1), (day(2026, 10, 30), day(2027, 1, 3))),
+        ("2026-10-10", None, (day(2026, 10, 10), day(2026, 10, 10))),
+        ("2026年10月10日(土)・11日(日)", None, (day(2026, 10, 10), day(2026, 10, 11))),
+        ("2026年10月10日(土)・11日(月)", None, None),
+        ("開園祭（2026.10.10～12）", None, (day(2026, 10, 10), day(2026, 10, 12))),
+        ("日時：2026年11月25日（水）～2026年11月27日（金）", None, (day(2026, 11, 25), day(2026, 11, 27))),
+        ("体験 (2026年10月16日〜11月3日)", None, (day(2026, 10, 16), day(2026, 11, 3))),
+        ("10/11（日）実演販売", day(2026, 9, 28), (day(2026, 10, 11), day(2026, 10, 11))),
+        ("9月27日(日) 2026 音楽祭", day(2026, 9, 2), (day(2026, 9, 27), day(2026, 9, 27))),
+        ("2026年10月24日▶▷25日 10:00～15:00", None, (day(2026, 10, 24), day(2026, 10, 24))),
+        ("10月10日 10:00～15:00", day(2026, 9, 1), (day(2026, 10, 10), day(2026, 10, 10))),
+        ("11月14日（日）", day(2026, 10, 1), None),
         (None, day(2026, 1, 1), None),
     ],
 )
@@ -44,6 +59,42 @@ def test_period(spark, text, published, want):
     assert (tuple(got) if got else None) == want
 
 
+@pytest.mark.parametrize(
+    "text,options,want",
+    [
+        ("5月1日～5月3日", {}, (day(2026, 5, 1), day(2026, 5, 3))),
+        ("5月1日", {"year": "explicit"}, None),
+        ("5月1日", {"end": "required"}, None),
+        ("5月1日～3日", {"end": "ignored"}, (day(2026, 5, 1), day(2026, 5, 1))),
+        ("5月1日 受付5月9日 締切6月2日", {"end": "last"}, (day(2026, 5, 1), day(2026, 6, 2))),
+        ("5月1日(月)", {"weekday": False}, (day(2026, 5, 1), day(2026, 5, 1))),
+        ("5月1日、5月2日、5月9日", {"most_dates": 2}, None),
+        ("●～5月1日", {"open_start": False}, None),
+        ("●～5月1日", {}, (day(2026, 5, 1), day(2026, 5, 1))),
+        ("2月1日", {"not_before": "start"}, None),
+        ("2月1日～4月9日", {"not_before": "end"}, (day(2026, 2, 1), day(2026, 4, 9))),
+        ("受付 4月9日 日時：5月1日", {"label": "日時 ?: ?"}, (day(2026, 5, 1), day(2026, 5, 1))),
+        ("受付 4月9日", {"label": "日時 ?: ?"}, None),
+        ("5月1日～9日", {"max_span": 7}, None),
+    ],
+)
+def test_period_options(spark, text, options, want):
+    got = one(spark, text, lambda c: D.period(c, F.lit("2026-03-20").cast("date"), D.Options(**options)))
+    assert (tuple(got) if got else None) == want
+
+
+def test_date_tokens(spark):
+    got = one(spark, "令和８年３月１日（日・祝）から２日　Ｒ元.5.1", lambda c: D.tokens(D.folded(c)))
+    assert [tuple(x) for x in got] == [("", 2026, 3, 1, "日"), ("", None, None, 2, ""), (" ", 2019, 5, 1, "")]
+
+
+def test_schedule_hints(spark):
+    hint = lambda t: one(spark, t, lambda c: D.schedule_hint(c, F.lit("2026-10-12").cast("date")))
+    assert [hint(t) for t in ("令和8年10月20日開催", "2026年10月10日 開催", "開演は2026/10/12", "2026年10月20日の記事", "2026年11月1日から5日まで", "実施" + "あ" * 30 + "2026.11.1", "2025.1.1 記事" + "い" * 30 + "日程 2027-01-02", None)] == [
+        "future", "past", "future", "unknown", "future", "unknown", "future", "unknown",
+    ]
+
+
 def test_weekday_mismatch(spark):
     make = lambda x: D.safe_date(F.lit(2026), F.lit(3), F.lit(1), x)  # noqa: E731  a Sunday
     assert one(spark, "日", make) == day(2026, 3, 1) and one(spark, "月", make) is None and one(spark, None, make) == day(2026, 3, 1)

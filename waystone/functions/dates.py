@@ -2,25 +2,41 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from waystone.functions import text as T
+
 #: Weekday signs from Monday, fixed values of the domain.
 WEEKDAYS = "月火水木金土日"
 ERA = "(?:令和|R)([0-9]+|元)年?"
-DAY = "(?:(?:(?:令和|R)([0-9]+|元)|([0-9]{4}))[年/.])?([0-9]{1,2})[月/.]([0-9]{1,2})日?"
+_SIGN = r"\(([月火水木金土日])[^)]{0,7}\)"
+#: What joins the two ends of a range, or a day and the next one.
+JOIN = "(?:[~〜▶▷–・、-]|から|より)"
+#: A date in a folded text: era or year, month, day and weekday; or what joins, a day and its weekday.
+TOKEN = (
+    "(?:(?:(?:令和|R) ?([0-9]{1,2}|元)|([0-9]{4})) ?[年./-] ?)?([0-9]{1,2}) ?[月./-] ?([0-9]{1,2})日?(?: ?" + _SIGN + ")?"
+    "|" + JOIN + " ?([0-9]{1,2})(?:日? ?" + _SIGN + "|日|[^0-9年月./:時-]|$)"
+)
+#: A range mark, after bullets, with no date before it.
+OPEN_START = "^[●・ ]*[~〜]"
+#: Words that tell of a schedule.
+SCHEDULED = "開催|実施|開演|日時|日程|から.{0,8}まで"
 #: A date with its year.
 FULL = "(?:(?:令和|R)([0-9]+|元)|([0-9]{4}))[年/.]([0-9]{1,2})[月/.]([0-9]{1,2})"
-#: A date and, within a short tail, the end of a range.
-PERIOD = DAY + "(?:[(（][^)）]{0,8}[)）])?(?:[ 　]*(?:～|〜|~|-|–|から)[ 　]*(?:([0-9]{4})[年/.])?(?:([0-9]{1,2})[月/.])?([0-9]{1,2})(?:日|$|[^0-9/.月年]))?"
 
 
 def _int(c: Column) -> Column:
     return c.try_cast("int")
 
 
+def _with(c: Column, f) -> Column:
+    """f(c) with c computed once."""
+    return F.transform(F.array(c), f)[0]
+
+
 def era_year(c: Column) -> Column:
     """DAT-01: 令和N or R N as 2018 + N, 元 as year one; null without an era."""
     n = F.regexp_extract(c, ERA, 1)
@@ -29,12 +45,13 @@ def era_year(c: Column) -> Column:
 
 def safe_date(y: Column, m: Column, d: Column, weekday: Column | None = None) -> Column:
     """DAT-02: null for impossible dates, and for one whose printed weekday is another."""
-    day = F.try_to_date(F.format_string("%04d-%02d-%02d", y, m, d), "yyyy-MM-dd")
-    day = F.when(y.isNotNull() & m.isNotNull() & d.isNotNull(), day)
+    first = F.when(y.between(1, 9999) & m.between(1, 12), F.make_date(y, m, F.lit(1)))
+    day = F.when(d.between(1, 31), F.date_add(first, d - 1))
+    # the day after the month's last one is none of it
+    day = _with(day, lambda x: F.when(F.month(x) == m, x))
     if weekday is None:
         return day
-    sign = F.substring(F.lit(WEEKDAYS), F.weekday(day) + 1, F.lit(1))
-    return F.when(weekday.isNull() | (weekday == "") | (weekday == sign), day)
+    return _with(day, lambda x: F.when(weekday.isNull() | (weekday == "") | (weekday == F.substring(F.lit(WEEKDAYS), F.weekday(x) + 1, F.lit(1))), x))
 
 
 @dataclass(frozen=True)
@@ -42,42 +59,109 @@ class Options:
     """DAT-05: how a source writes its periods."""
 
     max_span: int = 120
-    #: explicit: a year must be printed; published: else the publication's year counts
+    #: explicit: a year must be printed; published: else the publication's year counts (or that of any day given in its place, as the season's)
     year: str = "published"
-    #: optional: a single date is a day; required: a range must be given; ignored: only the start counts
+    #: optional: a single date is a day; required: a range must be given; ignored: only the start counts; last: the last of all dates
     end: str = "optional"
+    #: whether a printed weekday must be the date's
+    weekday: bool = True
+    #: more dates in a text than this reject it
+    most_dates: int | None = None
+    #: whether a text may begin with what joins, which leaves its start open
+    open_start: bool = True
+    #: what must not lie before the publication: nothing, the start or the end
+    not_before: str | None = None
+    #: only what follows this pattern is read
+    label: str | None = None
+
+
+#: How kinds of sources write their periods, by name.
+SOURCES = {
+    "station": Options(max_span=90),
+    "announcement": Options(max_span=90, not_before="start"),
+    "all dates": Options(max_span=100, end="last", not_before="start"),
+    "printed range": Options(max_span=9, year="explicit", end="required"),
+    "labelled": Options(max_span=90, year="explicit", label="(?:開催)?日時 ?: ?|期間 ?"),
+    "bulletin": Options(max_span=31, open_start=False),
+    "no weekdays": Options(max_span=100, year="explicit", weekday=False),
+    "start": Options(end="ignored"),
+}
+
+
+def folded(c: Column) -> Column:
+    """A text as its dates are read: full-width forms folded, white space collapsed."""
+    return F.translate(T.clean(c), "\u0001\u0002", "")
+
+
+def _parts(text: Column) -> Column:
+    """A folded text cut at its dates: gap, date, gap, ..., gap. A date is its fields and itself. One pass over the text."""
+    fields = "".join(f"${k}\u0002" for k in range(1, 8))
+    return F.split(F.regexp_replace(text, TOKEN, f"\u0001{fields}$0\u0001"), "\u0001")
+
+
+def tokens(text: Column) -> Column:
+    """All dates of a folded text: (gap, year, month, day, weekday). `gap` is the text since the date before. The year is
+    null where none is printed; a day after what joins it to the date before has no month."""
+
+    def parsed(f: Column, gap: Column) -> Column:
+        year = F.when(f[0] == "元", 2019).when(f[0] != "", 2018 + _int(f[0])).otherwise(_int(f[1]))
+        return F.struct(gap.alias("gap"), year.alias("year"), _int(f[2]).alias("month"), F.coalesce(_int(f[3]), _int(f[5])).alias("day"), F.concat(f[4], f[6]).alias("weekday"))
+
+    return _with(_parts(text), lambda p: F.transform(F.filter(p, lambda x, i: i % 2 == 1), lambda x, i: _with(F.split(x, "\u0002"), lambda f: parsed(f, F.get(p, 2 * i)))))
 
 
 def period(c: Column, published: Column, options: Options = Options()) -> Column:
-    """DAT-03 and DAT-05: (start, end) of the first period in a text, or null.
+    """DAT-03 to DAT-05: (start, end) of the first period in a text, or null.
 
-    A date without a year takes the publication's, the next one for January and February after a publication in
-    November or December; so does the end after the start. Rejected: impossible dates, an end before the start, spans
-    above the limit.
+    The first date with a month is the start. The next one is the end if only what joins stands between them. A date
+    without a year takes the publication's, the next one for January and February after a publication in November or
+    December; an end in an earlier month than the start lies in the next year. Rejected: impossible dates, printed
+    weekdays of other dates, an end before the start, spans above the limit, and what the options demand.
     """
-    found = F.split(F.regexp_replace(F.regexp_extract(c, PERIOD, 0), PERIOD, "$1|$2|$3|$4|$5|$6|$7"), r"\|")
-    # bound once: the expressions below use each part several times
-    return F.transform(F.array(found), lambda g: _period_of([F.coalesce(F.get(g, F.lit(i)), F.lit("")) for i in range(7)], published, options))[0]
-
-
-def _period_of(got: list[Column], published: Column, options: Options) -> Column:
-    era, year, month, day, end_year, end_month, end_day = got
-    printed = F.when(era == "元", 2019).when(era != "", 2018 + _int(era)).otherwise(_int(year))
-    m = _int(month)
-    y = printed
-    if options.year == "published":
-        y = F.coalesce(printed, F.year(published) + F.when((F.month(published) >= 11) & (m <= 2), 1).otherwise(0))
-    em = F.coalesce(_int(end_month), m)
-    ey = F.coalesce(_int(end_year), y + F.when((m >= 11) & (em <= 2), 1).otherwise(0))
-    dates = F.struct(safe_date(y, m, _int(day)).alias("s"), safe_date(ey, em, _int(end_day)).alias("e"))
-
-    def judged(d: Column) -> Column:
-        start = d["s"]
-        end = {"ignored": start, "required": d["e"], "optional": F.when(end_day == "", start).otherwise(d["e"])}[options.end]
+    text = folded(c if options.label is None else F.regexp_extract(folded(c), f"(?:{options.label})(.*)$", 1))
+    sign = lambda x: x["weekday"] if options.weekday else None
+
+    def year_of(x: Column) -> Column:
+        if options.year == "explicit":
+            return x["year"]
+        return F.coalesce(x["year"], F.year(published) + F.when((F.month(published) >= 11) & (x["month"] <= 2), 1).otherwise(0))
+
+    def judged(days: Column) -> Column:
+        start, end = days["s"], days["e"]
         ok = start.isNotNull() & end.isNotNull() & (end >= start) & (F.datediff(end, start) <= options.max_span)
+        if options.not_before:
+            ok &= (start if options.not_before == "start" else end) >= published
         return F.when(ok, F.struct(start.alias("start_date"), end.alias("end_date")))
 
-    return F.transform(F.array(dates), judged)[0]
+    def ended(own: Column, y: Column, first: Column, after: Column) -> Column:
+        joined = F.when(after["month"].isNull(), F.trim(after["gap"]) == "").otherwise(F.rlike(after["gap"], F.lit(f"^ ?{JOIN} ?$")))
+        month = F.coalesce(after["month"], first["month"])
+        end = safe_date(F.coalesce(after["year"], y + F.when(month < first["month"], 1).otherwise(0)), month, after["day"], sign(after))
+        single = own if options.end == "optional" else F.lit(None).cast("date")
+        return F.when(F.coalesce(joined, F.lit(False)), end).otherwise(single)
+
+    def found(all: Column) -> Column:
+        return _with(F.filter(all, lambda x: x["month"].isNotNull()), lambda dated: _with(F.get(dated, F.lit(0)), lambda first: begun(all, dated, first)))
+
+    def begun(all: Column, dated: Column, first: Column) -> Column:
+        at = F.array_position(F.transform(all, lambda x: x["month"].isNotNull()), True).cast("int")
+
+        def of(s: Column) -> Column:
+            own = safe_date(s["y"], s["f"]["month"], s["f"]["day"], sign(s["f"]))
+            if options.end == "ignored":
+                end = own
+            elif options.end == "last":
+                days = F.array_compact(F.transform(dated, lambda x: safe_date(year_of(x), x["month"], x["day"], sign(x))))
+                own, end = F.get(days, F.lit(0)), F.try_element_at(days, F.lit(-1))
+            else:
+                end = ended(own, s["y"], s["f"], s["n"])
+            return _with(F.struct(own.alias("s"), end.alias("e")), judged)
+
+        good = F.lit(True) if options.most_dates is None else F.size(all) <= options.most_dates
+        return F.when(good, _with(F.struct(first.alias("f"), F.get(all, at).alias("n"), year_of(first).alias("y")), of))
+
+    out = _with(tokens(text), found)
+    return out if options.open_start else F.when(~F.rlike(text, F.lit(OPEN_START)), out)
 
 
 def full_date(c: Column) -> Column:
@@ -87,16 +171,32 @@ def full_date(c: Column) -> Column:
     return safe_date(y.cast("int"), _int(month), _int(day))
 
 
+#: DAT-04: one or two dates, the start given, over when it is published.
+STRICT = Options(most_dates=2, open_start=False, not_before="end")
+
+
 def strict_period(c: Column, published: Column, max_span: int = 120) -> Column:
-    """DAT-04: at most two dates in the text, no open start, then as DAT-03."""
-    dates = F.size(F.regexp_extract_all(c, F.lit("[0-9]{1,2}(?:月|/)[0-9]{1,2}(?:日|[^0-9]|$)"), F.lit(0)))
-    return F.when((dates <= 2) & ~F.rlike(F.trim(c), F.lit("^[～〜~]")), period(c, published, Options(max_span=max_span)))
+    """DAT-04: at most two dates in the text, no open start, not over at its publication, then as DAT-03."""
+    return period(c, published, replace(STRICT, max_span=max_span))
+
+
+def schedule_hint(c: Column, as_of: Column, reach: int = 24) -> Column:
+    """DAT-07: future or past, by the first date with a year (of four digits or of an era) that has a schedule word within
+    `reach` characters on either side; else unknown."""
+
+    def near(p: Column) -> Column:
+        plain = F.transform(p, lambda x, i: F.when(i % 2 == 1, F.element_at(F.split(x, "\u0002"), -1)).otherwise(x))
+
+        def day(x: Column, i: Column) -> Column:
+            f = F.split(x, "\u0002")
+            year = F.when(f[0] == "元", 2019).when(f[0] != "", 2018 + _int(f[0])).otherwise(_int(f[1]))
+            before, after = F.array_join(F.slice(plain, 1, i), ""), F.array_join(F.slice(plain, i + 2, F.size(plain)), "")
+            around = F.concat(F.substring(before, -reach, reach), F.get(plain, i), F.substring(after, 1, reach))
+            return F.when((i % 2 == 1) & year.isNotNull() & F.rlike(around, F.lit(SCHEDULED)), safe_date(year, _int(f[2]), _int(f[3])))
 
+        return F.get(F.array_compact(F.transform(p, day)), F.lit(0))
 
-def schedule_hint(c: Column, as_of: Column) -> Column:
-    """DAT-07: future, past or unknown, by the full date next to a schedule word."""
-    text = F.regexp_extract(c, "(?:開催|日時|期間)[^0-9]{0,8}([0-9]{4}[年/.][0-9]{1,2}[月/.][0-9]{1,2})", 1)
-    day = safe_date(_int(F.regexp_extract(text, "^([0-9]{4})", 1)), _int(F.regexp_extract(text, "[年/.]([0-9]{1,2})[月/.]", 1)), _int(F.regexp_extract(text, "([0-9]{1,2})$", 1)))
+    day = _with(_parts(folded(c)), near)
     return F.when(day.isNull(), "unknown").when(day >= as_of, "future").otherwise("past")
 
 

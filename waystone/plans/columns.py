@@ -164,26 +164,51 @@ query(
 )
 
 
-def period_sql(source: str, year: str = "published", end: str = "optional", max_span: int = 120, more: str = "TRUE") -> str:
-    g = lambda n: f"regexp_extract(text, '{D.PERIOD}', {n})"
-    printed = "CASE WHEN g1 = '元' THEN 2019 WHEN g1 <> '' THEN 2018 + TRY_CAST(g1 AS INT) ELSE TRY_CAST(g2 AS INT) END"
-    own = f"coalesce({printed}, year(published) + CASE WHEN month(published) >= 11 AND m <= 2 THEN 1 ELSE 0 END)" if year == "published" else printed
-    day = lambda y, m, d: f"TRY_CAST(concat(lpad(CAST({y} AS VARCHAR), 4, '0'), '-', lpad(CAST({m} AS VARCHAR), 2, '0'), '-', lpad(CAST({d} AS VARCHAR), 2, '0')) AS DATE)"
-    stop = {"ignored": "s", "optional": "CASE WHEN g7 = '' THEN s ELSE e END", "required": "e"}[end]
-    return f"""SELECT event_id, CASE WHEN ok THEN s END AS start_date, CASE WHEN ok THEN x END AS end_date FROM (SELECT *, coalesce(s IS NOT NULL AND x IS NOT NULL AND x >= s AND date_diff('day', s, x) <= {max_span} AND ({more}), FALSE) AS ok FROM (SELECT *, {stop} AS x FROM (
-SELECT *, {day('y', 'm', 'd')} AS s, {day('ey', 'em', 'd2')} AS e FROM (SELECT *, coalesce(TRY_CAST(g5 AS INT), y + CASE WHEN m >= 11 AND em <= 2 THEN 1 ELSE 0 END) AS ey FROM (SELECT *, {own} AS y, coalesce(TRY_CAST(g6 AS INT), m) AS em FROM (
-SELECT *, TRY_CAST(g3 AS INT) AS m, TRY_CAST(g4 AS INT) AS d, TRY_CAST(g7 AS INT) AS d2 FROM (SELECT event_id, published, text, {', '.join(f'{g(i)} AS g{i}' for i in range(1, 8))} FROM {source})))))))"""
+def _folded(x: str) -> str:
+    return f"translate({clean(x)}, concat(chr(1), chr(2)), '')"
 
 
-def _period(options):
-    return lambda v: v.periods.select("event_id", D.period(F.col("text"), F.col("published"), options).alias("p")).select("event_id", "p.start_date", "p.end_date")
+_LISTS = ", ".join(f"regexp_extract_all(v, '{D.TOKEN}', {k}) AS g{k}" for k in range(8))
+_YEAR = "CASE WHEN g1[i] = '元' THEN 2019 WHEN g1[i] <> '' THEN 2018 + TRY_CAST(g1[i] AS INT) ELSE TRY_CAST(g2[i] AS INT) END"
 
 
-query("DAT-03", period_sql("periods"))(_period(D.Options()))
-query("DAT-04", period_sql("periods", more="len(regexp_extract_all(text, '[0-9]{1,2}(?:月|/)[0-9]{1,2}(?:日|[^0-9]|$)')) <= 2 AND NOT regexp_matches(trim(text), '^[～〜~]')"))(
-    lambda v: v.periods.select("event_id", D.strict_period(F.col("text"), F.col("published")).alias("p")).select("event_id", "p.start_date", "p.end_date")
-)
-query("DAT-05", period_sql("periods", year="explicit", end="required", max_span=9))(_period(D.Options(max_span=9, year="explicit", end="required")))
+def _tokens(table: str) -> str:
+    """The dates of folded texts `v` of a table, as lists."""
+    one = f"{{'gap': gaps[i], 'year': {_YEAR}, 'month': TRY_CAST(g3[i] AS INT), 'day': coalesce(TRY_CAST(g4[i] AS INT), TRY_CAST(g6[i] AS INT)), 'sign': concat(g5[i], g7[i])}}"
+    return f"SELECT *, list_transform(range(1, len(g0) + 1), lambda i: {one}) AS tok FROM (SELECT *, string_split_regex(v, '{D.TOKEN}') AS gaps, {_LISTS} FROM {table})"
+
+
+def _day(y: str, m: str, d: str, sign: str | None = None) -> str:
+    day = f"TRY_CAST(concat(lpad(CAST({y} AS VARCHAR), 4, '0'), '-', lpad(CAST({m} AS VARCHAR), 2, '0'), '-', lpad(CAST({d} AS VARCHAR), 2, '0')) AS DATE)"
+    return day if sign is None else f"CASE WHEN {sign} = '' OR {sign} = substring('月火水木金土日', CAST(isodow({day}) AS INT), 1) THEN {day} END"
+
+
+def period_sql(source: str, o: D.Options = D.Options()) -> str:
+    """The rule of DAT-03 to DAT-05 over lists."""
+    text = _folded("text") if o.label is None else f"regexp_extract({_folded('text')}, '(?:{o.label})(.*)$', 1)"
+    own = lambda x: f"{x}.year" if o.year == "explicit" else f"coalesce({x}.year, year(published) + CASE WHEN month(published) >= 11 AND {x}.month <= 2 THEN 1 ELSE 0 END)"
+    sign = lambda x: f"{x}.sign" if o.weekday else None
+    joined = f"CASE WHEN b.month IS NULL THEN trim(b.gap) = '' ELSE regexp_matches(b.gap, '^ ?{D.JOIN} ?$') END"
+    last = _day("coalesce(b.year, y + CASE WHEN coalesce(b.month, a.month) < a.month THEN 1 ELSE 0 END)", "coalesce(b.month, a.month)", "b.day", sign("b"))
+    start = _day("y", "a.month", "a.day", sign("a"))
+    days = f"list_filter(list_transform(dated, lambda x: {_day(own('x'), 'x.month', 'x.day', sign('x'))}), lambda x: x IS NOT NULL)"
+    s, e = {"ignored": (start, start), "last": (f"{days}[1]", f"{days}[-1]")}.get(o.end, (start, f"CASE WHEN {joined} THEN {last} ELSE {start if o.end == 'optional' else 'NULL::DATE'} END"))
+    more = ["TRUE"] + ([f"len(tok) <= {o.most_dates}"] if o.most_dates is not None else []) + ([f"NOT regexp_matches(v, '{D.OPEN_START}')"] if not o.open_start else []) + ([f"{'s' if o.not_before == 'start' else 'e'} >= published"] if o.not_before else [])
+    ok = f"coalesce(e >= s AND date_diff('day', s, e) <= {o.max_span} AND {' AND '.join(more)}, FALSE)"
+    return f"""SELECT event_id, CASE WHEN {ok} THEN s END AS start_date, CASE WHEN {ok} THEN e END AS end_date FROM (SELECT *, {s} AS s, {e} AS e FROM (SELECT *, {own('a')} AS y FROM (
+SELECT *, dated[1] AS a, tok[list_position(list_transform(tok, lambda x: x.month IS NOT NULL), TRUE) + 1] AS b FROM (SELECT *, list_filter(tok, lambda x: x.month IS NOT NULL) AS dated FROM ({_tokens(f"(SELECT event_id, published, {text} AS v FROM {source})")})))))"""
+
+
+query("DAT-03", period_sql("periods"))(lambda v: v.periods.select("event_id", D.period(F.col("text"), F.col("published")).alias("p")).select("event_id", "p.start_date", "p.end_date"))
+query("DAT-04", period_sql("periods", D.STRICT))(lambda v: v.periods.select("event_id", D.strict_period(F.col("text"), F.col("published")).alias("p")).select("event_id", "p.start_date", "p.end_date"))
+
+
+def _by_source(v):
+    each = F.array(*[F.struct(F.lit(n).alias("source"), D.period(F.col("text"), F.col("published"), o).alias("p")) for n, o in D.SOURCES.items()])
+    return v.periods.select("event_id", F.explode(each).alias("x")).select("event_id", "x.source", "x.p.start_date", "x.p.end_date")
+
+
+query("DAT-05", " UNION ALL ".join(f"SELECT event_id, '{n}' AS source, start_date, end_date FROM ({period_sql('periods', o)})" for n, o in D.SOURCES.items()))(_by_source)
 # one day, the next one too, or some other one too
 _D6 = "concat(p_name, ' 令和7年開催 ', CAST(1 + p_partkey % 12 AS VARCHAR), '月', CAST(1 + p_partkey % 30 AS VARCHAR), '日', CASE p_partkey % 3 WHEN 0 THEN concat(' ', CAST(1 + p_partkey % 11 AS VARCHAR), '月1日') WHEN 1 THEN concat('・', CAST(1 + p_partkey % 12 AS VARCHAR), '月', CAST(2 + p_partkey % 30 AS VARCHAR), '日') ELSE '' END)"
 _DAY6 = "TRY_CAST(concat(y, '-', lpad(regexp_extract(days[{0}], '^([0-9]+)', 1), 2, '0'), '-', lpad(regexp_extract(days[{0}], '月([0-9]+)', 1), 2, '0')) AS DATE)"
@@ -200,17 +225,15 @@ def _title_periods(v):
     return v.part.select(k.alias("id"), text.alias("text")).select("id", D.title_year_period(F.col("text"), F.col("text")).alias("p")).select("id", "p.start_date", "p.end_date")
 
 
-_FULL = "(?:開催|日時|期間)[^0-9]{0,8}([0-9]{4}[年/.][0-9]{1,2}[月/.][0-9]{1,2})"
-_AS_DAY = "TRY_CAST(concat(regexp_extract({0}, '^([0-9]{{4}})', 1), '-', lpad(regexp_extract({0}, '[年/.]([0-9]{{1,2}})[月/.]', 1), 2, '0'), '-', lpad(regexp_extract({0}, '([0-9]{{1,2}})$', 1), 2, '0')) AS DATE)"
-query("DAT-07", f"SELECT event_id, CASE WHEN d IS NULL THEN 'unknown' WHEN d >= DATE '{ERA_AS_OF}' THEN 'future' ELSE 'past' END AS hint FROM (SELECT event_id, {_AS_DAY.format('x')} AS d FROM (SELECT event_id, regexp_extract(text, '{_FULL}', 1) AS x FROM periods))")(
-    lambda v: v.periods.select("event_id", D.schedule_hint(F.col("text"), F.lit(ERA_AS_OF).cast("date")).alias("hint"))
-)
+_AROUND = "concat(right(concat(array_to_string(list_transform(range(1, i), lambda j: concat(gaps[j], g0[j])), ''), gaps[i]), 24), g0[i], left(concat(gaps[i + 1], array_to_string(list_transform(range(i + 1, len(g0) + 1), lambda j: concat(g0[j], gaps[j + 1])), '')), 24))"
+_HINT = f"SELECT event_id, text, CASE WHEN d IS NULL THEN 'unknown' WHEN d >= DATE '{ERA_AS_OF}' THEN 'future' ELSE 'past' END AS hint FROM (SELECT *, list_filter(list_transform(range(1, len(g0) + 1), lambda i: CASE WHEN tok[i].year IS NOT NULL AND regexp_matches({_AROUND}, '{D.SCHEDULED}') THEN {_day('tok[i].year', 'tok[i].month', 'tok[i].day')} END), lambda x: x IS NOT NULL)[1] AS d FROM ({_tokens(f"(SELECT event_id, text, {_folded('text')} AS v FROM periods)")}))"
+query("DAT-07", f"SELECT event_id, hint FROM ({_HINT})")(lambda v: v.periods.select("event_id", D.schedule_hint(F.col("text"), F.lit(ERA_AS_OF).cast("date")).alias("hint")))
 _MARK = "([0-9]{1,2})月 *([0-9]{1,2})日 *[(（]([月火水木金土日])[)）]"
 _Y8 = ERA_AS_OF[:4]
 _D8 = f"TRY_CAST(concat('{_Y8}-', lpad(m[i], 2, '0'), '-', lpad(d[i], 2, '0')) AS DATE)"
 query(
     "DAT-08",
-    f"""WITH h AS (SELECT event_id, text, CASE WHEN d IS NULL THEN 'unknown' WHEN d >= DATE '{ERA_AS_OF}' THEN 'future' ELSE 'past' END AS hint FROM (SELECT event_id, text, {_AS_DAY.format('x')} AS d FROM (SELECT event_id, text, regexp_extract(text, '{_FULL}', 1) AS x FROM periods))),
+    f"""WITH h AS ({_HINT}),
 p AS (SELECT event_id, hint, list_max(list_concat(list_transform(regexp_extract_all(regexp_replace(text, '([0-9]+)', ' \\1 ', 'g'), ' (20[0-9]{{2}}) ', 1), lambda x: CAST(x AS INT)), list_transform(regexp_extract_all(text, '令和 *([0-9]{{1,2}})年', 1), lambda x: CAST(x AS INT) + 2018))) AS top,
   regexp_extract_all(text, '{_MARK}', 1) AS m, regexp_extract_all(text, '{_MARK}', 2) AS d, regexp_extract_all(text, '{_MARK}', 3) AS w FROM h),
 k AS (SELECT *, list_filter(list_transform(range(1, len(m) + 1), lambda i: CASE WHEN {_D8} IS NULL THEN 'date_in_title_needs_verification' WHEN substring('月火水木金土日', isodow({_D8}), 1) <> w[i] THEN 'weekday_year_mismatch_check' END), lambda x: x IS NOT NULL) AS bad FROM p)

@@ -38,8 +38,11 @@ FROM {lineitem} l JOIN {part} p ON l.l_partkey = p.p_partkey JOIN {supplier} s O
   WHEN 2 THEN concat('【道の駅 ', road_name, '】 ', title, '！') WHEN 3 THEN concat('「', title, '」開催のお知らせ') WHEN 4 THEN concat('　ＥＶＥＮＴ　', title, '  ') WHEN 5 THEN concat('2026.03.01 EVENT ', title)
   WHEN 6 THEN concat('[', road_name, '] ', title, '  new') ELSE concat(title, ' in ', prefecture) END AS title FROM events_pub""",
     # periods as notices write them; years lie 30 ahead, so eras apply
-    "periods": """SELECT event_id, published, CASE event_id % 7 WHEN 0 THEN concat(y, '年', m, '月', d, '日（土）～', m2, '月', d2, '日') WHEN 1 THEN concat('令和', era, '年', m, '月', d, '日から', m2, '月', d2, '日')
-  WHEN 2 THEN concat('開催日時：', m, '月', d, '日～', d2, '日') WHEN 3 THEN concat('期間 ', y, '/', m, '/', d, ' - ', y, '/', m2, '/', d2) WHEN 4 THEN concat(m, '月', d, '日') WHEN 5 THEN concat(y, '年2月30日') ELSE concat('～', m2, '月', d2, '日') END AS text
+    "periods": """SELECT event_id, published, CASE event_id % 16 WHEN 0 THEN concat(y, '年', m, '月', d, '日（土）～', m2, '月', d2, '日') WHEN 1 THEN concat('令和', era, '年', m, '月', d, '日から', m2, '月', d2, '日')
+  WHEN 2 THEN concat('開催日時：', m, '月', d, '日～', d2, '日') WHEN 3 THEN concat('期間 ', y, '/', m, '/', d, ' - ', y, '/', m2, '/', d2) WHEN 4 THEN concat(m, '月', d, '日') WHEN 5 THEN concat(y, '年2月30日') WHEN 6 THEN concat('～', m2, '月', d2, '日')
+  WHEN 7 THEN concat(y, '-', m, '-', d, ' 開催') WHEN 8 THEN concat(m, '/', d, '（日・祝）・', d2, '日(月)') WHEN 9 THEN concat('10月30日～1月3日 受付', m, '月') WHEN 10 THEN concat('令和元年', m, '月', d, '日 10:00～15:00 実施')
+  WHEN 11 THEN concat('祭り（', y, '.', m, '.', d, '～', d2, '）') WHEN 12 THEN concat('日時：', y, '年', m, '月', d, '日（水）～', y, '年', m2, '月', d2, '日（金）') WHEN 13 THEN concat('● ～', m, '月', d, '日')
+  WHEN 14 THEN concat(m, '月', d, '日、', m2, '月', d2, '日、', y, '年', m2, '月28日') ELSE concat('令和', era, '年', m, '月', d, '日開催 ', y, '年の記録') END AS text
 FROM (SELECT o_orderkey AS event_id, CAST(o_orderdate AS DATE) + CAST(10927 AS INT) AS published, CAST(year(o_orderdate) + 30 AS VARCHAR(10)) AS y, CAST(year(o_orderdate) + 12 - 2000 AS VARCHAR(10)) AS era, CAST(month(o_orderdate) AS VARCHAR(10)) AS m, CAST(day(o_orderdate) AS VARCHAR(10)) AS d,
   CAST(month(CAST(o_orderdate AS DATE) + CAST(o_orderkey % 20 AS INT)) AS VARCHAR(10)) AS m2, CAST(day(CAST(o_orderdate AS DATE) + CAST(o_orderkey % 20 AS INT)) AS VARCHAR(10)) AS d2 FROM {orders}) x""",
     "old_feed": "SELECT * FROM events_pub WHERE event_id % 10 < 7",
