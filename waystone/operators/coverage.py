@@ -46,7 +46,9 @@ def containment(notices: DataFrame, master: DataFrame, text: str, key: str, leas
     sizes = sorted(r["n"] for r in names.select(F.length(key).alias("n")).distinct().collect())
     if not sizes:
         return notices.join(master.limit(0), F.lit(True))
-    parts = [F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i, n=n: F.substring(F.col(text), i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in sizes]
+    # F.transform counts a second parameter of its function, default or not, as the place in the array
+    cut = lambda n: lambda i: F.substring(F.col(text), i, F.lit(n))
+    parts = [F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), cut(n))).otherwise(F.array().cast("array<string>")) for n in sizes]
     a = notices.withColumn("_part", F.explode(F.array_distinct(F.concat(*parts))))
     return a.join(names, F.col("_part") == F.col(key)).drop("_part")
 

@@ -8,11 +8,19 @@ from waystone.functions import dates as D
 from waystone.functions import text as T
 from waystone.functions import udfs
 from waystone.operators import extract as X
+from waystone.operators import pages as P
 from waystone.operators import search as S
 from waystone.plans.columns import ERA_AS_OF, clean, key, part
 from waystone.plans.registry import query
 from waystone.sources import files
 
+
+
+def day_sql(x: str) -> str:
+    """The day of a date with its year."""
+    return f"TRY_CAST(concat(regexp_extract({x}, '([0-9]{{4}})年', 1), '-', lpad(regexp_extract({x}, '年 *([0-9]+)', 1), 2, '0'), '-', lpad(regexp_extract({x}, '月 *([0-9]+)', 1), 2, '0')) AS DATE)"
+
+
 _A = "<a [^>]*href=\"([^\"]*)\"[^>]*>([^<]*)</a>"
 query(
     "EXT-01",
@@ -79,7 +87,71 @@ def _as_of(v):
     return both.withColumn("station_y", F.last(F.when(F.col("st"), F.col("y")), ignorenulls=True).over(w)).filter("ev").select("page", "y", "station_y")
 
 
-query("EXT-16", "SELECT conv_id, min({'n': length(text), 't': text}).t AS text FROM conversations WHERE len(regexp_extract_all(text, '[.?]')) = 1 AND len(regexp_extract_all(text, '[A-Z]')) = 1 GROUP BY conv_id")(lambda v: X.smallest_card(v.conversations, "conv_id", "text", {"[.?]": 1, "[A-Z]": 1}))
+query("EXT-16-shortest", "SELECT conv_id, min({'n': length(text), 't': text}).t AS text FROM conversations WHERE len(regexp_extract_all(text, '[.?]')) = 1 AND len(regexp_extract_all(text, '[A-Z]')) = 1 GROUP BY conv_id")(lambda v: X.smallest_card(v.conversations, "conv_id", "text", {"[.?]": 1, "[A-Z]": 1}))
+#: Pages as nested sets, by the same rules over lists: r (tags and texts), el (elements).
+_TEXT = "x[3]"
+for _e, _s in P.ENTITIES:
+    _TEXT = f"replace({_TEXT}, '{_e}', '{_s.replace("'", "''")}')"
+_VOID = ", ".join(f"'{v}'" for v in P.VOID)
+
+
+def _tree(pages: str) -> str:
+    marked = f"regexp_replace(regexp_replace(html, '{P.NO_MARKUP}', '', 'g'), '{P.TAG}', concat(chr(1), '\\1', chr(2), '\\2', chr(2)), 'g')"
+    return f"""pg AS (SELECT * FROM {pages}), r0 AS (SELECT page_id, pos, CASE WHEN pos = 0 THEN ['', '', x] ELSE string_split(x, chr(2)) END AS x FROM (SELECT page_id, unnest(p) AS x, CAST(unnest(range(0, len(p))) AS INT) AS pos FROM (SELECT page_id, string_split({marked}, chr(1)) AS p FROM pg))),
+r1 AS (SELECT page_id, pos, lower(ltrim(x[1], '/')) AS tag, x[1] LIKE '/%' AS closing, x[2] AS attrs, {clean(_TEXT)} AS text FROM r0),
+r AS (SELECT *, CAST(coalesce(sum(length(text) + CASE WHEN text <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS chars FROM r1),
+lv AS (SELECT *, sum(CASE WHEN closing THEN -1 ELSE 1 END) OVER (PARTITION BY page_id, tag ORDER BY pos) + CASE WHEN closing THEN 1 ELSE 0 END AS level FROM r WHERE tag <> '' AND tag NOT IN ({_VOID})),
+nx AS (SELECT *, lead(closing) OVER w AS nc, lead(pos) OVER w AS np, lead(chars) OVER w AS nch FROM lv WINDOW w AS (PARTITION BY page_id, tag, level ORDER BY pos)),
+cl AS (SELECT page_id, tag, attrs, pos AS pre, np AS post, nch - chars AS chars FROM nx WHERE NOT closing AND nc),
+lo AS (SELECT n.page_id, n.tag, n.attrs, n.pos AS pre, n.chars AS c0, CAST(coalesce(min(cl.post), max(la.last)) AS INT) AS post, max(la.total) AS total FROM nx n JOIN (SELECT page_id, max(pos) + 1 AS last, max(chars + length(text) + CASE WHEN text <> '' THEN 1 ELSE 0 END) AS total FROM r GROUP BY page_id) la ON la.page_id = n.page_id LEFT JOIN cl ON cl.page_id = n.page_id AND cl.pre < n.pos AND n.pos < cl.post WHERE NOT n.closing AND NOT coalesce(n.nc, FALSE) GROUP BY n.page_id, n.tag, n.attrs, n.pos, n.chars),
+el AS (SELECT * FROM cl UNION ALL SELECT lo.page_id, lo.tag, lo.attrs, lo.pre, lo.post, coalesce(lv.chars, lo.total) - lo.c0 FROM lo LEFT JOIN lv ON lv.page_id = lo.page_id AND lv.pos = lo.post)"""
+
+
+def _inside(outer: str, e: str = "e") -> str:
+    return f"EXISTS (SELECT 1 FROM ({outer}) o WHERE o.page_id = {e}.page_id AND o.pre < {e}.pre AND {e}.post <= o.post)"
+
+
+_AROUND = f"SELECT * FROM el WHERE tag IN ({', '.join(f"'{t}'" for t in P.AROUND)})"
+_ARTICLE = "SELECT page_id, m.pre AS pre, m.post AS post FROM (SELECT page_id, min({'k': list_position(['article', 'main'], tag), 'pre': pre, 'post': post}) AS m FROM el WHERE tag IN ('article', 'main') GROUP BY page_id)"
+
+
+def _texts(e: str) -> str:
+    return f"SELECT e.page_id, e.tag, e.pre, e.post, string_agg(r.text, ' ' ORDER BY r.pos) AS text FROM ({e}) e JOIN r ON r.page_id = e.page_id AND r.text <> '' AND e.pre <= r.pos AND r.pos < e.post GROUP BY ALL"
+
+
+def _in_article(where: str) -> str:
+    return f"SELECT * FROM el e WHERE {where} AND {_inside(_ARTICLE)} AND NOT {_inside(_AROUND)}"
+
+
+def _good(x: str) -> str:
+    return f"regexp_matches({x}, '祭|フェア|大会') AND NOT regexp_matches({x}, '募集|中止')"
+
+
+query("EXT-16-elements", f"WITH {_tree('pages')} SELECT page_id, tag, pre, post, chars FROM el")(lambda v: P.elements(P.tags(v.pages)).drop("attrs"))
+query("EXT-02-container", f"WITH {_tree('pages')}, t AS ({_texts(_in_article("tag IN ('p', 'li', 'dd', 'td', 'h2', 'h3') AND chars <= 251"))}) SELECT page_id, line_no, text AS line FROM (SELECT *, CAST(row_number() OVER (PARTITION BY page_id ORDER BY pre) AS INT) AS line_no FROM t WHERE length(text) <= 250) WHERE line_no <= 140")(
+    lambda v: P.container_lines(v.pages)
+)
+query(
+    "EXT-03-ranked",
+    f"""WITH {_tree('event_pages')}, t AS ({_texts(_in_article("tag IN ('h1', 'h2', 'h3', 'h4') AND chars <= 401"))}), b AS (SELECT page_id, min({{'k': list_position(['h1', 'h2', 'h3', 'h4'], tag), 'pre': pre, 'text': text}}).text AS own FROM t WHERE {_good('text')} GROUP BY page_id),
+o AS (SELECT page_id, regexp_replace({clean('listed')}, '^(?:(?:EVENT|NEWS|お知らせ|新着情報) +)?(?:20[0-9]{{2}}[年./-][0-9]{{1,2}}[月./-][0-9]{{1,2}}日? *)?', '') AS other FROM pg) SELECT o.page_id, coalesce(own, CASE WHEN {_good('other')} THEN other END, '') AS headline FROM o LEFT JOIN b USING (page_id)""",
+)(lambda v: P.headlines(v.event_pages, include="祭|フェア|大会", exclude="募集|中止"))
+_HREF = "regexp_extract(e.attrs, 'href=\"([^\"]*)\"', 1)"
+_LINK = "CASE WHEN h LIKE '/%' THEN concat(root, h) WHEN h LIKE 'http%' THEN CASE WHEN starts_with(h, concat(root, '/')) THEN h END ELSE concat(root, '/news/', h) END"
+query(
+    "EXT-16",
+    f"""WITH {_tree('event_pages')}, c0 AS ({_texts("SELECT * FROM el WHERE tag IN ('li', 'article', 'tr', 'section', 'div') AND chars BETWEEN 25 AND 651")}),
+c1 AS (SELECT *, list_distinct(regexp_extract_all(text, 'Customer#[0-9]{{9}}')) AS names FROM c0 WHERE length(text) BETWEEN 25 AND 650 AND len(regexp_extract_all(text, '{P.DATE}')) = 2),
+c2 AS (SELECT *, substring(text, instr(text, names[1]) + length(names[1])) AS rest FROM c1 WHERE len(names) = 1 AND names[1] IN (SELECT c_name FROM customer)),
+c3 AS (SELECT *, regexp_extract(rest, '^ *({P.DATE}) *({P.DATE}) *(.{{4,140}})', ['a', 'b', 't']) AS m FROM c2),
+c4 AS (SELECT page_id, pre, post, text, names[1] AS road_name, trim(regexp_replace(m.t, '^[ ・]+', '')) AS title, {day_sql('m.a')} AS start_date, {day_sql('m.b')} AS end_date FROM c3),
+c5 AS (SELECT * FROM c4 WHERE title <> '' AND end_date >= start_date AND end_date >= DATE '{ERA_AS_OF}' AND date_diff('day', start_date, end_date) <= 366),
+a0 AS (SELECT e.page_id, e.pre, e.post, regexp_replace({_HREF}, '#.*$', '') AS h, regexp_extract(pg.url, '^https://[^/]+') AS root FROM el e JOIN pg USING (page_id) WHERE tag = 'a' AND {_HREF} <> ''),
+a1 AS (SELECT page_id, pre, post, {_LINK} AS link FROM a0), a2 AS (SELECT a1.*, t.text FROM a1 LEFT JOIN ({_texts("SELECT *, 'a' AS tag FROM a1")}) t USING (page_id, pre, post) WHERE contains(link, '/event/')),
+l AS (SELECT c.page_id, c.pre, min({{'at': a.pre, 'link': a.link, 'text': a.text}}) AS l FROM c5 c JOIN a2 a ON a.page_id = c.page_id AND c.pre < a.pre AND a.pre < c.post GROUP BY ALL),
+f AS (SELECT c.road_name, start_date, end_date, coalesce(l.link, concat(pg.url, '?dc=', start_date)) AS url, length(text) AS size, c.page_id, c.pre, CASE WHEN length(l.text) BETWEEN 6 AND 100 AND NOT regexp_matches(l.text, '{P.DATE}') AND NOT regexp_matches(l.text, '戻る|詳細を見る|もっと見る') THEN l.text ELSE trim(left(title, 110)) END AS title FROM c5 c LEFT JOIN l USING (page_id, pre) JOIN pg USING (page_id))
+SELECT road_name, start_date, end_date, url, min({{'s': size, 'p': page_id, 'pre': pre, 't': title}}).t AS title FROM f GROUP BY ALL""",
+)(lambda v: P.event_cards(v.event_pages, v.stations, as_of=ERA_AS_OF))
 query("EXT-17", "SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '[.。]')) AS s FROM documents) WHERE instr(s, ' of ') > 0 AND instr(s, ' the ') > instr(s, ' of ') AND len(regexp_extract_all(s, ' (is|are) ')) = 1 GROUP BY doc_id")(lambda v: X.ordered_sentences(v.documents, " of ", " the ", " (is|are) "))
 query(
     "EXT-18",

@@ -129,3 +129,10 @@ def scratch(spark: SparkSession) -> str:
         root = tempfile.mkdtemp(prefix="waystone-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/waystone-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Cuts the lineage: the rows as a table in the shared folder."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

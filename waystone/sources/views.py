@@ -45,6 +45,14 @@ FROM {lineitem} l JOIN {part} p ON l.l_partkey = p.p_partkey JOIN {supplier} s O
   WHEN 14 THEN concat(m, '月', d, '日、', m2, '月', d2, '日、', y, '年', m2, '月28日') ELSE concat('令和', era, '年', m, '月', d, '日開催 ', y, '年の記録') END AS text
 FROM (SELECT o_orderkey AS event_id, CAST(o_orderdate AS DATE) + CAST(10927 AS INT) AS published, CAST(year(o_orderdate) + 30 AS VARCHAR(10)) AS y, CAST(year(o_orderdate) + 12 - 2000 AS VARCHAR(10)) AS era, CAST(month(o_orderdate) AS VARCHAR(10)) AS m, CAST(day(o_orderdate) AS VARCHAR(10)) AS d,
   CAST(month(CAST(o_orderdate AS DATE) + CAST(o_orderkey % 20 AS INT)) AS VARCHAR(10)) AS m2, CAST(day(CAST(o_orderdate AS DATE) + CAST(o_orderkey % 20 AS INT)) AS VARCHAR(10)) AS d2 FROM {orders}) x""",
+    # pages with cards in nested containers: two cards each, some with two stations, three dates, no link, another host or open elements
+    "event_pages": """SELECT event_id AS page_id, url, road_name, CASE WHEN event_id % 3 = 0 THEN concat('EVENT 2026.10.08 ', title, '祭') WHEN event_id % 3 = 1 THEN concat('2026年3月1日 ', title) ELSE concat(title, ' 祭　募集') END AS listed,
+  concat('<html><head><title>', title, '</title><script>if (a < b) write("</div><li>");</script></head><body><nav><ul><li><h1>', road_name, '祭り</h1> ', d1, ' ', d1, '</li></ul></nav><!-- <li> --><main><h1>',
+    CASE event_id % 4 WHEN 0 THEN 'イベント一覧' WHEN 1 THEN concat(title, ' &amp; 祭り') WHEN 2 THEN '募集 祭り' ELSE '' END, '</h1><h2>', CASE WHEN event_id % 5 = 0 THEN '秋の<b>フェア</b>' ELSE '一覧' END, '</h2><div class="list"><DIV><section><ul><li class="card">',
+    CASE event_id % 6 WHEN 0 THEN concat('<a href="/event/?article=', event_id, '"><span>', title, '</span> 大会</a>') WHEN 1 THEN '<a href="https://other.example.jp/event/1">大会の詳細を見る</a>' WHEN 2 THEN concat('<a href="../event/x', event_id, '#top">詳細を見る 一覧</a>') ELSE '' END,
+    '<p>', road_name, CASE WHEN event_id % 7 = 3 THEN ' Customer#000000001' ELSE '' END, '</p><p>', d1, '<br>', d2, CASE WHEN event_id % 7 = 5 THEN ' 締切2026年1月9日' ELSE '' END, '<p>・', title, '&nbsp;のお祭り</li><li><p>', road_name, '</p><p>', d2, ' ', d3, '</p><p>次の', title, '</p></li></ul></section></div></div></main><footer><p>', d1, '</p></footer></body></html>') AS html
+FROM (SELECT *, concat(CAST(year(start_date) + 30 AS VARCHAR(10)), '年', CAST(month(start_date) AS VARCHAR(10)), '月', CAST(day(start_date) AS VARCHAR(10)), '日') AS d1,
+  concat(CAST(year(end_date) + 30 AS VARCHAR(10)), '年', CAST(month(end_date) AS VARCHAR(10)), '月', CAST(day(end_date) AS VARCHAR(10)), '日') AS d2, concat(CAST(year(end_date) + 31 AS VARCHAR(10)), '年1月', CAST(1 + event_id % 28 AS VARCHAR(10)), '日') AS d3 FROM events_pub) x""",
     "old_feed": "SELECT * FROM events_pub WHERE event_id % 10 < 7",
     "new_feed": """SELECT event_id, seq, road_name, prefecture, CASE WHEN event_id % 13 = 0 THEN concat(title, ' NEW') ELSE title END AS title, start_date + CAST(CASE WHEN event_id % 11 = 0 THEN 1 ELSE 0 END AS INT) AS start_date,
   end_date + CAST(CASE WHEN event_id % 11 = 0 THEN 1 ELSE 0 END AS INT) AS end_date, published_at, url, status, feed FROM events_pub WHERE event_id % 10 >= 3""",
