@@ -164,7 +164,7 @@ query(
 )
 
 
-def _folded(x: str) -> str:
+def folded(x: str) -> str:
     return f"translate({clean(x)}, concat(chr(1), chr(2)), '')"
 
 
@@ -185,7 +185,7 @@ def _day(y: str, m: str, d: str, sign: str | None = None) -> str:
 
 def period_sql(source: str, o: D.Options = D.Options()) -> str:
     """The rule of DAT-03 to DAT-05 over lists."""
-    text = _folded("text") if o.label is None else f"regexp_extract({_folded('text')}, '(?:{o.label})(.*)$', 1)"
+    text = folded("text") if o.label is None else f"regexp_extract({folded('text')}, '(?:{o.label})(.*)$', 1)"
     own = lambda x: f"{x}.year" if o.year == "explicit" else f"coalesce({x}.year, year(published) + CASE WHEN month(published) >= 11 AND {x}.month <= 2 THEN 1 ELSE 0 END)"
     sign = lambda x: f"{x}.sign" if o.weekday else None
     joined = f"CASE WHEN b.month IS NULL THEN trim(b.gap) = '' ELSE regexp_matches(b.gap, '^ ?{D.JOIN} ?$') END"
@@ -226,7 +226,7 @@ def _title_periods(v):
 
 
 _AROUND = "concat(right(concat(array_to_string(list_transform(range(1, i), lambda j: concat(gaps[j], g0[j])), ''), gaps[i]), 24), g0[i], left(concat(gaps[i + 1], array_to_string(list_transform(range(i + 1, len(g0) + 1), lambda j: concat(g0[j], gaps[j + 1])), '')), 24))"
-_HINT = f"SELECT event_id, text, CASE WHEN d IS NULL THEN 'unknown' WHEN d >= DATE '{ERA_AS_OF}' THEN 'future' ELSE 'past' END AS hint FROM (SELECT *, list_filter(list_transform(range(1, len(g0) + 1), lambda i: CASE WHEN tok[i].year IS NOT NULL AND regexp_matches({_AROUND}, '{D.SCHEDULED}') THEN {_day('tok[i].year', 'tok[i].month', 'tok[i].day')} END), lambda x: x IS NOT NULL)[1] AS d FROM ({_tokens(f"(SELECT event_id, text, {_folded('text')} AS v FROM periods)")}))"
+_HINT = f"SELECT event_id, text, CASE WHEN d IS NULL THEN 'unknown' WHEN d >= DATE '{ERA_AS_OF}' THEN 'future' ELSE 'past' END AS hint FROM (SELECT *, list_filter(list_transform(range(1, len(g0) + 1), lambda i: CASE WHEN tok[i].year IS NOT NULL AND regexp_matches({_AROUND}, '{D.SCHEDULED}') THEN {_day('tok[i].year', 'tok[i].month', 'tok[i].day')} END), lambda x: x IS NOT NULL)[1] AS d FROM ({_tokens(f"(SELECT event_id, text, {folded('text')} AS v FROM periods)")}))"
 query("DAT-07", f"SELECT event_id, hint FROM ({_HINT})")(lambda v: v.periods.select("event_id", D.schedule_hint(F.col("text"), F.lit(ERA_AS_OF).cast("date")).alias("hint")))
 _MARK = "([0-9]{1,2})月 *([0-9]{1,2})日 *[(（]([月火水木金土日])[)）]"
 _Y8 = ERA_AS_OF[:4]

@@ -9,8 +9,9 @@ from waystone.functions import text as T
 from waystone.functions import udfs
 from waystone.operators import extract as X
 from waystone.operators import pages as P
+from waystone.operators import patterns as R
 from waystone.operators import search as S
-from waystone.plans.columns import ERA_AS_OF, clean, key, part
+from waystone.plans.columns import ERA_AS_OF, clean, folded, key, part, period_sql
 from waystone.plans.registry import query
 from waystone.sources import files
 
@@ -59,7 +60,7 @@ query("EXT-11", f"WITH {_SEC} SELECT * FROM (SELECT article_id, section, min(CAS
 query("EXT-12", f"WITH {_M}, n AS (SELECT *, min(day) OVER (PARTITION BY article_id ORDER BY line_no, line_text ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS near FROM m), p AS (SELECT DISTINCT p_brand AS name FROM part WHERE p_partkey % 7 = 0) SELECT article_id, line_no, name, near AS day FROM n JOIN p ON regexp_extract(line_text, '【([^】]+)】', 1) = name WHERE near IS NOT NULL")(
     lambda v: X.named_programs(v.article_lines, v.part.filter("p_partkey % 7 = 0").select(F.col("p_brand").alias("name")).distinct())
 )
-query("EXT-13", f"WITH {_M} SELECT article_id, min(CASE WHEN is_heading THEN line_text END) AS title, min(day) AS day FROM m GROUP BY article_id HAVING count(DISTINCT CASE WHEN is_heading THEN line_text END) = 1 AND count(DISTINCT day) = 1 AND count(DISTINCT CASE WHEN is_venue THEN line_text END) = 1")(lambda v: X.agreed(v.article_lines))
+query("EXT-13-agreed", f"WITH {_M} SELECT article_id, min(CASE WHEN is_heading THEN line_text END) AS title, min(day) AS day FROM m GROUP BY article_id HAVING count(DISTINCT CASE WHEN is_heading THEN line_text END) = 1 AND count(DISTINCT day) = 1 AND count(DISTINCT CASE WHEN is_venue THEN line_text END) = 1")(lambda v: X.agreed(v.article_lines))
 query("EXT-14", f"WITH {_SEC} SELECT article_id, section, substring(string_agg(line_text, ' ' ORDER BY rn), 1, 60) AS context FROM s GROUP BY article_id, section")(lambda v: X.heading_context(v.article_lines, 60))
 _POS = "SELECT l_suppkey AS page, CAST(l_partkey % 2 AS INT) AS side, CAST(l_orderkey % 700 AS DOUBLE) AS y, l_orderkey * 10 + l_linenumber AS id, l_linenumber = 1 AS is_station FROM lineitem"
 
@@ -154,9 +155,81 @@ SELECT road_name, start_date, end_date, url, min({{'s': size, 'p': page_id, 'pre
 )(lambda v: P.event_cards(v.event_pages, v.stations, as_of=ERA_AS_OF))
 query("EXT-17", "SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '[.。]')) AS s FROM documents) WHERE instr(s, ' of ') > 0 AND instr(s, ' the ') > instr(s, ' of ') AND len(regexp_extract_all(s, ' (is|are) ')) = 1 GROUP BY doc_id")(lambda v: X.ordered_sentences(v.documents, " of ", " the ", " (is|are) "))
 query(
-    "EXT-18",
+    "EXT-18-modes",
     f"WITH {_M}, t AS (SELECT *, lead(day) OVER {_W} AS d1, lead(is_venue, 2) OVER {_W} AS v2 FROM m) SELECT 'triple' AS adapter, article_id, line_text AS title, d1 AS day FROM t WHERE article_id % 3 = 0 AND is_heading AND d1 IS NOT NULL AND v2 UNION ALL SELECT 'agreed', article_id, min(CASE WHEN is_heading THEN line_text END), min(day) FROM m WHERE article_id % 3 = 1 GROUP BY article_id HAVING count(DISTINCT CASE WHEN is_heading THEN line_text END) = 1 AND count(DISTINCT day) = 1 AND count(DISTINCT CASE WHEN is_venue THEN line_text END) = 1 UNION ALL SELECT 'context', article_id, title, day FROM (SELECT article_id, day, lag(line_text) OVER {_W} AS title, max(is_venue) OVER (PARTITION BY article_id ORDER BY line_no, line_text ROWS BETWEEN 1 FOLLOWING AND 8 FOLLOWING) AS has_venue FROM m) WHERE article_id % 3 = 2 AND day IS NOT NULL AND title IS NOT NULL AND has_venue",
 )(lambda v: X.by_adapter(v.article_lines, [("triple", "triple", "article_id % 3 = 0"), ("agreed", "agreed", "article_id % 3 = 1"), ("context", "context", "article_id % 3 = 2")]))
+_EVENT, _LABEL = "祭", "^(?:開催日時|期間)"
+#: How the 15 sources of the fixture write their events.
+RULES = [
+    R.Rule(0, "labelled", "^【", "T-?D-?V", _LABEL, need_venue=True),
+    R.Rule(1, "monthly", _EVENT, "TD", "^[0-9]+月", offsite="市役所|別会場", scope="^[^D]{0,8}", year="heading"),
+    R.Rule(2, "named programs", "【Brand#[1-3]", "B|T.?D", title_part="【([^】]+)】"),
+    R.Rule(3, "by publication", "^【", "T[^T]{0,2}D", year="published", max_span=90),
+    R.Rule(4, "dated titles", "^【.*20[0-9]{2}年", "B", title_part="】(.*?) ?20[0-9]{2}年"),
+    R.Rule(5, "triples", "^【", "TDV", _LABEL, need_venue=True),
+    R.Rule(6, "notice blocks", "^【", "T[^T]{0,2}D[^T]{0,17}V", "^[0-9]+月", year="heading", need_venue=True),
+    R.Rule(7, "context", "^[^会開]", "[T-]D[^D]{0,8}V", _LABEL, need_venue=True),
+    R.Rule(8, "by publication, long", "^【", "T[^T]{0,2}D", year="published", max_span=120, title_part="】(.*)"),
+    R.Rule(9, "titles with venue", "^【.*20[0-9]{2}年", "B[^B]{0,3}V", title_part="【([^】]+)】", need_venue=True),
+    R.Rule(10, "labelled, on site", "^【", "T-?D", _LABEL, offsite="別会場", scope="^[^TD]{0,4}"),
+    R.Rule(11, "monthly, named", "Brand#[24]", "T-?D", "^[0-9]+月", year="heading", title_part="(Brand#[0-9]+)"),
+    R.Rule(12, "labelled, last", _EVENT, "D[^D]{0,6}$|T-?D", _LABEL),
+    R.Rule(13, "venue first", "^【", "V[^V]{0,3}TD", year="published", need_venue=True),
+    R.Rule(14, "short titles", "^【", "B", title_part="【(.{3})", blocked="STEEL|中止"),
+]
+#: The four kinds of records that must agree with what is known of them.
+RECORDS = [
+    R.Record(0, "detail", "【Brand#", venue="会場 ?: ?道の駅", date_label="開催日時"),
+    R.Record(10, "vendor", "祭", start="【Brand#3", stop="【", venue="道の駅 Supplier", offsite="別会場", date_label="開催日時", max_span=30),
+    R.Record(5, "checkpoint", "祭", needs="道の駅 LARGE", venue="道の駅", date_label="日時", max_span=120),
+    R.Record(3, "document section", "PROMO", start="PROMO", stop="会場", venue="祭", date_label="祭", year="published"),
+]
+_NAMED = [(0, "1-URGENT O", "道の駅", "開催"), (0, "1-URGENT F", "道の駅", "開催"), (1, "2-HIGH O", "道の駅", "開催"), (1, "2-HIGH F", "道の駅", "開催"), (2, "5-LOW F", "道の駅", "開催"), (2, "5-LOW O", "道の駅で", "開催")]
+
+
+def _values(rows: list[tuple], names: str) -> str:
+    text = lambda x: f"'{x}'" if isinstance(x, str) else str(x)
+    return f"(VALUES {', '.join(f"({', '.join(map(text, r))})" for r in rows)}) v({names})"
+
+
+def _rows(rules) -> str:
+    from dataclasses import astuple, fields
+
+    return _values([astuple(r) for r in rules], ", ".join(f'"{f.name}"' for f in fields(rules[0])))
+
+
+_SPAN = "date_diff('day', p.start_date, p.end_date)"
+_ROWS_SQL = f"""WITH rl AS (SELECT * FROM {_rows(RULES)}), j AS MATERIALIZED (SELECT l.*, row_number() OVER () AS event_id, {folded('l.text')} AS t, rl.* EXCLUDE (adapter) FROM adapter_lines l JOIN rl ON l.adapter = rl.adapter),
+g AS (SELECT article_id, min({{'n': line_no, 'd': TRY_CAST(concat(regexp_extract(t, '{R.PROGRAM}', 1), '-', lpad(regexp_extract(t, '{R.PROGRAM}', 2), 2, '0'), '-01') AS DATE)}}).d AS ground FROM j WHERE regexp_matches(t, '{R.PROGRAM}') GROUP BY article_id),
+src AS (SELECT event_id, t AS text, CASE WHEN year = 'published' THEN published WHEN year = 'heading' THEN ground END AS published FROM j LEFT JOIN g USING (article_id) WHERE regexp_matches(t, date)),
+p AS ({{period}}), k AS (SELECT j.*, CASE WHEN {_SPAN} <= max_span THEN p.start_date END AS sd, CASE WHEN {_SPAN} <= max_span THEN p.end_date END AS ed FROM j LEFT JOIN p USING (event_id)),
+c AS (SELECT *, CASE WHEN regexp_matches(t, offsite) THEN 'X' WHEN ti AND sd IS NOT NULL THEN 'B' WHEN sd IS NOT NULL THEN 'D' WHEN regexp_matches(t, venue) THEN 'V' WHEN ti THEN 'T' ELSE '-' END AS sign FROM (SELECT *, regexp_matches(t, title) AND NOT regexp_matches(t, blocked) AS ti FROM k)),
+a AS (SELECT adapter, article_id, core, scope, title_part, venue, need_venue, list({{{{'t': t, 'sign': sign, 'sd': sd, 'ed': ed}}}} ORDER BY line_no, t) AS x, string_agg(sign, '' ORDER BY line_no, t) AS s FROM c GROUP BY ALL),
+q AS (SELECT *, string_split(regexp_replace(s, core, concat(chr(1), '\\0', chr(1)), 'g'), chr(1)) AS parts FROM a),
+m AS (SELECT *, length(array_to_string(parts[1:i - 1], '')) AS k0, length(parts[i]) AS n FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM q) WHERE i % 2 = 0),
+y AS (SELECT *, list_filter(x[k0 + 1:k0 + n], lambda e: e.sign IN ('T', 'B'))[1] AS et, list_filter(x[k0 + 1:k0 + n], lambda e: e.sign IN ('D', 'B'))[1] AS de, list_filter(x[k0 + 1:k0 + n], lambda e: e.sign = 'V')[1] AS ev, substring(s, k0 + n + 1) AS rest FROM m)
+SELECT DISTINCT adapter, article_id, trim(translate(regexp_extract(et.t, title_part, 1), '『』「」', '')) AS title, trim(regexp_replace(ev.t, venue, '')) AS venue, de.sd AS start_date, de.ed AS end_date FROM y WHERE et IS NOT NULL AND de IS NOT NULL AND NOT contains(regexp_extract(rest, scope), 'X') AND (NOT need_venue OR ev IS NOT NULL)""".replace("{{", "{").replace("}}", "}").replace("{period}", period_sql("src", D.Options(max_span=366)))
+query("EXT-18", _ROWS_SQL)(lambda v: R.row_events(v.adapter_lines, R.rules_table(v.spark, RULES)))
+query("EXT-09-monthly", f"SELECT * FROM ({_ROWS_SQL}) WHERE adapter IN (1, 11)")(lambda v: R.row_events(v.adapter_lines, R.rules_table(v.spark, [r for r in RULES if r.adapter in (1, 11)])))
+query("EXT-12-named", f"SELECT * FROM ({_ROWS_SQL}) WHERE adapter = 2")(lambda v: R.row_events(v.adapter_lines, R.rules_table(v.spark, [r for r in RULES if r.adapter == 2])))
+query(
+    "EXT-17-events",
+    f"""WITH s0 AS (SELECT doc_id, name, venue, verb, published, trim(unnest(string_split_regex({folded('text')}, '[。!?]'))) AS s FROM announcements a JOIN {_values(_NAMED, 'adapter, name, venue, verb')} ON a.adapter = v.adapter),
+s1 AS MATERIALIZED (SELECT row_number() OVER () AS event_id, * REPLACE (replace(s, concat(year(published), '年', month(published), '月', day(published), '日'), ' ') AS s) FROM s0 WHERE length(s) <= 230 AND contains(s, name) AND contains(s, venue) AND contains(s, verb)),
+s2 AS (SELECT *, list_zip(regexp_extract_all(s, '{D.TOKEN}', 3), regexp_extract_all(s, '{D.TOKEN}', 5)).list_filter(lambda x: x[1] <> '') AS d FROM s1), s3 AS (SELECT * FROM s2 WHERE len(d) = 1 AND d[1][2] <> '' AND instr(s, concat(d[1][1], '月')) > 0 AND instr(s, venue) > instr(s, concat(d[1][1], '月'))),
+src AS (SELECT event_id, s AS text, published FROM s3), p AS ({period_sql("src")}) SELECT DISTINCT doc_id, name AS title, venue, start_date, end_date FROM s3 JOIN p USING (event_id) WHERE start_date IS NOT NULL""",
+)(lambda v: R.sentence_events(v.announcements, v.spark.createDataFrame(_NAMED, "adapter int, name string, venue string, verb string")))
+query(
+    "EXT-13",
+    f"""WITH rc AS (SELECT * FROM {_rows(RECORDS)}), b AS (SELECT l.adapter, l.article_id, min(l.published) AS published, bool_or(contains({folded('l.text')}, rc.title)) AS named, string_agg({folded('l.text')}, ' ' ORDER BY line_no, {folded('l.text')}) AS body FROM adapter_lines l JOIN rc ON l.adapter = rc.adapter GROUP BY l.adapter, l.article_id),
+s AS (SELECT b.*, rc.* EXCLUDE (adapter), regexp_extract(body, concat('((?:', start, ').*)$'), 1) AS begun FROM b JOIN rc ON b.adapter = rc.adapter),
+s1 AS (SELECT *, CASE WHEN begun = '' THEN '' ELSE concat(left(begun, 1), CASE WHEN stop = '' THEN substring(begun, 2) ELSE string_split_regex(substring(begun, 2), stop)[1] END) END AS section FROM s),
+s2 AS (SELECT *, regexp_extract(section, concat('(?:', date_label, ') ?:? ?(.*)$'), 1) AS dated FROM s1), s3 AS (SELECT *, CASE WHEN regexp_matches(dated, '^(?:令和|R)? ?[0-9元]') THEN left(dated, 60) END AS near FROM s2),
+src AS (SELECT article_id AS event_id, near AS text, CASE WHEN year = 'published' THEN published END AS published FROM s3), p AS ({period_sql("src", D.Options(max_span=366))}),
+r AS (SELECT *, CASE WHEN NOT named THEN 'title_missing' WHEN len(list_filter(string_split(needs, ' '), lambda w: NOT contains(body, w))) > 0 THEN 'activity_missing' WHEN section = '' THEN 'section_missing' WHEN regexp_matches(section, cancelled) THEN 'cancelled' WHEN NOT regexp_matches(section, venue) THEN 'venue_missing' WHEN regexp_matches(section, offsite) THEN 'offsite' WHEN near IS NULL THEN 'date_missing'
+  WHEN start_date IS NULL OR date_diff('day', start_date, end_date) > max_span THEN 'invalid_date' WHEN end_date < DATE '{ERA_AS_OF}' THEN 'past' ELSE 'accepted' END AS reason FROM s3 JOIN p ON s3.article_id = p.event_id)
+SELECT adapter, article_id, kind, reason, CASE WHEN reason = 'accepted' THEN title END AS title, CASE WHEN reason = 'accepted' THEN start_date END AS start_date, CASE WHEN reason = 'accepted' THEN end_date END AS end_date FROM r""",
+)(lambda v: R.verified_records(v.adapter_lines, R.records_table(v.spark, RECORDS), as_of=ERA_AS_OF))
 query("EXT-19", f"WITH {_M}, a AS (SELECT article_id, count(*) FILTER (is_heading) AS h, count(*) FILTER (is_date) AS d, bool_or(is_venue AND line_text = concat('会場：', st)) AS v, min(day) AS day FROM (SELECT m.*, CASE WHEN s.article_id % 2 = 0 THEN station ELSE '道の駅 Supplier#000000001' END AS st FROM m LEFT JOIN ({_STATION}) s ON m.article_id = s.article_id) GROUP BY article_id) SELECT article_id, CASE WHEN h <> 1 THEN 'headline_count' WHEN d <> 1 THEN 'date_count' WHEN day IS NULL THEN 'no_year' WHEN NOT coalesce(v, FALSE) THEN 'no_venue' WHEN NOT date_diff('day', DATE '{ERA_AS_OF}', day) BETWEEN 0 AND 366 THEN 'out_of_range' ELSE 'accepted' END AS reason FROM a")(
     lambda v: X.strict_probe(v.article_lines, v.article_lines.filter("line_text like '会場%'").groupBy("article_id").agg(F.when(F.col("article_id") % 2 == 0, F.concat(F.lit("道の駅 "), F.min(F.substring("line_text", 8, 100)))).otherwise("道の駅 Supplier#000000001").alias("station")), ERA_AS_OF)
 )

@@ -53,6 +53,16 @@ FROM (SELECT o_orderkey AS event_id, CAST(o_orderdate AS DATE) + CAST(10927 AS I
     '<p>', road_name, CASE WHEN event_id % 7 = 3 THEN ' Customer#000000001' ELSE '' END, '</p><p>', d1, '<br>', d2, CASE WHEN event_id % 7 = 5 THEN ' 締切2026年1月9日' ELSE '' END, '<p>・', title, '&nbsp;のお祭り</li><li><p>', road_name, '</p><p>', d2, ' ', d3, '</p><p>次の', title, '</p></li></ul></section></div></div></main><footer><p>', d1, '</p></footer></body></html>') AS html
 FROM (SELECT *, concat(CAST(year(start_date) + 30 AS VARCHAR(10)), '年', CAST(month(start_date) AS VARCHAR(10)), '月', CAST(day(start_date) AS VARCHAR(10)), '日') AS d1,
   concat(CAST(year(end_date) + 30 AS VARCHAR(10)), '年', CAST(month(end_date) AS VARCHAR(10)), '月', CAST(day(end_date) AS VARCHAR(10)), '日') AS d2, concat(CAST(year(end_date) + 31 AS VARCHAR(10)), '年1月', CAST(1 + event_id % 28 AS VARCHAR(10)), '日') AS d3 FROM events_pub) x""",
+    # lines of 15 sources, each with its own way to write titles, dates and venues
+    "adapter_lines": """SELECT CAST(a.article_id % 15 AS INT) AS adapter, a.article_id, CAST(a.line_no * 3 AS INT) AS line_no, CASE WHEN a.line_text LIKE '開催日時%' AND a.article_id % 5 IN (1, 3) THEN regexp_replace(a.line_text, '^開催日時：令和[0-9]+年', '')
+  WHEN a.line_text LIKE '【%' AND a.article_id % 5 = 4 THEN concat(a.line_text, ' 2026年', CAST(1 + a.article_id % 12 AS VARCHAR(10)), '月5日～8日') WHEN a.article_id % 4 = 0 AND a.line_no % 4 = 0 THEN concat(a.line_text, ' 別会場') ELSE a.line_text END AS text,
+  CAST(o.o_orderdate AS DATE) + CAST(10927 AS INT) AS published FROM article_lines a JOIN {orders} o ON a.article_id = o.o_orderkey
+UNION ALL SELECT CAST(o_orderkey % 15 AS INT), o_orderkey, 0, concat(CAST(2022 + o_orderkey % 6 AS VARCHAR(10)), '年', CAST(1 + o_orderkey % 12 AS VARCHAR(10)), '月 道の駅イベントのご案内'), CAST(o_orderdate AS DATE) + CAST(10927 AS INT) FROM {orders} WHERE o_orderkey % 5 = 1""",
+    # sentences that tell of an event: in order, venue first, two dates, with the day of publication, without weekday
+    "announcements": """SELECT doc_id, adapter, published, CASE doc_id % 6 WHEN 0 THEN concat('本日更新。', title, 'は', m, '月', d, '日（土）に道の駅で開催します。次回は来月！') WHEN 1 THEN concat('道の駅で', title, 'を', m, '月', d, '日（日）開催。') WHEN 2 THEN concat(title, 'は', m, '月', d, '日（月）、締切は', m, '月1日。道の駅で開催')
+  WHEN 3 THEN concat(p, ' ', title, 'を', m, '月', d, '日(水)より道の駅にて開催!') WHEN 4 THEN concat(title, 'は', m, '月', d, '日に道の駅で開催') ELSE concat('他のお知らせ。', title, '！', m, '月', d, '日（火）道の駅で', title, '開催') END AS text
+FROM (SELECT event_id AS doc_id, CAST(event_id % 3 AS INT) AS adapter, title, published_at + CAST(10927 AS INT) AS published, CAST(month(start_date) AS VARCHAR(10)) AS m, CAST(day(start_date) AS VARCHAR(10)) AS d,
+  concat(CAST(year(published_at + CAST(10927 AS INT)) AS VARCHAR(10)), '年', CAST(month(published_at + CAST(10927 AS INT)) AS VARCHAR(10)), '月', CAST(day(published_at + CAST(10927 AS INT)) AS VARCHAR(10)), '日') AS p FROM events_pub) x""",
     "old_feed": "SELECT * FROM events_pub WHERE event_id % 10 < 7",
     "new_feed": """SELECT event_id, seq, road_name, prefecture, CASE WHEN event_id % 13 = 0 THEN concat(title, ' NEW') ELSE title END AS title, start_date + CAST(CASE WHEN event_id % 11 = 0 THEN 1 ELSE 0 END AS INT) AS start_date,
   end_date + CAST(CASE WHEN event_id % 11 = 0 THEN 1 ELSE 0 END AS INT) AS end_date, published_at, url, status, feed FROM events_pub WHERE event_id % 10 >= 3""",
