@@ -112,7 +112,10 @@ def test_urls(spark):
     base = F.lit("https://a.jp/news/list.html?x=1")
     want = {"/b": "https://a.jp/b", "c.html#t": "https://a.jp/news/c.html", "?p=2": "https://a.jp/news/list.html?p=2", "//a.jp/d": "https://a.jp/d", "//b.jp/d": None, "http://a.jp/e": None, "javascript:x": None, "": None}
     assert {k: one(spark, k, lambda c: U.resolve(c, base)) for k in want} == want
-    assert one(spark, "https://u@a.jp/x", U.url_key) == "" and one(spark, "HTTPS://A.jp", U.url_key) == "" and one(spark, "https://A.jp/x/#f", U.url_key) == "a.jp/x"
+    assert one(spark, "https://u@a.jp/x", U.url_key) == "" and one(spark, "HTTPS://A.jp", U.url_key) == "" and one(spark, "https://A.jp/x/#f", U.url_key) == "https://a.jp/x"
+    key = lambda u: one(spark, u, U.url_key)
+    assert key("http://a.jp/x") == "" and key("https://A.jp") == key("https://a.jp//") == "https://a.jp/" and key(None) == ""
+    assert key("https://a.jp/祭 り+*~/%7E?q=%41#x") == "https://a.jp/%E7%A5%AD%20%E3%82%8A%2B%2A~/~?q=%41"
 
 
 EVENT = "event_id long, seq long, road_name string, prefecture string, title string, start_date date, end_date date, published_at date, url string, status string, feed int"
@@ -299,3 +302,19 @@ def test_html_tokens_and_nfkc(spark):
     got = [r.t for r in udfs.nfkc(spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1), "t").collect()]
     assert sorted(map(str, got)) == sorted(str(t and " ".join(unicodedata.normalize("NFKC", t).split())) for t in texts)
     assert one(spark, "abcd", lambda c: udfs.ratcliff(c, F.lit("bcde"))) == pytest.approx(0.75)
+
+
+def test_similarity_by_matching_blocks(spark):
+    """The bounds never lose a pair, and the ratio is that of matching blocks."""
+    from difflib import SequenceMatcher
+
+    from waystone.operators import coverage as C
+
+    titles = ["秋の収穫祭", "秋の大収穫祭", "収穫の秋祭", "春祭", "", "aab", "abb", "秋の収穫祭2026"]
+    pairs = [(a, b) for a in titles for b in titles]
+    rows = spark.createDataFrame(pairs, "a string, b string")
+    for least in (0.75, 0.8, 0.83):
+        got = {(r.a, r.b): r.score for r in C.alike(rows, "a", "b", least).collect()}
+        want = {(a, b): SequenceMatcher(None, a, b, autojunk=False).ratio() for a, b in pairs}
+        assert got == {k: pytest.approx(v) for k, v in want.items() if v >= least}
+    assert all(r.bound >= want[r.a, r.b] - 1e-12 for r in rows.withColumn("bound", C.ratio_bound(F.col("a"), F.col("b"))).collect())

