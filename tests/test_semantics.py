@@ -177,7 +177,7 @@ def test_venue_is_never_borrowed(spark):
 
 def test_reason_order(spark):
     lines = [(1, 1, "【A】中止"), (2, 1, "x"), (3, 1, "【A】"), (3, 2, "【B】"), (4, 1, "【A】"), (5, 1, "【A】"), (5, 2, "会場：い"), (5, 3, "会場：う"), (6, 1, "【A】"), (6, 2, "会場：い"), (7, 1, "【A】"), (7, 2, "会場：い"), (7, 3, "日時：2020年1月1日"), (8, 1, "【A】"), (8, 2, "会場：い"), (8, 3, "日時：2026年2月1日"), (9, 1, "【A】"), (9, 2, "会場：い"), (9, 3, "日時：2026年2月1日"), (9, 4, "期間：2026年2月3日")]
-    got = X.with_reasons(spark.createDataFrame(lines, "article_id long, line_no int, line_text string"), "2026-01-01").orderBy("article_id").collect()
+    got = X.with_reasons(spark.createDataFrame(lines, "article_id long, line_no int, line_text string"), "2026-01-01", spark.createDataFrame([(k, "い") for k in range(1, 10)], "article_id long, station string")).orderBy("article_id").collect()
     assert [r.reason for r in got] == ["cancelled", "not_event", "multi_event_overview", "venue_missing", "offsite", "undated", "past", "accepted", "date_conflict"]
 
 
@@ -318,3 +318,48 @@ def test_similarity_by_matching_blocks(spark):
         want = {(a, b): SequenceMatcher(None, a, b, autojunk=False).ratio() for a, b in pairs}
         assert got == {k: pytest.approx(v) for k, v in want.items() if v >= least}
     assert all(r.bound >= want[r.a, r.b] - 1e-12 for r in rows.withColumn("bound", C.ratio_bound(F.col("a"), F.col("b"))).collect())
+
+
+def test_venues_and_listings(spark):
+    """Suffixes that belong to the station, labels of another place, one off-site venue, another title."""
+    from waystone.operators import extract as X
+
+    lines = spark.createDataFrame(
+        [(1, 1, "【秋祭】"), (1, 2, "開催日時：2026年10月10日"), (1, 3, "会場：道の駅 あい 芝生広場"), (2, 1, "【市】"), (2, 2, "開催日時：2026年10月11日"), (2, 3, "会場：市役所"), (3, 1, "【市】"), (3, 2, "会場：道の駅あい"), (3, 3, "別会場あり"), (3, 4, "開催日時：2026年10月12日")],
+        "article_id int, line_no int, line_text string",
+    )
+    stations = spark.createDataFrame([(k, "あい") for k in (1, 2, 3)], "article_id int, station string")
+    proof = lambda **o: {r.article_id: r.on_site for r in X.venue_proof(lines, stations, **o).collect()}
+    assert proof() == {1: False, 2: False, 3: True}
+    assert proof(suffix="芝生広場|前") == {1: True, 2: False, 3: True}
+    assert proof(suffix="芝生広場", elsewhere="別会場|市役所") == {1: True, 2: False, 3: False}
+    assert {r.article_id: r.reason for r in X.with_reasons(lines, "2026-10-01", stations, "芝生広場").collect()} == {1: "accepted", 2: "offsite", 3: "accepted"}
+    listing = spark.createDataFrame([(1, day(2026, 10, 10), "秋祭開催"), (2, day(2026, 10, 11), "別の祭"), (3, day(2026, 10, 11), "市"), (4, day(2026, 1, 1), "無")], "article_id int, listed date, title string")
+    state = lambda x: {r.article_id: r.state for r in X.listing_conflicts(lines, x).collect()}
+    assert state(listing.drop("title")) == {1: "agrees", 2: "agrees", 3: "listing_article_date_conflict", 4: "listing_only"}
+    assert state(listing) == {1: "agrees", 2: "listing_article_title_conflict", 3: "listing_article_date_conflict", 4: "listing_only"}
+
+
+def test_places_along_tracks_by_brute_force(spark):
+    """Steep, flat, single-point and long segments, places on cell borders and beside the ends."""
+    import random
+
+    from waystone.operators import tracks as K
+
+    rng = random.Random(7)
+    points = [(k, n, rng.choice([35.0, 35.5, rng.uniform(34, 37)]), rng.choice([135.0, 136.5, rng.uniform(134, 138)])) for k in range(12) for n in range(k % 5 + 1)] + [(50, 1, 35.0, 135.0), (50, 2, 35.0, 135.0)]
+    places = [(i, rng.choice([35.0, 35.5, rng.uniform(33.5, 37.5)]), rng.choice([135.0, 136.0, rng.uniform(133.5, 138.5)])) for i in range(300)]
+    segs = K.segments(spark.createDataFrame(points, "track int, n int, lat double, lng double"), "track", "n")
+    got = {(r.track, r.id): (r.progress, r.away) for r in K.places_along(segs, "track", spark.createDataFrame(places, "id int, lat double, lng double"), reach=0.3).collect()}
+    want = {}
+    for s in segs.collect():
+        for i, y, x in places:
+            dx, dy = s.lng2 - s.lng, s.lat2 - s.lat
+            raw = ((x - s.lng) * dx + (y - s.lat) * dy) / max(s.len**2, 1e-12)
+            t = min(1.0, max(0.0, raw)) if s.len else 0.0
+            away = math.hypot(x - s.lng - t * dx, y - s.lat - t * dy)
+            if away <= 0.3:
+                key = (round(away + (0 if 0 <= raw <= 1 else 20), 9), s.rn)
+                if (s.track, i) not in want or key < want[s.track, i][0]:
+                    want[s.track, i] = (key, (s.before + t * s.len) / s.total if s.total else None, away)
+    assert got == {k: (None if p is None else pytest.approx(p), pytest.approx(a)) for k, (_, p, a) in want.items()} and len(got) > 100

@@ -78,31 +78,45 @@ def labelled(lines: DataFrame, label: str) -> DataFrame:
     return got.filter(rlike(F.col("line_text"), label)).select("article_id", "line_no", F.coalesce(F.nullif(F.trim(own), F.lit("")), F.col("_next")).alias("value"))
 
 
-def venue_proof(lines: DataFrame, stations: DataFrame) -> DataFrame:
-    """EXT-05: of each article with venue labels: whether any, and whether all, name its station."""
-    v = labelled(lines, VENUE_LABEL).join(stations, "article_id")
-    same = T.station_key(F.col("value")) == T.station_key(F.col("station"))
-    return v.groupBy("article_id").agg(F.bool_or(same).alias("any_on_site"), F.bool_and(same).alias("on_site"))
+def on_site(value: Column, station: Column, suffix: str = "") -> Column:
+    """Whether a venue text names the station: equal keys, or the station's key followed by an allowed `suffix`."""
+    v, s = T.station_key(value), T.station_key(station)
+    rest = F.call_function("substring", v, F.length(s) + 1)
+    return (v == s) | (F.lit(suffix != "") & (s != "") & F.startswith(v, s) & F.rlike(rest, F.lit(f"^(?:{suffix})$")))
 
 
-def with_reasons(lines: DataFrame, as_of: str) -> DataFrame:
-    """EXT-06: one row for each article: the first reason that rejects it, or accepted, with its title and day."""
+def venue_proof(lines: DataFrame, stations: DataFrame, suffix: str = "", elsewhere: str = "") -> DataFrame:
+    """EXT-05: of each article with venue labels: whether any, and whether all, name its station. `suffix`: what may follow
+    the station, such as its square; `elsewhere`: a pattern of labels that tell of another place and count against it."""
+    v = labelled(lines, VENUE_LABEL).join(stations, "article_id").withColumn("same", on_site(F.col("value"), F.col("station"), suffix))
+    if elsewhere:
+        v = v.withColumn("same", F.col("same") & ~rlike(F.col("value"), elsewhere))
+        off = lines.filter(rlike(F.col("line_text"), elsewhere) & ~rlike(F.col("line_text"), VENUE_LABEL)).select("article_id").distinct()
+        v = v.unionByName(off.join(stations, "article_id").withColumn("same", F.lit(False)), allowMissingColumns=True)
+    return v.groupBy("article_id").agg(F.bool_or("same").alias("any_on_site"), F.bool_and("same").alias("on_site"))
+
+
+def with_reasons(lines: DataFrame, as_of: str, stations: DataFrame, suffix: str = "") -> DataFrame:
+    """EXT-06: one row for each article: the first reason that rejects it, or accepted, with its title and day.
+
+    `stations` has the station of each article; a venue that is not on its site is `offsite`.
+    """
     m = marked(lines)
     a = m.groupBy("article_id").agg(
         F.count_if("is_heading").alias("headings"),
         F.count_if("is_venue").alias("venues"),
-        F.countDistinct(F.when(F.col("is_venue"), F.col("line_text"))).alias("places"),
         F.min("day").alias("day"),
         F.max("day").alias("last_day"),
         F.min(F.when(F.col("is_heading"), F.struct(*_ORDER)))["line_text"].alias("title"),
         F.bool_or(rlike(F.col("line_text"), "中止|延期")).alias("cancelled"),
     )
+    a = a.join(venue_proof(lines, stations, suffix).select("article_id", "on_site"), "article_id", "left")
     reason = (
         F.when(F.col("cancelled"), "cancelled")
         .when(F.col("headings") == 0, "not_event")
         .when(F.col("headings") > 1, "multi_event_overview")
         .when(F.col("venues") == 0, "venue_missing")
-        .when(F.col("places") > 1, "offsite")
+        .when(~F.coalesce("on_site", F.lit(False)), "offsite")
         .when(F.col("day").isNull(), "undated")
         .when(F.col("day") != F.col("last_day"), "date_conflict")
         .when(F.col("day") < F.lit(as_of).cast("date"), "past")
@@ -112,10 +126,20 @@ def with_reasons(lines: DataFrame, as_of: str) -> DataFrame:
 
 
 def listing_conflicts(lines: DataFrame, listing: DataFrame) -> DataFrame:
-    """EXT-07: a listing's date is evidence unless the article prints another month and day."""
-    days = marked(lines).filter("day is not null").select("article_id", "day")
-    got = listing.join(days, "article_id", "left").groupBy("article_id", "listed").agg(F.bool_or((F.month("day") != F.month("listed")) | (F.dayofmonth("day") != F.dayofmonth("listed"))).alias("bad"), F.count("day").alias("n"))
-    return got.select("article_id", F.when(F.col("n") == 0, "listing_only").when(F.col("bad"), "listing_article_date_conflict").otherwise("agrees").alias("state"))
+    """EXT-07: a listing's date is evidence unless the article prints another month and day, or has a heading of another
+    title. `listing` has article_id, listed and, if titles are to be compared, title."""
+    m = marked(lines)
+    days = m.filter("day is not null").groupBy("article_id").agg(F.collect_set("day").alias("days"))
+    got = listing.join(days, "article_id", "left")
+    bad = F.exists("days", lambda d: (F.month(d) != F.month("listed")) | (F.dayofmonth(d) != F.dayofmonth("listed")))
+    state = F.when(bad, "listing_article_date_conflict").when(F.col("days").isNull(), "listing_only").otherwise("agrees")
+    if "title" in listing.columns:
+        head = T.title_key(F.regexp_replace("line_text", HEADING + "([^】]*)】", "$1"))
+        heads = m.filter("is_heading").groupBy("article_id").agg(F.collect_set(head).alias("heads"))
+        key = T.title_key(F.col("title"))
+        other = ~F.exists("heads", lambda h: F.contains(h, key) | F.contains(key, h))
+        return got.join(heads, "article_id", "left").select("article_id", F.when(other, "listing_article_title_conflict").otherwise(state).alias("state"))
+    return got.select("article_id", state.alias("state"))
 
 
 def section_events(lines: DataFrame, reach: int = 9) -> DataFrame:

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def union_feeds(feeds: dict[int, DataFrame | None], schema) -> DataFrame:
-    """SET-01: all feeds with a column `feed`; a feed that failed (None) counts as empty."""
+def union_feeds(feeds: dict[int, DataFrame | None]) -> DataFrame | None:
+    """SET-01: all feeds with a column `feed`; a feed that failed (None) counts as empty, and a column
+    that a feed lacks is null there. Each feed is its own source: one scan each."""
     out = None
     for name, rows in feeds.items():
         if rows is None:

@@ -45,9 +45,13 @@ query("EXT-05", f"SELECT l.article_id, bool_or({key('substring(line_text, 4)')}
 _M = "m AS (SELECT *, line_text LIKE '【%' AS is_heading, line_text LIKE '開催日時：%' AS is_date, line_text LIKE '会場：%' AS is_venue, TRY_CAST(concat(2018 + TRY_CAST(regexp_extract(line_text, '^開催日時：令和([0-9]+)年', 1) AS INT), '-', lpad(regexp_extract(line_text, '年([0-9]+)月', 1), 2, '0'), '-', lpad(regexp_extract(line_text, '月([0-9]+)日', 1), 2, '0')) AS DATE) AS day FROM article_lines)"
 _W = "(PARTITION BY article_id ORDER BY line_no, line_text)"
 _SEC = f"{_M}, s0 AS (SELECT *, CAST(sum(CASE WHEN is_heading THEN 1 ELSE 0 END) OVER (PARTITION BY article_id ORDER BY line_no, line_text ROWS UNBOUNDED PRECEDING) AS INT) AS section, row_number() OVER {_W} AS rn FROM m), s AS (SELECT *, rn - min(rn) OVER (PARTITION BY article_id, section) AS gap FROM s0 WHERE section > 0)"
-_REASON = f"CASE WHEN cancelled THEN 'cancelled' WHEN headings = 0 THEN 'not_event' WHEN headings > 1 THEN 'multi_event_overview' WHEN venues = 0 THEN 'venue_missing' WHEN places > 1 THEN 'offsite' WHEN day IS NULL THEN 'undated' WHEN day <> last_day THEN 'date_conflict' WHEN day < DATE '{ERA_AS_OF}' THEN 'past' ELSE 'accepted' END"
-query("EXT-06", f"WITH {_M}, a AS (SELECT article_id, count(*) FILTER (is_heading) AS headings, count(*) FILTER (is_venue) AS venues, count(DISTINCT CASE WHEN is_venue THEN line_text END) AS places, min(day) AS day, max(day) AS last_day, bool_or(regexp_matches(line_text, '中止|延期')) AS cancelled, min(CASE WHEN is_heading THEN {{'n': line_no, 't': line_text}} END).t AS title FROM m GROUP BY article_id), r AS (SELECT *, {_REASON} AS reason FROM a) SELECT article_id, reason, CASE WHEN reason = 'accepted' THEN title END AS title, CASE WHEN reason = 'accepted' THEN day END AS day FROM r")(
-    lambda v: X.with_reasons(v.article_lines, ERA_AS_OF)
+_REASON = f"CASE WHEN cancelled THEN 'cancelled' WHEN headings = 0 THEN 'not_event' WHEN headings > 1 THEN 'multi_event_overview' WHEN venues = 0 THEN 'venue_missing' WHEN NOT coalesce(on_site, FALSE) THEN 'offsite' WHEN day IS NULL THEN 'undated' WHEN day <> last_day THEN 'date_conflict' WHEN day < DATE '{ERA_AS_OF}' THEN 'past' ELSE 'accepted' END"
+_STATION6 = f"SELECT article_id, CASE WHEN article_id % 3 = 0 THEN '道の駅 Supplier#000000001' ELSE station END AS station FROM ({_STATION})"
+query("EXT-06", f"WITH {_M}, st AS ({_STATION6}), v AS (SELECT l.article_id, bool_and({key('substring(line_text, 4)')} = {key('station')}) AS on_site FROM article_lines l JOIN st ON l.article_id = st.article_id WHERE line_text LIKE '会場%' GROUP BY l.article_id), a AS (SELECT article_id, count(*) FILTER (is_heading) AS headings, count(*) FILTER (is_venue) AS venues, min(day) AS day, max(day) AS last_day, bool_or(regexp_matches(line_text, '中止|延期')) AS cancelled, min(CASE WHEN is_heading THEN {{'n': line_no, 't': line_text}} END).t AS title FROM m GROUP BY article_id), r AS (SELECT *, {_REASON} AS reason FROM a LEFT JOIN v USING (article_id)) SELECT article_id, reason, CASE WHEN reason = 'accepted' THEN title END AS title, CASE WHEN reason = 'accepted' THEN day END AS day FROM r")(
+    lambda v: X.with_reasons(v.article_lines, ERA_AS_OF, v.article_lines.filter("line_text like '会場%'").groupBy("article_id").agg(F.when(F.col("article_id") % 3 == 0, "道の駅 Supplier#000000001").otherwise(F.concat(F.lit("道の駅 "), F.min(F.substring("line_text", 8, 100)))).alias("station")))
+)
+query("EXT-07-titles", f"WITH {_M}, l AS (SELECT l_orderkey AS article_id, CAST(l_shipdate AS DATE) + CAST(l_linenumber % 2 AS INT) AS listed, concat('道の駅 ', upper(p_brand)) AS title FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber = 2), d AS (SELECT article_id, list(DISTINCT day) AS days FROM m WHERE day IS NOT NULL GROUP BY article_id), h AS (SELECT article_id, list(regexp_replace(lower(line_text), '[\\s「」『』【】\\[\\]()!?、。・,.\\-]', '', 'g')) AS heads FROM m WHERE is_heading GROUP BY article_id), k AS (SELECT *, regexp_replace(lower(title), '[\\s「」『』【】\\[\\]()!?、。・,.\\-]', '', 'g') AS k FROM l) SELECT article_id, CASE WHEN len(list_filter(heads, lambda h: contains(h, k) OR contains(k, h))) = 0 THEN 'listing_article_title_conflict' WHEN len(list_filter(days, lambda x: month(x) <> month(listed) OR day(x) <> day(listed))) > 0 THEN 'listing_article_date_conflict' WHEN days IS NULL THEN 'listing_only' ELSE 'agrees' END AS state FROM k LEFT JOIN d USING (article_id) LEFT JOIN h USING (article_id)")(
+    lambda v: X.listing_conflicts(v.article_lines, v.lineitem.filter("l_linenumber = 2").join(v.part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("article_id"), F.date_add(F.col("l_shipdate").cast("date"), (F.col("l_linenumber") % 2).cast("int")).alias("listed"), F.concat(F.lit("道の駅 "), F.upper("p_brand")).alias("title")))
 )
 query("EXT-07", f"WITH {_M}, l AS (SELECT o_orderkey AS article_id, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 40 AS INT) AS listed FROM orders), j AS (SELECT l.article_id, bool_or(month(day) <> month(listed) OR day(day) <> day(listed)) AS bad, count(day) AS n FROM l LEFT JOIN (SELECT * FROM m WHERE day IS NOT NULL) m ON l.article_id = m.article_id GROUP BY l.article_id, listed) SELECT article_id, CASE WHEN n = 0 THEN 'listing_only' WHEN bad THEN 'listing_article_date_conflict' ELSE 'agrees' END AS state FROM j")(
     lambda v: X.listing_conflicts(v.article_lines, v.orders.select(F.col("o_orderkey").alias("article_id"), F.date_add(F.col("o_orderdate").cast("date"), (F.col("o_orderkey") % 40).cast("int")).alias("listed")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from waystone.operators import reconcile as R
+from waystone.operators.setops import union_feeds
 from waystone.plans.columns import AS_OF, clean
 from waystone.plans.registry import query
 
@@ -56,15 +57,9 @@ query("REC-01-invalid-new", f"SELECT event_id FROM new_feed WHERE NOT coalesce({
 query("REC-02", "SELECT url, start_date, max(event_id) AS event_id FROM (SELECT * FROM old_feed WHERE end_date >= DATE '1996-01-01' UNION ALL SELECT * FROM new_feed) GROUP BY url, road_name, start_date")(
     lambda v: R.merged_stage(v.old_feed, v.new_feed, AS_OF).select("url", "start_date", "event_id")
 )
-query("SET-01", "SELECT feed, count(*) AS n FROM events_pub GROUP BY feed")(lambda v: _feeds(v).groupBy("feed").agg(F.count("*").alias("n")))
-
-
-def _feeds(v):
-    from waystone.operators.setops import union_feeds
-
-    return union_feeds({i: v.events_pub.filter(F.col("feed") == i).drop("feed") for i in range(15)}, v.events_pub.drop("feed").schema)
-
-
+query("SET-01", "SELECT 0 AS feed, count(*) AS n, count(label) AS labels FROM (SELECT NULL AS label FROM old_feed) UNION ALL SELECT 2, count(*), count(*) FROM new_feed")(
+    lambda v: union_feeds({0: v.old_feed, 1: None, 2: v.new_feed.withColumn("label", F.lit("new"))}).groupBy("feed").agg(F.count("*").alias("n"), F.count("label").alias("labels"))
+)
 query("SET-02", "SELECT road_name, 'history_only' AS kind FROM (SELECT road_name FROM old_feed EXCEPT SELECT road_name FROM new_feed) UNION ALL SELECT road_name, 'both' FROM (SELECT road_name FROM old_feed INTERSECT SELECT road_name FROM new_feed)")(
     lambda v: v.old_feed.select("road_name").subtract(v.new_feed.select("road_name")).withColumn("kind", F.lit("history_only")).unionByName(v.old_feed.select("road_name").intersect(v.new_feed.select("road_name")).withColumn("kind", F.lit("both")))
 )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from waystone.functions import geo as G
 from waystone.operators import search as S
+from waystone.operators import tracks as K
 from waystone.plans.columns import AS_OF
 from waystone.plans.feeds import _LIVE
 from waystone.plans.registry import query
@@ -68,21 +69,11 @@ _SEGS = f"SELECT user_id, rn, lat, lng, lat2, lng2, sqrt(power(lat2 - lat, 2) +
 
 
 def _segments(v):
-    w = Window.partitionBy("user_id")
-    t = v.visits.withColumn("rn", F.row_number().over(w.orderBy("ts", "visit_id")))
-    t = t.withColumns({"lat2": F.lead("lat").over(w.orderBy("rn")), "lng2": F.lead("lng").over(w.orderBy("rn"))}).filter("lat2 is not null")
-    t = t.withColumn("len", F.sqrt(F.pow(F.col("lat2") - F.col("lat"), 2) + F.pow(F.col("lng2") - F.col("lng"), 2)))
-    return t.withColumns({"before": F.coalesce(F.sum("len").over(w.orderBy("rn").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)), "total": F.sum("len").over(w)})
+    return K.segments(v.visits, "user_id", "ts", "visit_id")
 
 
 def _progress(v):
-    """GEO-07: how far along a track a point is: the best segment by distance, which counts 20 more outside its ends."""
-    s = _segments(v)
-    raw = ((F.lit(135.0) - F.col("lng")) * (F.col("lng2") - F.col("lng")) + (F.lit(35.0) - F.col("lat")) * (F.col("lat2") - F.col("lat"))) / F.greatest(F.col("len") * F.col("len"), F.lit(1e-12))
-    t, away = G.segment(F.lit(135.0), F.lit(35.0), F.col("lng"), F.col("lat"), F.col("lng2"), F.col("lat2"))
-    s = s.withColumns({"t": t, "off": F.round(away + F.when(raw.between(0, 1), 0).otherwise(20), 9)})
-    best = s.groupBy("user_id").agg(F.min(F.struct("off", "rn", "t", "before", "len", "total")).alias("b"))
-    return best.select("user_id", F.round((F.col("b.before") + F.col("b.t") * F.col("b.len")) / F.col("b.total"), 6).alias("progress"))
+    return K.progress(_segments(v), "user_id", F.lit(35.0), F.lit(135.0)).select("user_id", F.round("progress", 6).alias("progress"))
 
 
 _S7 = f"SELECT *, coalesce(sum(len) OVER (PARTITION BY user_id ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS before, sum(len) OVER (PARTITION BY user_id) AS total FROM ({_SEGS})"
@@ -91,17 +82,25 @@ query(
     "GEO-07",
     f"WITH s AS ({_S7}), t AS (SELECT *, {_T7} AS raw, greatest(0.0, least(1.0, {_T7})) AS t FROM s), o AS (SELECT *, round(sqrt(power(135.0 - lng - t * (lng2 - lng), 2) + power(35.0 - lat - t * (lat2 - lat), 2)) + CASE WHEN raw BETWEEN 0 AND 1 THEN 0 ELSE 20 END, 9) AS off FROM t), b AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY off, rn) AS k FROM o) SELECT user_id, round((before + t * len) / total, 6) AS progress FROM b WHERE k = 1",
 )(_progress)
-query("GEO-08", "SELECT request_id, string_agg(place, ',' ORDER BY progress, original, ord) AS stops FROM (SELECT request_id, concat('o', i) AS place, i / 4.0 AS progress, 1 AS original, i AS ord FROM requests, (SELECT unnest(range(1, 4)) AS i) UNION ALL SELECT request_id, concat('d', i), ((request_id * 7 + i * 13) % 20) / 20.0, 0, i FROM requests, (SELECT unnest(range(1, 6)) AS i)) GROUP BY request_id")(
-    lambda v: _inserted(v)
+_P7 = "((p.lng - s.lng) * (lng2 - s.lng) + (p.lat - s.lat) * (lat2 - s.lat)) / greatest(len * len, 1e-12)"
+_NEAR7 = f"""WITH s AS ({_S7}), t AS (SELECT s.*, p.id, p.lat AS plat, p.lng AS plng, {_P7} AS raw, greatest(0.0, least(1.0, {_P7})) AS t FROM s, stations p WHERE p.lat BETWEEN least(s.lat, lat2) - 0.1 AND greatest(s.lat, lat2) + 0.1 AND p.lng BETWEEN least(s.lng, lng2) - 0.1 AND greatest(s.lng, lng2) + 0.1),
+a AS (SELECT *, sqrt(power(plng - lng - t * (lng2 - lng), 2) + power(plat - lat - t * (lat2 - lat), 2)) AS away FROM t), o AS (SELECT *, round(away + CASE WHEN raw BETWEEN 0 AND 1 THEN 0 ELSE 20 END, 9) AS off FROM a WHERE away <= 0.1), b AS (SELECT *, row_number() OVER (PARTITION BY user_id, id ORDER BY off, rn) AS k FROM o)"""
+query("GEO-07-places", f"{_NEAR7} SELECT user_id, id, round((before + t * len) / total, 6) AS progress, round(away, 6) AS away FROM b WHERE k = 1")(
+    lambda v: K.places_along(_segments(v), "user_id", v.stations, reach=0.1).select("user_id", "id", F.round("progress", 6).alias("progress"), F.round("away", 6).alias("away"))
 )
+# detours are the stations near a track, stops are its own points
+query(
+    "GEO-08",
+    f"{_NEAR7}, d AS (SELECT user_id, concat('d', id) AS place, round((before + t * len) / total, 9) AS progress, id AS ord, 0 AS original FROM b WHERE k = 1 AND id % 40 = user_id % 40), own AS (SELECT user_id, concat('o', rn), round(before / total, 9), rn, 1 FROM s) SELECT user_id, string_agg(place, ',' ORDER BY progress, original, ord) AS stops FROM (SELECT * FROM own UNION ALL SELECT * FROM d) x(user_id, place, progress, ord, original) GROUP BY user_id",
+)(lambda v: _inserted(v))
 
 
 def _inserted(v):
-    """GEO-08: detours merged into a route by progress, before original stops on ties."""
-    o = v.requests.select("request_id", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("ord")).select("request_id", F.concat(F.lit("o"), "ord").alias("place"), (F.col("ord") / 4).alias("progress"), F.lit(1).alias("original"), "ord")
-    d = v.requests.select("request_id", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("ord")).select("request_id", F.concat(F.lit("d"), "ord").alias("place"), ((F.col("request_id") * 7 + F.col("ord") * 13) % 20 / 20).alias("progress"), F.lit(0).alias("original"), "ord")
-    stops = F.array_sort(F.collect_list(F.struct("progress", "original", "ord", "place")))
-    return o.unionByName(d).groupBy("request_id").agg(F.array_join(F.transform(stops, lambda x: x["place"]), ",").alias("stops"))
+    s = _segments(v)
+    near = K.places_along(s, "user_id", v.stations, reach=0.1).filter("id % 40 = user_id % 40")
+    detours = near.select("user_id", F.concat(F.lit("d"), "id").alias("place"), F.round("progress", 9).alias("progress"), F.col("id").alias("ord"))
+    stops = s.select("user_id", F.concat(F.lit("o"), "rn").alias("place"), F.round(F.col("before") / F.col("total"), 9).alias("progress"), F.col("rn").cast("bigint").alias("ord"))
+    return K.with_detours(stops, detours, "user_id").select("user_id", F.array_join("stops", ",").alias("stops"))
 
 
 query(
@@ -111,11 +110,8 @@ query(
 
 
 def _along(v):
-    """GEO-09: the point at a fraction of a track's length."""
-    s = _segments(v).withColumn("want", F.col("user_id") % 10 / 10 * F.col("total")).filter("before + len >= want")
-    b = s.groupBy("user_id").agg(F.min(F.struct("rn", "lat", "lng", "lat2", "lng2", "before", "len", "want")).alias("b")).select("user_id", "b.*")
-    f = (F.col("want") - F.col("before")) / F.greatest(F.col("len"), F.lit(1e-12))
-    return b.select("user_id", F.round(F.col("lat") + f * (F.col("lat2") - F.col("lat")), 6).alias("at_lat"), F.round(F.col("lng") + f * (F.col("lng2") - F.col("lng")), 6).alias("at_lng"))
+    at = K.points_at(_segments(v), "user_id", F.col("user_id") % 10 / 10)
+    return at.select("user_id", F.round("at_lat", 6).alias("at_lat"), F.round("at_lng", 6).alias("at_lng"))
 
 
 _GX, _GY = f"(glng - rlng) * {_KM} * cos(radians((rlat + glat) / 2))", f"(glat - rlat) * {_KM}"
