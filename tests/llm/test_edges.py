@@ -19,7 +19,7 @@ ROWS = [
     (7, "ünï 日本\x00   end", "de", "c", 1),
 ]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
-CLASHES = ["score", "n_words", "matches", "kept", "component_id", "n_shingles", "labels", "places", "lang_pred", "start", "ids", "factors", "_text", "_set", "_chunk", "_label", "base_score", "n_hit", "focus", "_host", "_lines"]
+CLASHES = ["score", "n_words", "matches", "kept", "component_id", "n_shingles", "labels", "places", "lang_pred", "start", "ids", "factors", "_text", "_set", "_chunk", "_label", "base_score", "n_hit", "focus", "_host", "_lines", "_matches", "_n_words", "_n_hit", "_words", "_keys", "_hashes", "_places", "_trained", "_counts", "own", "key", "host", "_own", "own_text", "_bits", "_row"]
 
 
 def tables(spark, rows):
@@ -104,8 +104,12 @@ def test_empty_tables(spark, name):
 def test_clashing_names(spark, name):
     docs, labels, bench = tables(spark, ROWS)
     plain = OPERATORS[name](docs, labels, bench)
-    docs = docs.withColumns({c: F.lit(f"own {c}") for c in CLASHES})
+    docs = docs.withColumns({c: F.lit(f"own {c}") for c in CLASHES}).select(F.create_map(F.lit("k"), "doc_id").alias("map"), "*")
     got = OPERATORS[name](docs, labels, bench)
+    # the caller's columns come back with their values, but for those that the results take
+    made = [c for c in plain.columns if c not in SCHEMA.replace(",", "").split()]
+    for r in got.select("doc_id", "map", *[c for c in CLASHES if c not in made]).collect():
+        assert r.map == {"k": r.doc_id} and all(r[c] == f"own {c}" for c in CLASHES if c not in made)
     assert len(got.columns) == len(set(got.columns))
     own = [c for c in plain.columns if c not in ("factors", "sequence_id", "offset")]
     a, b = (sorted(map(str, x.select(*own).collect())) for x in (plain, got))

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from waystone.llm import divergence, exact_dedup, fp_search
+from waystone.llm import divergence, exact_dedup, fp_search, line_frequency
 
 LONG = "lorem ipsum dolor " * 9000
 ROWS = [
@@ -205,3 +205,23 @@ def test_perfect_hash():
     other = tool.slots(rng.integers(0, 1 << 62, (1000, 4)).astype(np.uint64))
     assert other.min() >= -1 and other.max() < len(words) and len(tool.bits) < 5 * len(words)
     assert exact_dedup.PerfectHash.build(words[:0]).slots(words[:2]).tolist() == [-1, -1]
+
+
+def test_lines_above_the_limits_are_removed(spark):
+    """The kept text by a plain count of lines; digits, case and signs don't tell lines apart, hosts do."""
+    rng = random.Random(9)
+    rows = []
+    for i in range(120):
+        own = [f"line {rng.randrange(10**6):x} of its own" for _ in range(rng.randrange(0, 4))]
+        shared = [rng.choice(["Share this! 12", "share THIS 7", "Home | About", "***", "", "Rare line"]) for _ in range(rng.randrange(0, 5))]
+        rows.append((i, "\n".join(rng.sample(own + shared, len(own + shared))) if i % 17 else None, "en", "ab"[i % 3 == 0]))
+    word = lambda x: re.sub(r"[^\W\d_]+|\d+", lambda m: "0" if m[0].isdigit() else m[0], x.lower())
+    norm = lambda x: re.sub(r"[^a-z0]+", " ", word(x)).strip()
+    docs = Counter(h for *_, h in rows)
+    have = Counter((h, x) for _, t, _, h in rows for x in {norm(x) for x in (t or "").split("\n")} if x)
+    above = {k for k, n in have.items() if n >= 20 and n > 0.05 * docs[k[0]]}
+    got = {r.doc_id: r for r in line_frequency.judge_lines(spark.createDataFrame(rows, SCHEMA), min_words=1).collect()}
+    for i, t, _, h in rows:
+        left = [x for x in (t or "").split("\n") if (h, norm(x)) not in above]
+        assert got[i].kept_text == "\n".join(left) and got[i].n_left == sum(len(x.split()) for x in left)
+    assert len(above) >= 3 and any(r.kept_text != (r.text or "") for r in got.values())

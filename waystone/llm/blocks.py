@@ -8,11 +8,13 @@ in size, with the input: both numbers follow from the bytes of the texts.
 
 from __future__ import annotations
 
+import functools
+import inspect
 import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
@@ -119,3 +121,44 @@ def gathered(got: pa.Table, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
     if not parts:
         return np.zeros(0, kind), np.zeros(0, np.int64)
     return np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+
+
+def unused(docs: DataFrame, name: str) -> str:
+    """A column name that docs don't have."""
+    have = {c.lower() for c in docs.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
+def keeps_columns(*made: str, roles: tuple[str, ...] = ("text",), keyed: bool = False):
+    """For operators on docs: whatever columns the caller has come back, but for those named like the results `made`.
+
+    The operator sees its `roles` (parameters that name a column, or are one) under their own names and everything else in
+    one struct, so no name inside it can meet one of the caller's. `keyed` puts a hash of the whole row (without maps, which
+    have none) first, by which equal texts can be dealt out. A role that the operator drops is not returned.
+    """
+
+    def wrap(operator):
+        signature = inspect.signature(operator)
+
+        @functools.wraps(operator)
+        def run(docs: DataFrame, *args, **options):
+            given = signature.bind(docs, *args, **options)
+            given.apply_defaults()
+            read = {r: given.arguments[r] for r in roles}
+            named = {c: r for r, c in read.items() if isinstance(c, str)}
+            own = [c for c in docs.columns if c not in made]
+            field = {c: f"own.f{k}" for k, c in enumerate(own) if c not in named}
+            rest = F.struct(F.lit(0).alias("none"), *[F.col(f"`{c}`").alias(f.removeprefix("own.")) for c, f in field.items()])
+            cells = [(c if isinstance(c, Column) else F.col(f"`{c}`")).alias(r) for r, c in read.items()]
+            key = [F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]).alias("key")] if keyed else []
+            given.arguments["docs"] = docs.select(*key, *cells, rest.alias("own"))
+            given.arguments |= {r: F.col(r) if isinstance(c, Column) else r for r, c in read.items()}
+            out = operator(*given.args, **given.kwargs)
+            back = [F.col(field.get(c) or named[c]).alias(c) for c in own if c in field or named[c] in out.columns]
+            return out.select(*back, *[c for c in out.columns if c in made])
+
+        return run
+
+    return wrap

@@ -168,6 +168,7 @@ def _blocks(benchmark: DataFrame, item: str, text: str, block_words: int) -> Ite
     yield ids, texts
 
 
+@B.keeps_columns("matches", "n_words", "n_hit")
 def find_contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 13, block_words: int = 4_000_000) -> DataFrame:
     """Docs with `matches` (maximal verbatim matches of at least a window), `n_words` and `n_hit` (words inside any).
 

@@ -484,7 +484,7 @@ class Join:
         # bucketed by set, so that the joins below move pairs and not texts
         self.table = f"waystone_{uuid.uuid4().hex}"
         profiled = held.mapInArrow(_profiled(n, num, den), PROFILE).dropDuplicates(["_set"])
-        profiled.write.format("parquet").option("compression", "zstd").bucketBy(B.partitions(self.spark), "_set").saveAsTable(self.table)
+        profiled.write.format("parquet").option("compression", "zstd").option("path", f"{scratch.path}/profiles").bucketBy(B.partitions(self.spark), "_set").saveAsTable(self.table)
         self.profiles = self.spark.table(self.table)
         self.entries = self.buckets
 

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import blocks as B
 from . import textarrays as T
 
 U64 = np.uint64
@@ -231,13 +232,13 @@ def _named(tool, names: list[str]):
     return run
 
 
+@B.keeps_columns("lang_pred", "score", "bits", "accepted")
 def identify(docs: DataFrame, tool: Identifier, *, text: str = "text") -> DataFrame:
     """Docs with `lang_pred`, `score`, `bits` (per character) and `accepted` (false: no learned language fits well).
 
     Null texts, and those without a letter, are `und` with score 0; so is every text if no language was learned.
     Ties go to the first language by name. Columns of docs with these names give way.
     """
-    docs = docs.drop("lang_pred", "score", "bits", "accepted")
     send = docs.sparkSession.sparkContext.broadcast(tool)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), "lang_pred string, score double, bits double, accepted boolean"])
     return docs.withColumn("_text", F.col(text)).mapInArrow(_named(send, docs.columns), schema)

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import blocks as B
+
 from .textarrays import LOWER_BYTES, NOT_ALNUM
 
 #: Phrases whose places are counted.
@@ -168,12 +170,12 @@ def _scanned(names: list[str]):
     return run
 
 
+@B.keeps_columns("n_words", "places", "base_labels", "labels", "score")
 def scan_licenses(docs: DataFrame, *, text: str = "text") -> DataFrame:
     """Docs with `n_words`, `places` of the base phrases, `base_labels`, `labels` and `score` (1: free reuse, 0: not,
     0.5: nothing found; the strictest of what is found).
 
     Null and empty texts have no words and no labels (empty strings). Columns of docs with these names give way.
     """
-    docs = docs.drop("n_words", "places", "base_labels", "labels", "score")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), RESULT])
     return docs.withColumn("_text", F.col(text)).mapInArrow(_scanned(docs.columns), schema)

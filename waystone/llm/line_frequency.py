@@ -11,6 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import blocks as B
+
+MADE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _SPACE = r"[ \t-\r]+"
 
 
@@ -58,19 +61,19 @@ def _lines(text: str):
     return F.transform(kept, lambda x: F.struct(F.xxhash64(x["line"]).alias("line"), F.size(words(x["raw"])).alias("n")))
 
 
+@B.keeps_columns(*MADE, "base_failed", "n_left", "kept", "kept_text", roles=("text", "host"))
 def judge_lines(docs: DataFrame, *, text: str = "text", host: str = "source", min_docs: int = 20, share: float = 0.05, least_left: float = 0.5, min_words: int = 50, max_repeat: int = 50) -> DataFrame:
-    """Docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_left and kept.
+    """Docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_left, kept_text and kept.
 
     A line is above the limits on its host if it is in `min_docs` documents or more and in more than `share` of the
-    host's. `n_left` counts the words of the other lines. A document is kept if the base rules hold (`min_words` words;
+    host's. `kept_text` has the other lines, in order
+    and as they were, also of documents that are rejected; `n_left` counts its words. A document is kept if the base rules hold (`min_words` words;
     at most `max_repeat` percent of words in 3-word windows that repeat) and `least_left` of its words are left.
 
-    Null text has no words. Rows without a host are one host. A line twice in a document counts once; repeated rows
+    Null text has no words and keeps an empty text. Lines without letters and digits are never above the limits. Rows without a host are one host. A line twice in a document counts once; repeated rows
     are documents of their own. Texts are taken whole; windows are told apart by their 64-bit hashes.
     Columns of docs with the names of the results give way.
     """
-    made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    docs = docs.drop(*made, "base_failed", "n_left", "kept")
     own = docs.columns
     key = F.coalesce(F.col(host).cast("string"), F.lit("")).alias("_host")
     lines = docs.select(key, F.array_distinct(F.transform(_lines(text), lambda x: x["line"])).alias("_l"))
@@ -81,6 +84,8 @@ def judge_lines(docs: DataFrame, *, text: str = "text", host: str = "source", mi
     measured = base_measures(docs.withColumn("_host", key).withColumn("_lines", _lines(text)), text).drop(*([text] if text not in own else []))
     joined = measured.join(above, "_host", "left")
     lost = F.aggregate(F.filter("_lines", lambda x: F.array_contains(F.coalesce("_above", F.array().cast("array<bigint>")), x["line"])), F.lit(0).cast("bigint"), lambda a, x: a + x["n"])
+    above_limits = F.coalesce("_above", F.array().cast("array<bigint>"))
+    kept_lines = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: ~F.array_contains(above_limits, F.xxhash64(_normalised(x))) | (_normalised(x) == ""))
     failed = (F.col("_n_words") < min_words) | (100 * F.col("_n_repeat_words") > max_repeat * F.col("_n_words"))
     left = F.col("_n_words") - lost
-    return joined.select(*[f"`{c}`" for c in own], *[F.col(f"_{c}").alias(c) for c in made], failed.alias("base_failed"), left.alias("n_left"), (~failed & (left >= least_left * F.col("_n_words"))).alias("kept"))
+    return joined.select(*[f"`{c}`" for c in own], *[F.col(f"_{c}").alias(c) for c in MADE], failed.alias("base_failed"), left.alias("n_left"), F.array_join(kept_lines, "\n").alias("kept_text"), (~failed & (left >= least_left * F.col("_n_words"))).alias("kept"))

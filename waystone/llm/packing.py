@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import blocks as B
+
 BINS, DEPTH = 64, 3
 SHARD_TOKENS = 8_000_000
 #: Words whose ids a worker keeps; about 250 bytes each.
@@ -278,6 +280,7 @@ def _packed(path: str, window: int, names: list[str], end: int):
     return run
 
 
+@B.keeps_columns("start", "length", "ids", "doc_tokens", "sequence_id", "offset")
 def pack_sequences(docs: DataFrame, tokenizer: str, *, text: str = "text", window: int = 1024, end: int = END_ID) -> DataFrame:
     """A row for each piece: the document's other columns, `start`, `length`, `ids` (little-endian 32-bit), `doc_tokens`,
     `sequence_id` and `offset`.

@@ -318,6 +318,7 @@ def shared_counts(texts: DataFrame) -> tuple[np.ndarray, dict[int, tuple[np.ndar
     return after, hot
 
 
+@B.keeps_columns("n_tokens", "n_known", "score", "train_tokens", "base_score", roles=("text", "trained"), keyed=True)
 def score_texts(docs: DataFrame, trained, *, text: str = "text", chunk_bytes: int = B.CHUNK_BYTES) -> DataFrame:
     """Docs without the text column, with `score`, `base_score`, `n_tokens`, `n_known` and `train_tokens`.
 

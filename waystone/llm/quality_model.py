@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import blocks as B
 from . import textarrays as T
 from .sampling import labelled
 
@@ -184,12 +185,12 @@ def _scored(model, names: list[str]):
     return run
 
 
+@B.keeps_columns("score", "focus")
 def score_quality(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
     """Docs with `score` from 0 to 1 and `focus`, the passage with the most attention (the first of several).
 
     Null and empty texts are one empty passage. Columns `score` and `focus` of docs give way.
     """
-    docs = docs.drop("score", "focus")
     send = docs.sparkSession.sparkContext.broadcast(model)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), "score double, focus int"])
     return docs.withColumn("_text", F.col(text)).mapInArrow(_scored(send, docs.columns), schema)

@@ -36,7 +36,7 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_frequency.judge_lines(_table(spark, sf_dir, "documents", "doc_id", "text", "source")).drop("text", "source", "n_left")
+    return line_frequency.judge_lines(_table(spark, sf_dir, "documents", "doc_id", "text", "source")).drop("text", "source", "n_left", "kept_text")
 
 
 def op4_quality_attention(spark: SparkSession, sf_dir: str) -> DataFrame:

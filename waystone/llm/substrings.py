@@ -262,6 +262,7 @@ def _removed(window: int, names: list[str], schema: pa.Schema):
     return run
 
 
+@B.keeps_columns("n_words", "n_removed", "kept_text", "factors", keyed=True)
 def remove_repeats(docs: DataFrame, *, text: str = "text", window: int = 35, chunk_bytes: int = B.CHUNK_BYTES) -> DataFrame:
     """Docs without the text column, with `kept_text`, `n_words`, `n_removed` and `factors`.
 

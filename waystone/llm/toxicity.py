@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import blocks as B
 from . import textarrays as T
 from .sampling import labelled
 
@@ -265,9 +266,9 @@ def _scored(model, names: list[str]):
     return run
 
 
+@B.keeps_columns("score")
 def score_toxicity(docs: DataFrame, model: Machine, *, text: str = "text") -> DataFrame:
     """Docs with `score` from 0 to 1. Null and empty texts get the model's bias. A column `score` of docs gives way."""
-    docs = docs.drop("score")
     send = docs.sparkSession.sparkContext.broadcast(model)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), "score double"])
     return docs.withColumn("_text", F.col(text)).mapInArrow(_scored(send, docs.columns), schema)
@@ -276,6 +277,6 @@ def score_toxicity(docs: DataFrame, model: Machine, *, text: str = "text") -> Da
 def drop_toxic(docs: DataFrame, labels: DataFrame, *, least: float = 0.5, **columns) -> DataFrame:
     """Docs that score below `least`, in their own columns."""
     model = fit(docs, labels, **columns)
-    own = [c for c in docs.columns if c != "score"]
-    scored = score_toxicity(docs.withColumnRenamed("score", "_own_score"), model, text=columns.get("text", "text"))
-    return scored.filter(F.col("score") < least).select(*[F.col(f"`{c}`") if c in own else F.col("_own_score").alias("score") for c in docs.columns])
+    own = {c: c if c != "score" else B.unused(docs, "own_score") for c in docs.columns}
+    scored = score_toxicity(docs.withColumnsRenamed(own), model, text=columns.get("text", "text"))
+    return scored.filter(F.col("score") < least).select(*[F.col(f"`{h}`").alias(c) for c, h in own.items()])
