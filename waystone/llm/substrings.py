@@ -263,8 +263,8 @@ def _removed(window: int, names: list[str], schema: pa.Schema):
 
 
 @B.keeps_columns("n_words", "n_removed", "kept_text", "factors", keyed=True)
-def remove_repeats(docs: DataFrame, *, text: str = "text", window: int = 35, chunk_bytes: int = B.CHUNK_BYTES) -> DataFrame:
-    """Docs without the text column, with `kept_text`, `n_words`, `n_removed` and `factors`.
+def remove_repeats(docs: DataFrame, *, text: str = "text", window: int = 35, chunk_bytes: int = B.CHUNK_BYTES, keep_text: bool = False) -> DataFrame:
+    """Docs without the text column (with it if `keep_text`), with `kept_text`, `n_words`, `n_removed` and `factors`.
 
     A word is removed if a run of `window` words that covers it starts anywhere else too, in the same document or in
     another. Judged on the input: of two copies both lose the passage. Null and empty texts have no words and keep an
@@ -276,6 +276,7 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", window: int = 35, chu
     """
     spark = docs.sparkSession
     names = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_text", "factors", "_chunk", "_text", text)]
+    back = [*names, "_text"] if keep_text else names
     dealt, size = B.in_chunks(docs.select(*[f"`{c}`" for c in names], F.col(text).alias("_text")), "_text", *names[:1], chunk_bytes=chunk_bytes)
     n = B.n_blocks(spark, size)
     seeds = dealt.groupBy("_chunk").applyInArrow(_seeds(window, n), B.SCHEMA).groupBy("_block").applyInArrow(_repeated, B.SCHEMA)
@@ -284,6 +285,6 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", window: int = 35, chu
     matched = seeds.withColumn("_kind", F.lit(SEEDS)).unionByName(factors)
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    result = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema.fields if f.name in names), RESULT])
+    result = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema.fields if f.name in back), RESULT])
     schema = to_arrow_schema(spark.createDataFrame([], result).schema)
-    return matched.groupBy("_chunk").cogroup(dealt.groupBy("_chunk")).applyInArrow(_removed(window, names, schema), result)
+    return matched.groupBy("_chunk").cogroup(dealt.groupBy("_chunk")).applyInArrow(_removed(window, back, schema), result).withColumnRenamed("_text", "text")
