@@ -25,9 +25,8 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages of 35 words or more that stand elsewhere too; documents without repeats stay as they are."""
-    own = blocks.unused(docs, "own_text")
-    out = substrings.remove_repeats(docs.withColumn(own, F.col("text")))
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col(own))
+    out = substrings.remove_repeats(docs, keep_text=True)
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
     made = out.withColumn("text", text).withColumn("n_chars", F.length("text").cast("bigint"))
     return made.select(*docs.columns)
 
