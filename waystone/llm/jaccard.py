@@ -40,7 +40,7 @@ from .graph import components
 
 U64 = np.uint64
 ENTRY = np.dtype([("token", "<u8"), ("set", "<i8"), ("size", "<u4"), ("at", "<u2")])
-BITS, SMALL, TILE = 512, 64, 2048
+BITS, SMALL, TILE = 384, 64, 2048
 #: Entries that a task gathers before it sends them to their blocks.
 SENT_AT_ONCE = 400_000
 #: A shingle that the corpus has so often is dealt to blocks by set.
