@@ -444,3 +444,23 @@ def test_language_models_are_over_characters():
     gram, first = language.word_grams(buf, w, np.arange(len(w)))
     assert first.tolist() == [0, 4, 8, 11]
     assert ["".join(map(chr, g)) for g in gram] == ["    日", "   日本", "  日本語", " 日本語 ", "    é", "   ét", "  été", " été ", "    x", "   x𝄞", "  x𝄞 "]
+
+
+def test_prefixes_bound_what_two_sets_share(spark):
+    """No similar pair is dropped, keys that coincide included, and pairs that share a passage only are."""
+    rng = random.Random(11)
+    rows, similar = [], []
+    for k in range(400):
+        n = rng.choice([1, 2, 9, 40, 300])
+        a = set(rng.sample(range(1, 4000), n))
+        kept = set(rng.sample(sorted(a), max(1, round(n * rng.choice([0.1, 0.5, 0.85, 0.9, 1])))))
+        b = kept | set(rng.sample(range(4000, 8000), rng.randint(0, max(1, n // 10))))
+        coarse = rng.choice([1, 3])  # several tokens with one key
+        cut = [sorted(v % 4000 // coarse for v in sorted(s, key=lambda v: v % 4000 // coarse)[: len(s) + (85 * len(s)) // -100 + 1]) for s in (a, b)]
+        rows.append((k, *cut, len(a), len(b)))
+        similar.append(100 * len(a & b) >= 85 * len(a | b))
+    d = spark.createDataFrame(rows, "k int, a array<int>, b array<int>, n_a int, n_b int")
+    got = {r.k for r in d.filter(jaccard.may_link(F.col("a"), F.col("b"), F.col("n_a"), F.col("n_b"), 85, 100)).collect()}
+    assert {k for k, s in enumerate(similar) if s} <= got
+    far = {k for k, s in enumerate(similar) if not s}
+    assert len(far) > 50 and len(got & far) < len(far) / 2

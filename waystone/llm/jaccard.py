@@ -3,7 +3,8 @@
 For one global order of all tokens (here: shingles), two sets with Jaccard similarity of t or more share a token among
 the first n - ceil(t n) + 1 tokens of each, n being that set's size. That holds for every order, so a candidate must
 pass the test under each of them. The first order puts frequent shingles last and makes the index; two more orders, by
-hashes, are intersected with it before any pair is verified on its full sets.
+hashes, are intersected with it before any pair is verified on its full sets. There the prefixes also bound what two
+sets share: as much as their prefixes do, and at most the smaller of the rests behind them.
 
 Before the sets themselves are compared, a bitmap filter bounds their difference from below: each set has the parities
 of its tokens' hashes in BITS bits, and sets differ in at least as many tokens as their bitmaps do in bits.
@@ -267,11 +268,11 @@ def _buckets(num: int, den: int, blocks: int):
     return run
 
 
-PROFILE = "_set bigint, _bits array<bigint>, _second array<int>, _third array<int>"
+PROFILE = "_set bigint, _size int, _bits array<bigint>, _second array<int>, _third array<int>"
 
 
 def _profiled(n: int, num: int, den: int):
-    """Bitmaps, and prefix tokens under the further orders, cut to 32 bits: equal tokens stay equal."""
+    """Sizes, bitmaps, and prefixes under the further orders: the tokens' keys cut to 31 bits, ascending."""
 
     def run(batches):
         for _, sets in _texts(batches, "_text", n):
@@ -280,10 +281,10 @@ def _profiled(n: int, num: int, den: int):
                 key = T.mix(sets.token * odd)
                 at, _ = first_by(sets, key, num, den)
                 ends = np.concatenate([[0], np.cumsum(prefix(sets.size, num, den))])
-                made.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array((key[at] >> U64(32)).astype(np.uint32).view(np.int32))))
+                made.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array((key[at] >> U64(33)).astype(np.int32))))
             bits = bitmaps(sets)
             bits = pa.ListArray.from_arrays(pa.array(np.arange(len(bits) + 1, dtype=np.int32) * (BITS // 64)), pa.array(bits.reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(sets.name), bits, *made], ["_set", "_bits", "_second", "_third"])
+            yield pa.RecordBatch.from_arrays([pa.array(sets.name), pa.array(sets.size.astype(np.int32)), bits, *made], ["_set", "_size", "_bits", "_second", "_third"])
 
     return run
 
@@ -439,6 +440,19 @@ def _verified(n: int, num: int, den: int):
     return run
 
 
+def may_link(a: Column, b: Column, size_a: Column, size_b: Column, num: int, den: int) -> Column:
+    """Whether two sets can be similar, by their prefixes under one order: ascending keys, equal for equal tokens.
+
+    Below the smaller of the two last keys both sets are known in full. They share what the prefixes share there, and at
+    most the smaller of the two rests beyond. Two tokens of a set with one key count as shared, both, if the key is.
+    """
+    last = F.least(F.try_element_at(a, F.lit(-1)), F.try_element_at(b, F.lit(-1)))
+    known_a, known_b = (F.filter(x, lambda v: v < last) for x in (a, b))
+    common = F.size(F.array_intersect(known_a, known_b)) + F.size(known_a) - F.size(F.array_distinct(known_a))
+    most = common + F.least(size_a - F.size(known_a), size_b - F.size(known_b))
+    return F.arrays_overlap(a, b) & ((num + den) * most.cast("bigint") >= num * (size_a.cast("bigint") + size_b))
+
+
 def picked(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """Rows whose key is among `keys`, and a few others: those whose hashes meet a bit that a key has set.
 
@@ -495,11 +509,12 @@ class Join:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
 
     def verify(self, pairs: DataFrame) -> DataFrame:
-        """(a, b, linked) for those candidate pairs that pass the prefix test under the other orders."""
+        """(a, b, linked) for those candidate pairs that pass the prefix tests under the other orders."""
         p = self.profiles
-        side = lambda x: p.select(F.col("_set").alias(x), *[F.col(f"_{c}").alias(f"_{c}_{x}") for c in ("second", "third")])
+        side = lambda x: p.select(F.col("_set").alias(x), *[F.col(f"_{c}").alias(f"_{c}_{x}") for c in ("size", "second", "third")])
         both = pairs.join(side("a"), "a").join(side("b"), "b")
-        left = self.scratch.small(both.filter(F.arrays_overlap("_second_a", "_second_b") & F.arrays_overlap("_third_a", "_third_b")).select("a", "b"))
+        passes = [may_link(F.col(f"_{c}_a"), F.col(f"_{c}_b"), F.col("_size_a"), F.col("_size_b"), self.num, self.den) for c in ("second", "third")]
+        left = self.scratch.small(both.filter(passes[0] & passes[1]).select("a", "b"))
         wanted = left.select(F.col("a").alias("_set")).union(left.select(F.col("b").alias("_set"))).distinct()
         wanted = self.scratch.small(self.chosen.join(wanted, "_set", "left_semi"))
         texts = picked(self.rows.select("_row", "_set", "_text"), wanted, "_row")  # a few others too, which the joins drop
