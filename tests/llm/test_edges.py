@@ -134,3 +134,25 @@ def test_cut_repeats_keeps_clean_texts(spark):
     rows = [(1, "two  spaces\nand lines", "en", "a", 20), (2, " ".join(f"w{i}" for i in range(50)), "en", "a", 1), (3, "z " + " ".join(f"w{i}" for i in range(50)), "en", "a", 1)]
     got = {r.doc_id: r for r in corpus_pipeline.cut_repeats(spark, spark.createDataFrame(rows, SCHEMA), "").collect()}
     assert got[1].text == rows[0][1] and got[2].text == "" and got[3].text == "z" and got[3].n_chars == 1
+
+
+def test_substring_places_hold_whatever_order_a_shuffle_brings():
+    """Each pass over a chunk may see its rows in another order: the words to remove stay the same."""
+    import random
+
+    import pyarrow as pa
+
+    rng, window, n = random.Random(5), 35, 4
+    passage = " ".join(f"p{i}" for i in range(50))
+    texts = [" ".join(f"w{k}x{i}" for i in range(40)) + (" " + passage if k % 3 == 0 else "") for k in range(9)] + ["", None]
+    rows = lambda: pa.table({"_chunk": pa.array([0] * len(texts), pa.int32()), "_text": pa.array(rng.sample(texts, len(texts)))})
+    by = lambda t, c: [((pa.scalar(k),), t.filter(pa.array([x == k for x in t[c].to_pylist()]))) for k in sorted(set(t[c].to_pylist()))]
+    key = (pa.scalar(0),)
+    answers = lambda t, f: pa.concat_tables([f(k, x) for k, x in by(t, "_block")])
+    schema = pa.schema([("_text", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string()), ("factors", pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("block", pa.int32()), ("chunk", pa.int32()), ("position", pa.int64())])))])
+    for _ in range(5):
+        seeds = answers(substrings._seeds(window, n)(key, rows()), substrings._repeated)
+        found = answers(substrings._sent(window, n)(key, seeds, rows()), substrings._factored(window))
+        found = found.set_column(2, "_kind", pa.array([substrings.FACTORS] * found.num_rows, pa.int32()))
+        out = substrings._removed(window, ["_text"], schema)(key, pa.concat_tables([seeds, found]), rows())
+        assert {r["_text"]: r["n_removed"] for r in out.to_pylist()} == {t: 50 if t and passage in t else 0 for t in texts}

@@ -12,7 +12,7 @@ After each factor the windows that straddle its end are looked up as well, so a
 lost. Factors go back to the texts and cover the words to remove.
 
 A chunk sends each distinct segment once (with a mark if it has it more than once), so a hot passage costs each chunk
-one segment.
+one segment. Places in a chunk count its texts in their own order, whatever the order in which a shuffle brings them.
 """
 
 from __future__ import annotations
@@ -120,7 +120,7 @@ def _sent(window: int, n: int):
         known = np.sort(B.gathered(seeds, np.dtype("<u8"))[0])
         if not len(known) or not got.num_rows:
             return B.ARROW.empty_table()
-        chunk = Chunk(got.column("_text"), window)
+        chunk = Chunk(B.in_order(got).column("_text"), window)
         start, size, low, _, lead, many = chunk.segments(known)
         block = B.block_of(T.mix(low[lead]), n)
         order = np.argsort(block, kind="stable")
@@ -222,6 +222,7 @@ def _removed(window: int, names: list[str], schema: pa.Schema):
     def run(key: tuple, answers: pa.Table, got: pa.Table) -> pa.Table:
         if not got.num_rows:
             return schema.empty_table()
+        got = B.in_order(got)
         chunk = Chunk(got.column("_text"), window)
         kinds = answers.column("_kind").to_numpy()
         known = np.sort(B.gathered(answers.filter(pa.array(kinds == SEEDS)), np.dtype("<u8"))[0])
