@@ -363,3 +363,40 @@ def test_places_along_tracks_by_brute_force(spark):
                 if (s.track, i) not in want or key < want[s.track, i][0]:
                     want[s.track, i] = (key, (s.before + t * s.len) / s.total if s.total else None, away)
     assert got == {k: (None if p is None else pytest.approx(p), pytest.approx(a)) for k, (_, p, a) in want.items()} and len(got) > 100
+
+
+def test_pairs_by_cells_equal_brute_force_and_are_dealt_by_cell(spark):
+    """Anywhere on the globe, for circles, rings and corridors; small files must not make it a broadcast join."""
+    import math
+    import random
+
+    from waystone.functions import geo as G
+    from waystone.operators import search as S
+
+    rng = random.Random(3)
+    point = lambda: (rng.choice([0.0, 35.0, 88.5, -88.9]) + rng.uniform(-4, 4) / 4, rng.choice([-179.5, 179.5, 0.0, 135.0]) + rng.uniform(-4, 4) / 8)
+    places = spark.createDataFrame([(i, *point()) for i in range(300)], "id bigint, lat double, lng double")
+    asked = spark.createDataFrame([(i, *point(), rng.choice([5.0, 60.0, 300.0]), rng.choice([1.0, 20.0, 80.0]), 45.0 * i) for i in range(60)], "request_id bigint, lat double, lng double, km double, tol double, bearing double")
+
+    def km(a, b, c, d):
+        a, b, c, d = map(math.radians, (a, b, c, d))
+        h = math.sin((c - a) / 2) ** 2 + math.cos(a) * math.cos(c) * math.sin((d - b) / 2) ** 2
+        return 12742.0 * math.atan2(math.sqrt(h), math.sqrt(max(0.0, 1 - h)))
+
+    every = list(itertools.product(asked.collect(), places.collect()))
+    ring = S.annulus(asked, places)
+    assert "SortMergeJoin" in ring._jdf.queryExecution().sparkPlan().toString()
+    got = {(r.req_request_id, r.id) for r in ring.collect()}
+    assert got == {(q.request_id, p.id) for q, p in every if max(0, q.km - q.tol) <= km(q.lat, q.lng, p.lat, p.lng) <= q.km + q.tol}
+    near = {(r.req_request_id, r.id) for r in S.within(asked, places, F.col("km")).collect()}
+    assert near == {(q.request_id, p.id) for q, p in every if km(q.lat, q.lng, p.lat, p.lng) <= q.km}
+    way = S.with_goal(asked.filter("abs(lat) < 80 and km > 50"))
+    pairs = way.select("request_id", *[F.col(c).alias(f"r_{c}") for c in ("lat", "lng", "goal_lat", "goal_lng")]).crossJoin(places)
+    (gx, gy), (px, py) = G.offset(F.col("r_lat"), F.col("r_lng"), F.col("r_goal_lat"), F.col("r_goal_lng")), G.offset(F.col("r_lat"), F.col("r_lng"), F.col("lat"), F.col("lng"))
+    d, direct = F.sqrt(gx * gx + gy * gy), G.haversine(F.col("r_lat"), F.col("r_lng"), F.col("r_goal_lat"), F.col("r_goal_lng"))
+    along, side, m = (px * gx + py * gy) / d, F.abs(px * gy - py * gx) / d, F.greatest(F.lit(1.0), 0.04 * d)
+    angle = G.difference(G.heading(F.col("r_lat"), F.col("r_lng"), F.col("lat"), F.col("lng")), G.heading(F.col("r_lat"), F.col("r_lng"), F.col("r_goal_lat"), F.col("r_goal_lng")))
+    reached = G.haversine(F.col("r_lat"), F.col("r_lng"), F.col("lat"), F.col("lng")) <= direct + 1
+    want = pairs.filter(reached & (along > m) & (along < d - m) & (side <= F.least(F.lit(35.0), F.greatest(F.lit(6.0), 0.2 * direct))) & (side <= 2 + 0.85 * F.least(along, d - along)) & (angle <= 45))
+    found = {(r.req_request_id, r.id) for r in S.corridor(way, places).collect()}
+    assert found == {(r.request_id, r.id) for r in want.collect()} and found

@@ -72,19 +72,36 @@ def grid(size: float) -> tuple[int, float]:
     return n, 360 / n
 
 
-def cells(lat: Column, lng: Column, km: Column, size: float) -> Column:
+def direction(lat: Column, lng: Column) -> tuple[Column, Column, Column]:
+    """The unit vector of a point; the product of two is the cosine of the angle between them."""
+    p, q = F.radians(lat), F.radians(lng)
+    return F.cos(p) * F.cos(q), F.cos(p) * F.sin(q), F.sin(p)
+
+
+def cells(lat: Column, lng: Column, km: Column, size: float, keep=None) -> Column:
     """All grid cells (of about `size` degrees) that a circle can touch, as an array of (cell_y, cell_x).
 
     The longitude reach is that of the circle's edge nearest to a pole. Cells go around the globe: those across 180
-    degrees are neighbours.
+    degrees are neighbours. `keep` of a cell's middle (lat, lng), its size and whether the circle stays away from the poles and from 180
+    degrees leaves out cells that are of no use.
     """
     n, size = grid(size)
     dy = km / KM_PER_DEGREE
     edge = F.abs(lat) + dy
     dx = F.when(edge >= 89, 180.0).otherwise(F.least(F.lit(180.0), dy / F.cos(F.radians(edge))))
     ys = F.sequence(F.floor(F.greatest(F.lit(-90.0), lat - dy) / size).cast("int"), F.floor(F.least(F.lit(90.0), lat + dy) / size).cast("int"))
-    xs = F.array_distinct(F.transform(F.sequence(F.floor((lng - dx) / size).cast("int"), F.floor((lng + dx) / size).cast("int")), lambda x: F.pmod(x, F.lit(n))))
-    return F.flatten(F.transform(ys, lambda y: F.transform(xs, lambda x: F.struct(y.alias("cell_y"), x.alias("cell_x")))))
+    xs = F.sequence(F.floor((lng - dx) / size).cast("int"), F.floor((lng + dx) / size).cast("int"))
+    if keep is None:
+        xs = F.array_distinct(F.transform(xs, lambda x: F.pmod(x, F.lit(n))))
+        return F.flatten(F.transform(ys, lambda y: F.transform(xs, lambda x: F.struct(y.alias("cell_y"), x.alias("cell_x")))))
+    flat = (edge < 80) & (lng - dx > -180) & (lng + dx < 180)
+    use = lambda y: F.filter(xs, lambda x: F.coalesce(keep((y + 0.5) * size, (x + 0.5) * size, size, flat), F.lit(True)))
+    return F.flatten(F.transform(ys, lambda y: F.transform(F.array_distinct(F.transform(use(y), lambda x: F.pmod(x, F.lit(n)))), lambda x: F.struct(y.alias("cell_y"), x.alias("cell_x")))))
+
+
+def half_cell(size: float) -> float:
+    """More kilometres than any point of a cell is away from its middle."""
+    return 1.02 * size / 2 * math.sqrt(2) * KM_PER_DEGREE
 
 
 def cell_of(lat: Column, lng: Column, size: float) -> tuple[Column, Column]:

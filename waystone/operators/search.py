@@ -15,24 +15,45 @@ from waystone.operators import reconcile as R
 CELL = 1.0
 
 
-def within(requests: DataFrame, places: DataFrame, reach: Column, size: float = CELL) -> DataFrame:
-    """JN-12: pairs of a request and the places within `reach` km, with `distance`.
+def within(requests: DataFrame, places: DataFrame, reach: Column, size: float = CELL, *, least: Column | None = None, keep=None) -> DataFrame:
+    """JN-12: pairs of a request and the places within `reach` km (and no nearer than `least`), with `distance`.
 
-    An equi-join on grid cells and then the exact distance: no pairs outside the touched cells are made. Request
-    columns are named req_*.
+    An equi-join on grid cells, a bound by the cosine of the angle, which takes no function of the pair, and then the exact
+    distance: no pairs outside the touched cells are made. Cells that no wanted place can lie in are left out by the
+    distance of their middle and by `keep` (see `geo.cells`). Request columns are named req_*.
     """
-    r = requests.withColumn("_reach", reach)
-    r = r.select(*[F.col(c).alias(f"req_{c}") for c in requests.columns], "_reach", F.explode(G.cells(F.col("lat"), F.col("lng"), F.col("_reach"), size)).alias("_c"))
-    y, x = G.cell_of(F.col("lat"), F.col("lng"), size)
-    p = places.withColumn("_c", F.struct(y.alias("cell_y"), x.alias("cell_x")))
-    got = r.join(p, "_c").withColumn("distance", G.haversine(F.col("req_lat"), F.col("req_lng"), F.col("lat"), F.col("lng")))
-    return got.filter(F.col("distance") <= F.col("_reach")).drop("_c", "_reach")
-
-
-def annulus(requests: DataFrame, places: DataFrame, size: float = CELL) -> DataFrame:
+    low = F.lit(0.0) if least is None else least
+    r = requests.withColumns({"_reach": reach, "_least": low})
+
+    def reached(y: Column, x: Column, cell: float, flat: Column) -> Column:
+        d, more = G.haversine(F.col("lat"), F.col("lng"), y, x), G.half_cell(cell)
+        near = (d <= F.col("_reach") + more) & (d + more >= F.col("_least"))
+        return near if keep is None else near & keep(y, x, cell, flat)
+
+    cosine = lambda km: F.cos(F.least(F.lit(20_015.0), F.greatest(F.lit(0.0), km)) / 6371)
+    # 1e-12 is far more than both sides are rounded by; the exact distance decides
+    bounds = {"_low": cosine(F.col("_reach")) - 1e-12, "_high": cosine(F.col("_least")) + 1e-12}
+    u, v = (dict(zip(names, G.direction(F.col("lat"), F.col("lng")), strict=True)) for names in (("_ux", "_uy", "_uz"), ("_vx", "_vy", "_vz")))
+    used = [*u, *bounds, "_reach", "_least"]
+    # the exchange spreads the requests and holds what was computed: no function of a request is taken again for a cell or a pair
+    r = r.withColumns(u | bounds).repartition(int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    r = r.select(*[F.col(c).alias(f"req_{c}") for c in requests.columns], *used, F.explode(G.cells(F.col("lat"), F.col("lng"), F.col("_reach"), size, reached)).alias("_cell"))
+    key = lambda y, x: (y.cast("bigint") * (1 << 24) + x).alias("_c")
+    r = r.select("*", key(F.col("_cell.cell_y"), F.col("_cell.cell_x"))).drop("_cell")
+    p = places.select("*", *[c.alias(name) for name, c in v.items()], key(*G.cell_of(F.col("lat"), F.col("lng"), size)))
+    cos = F.col("_ux") * F.col("_vx") + F.col("_uy") * F.col("_vy") + F.col("_uz") * F.col("_vz")
+    # sizes of files say nothing of the exploded requests: a broadcast join would run in the few tasks that read the places
+    got = r.join(p.hint("merge"), "_c").filter((cos >= F.col("_low")) & (cos <= F.col("_high")))
+    # conditions do not move past one that depends on the row's number; Spark would test later ones before the bound
+    got = got.filter(F.monotonically_increasing_id() >= 0)
+    got = got.withColumn("distance", G.haversine(F.col("req_lat"), F.col("req_lng"), F.col("lat"), F.col("lng")))
+    exact = F.col("distance") <= F.col("_reach")
+    return got.filter(exact if least is None else exact & (F.col("distance") >= F.col("_least"))).drop("_c", *used, *v)
+
+
+def annulus(requests: DataFrame, places: DataFrame, size: float = CELL / 2) -> DataFrame:
     """FLT-05: places between max(0, km - tol) and km + tol, both included."""
-    near = within(requests, places, F.col("km") + F.col("tol"), size)
-    return near.filter(F.col("distance") >= F.greatest(F.lit(0.0), F.col("req_km") - F.col("req_tol")))
+    return within(requests, places, F.col("km") + F.col("tol"), size, least=F.greatest(F.lit(0.0), F.col("km") - F.col("tol")))
 
 
 def in_sector(pairs: DataFrame, half: float) -> DataFrame:
@@ -50,14 +71,14 @@ def tolerance(km: Column) -> Column:
 def goal_candidates(requests: DataFrame, stations: DataFrame, events: DataFrame, as_of: str, sector: float | None = 33.75) -> DataFrame:
     """The flagship: stations in the annulus (and sector) with live events, nearest to the wished distance first (SRT-07).
 
-    Cheap filters come first: cells, distance, bearing, and last the semi join with live events on the station key.
+    Stations without live events go first, so pairs are neither made nor moved for them.
     """
-    pairs = annulus(requests, stations)
+    live = events.filter(R.live(as_of)).select(T.station_key(F.col("road_name")).alias("_key"))
+    open_ones = stations.withColumn("_key", T.station_key(F.col("name"))).join(live, "_key", "left_semi").drop("_key")
+    pairs = annulus(requests, open_ones)
     if sector is not None:
         pairs = in_sector(pairs, sector)
-    live = events.filter(R.live(as_of)).select(T.station_key(F.col("road_name")).alias("_key"))
-    got = pairs.withColumn("_key", T.station_key(F.col("name"))).join(live, "_key", "left_semi")
-    return got.select("req_request_id", "id", F.round("distance", 6).alias("distance"), F.round(F.abs(F.col("distance") - F.col("req_km")), 6).alias("off")).orderBy("req_request_id", "off", "id")
+    return pairs.select("req_request_id", "id", F.round("distance", 6).alias("distance"), F.round(F.abs(F.col("distance") - F.col("req_km")), 6).alias("off")).orderBy("req_request_id", "off", "id")
 
 
 def nearest(points: DataFrame, places: DataFrame, key: str, most_km: float, size: float = 0.25) -> DataFrame:
@@ -95,12 +116,16 @@ def scored_pick(requests: DataFrame, places: DataFrame, top: int = 24, seed: str
 
 def nearest_n(requests: DataFrame, places: DataFrame, n: int, band: float, fallback: int) -> DataFrame:
     """SRT-09: up to `n` places within `band` km of the wished distance; where there are none the `fallback` nearest."""
-    near = within(requests, places, F.col("km") + F.lit(band))
-    w = Window.partitionBy("req_request_id")
-    marked = near.withColumn("_in", F.abs(F.col("distance") - F.col("req_km")) <= band).withColumn("_any", F.max("_in").over(w))
-    use = marked.filter(F.col("_in") | ~F.col("_any"))
-    ranked = use.withColumn("rn", F.row_number().over(w.orderBy(F.round("distance", 6), "id")))
-    return ranked.filter(F.col("rn") <= F.when(F.col("_any"), n).otherwise(fallback)).select("req_request_id", "id", "rn")
+    reach, near = F.col("km") + F.lit(band), F.abs(F.col("distance") - F.col("req_km")) <= band
+    ring = within(requests, places, reach, CELL / 2, least=F.col("km") - F.lit(band + 1e-6)).filter(near)
+    without = requests.join(ring.select(F.col("req_request_id").alias("request_id")).distinct(), "request_id", "left_anti")
+    first = within(without, places, reach)
+
+    def best(pairs: DataFrame, most: int) -> DataFrame:
+        w = Window.partitionBy("req_request_id").orderBy(F.round("distance", 6), "id")
+        return pairs.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= most).select("req_request_id", "id", "rn")
+
+    return best(ring, n).unionByName(best(first, fallback))
 
 
 def sorted_events(pairs: DataFrame, mode: str, as_of: str) -> DataFrame:
@@ -117,23 +142,34 @@ def with_goal(requests: DataFrame) -> DataFrame:
     return requests.withColumns({"goal_lat": lat, "goal_lng": lng})
 
 
+def _ahead(y: Column, x: Column, size: float, flat: Column) -> Column:
+    """Cells with a place in the corridor: none of their places is farther from the middle, on the plane, than `more`."""
+    gx, gy, d, half = F.col("_gx"), F.col("_gy"), F.col("_d"), size / 2
+    px, py = G.offset(F.col("lat"), F.col("lng"), y, x)
+    # the east offset also changes with the latitude of the place, by which its scale is taken
+    more = G.KM_PER_DEGREE * (half * 1.5 + (F.abs(x - F.col("lng")) + half) * F.radians(F.lit(half)) / 2) + 1
+    along, side = (px * gx + py * gy) / d, F.abs(px * gy - py * gx) / d
+    return ~flat | ((side <= 35 + more) & (along >= -more) & (along <= d + more))
+
+
 def corridor(requests: DataFrame, places: DataFrame) -> DataFrame:
     """GEO-10: places ahead on the way to the goal: within 45 degrees on the plane, past the margins, inside the corridor.
 
     corridor = min(35, max(6, 0.2 d)); along in (m, d - m) with m = max(1, 0.04 d) on the plane; sideways no more than
     the corridor and than 2 + 0.85 min(along, rest).
     """
-    r = requests.withColumn("direct", G.haversine(F.col("lat"), F.col("lng"), F.col("goal_lat"), F.col("goal_lng")))
-    near = within(r, places, F.col("direct") + 1.0)
-    gx, gy = G.offset(F.col("req_lat"), F.col("req_lng"), F.col("req_goal_lat"), F.col("req_goal_lng"))
+    here, goal = (F.col("lat"), F.col("lng")), (F.col("goal_lat"), F.col("goal_lng"))
+    gx, gy = G.offset(*here, *goal)
+    r = requests.withColumns({"direct": G.haversine(*here, *goal), "_gx": gx, "_gy": gy, "_d": F.sqrt(gx * gx + gy * gy), "_to": G.heading(*here, *goal)})
+    near = within(r, places, F.col("direct") + 1.0, CELL / 2, keep=_ahead)
+    gx, gy, d = F.col("req__gx"), F.col("req__gy"), F.col("req__d")
     px, py = G.offset(F.col("req_lat"), F.col("req_lng"), F.col("lat"), F.col("lng"))
-    d = F.sqrt(gx * gx + gy * gy)
-    got = near.withColumns({"_d": d, "along": (px * gx + py * gy) / d, "side": F.abs(px * gy - py * gx) / d})
+    got = near.withColumns({"along": (px * gx + py * gy) / d, "side": F.abs(px * gy - py * gx) / d})
     wide = F.least(F.lit(35.0), F.greatest(F.lit(6.0), 0.2 * F.col("req_direct")))
-    m = F.greatest(F.lit(1.0), 0.04 * F.col("_d"))
-    angle = G.difference(G.heading(F.col("req_lat"), F.col("req_lng"), F.col("lat"), F.col("lng")), G.heading(F.col("req_lat"), F.col("req_lng"), F.col("req_goal_lat"), F.col("req_goal_lng")))
-    ok = (F.col("along") > m) & (F.col("along") < F.col("_d") - m) & (F.col("side") <= wide) & (F.col("side") <= 2 + 0.85 * F.least(F.col("along"), F.col("_d") - F.col("along"))) & (angle <= 45)
-    return got.filter(ok)
+    m = F.greatest(F.lit(1.0), 0.04 * d)
+    angle = G.difference(G.heading(F.col("req_lat"), F.col("req_lng"), F.col("lat"), F.col("lng")), F.col("req__to"))
+    ok = (F.col("side") <= wide) & (F.col("along") > m) & (F.col("along") < d - m) & (F.col("side") <= 2 + 0.85 * F.least(F.col("along"), d - F.col("along"))) & (angle <= 45)
+    return got.filter(ok).drop("req__gx", "req__gy", "req__d", "req__to")
 
 
 def drawn_goals(requests: DataFrame, places: DataFrame, seed: str = "1") -> DataFrame:
@@ -150,7 +186,8 @@ ROUTE = "request_id bigint, stops int, score double, path array<bigint>, length
 
 
 def _best_route(stops: int, most_ratio: float):
-    """The best path through one request's corridor, layer by layer over arrays: pairs of a corridor never become rows."""
+    """The best path through one request's corridor, layer by layer over arrays: pairs of a corridor never become rows, and
+    only places within a growing bound of the score are paired."""
 
     def run(key: tuple, places: pd.DataFrame) -> pd.DataFrame:
         p = places.sort_values(["along", "id"], kind="stable").reset_index(drop=True)
@@ -162,27 +199,53 @@ def _best_route(stops: int, most_ratio: float):
             h = np.sin((b[None, :, 0] - a[:, None, 0]) / 2) ** 2 + np.cos(a[:, None, 0]) * np.cos(b[None, :, 0]) * np.sin((b[None, :, 1] - a[:, None, 1]) / 2) ** 2
             return 12742.0 * np.arctan2(np.sqrt(h), np.sqrt(1 - h))
 
-        leg, first, last = km(here, here), km(origin, here)[0], km(here, goal)[:, 0]
-        forward = along[None, :] - along[:, None] >= max(1.0, 0.025 * d)
-        for count in range(stops, 0, -1):
-            score, length, paths = first.copy(), first.copy(), []
+        first, last = km(origin, here)[0], km(here, goal)[:, 0]
+        apart = max(1.0, 0.025 * d)
+        penalty = lambda step, count: 0.25 * d * np.abs(along / d - step / (count + 1))
+
+        def best(count: int, most: float) -> tuple | None:
+            """The best path of `count` stops through the places that a path of a score up to `most` can use at each step."""
+            paths, before = [], np.zeros(0, np.int64)
             for step in range(1, count + 1):
-                if step > 1:
+                # no path through a place is shorter than the ways to it and on to the goal
+                now = np.flatnonzero(first + last + penalty(step, count) <= most + 1e-5)
+                if not len(now):
+                    return None
+                if step == 1:
+                    score, length = first[now], first[now]
+                else:
+                    leg = km(here[before], here[now])
                     total = length[:, None] + leg
-                    cost = np.where(forward & (total <= most_ratio * d), np.round(score[:, None] + leg, 9), np.inf)
-                    before = cost.argmin(0)
-                    paths.append(before)
-                    score, length = cost[before, np.arange(len(p))], total[before, np.arange(len(p))]
-                score = score + 0.25 * d * np.abs(along / d - step / (count + 1))
+                    ahead = along[None, now] - along[before, None] >= apart
+                    cost = np.where(ahead & (total <= most_ratio * d), np.round(score[:, None] + leg, 9), np.inf)
+                    by = cost.argmin(0)
+                    paths.append((by, before))
+                    score, length = cost[by, np.arange(len(now))], total[by, np.arange(len(now))]
+                score = score + penalty(step, count)[now]
                 score[length > most_ratio * d] = np.inf
-            total, score = length + last, np.round(score + last, 6)
+                before = now
+            total, score = length + last[before], np.round(score + last[before], 6)
             score[total > most_ratio * d + 1e-6] = np.inf
             at = int(score.argmin())
-            if np.isfinite(score[at]):
-                path = [at]
-                for before in reversed(paths):
-                    path.append(int(before[path[-1]]))
-                return pd.DataFrame([(key[0], count, score[at], p["id"].to_numpy()[path[::-1]].tolist(), round(total[at], 6))], columns=["request_id", "stops", "score", "path", "length"])
+            if not np.isfinite(score[at]):
+                return None
+            path, k = [int(before[at])], at
+            for by, places_before in reversed(paths):
+                k = int(by[k])
+                path.append(int(places_before[k]))
+            return float(score[at]), path[::-1], float(total[at])
+
+        top = float((first + last).max() + 0.25 * d) + 1 if len(p) else 0.0
+        for count in range(stops, 0, -1):
+            # a path as good as the bound is the best of all: what the bound leaves out only makes worse ones
+            most = d + max(0.2, 0.005 * d)
+            while True:
+                got = best(count, most)
+                if got and got[0] <= most or most > most_ratio * d + 0.25 * d * count + top:
+                    break
+                most = d + 2 * (most - d)
+            if got:
+                return pd.DataFrame([(key[0], count, got[0], p["id"].to_numpy()[got[1]].tolist(), round(got[2], 6))], columns=["request_id", "stops", "score", "path", "length"])
         return pd.DataFrame([], columns=["request_id", "stops", "score", "path", "length"])
 
     return run
