@@ -42,11 +42,12 @@ def progress(segs: DataFrame, track: str, lat: Column, lng: Column) -> DataFrame
     return _best(_placed(segs, lat, lng), track)
 
 
-def places_along(segs: DataFrame, track: str, places: DataFrame, *, reach: float, size: float = 0.5) -> DataFrame:
+def places_along(segs: DataFrame, track: str, places: DataFrame, *alike: str, reach: float, size: float = 0.5) -> DataFrame:
     """GEO-07: (track, id, progress, away) of every place (id, lat, lng) with every track within `reach` of it.
 
     Segments are cut into the grid cells of `size` degrees that a place within reach can lie in, places are joined to
-    the segments of their cell; no other pair is made. A segment of any length has a row for each of its cells.
+    the segments of their cell; no other pair is made. A segment of any length has a row for each of its cells. Columns
+    `alike` must be equal on both sides.
     """
     low = lambda a, b: F.floor((F.least(F.col(a), F.col(b)) - reach) / size).cast("int")
     high = lambda a, b: F.floor((F.greatest(F.col(a), F.col(b)) + reach) / size).cast("int")
@@ -58,8 +59,8 @@ def places_along(segs: DataFrame, track: str, places: DataFrame, *, reach: float
     at = lambda x, end: F.when(F.abs(run) < 1e-9, F.col(end)).otherwise(F.col("lat") + cut(x) * (F.col("lat2") - F.col("lat")))
     s = s.withColumns({"ya": at(left, "lat"), "yb": at(right, "lat2")})
     s = s.withColumn("cell_y", F.explode(F.sequence(low("ya", "yb"), high("ya", "yb")))).drop("ya", "yb")
-    p = places.select("id", F.col("lat").alias("_lat"), F.col("lng").alias("_lng"), F.floor(F.col("lat") / size).cast("int").alias("cell_y"), F.floor(F.col("lng") / size).cast("int").alias("cell_x"))
-    return _best(_placed(s.join(p, ["cell_y", "cell_x"]), F.col("_lat"), F.col("_lng")).filter(F.col("away") <= reach), track, "id")
+    p = places.select("id", *alike, F.col("lat").alias("_lat"), F.col("lng").alias("_lng"), F.floor(F.col("lat") / size).cast("int").alias("cell_y"), F.floor(F.col("lng") / size).cast("int").alias("cell_x"))
+    return _best(_placed(s.join(p.hint("merge"), ["cell_y", "cell_x", *alike]), F.col("_lat"), F.col("_lng")).filter(F.col("away") <= reach), track, "id")
 
 
 def points_at(segs: DataFrame, track: str, share: Column) -> DataFrame:
