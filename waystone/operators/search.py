@@ -260,6 +260,8 @@ def routes(requests: DataFrame, places: DataFrame, stops: int = 5, most_ratio: f
     `most_ratio` of the direct way. Ties go to the place that comes first.
     """
     cand = corridor(requests, places).select(F.col("req_request_id").alias("request_id"), "id", "lat", "lng", F.round("along", 9).alias("along"), F.col("req_direct").alias("d"), "req_lat", "req_lng", "req_goal_lat", "req_goal_lng")
+    # few bytes, much work: a number of partitions that is named is not merged
+    cand = cand.repartition(int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions")), "request_id")
     found = cand.groupBy("request_id").applyInPandas(_best_route(stops, most_ratio), ROUTE)
     direct = G.haversine(F.col("lat"), F.col("lng"), F.col("goal_lat"), F.col("goal_lng"))
     every = requests.select("request_id", F.round(direct, 6).alias("_direct"))
