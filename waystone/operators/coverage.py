@@ -37,11 +37,16 @@ def unique_match(notices: DataFrame, master: DataFrame, key: str, id: str, other
     return got.select(*[c for c in notices.columns], F.when(F.col("_n") == 1, "matched").when(F.col("_n") > 1, "ambiguous").otherwise("unmatched").alias("state"), F.when(F.col("_n") == 1, F.col("_m")).alias("match_id"))
 
 
+#: The most beginnings of keys that are sent to all tasks.
+BEGINNINGS = 2000
+
+
 def containment(notices: DataFrame, master: DataFrame, text: str, key: str, least: int = 3) -> DataFrame:
     """Notices whose text contains a master key of `least` or more characters.
 
-    Each text gives its parts of the lengths that keys have, so containment is an equi-join, whatever the keys share.
-    What the driver reads is the distinct lengths of keys.
+    Each text gives its parts of the lengths that keys have, so containment is an equi-join, whatever the keys share. Parts
+    that begin as no key does go first: of the beginnings of equal length, the longest that are at most about
+    `BEGINNINGS` are sent to all tasks. What the driver reads is the distinct lengths of keys and one row of counts.
     """
     names = master.filter(F.length(key) >= least)
     sizes = sorted(r["n"] for r in names.select(F.length(key).alias("n")).distinct().collect())
@@ -50,7 +55,14 @@ def containment(notices: DataFrame, master: DataFrame, text: str, key: str, leas
     # F.transform counts a second parameter of its function, default or not, as the place in the array
     cut = lambda n: lambda i: F.substring(F.col(text), i, F.lit(n))
     parts = [F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), cut(n))).otherwise(F.array().cast("array<string>")) for n in sizes]
-    a = notices.withColumn("_part", F.explode(F.array_distinct(F.concat(*parts))))
+    # outer: Spark would push "has parts" below, which makes the parts twice
+    a = notices.withColumn("_part", F.explode_outer(F.array_distinct(F.concat(*parts)))).filter("_part is not null")
+    tried = range(1, min(sizes[-1], 32) + 1)
+    counts = names.agg(*[F.approx_count_distinct(F.substring(key, 1, n), 0.02) for n in tried]).first()
+    short = max((n for n, c in zip(tried, counts, strict=True) if c <= BEGINNINGS), default=0)
+    if short:
+        begins = names.select(F.substring(key, 1, short).alias("_begin")).distinct()
+        a = a.join(F.broadcast(begins), F.substring("_part", 1, short) == F.col("_begin"), "left_semi")
     return a.join(names, F.col("_part") == F.col(key)).drop("_part")
 
 
