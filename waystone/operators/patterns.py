@@ -53,14 +53,22 @@ def rules_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:
     return spark.createDataFrame([astuple(r) for r in rules], ", ".join(f"{f.name} {kinds[f.type]}" for f in fields(Rule)))
 
 
+def _named(rules: DataFrame) -> DataFrame:
+    """Rules under names that no line has, and `_rule`, which tells them apart."""
+    return rules.withColumn("_rule", F.xxhash64(*rules.columns)).withColumnsRenamed({"title": "r_title", "date": "r_date", "venue": "r_venue"})
+
+
 def classified(lines: DataFrame, rules: DataFrame) -> DataFrame:
     """(adapter, article_id, line_no, text, published) with the source's rules, the line's sign and its period."""
-    r = rules.withColumnsRenamed({"title": "r_title", "date": "r_date", "venue": "r_venue"})
-    j = lines.join(r, "adapter").withColumn("t", D.folded(F.col("text")))
+    r = _named(rules)
+    # rules are broadcast: they are few, so a shuffle by source would leave a few tasks with all lines
+    j = lines.join(F.broadcast(rules.select("adapter").distinct()), "adapter", "left_semi").withColumn("t", D.folded(F.col("text")))
     head = F.when(F.rlike("t", F.lit(PROGRAM)), F.struct("line_no", D.safe_date(*[F.regexp_extract("t", PROGRAM, k).try_cast("int") for k in (1, 2)], F.lit(1)).alias("d")))
     ground = F.min(head).over(Window.partitionBy("adapter", "article_id"))["d"]
+    # lines are shuffled without the columns of their rules
+    j = j.withColumn("ground", ground).join(F.broadcast(r), "adapter")
     base = F.when(F.col("year") == "published", F.col("published")).when(F.col("year") == "heading", F.col("ground"))
-    j = j.withColumn("ground", ground).withColumn("p", F.when(F.rlike("t", F.col("r_date")), D.period(F.col("t"), base, D.Options(max_span=366))))
+    j = j.withColumn("p", F.when(F.rlike("t", F.col("r_date")), D.period(F.col("t"), base, D.Options(max_span=366))))
     j = j.withColumn("p", F.when(F.datediff("p.end_date", "p.start_date") <= F.col("max_span"), F.col("p")))
     title, dated = F.rlike("t", F.col("r_title")) & ~F.rlike("t", F.col("blocked")), F.col("p").isNotNull()
     sign = F.when(F.rlike("t", F.col("offsite")), "X").when(title & dated, "B").when(dated, "D").when(F.rlike("t", F.col("r_venue")), "V").when(title, "T").otherwise("-")
@@ -73,13 +81,13 @@ def row_events(lines: DataFrame, rules: DataFrame) -> DataFrame:
     The title is the match's first title line, the period its first date's, the venue its first venue's without the
     label; a match that `scope` finds an X after, or without a venue that is needed, is none.
     """
-    lists = ("adapter", "article_id", "core", "scope", "title_part", "r_venue", "need_venue")
     row = F.struct("line_no", "t", "sign", "p")
-    a = classified(lines, rules).groupBy(*lists).agg(F.array_sort(F.collect_list(row)).alias("x"))
+    a = classified(lines, rules).groupBy("adapter", "article_id", "_rule").agg(F.array_sort(F.collect_list(row)).alias("x"))
+    a = a.join(F.broadcast(_named(rules).select("_rule", "core", "scope", "title_part", "r_venue", "need_venue").distinct()), "_rule")
     a = a.withColumn("s", F.array_join(F.transform("x", lambda x: x["sign"]), ""))
     a = a.withColumn("parts", F.split(F.regexp_replace("s", F.col("core"), F.lit("\u0001$0\u0001")), "\u0001"))
     places = F.filter(F.transform("parts", lambda x, i: F.struct((i % 2 == 1).alias("hit"), F.length(F.array_join(F.slice("parts", 1, i), "")).alias("at"), F.length(x).alias("n"))), lambda x: x["hit"])
-    a = a.select("*", F.explode(places).alias("m")).withColumn("y", F.slice("x", F.col("m.at") + 1, F.col("m.n")))
+    a = a.select("*", F.explode_outer(places).alias("m")).filter("m is not null").withColumn("y", F.slice("x", F.col("m.at") + 1, F.col("m.n")))
     first = lambda signs: F.get(F.filter("y", lambda x: x["sign"].isin(*signs)), F.lit(0))
     a = a.withColumns({"e_t": first("TB"), "e_d": first("DB"), "e_v": first("V"), "rest": F.expr("substring(s, m.at + m.n + 1, length(s))")})
     near = F.contains(_extract("rest", "scope", 0), F.lit("X"))
@@ -95,14 +103,15 @@ def sentence_events(docs: DataFrame, rules: DataFrame, *, most: int = 230) -> Da
     `docs` has (adapter, doc_id, text, published), `rules` (adapter, name, venue, verb). A sentence of at most `most` characters must
     hold the name, the verb and exactly one date with its weekday, besides the day of publication in full; the venue stands after the date.
     """
-    s = docs.join(rules, "adapter").select("doc_id", "name", "venue", "verb", "published", F.explode(F.split(D.folded(F.col("text")), "[。!?]")).alias("s")).withColumn("s", F.trim("s"))
+    s = docs.join(F.broadcast(rules), "adapter").select("doc_id", "name", "venue", "verb", "published", F.explode_outer(F.split(D.folded(F.col("text")), "[。!?]")).alias("s")).withColumn("s", F.trim("s"))
     s = s.filter((F.length("s") <= most) & F.contains("s", F.col("name")) & F.contains("s", F.col("venue")) & F.contains("s", F.col("verb")))
     full = F.struct("published", F.date_format("published", "yyyy'年'M'月'd'日'").alias("t"))
     s = s.withColumn("s", F.replace("s", full["t"], F.lit(" ")))
-    one = F.filter(D.tokens(F.col("s")), lambda x: x["month"].isNotNull())
-    s = s.withColumn("d", F.when(F.size(one) == 1, one[0])).filter("d is not null and d.weekday <> ''")
+    # dates and periods are exploded from lists, as Spark would read the text again for each condition on a plain column
+    one = F.transform(F.array(F.filter(D.tokens(F.col("s")), lambda x: x["month"].isNotNull())), lambda x: F.when(F.size(x) == 1, x[0]))
+    s = s.select("*", F.explode_outer(one).alias("d")).filter("d is not null and d.weekday <> ''")
     after = F.expr("instr(s, venue) > instr(s, concat(d.month, '月')) and instr(s, concat(d.month, '月')) > 0")
-    s = s.filter(after).withColumn("p", D.period(F.col("s"), F.col("published"))).filter("p is not null")
+    s = s.filter(after).select("*", F.explode_outer(F.array(D.period(F.col("s"), F.col("published")))).alias("p")).filter("p is not null")
     return s.select("doc_id", F.col("name").alias("title"), "venue", "p.start_date", "p.end_date").distinct()
 
 
@@ -137,7 +146,7 @@ def verified_records(lines: DataFrame, rules: DataFrame, *, as_of: str) -> DataF
     The title must stand in a line, all words of `needs` (separated by spaces) in the text; the section from `start` to
     `stop` must prove the venue, without a hint of another place or of a cancellation, and print one period after the label.
     """
-    j = lines.join(rules, "adapter").withColumn("t", D.folded(F.col("text")))
+    j = lines.join(F.broadcast(rules), "adapter").withColumn("t", D.folded(F.col("text")))
     a = j.groupBy("adapter", "article_id", *[f.name for f in fields(Record) if f.name != "adapter"], "published").agg(
         F.bool_or(F.contains("t", F.col("title"))).alias("named"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "t"))), lambda x: x["t"]), " ").alias("body")
     )
