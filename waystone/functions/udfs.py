@@ -27,6 +27,8 @@ def nfkc(rows: DataFrame, column: str) -> DataFrame:
     return plain.unionByName(rows.filter(odd).withColumn(column, clean(_nfkc(column))))
 
 
+#: Rows that a task of U-02 holds before it hands them on, but for those of one page more.
+MOST_ROWS = 5000
 TOKENS = "page_id bigint, pos int, kind string, tag string, text string, href string"
 
 
@@ -58,15 +60,22 @@ def html_tokens(pages: DataFrame) -> DataFrame:
                 if text and not {"script", "style"} & set(self.open):
                     self.rows.append(("text", self.open[-1] if self.open else None, text, None))
 
+        kinds = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string()]
+
+        def packed(out: list[tuple]) -> pa.RecordBatch:
+            cols = list(zip(*out, strict=True)) if out else [[]] * 6
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["page_id", "pos", "kind", "tag", "text", "href"])
+
+        out = []
         for batch in batches:
-            out = []
-            for page, html in zip(batch.column("page_id").to_pylist(), batch.column("html").to_pylist(), strict=True):
+            for page, html in zip(batch.column("page_id"), batch.column("html"), strict=True):
                 reader = Reader()
-                reader.feed(html or "")
-                out += [(page, i, *r) for i, r in enumerate(reader.rows)]
-            kinds = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string()]
-            cols = list(zip(*out, strict=True)) if out else [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["page_id", "pos", "kind", "tag", "text", "href"])
+                reader.feed(html.as_py() or "")
+                out += [(page.as_py(), i, *r) for i, r in enumerate(reader.rows)]
+                if len(out) >= MOST_ROWS:
+                    yield packed(out)
+                    out = []
+        yield packed(out)
 
     return pages.select("page_id", "html").mapInArrow(run, TOKENS)
 
