@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waystone.functions import text as T
@@ -110,15 +110,21 @@ def tokens(text: Column) -> Column:
     return _with(_parts(text), lambda p: F.transform(F.filter(p, lambda x, i: i % 2 == 1), lambda x, i: _with(F.split(x, "\u0002"), lambda f: parsed(f, F.get(p, 2 * i)))))
 
 
-def period(c: Column, published: Column, options: Options = Options()) -> Column:
+def read_part(c: Column, label: str | None) -> Column:
+    """What of a text is read for its dates: all of it, or what follows a label; folded."""
+    return folded(c if label is None else F.regexp_extract(folded(c), f"(?:{label})(.*)$", 1))
+
+
+def period(c: Column, published: Column, options: Options = Options(), cut: Column | None = None) -> Column:
     """DAT-03 to DAT-05: (start, end) of the first period in a text, or null.
 
     The first date with a month is the start. The next one is the end if only what joins stands between them. A date
     without a year takes the publication's, the next one for January and February after a publication in November or
     December; an end in an earlier month than the start lies in the next year. Rejected: impossible dates, printed
-    weekdays of other dates, an end before the start, spans above the limit, and what the options demand.
+    weekdays of other dates, an end before the start, spans above the limit, and what the options demand. `cut`: the `tokens`
+    of the part that is read, where they are at hand.
     """
-    text = folded(c if options.label is None else F.regexp_extract(folded(c), f"(?:{options.label})(.*)$", 1))
+    text = read_part(c, options.label)
     sign = lambda x: x["weekday"] if options.weekday else None
 
     def year_of(x: Column) -> Column:
@@ -160,10 +166,19 @@ def period(c: Column, published: Column, options: Options = Options()) -> Column
         good = F.lit(True) if options.most_dates is None else F.size(all) <= options.most_dates
         return F.when(good, _with(F.struct(first.alias("f"), F.get(all, at).alias("n"), year_of(first).alias("y")), of))
 
-    out = _with(tokens(text), found)
+    out = _with(tokens(text) if cut is None else cut, found)
     return out if options.open_start else F.when(~F.rlike(text, F.lit(OPEN_START)), out)
 
 
+def periods_by_source(rows: DataFrame, text: str, published: str, sources: dict[str, Options]) -> DataFrame:
+    """DAT-05: rows with `source` and `p`, the period that each kind of source reads. A text is cut once for each label."""
+    labels = list(dict.fromkeys(o.label for o in sources.values()))
+    # columns of their own: several sources read them
+    rows = rows.withColumns({f"_cut{k}": tokens(read_part(F.col(text), x)) for k, x in enumerate(labels)})
+    each = [F.struct(F.lit(n).alias("source"), period(F.col(text), F.col(published), o, F.col(f"_cut{labels.index(o.label)}")).alias("p")) for n, o in sources.items()]
+    return rows.select("*", F.inline_outer(F.array(*each))).drop(*[f"_cut{k}" for k in range(len(labels))])
+
+
 def full_date(c: Column) -> Column:
     """The first date with a printed year (era or four digits) in a text; null if there is none or it is impossible."""
     era, year, month, day = (F.regexp_extract(c, FULL, k) for k in (1, 2, 3, 4))
