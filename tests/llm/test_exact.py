@@ -464,3 +464,29 @@ def test_prefixes_bound_what_two_sets_share(spark):
     assert {k for k, s in enumerate(similar) if s} <= got
     far = {k for k, s in enumerate(similar) if not s}
     assert len(far) > 50 and len(got & far) < len(far) / 2
+
+
+def test_wide_bitmaps_leave_no_large_unlike_pairs(spark):
+    """Large sets pass the bitmaps of 512 bits whatever they hold; the wide ones stop unlike pairs and no similar one."""
+    import pyarrow as pa
+
+    from waystone.llm import textarrays as T
+
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(2400)]
+    shared = [2400, 2385, 2220, 1950, 1200, 150, 0] * 2
+    pairs = [(base, rng.sample(base, s) + [f"x{k}_{i}" for i in range(2400 - s if k % 2 else (2400 - s) // 2 + 700)]) for k, s in enumerate(shared)]
+    pairs += [(base[:2100], base[:2040]), (base[:2100], base[:500]), (base[:520], base[:500])]  # two widths, and none
+    one = lambda c: jaccard.Sets(*T.utf8(pa.array([" ".join(p[c]) for p in pairs])), 1)
+    a, b = one(0), one(1)
+    wide = [[w[e0:e1].view(np.int64).tolist() for e0, e1 in zip(ends, ends[1:], strict=False)] for w, ends in map(jaccard.wide_bitmaps, (a, b))]
+    assert {len(x) for w in wide for x in w} >= {0, 32, 64}
+    rows = [(k, wide[0][k], wide[1][k], int(a.size[k]), int(b.size[k])) for k in range(len(pairs))]
+    d = spark.createDataFrame(rows, "k int, a array<bigint>, b array<bigint>, n_a int, n_b int")
+    got = {r.k for r in d.filter(jaccard.near_bits(F.col("a"), F.col("b"), F.col("n_a"), F.col("n_b"), 85, 100)).collect()}
+    alike = {k for k, (x, y) in enumerate(pairs) if 100 * len({*x} & {*y}) >= 85 * len({*x} | {*y})}
+    narrow = np.bitwise_count(jaccard.bitmaps(a) ^ jaccard.bitmaps(b)).sum(1)
+    passed = {k for k in range(14) if 185 * narrow[k] <= 15 * (a.size[k] + b.size[k])}
+    assert alike <= got and {14, 16} <= alike
+    unlike = {k for k in range(14) if shared[k] <= 1200}
+    assert unlike <= passed and not unlike & got  # the narrow bitmaps let all of them pass

@@ -7,7 +7,8 @@ hashes, are intersected with it before any pair is verified on its full sets. Th
 sets share: as much as their prefixes do, and at most the smaller of the rests behind them.
 
 Before the sets themselves are compared, a bitmap filter bounds their difference from below: each set has the parities
-of its tokens' hashes in BITS bits, and sets differ in at least as many tokens as their bitmaps do in bits.
+of its tokens' hashes in BITS bits, and sets differ in at least as many tokens as their bitmaps do in bits. As that says
+little of large sets, those have a second bitmap of about a bit a token, and pairs must pass it before prefixes move.
 
 Texts are turned into sets twice: once to count frequent shingles, once to write each row's set and its index entries.
 Sets that share an index entry with another one are read again for their bitmaps and their prefixes under the other
@@ -116,11 +117,25 @@ def rare_first(sets: Sets, common: np.ndarray, rank: np.ndarray, num: int, den:
 
 def bitmaps(sets: Sets) -> np.ndarray:
     """A row of BITS / 64 words for each set: the parities of its tokens by hash."""
-    bit = (T.mix(sets.token ^ U64(0x2545F4914F6CDD1D)) >> U64(40)).astype(np.int64) % BITS
-    odd = np.bincount(sets.doc * BITS + bit, minlength=len(sets.size) * BITS).reshape(-1, BITS) & 1
+    odd = np.bincount(sets.doc * BITS + _bit(sets) % BITS, minlength=len(sets.size) * BITS).reshape(-1, BITS) & 1
     return np.packbits(odd.astype(np.uint8), axis=1).view(U64)
 
 
+def _bit(sets: Sets) -> np.ndarray:
+    return (T.mix(sets.token ^ U64(0x2545F4914F6CDD1D)) >> U64(40)).astype(np.int64)
+
+
+def wide_bitmaps(sets: Sets) -> tuple[np.ndarray, np.ndarray]:
+    """Bitmaps of sets of more than BITS tokens, one after another, and the ends of all sets' words: as many bits as the
+    least power of two that is no less than the set's size."""
+    width = np.where(sets.size > BITS, 1 << np.ceil(np.log2(np.maximum(sets.size, 1))).astype(np.int64), 0)
+    ends = np.concatenate([[0], np.cumsum(width)])
+    large = width[sets.doc] > 0
+    doc = sets.doc[large]
+    odd = np.bincount(ends[doc] + _bit(sets)[large] % width[doc], minlength=ends[-1]) & 1
+    return np.packbits(odd.astype(np.uint8)).view(U64), ends // 64
+
+
 def _texts(batches: Iterator[pa.RecordBatch], column: str, n: int):
     for batch in batches:
         buf, offsets = T.utf8(batch.column(column))
@@ -268,11 +283,11 @@ def _buckets(num: int, den: int, blocks: int):
     return run
 
 
-PROFILE = "_set bigint, _size int, _bits array<bigint>, _second array<int>, _third array<int>"
+PROFILE = "_set bigint, _size int, _bits array<bigint>, _wide array<bigint>, _second array<int>, _third array<int>"
 
 
 def _profiled(n: int, num: int, den: int):
-    """Sizes, bitmaps, and prefixes under the further orders: the tokens' keys cut to 31 bits, ascending."""
+    """Sizes, both bitmaps, and prefixes under the further orders: the tokens' keys cut to 31 bits, ascending."""
 
     def run(batches):
         for _, sets in _texts(batches, "_text", n):
@@ -284,7 +299,9 @@ def _profiled(n: int, num: int, den: int):
                 made.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array((key[at] >> U64(33)).astype(np.int32))))
             bits = bitmaps(sets)
             bits = pa.ListArray.from_arrays(pa.array(np.arange(len(bits) + 1, dtype=np.int32) * (BITS // 64)), pa.array(bits.reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(sets.name), pa.array(sets.size.astype(np.int32)), bits, *made], ["_set", "_size", "_bits", "_second", "_third"])
+            wide, ends = wide_bitmaps(sets)
+            wide = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(wide.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(sets.name), pa.array(sets.size.astype(np.int32)), bits, wide, *made], ["_set", "_size", "_bits", "_wide", "_second", "_third"])
 
     return run
 
@@ -440,6 +457,19 @@ def _verified(n: int, num: int, den: int):
     return run
 
 
+def near_bits(a: Column, b: Column, size_a: Column, size_b: Column, num: int, den: int) -> Column:
+    """Whether two sets can be similar, by their wide bitmaps; true if one has none.
+
+    The halves of a bitmap, one over the other, are the bitmap of half the width. Where widths differ by more, nothing
+    is said: true.
+    """
+    narrow = F.least(F.size(a), F.size(b))
+    folded = lambda x: F.when(F.size(x) == narrow, x).otherwise(F.zip_with(F.slice(x, F.lit(1), narrow), F.slice(x, narrow + 1, narrow), lambda p, q: p.bitwiseXOR(q)))
+    gap = F.aggregate(F.zip_with(folded(a), folded(b), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, x: n + x)
+    close = (num + den) * gap.cast("bigint") <= (den - num) * (size_a.cast("bigint") + size_b)
+    return (narrow == 0) | (F.greatest(F.size(a), F.size(b)) > 2 * narrow) | close
+
+
 def may_link(a: Column, b: Column, size_a: Column, size_b: Column, num: int, den: int) -> Column:
     """Whether two sets can be similar, by their prefixes under one order: ascending keys, equal for equal tokens.
 
@@ -509,10 +539,13 @@ class Join:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
 
     def verify(self, pairs: DataFrame) -> DataFrame:
-        """(a, b, linked) for those candidate pairs that pass the prefix tests under the other orders."""
+        """(a, b, linked) for those candidate pairs that pass the wide bitmaps and the prefix tests under the other orders."""
         p = self.profiles
-        side = lambda x: p.select(F.col("_set").alias(x), *[F.col(f"_{c}").alias(f"_{c}_{x}") for c in ("size", "second", "third")])
-        both = pairs.join(side("a"), "a").join(side("b"), "b")
+        side = lambda x, *own: p.select(F.col("_set").alias(x), *[F.col(f"_{c}").alias(f"_{c}_{x}") for c in own])
+        # prefixes of large sets are ten times their wide bitmaps, so only pairs that these leave move with them
+        both = pairs.join(side("a", "size", "wide"), "a").join(side("b", "size", "wide"), "b")
+        both = both.filter(near_bits(*[F.col(f"_{c}_{x}") for c in ("wide", "size") for x in "ab"], self.num, self.den)).drop("_wide_a", "_wide_b")
+        both = both.join(side("b", "second", "third"), "b").join(side("a", "second", "third"), "a")
         passes = [may_link(F.col(f"_{c}_a"), F.col(f"_{c}_b"), F.col("_size_a"), F.col("_size_b"), self.num, self.den) for c in ("second", "third")]
         left = self.scratch.small(both.filter(passes[0] & passes[1]).select("a", "b"))
         wanted = left.select(F.col("a").alias("_set")).union(left.select(F.col("b").alias("_set"))).distinct()
