@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,13 +89,15 @@ def cleaned(events: DataFrame, as_of: str) -> DataFrame:
 OUTPUTS = ("published", "exact_duplicates", "corrected", "not_reconfirmed", "possible_duplicates", "expired_or_invalid", "invalid_new")
 
 
-def reconcile(old: DataFrame, new: DataFrame, as_of: str) -> dict[str, DataFrame]:
+def reconcile(old: DataFrame, new: DataFrame, as_of: str, keep: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> dict[str, DataFrame]:
     """REC-01: the outputs of merging a new collection into the published events.
 
     New rows are collapsed to the last of each (identity, start) and matched with the kept old rows in one pass: an
     equal key, else the only old row of the identity with an overlapping period (a correction, which replaces it). New
     rows of one identity that overlap each other are resolved in a second pass: if exactly one earlier row of the batch
     overlaps, the later one replaces it. Old rows whose identity is not seen again stay, and are reported; so are new rows that are no plausible events.
+
+    `keep` gets the tables that the outputs read several times, and may write them.
     """
     old, new = cleaned(old, as_of), cleaned(new, as_of)
     good = plausible(old, as_of) & ~open_start(F.col("title"))
@@ -101,6 +105,7 @@ def reconcile(old: DataFrame, new: DataFrame, as_of: str) -> dict[str, DataFrame
     fine = plausible(new, as_of) & ~open_start(F.col("title"))
     fresh, invalid = new.filter(fine), new.filter(~F.coalesce(fine, F.lit(False)))
     fresh = fresh.withColumn("_rn", F.row_number().over(Window.partitionBy("identity", "start_date").orderBy(F.desc("seq")))).filter("_rn = 1").drop("_rn")
+    kept, fresh = keep(kept), keep(fresh)
     left = kept.select("identity", F.col("start_date").alias("old_start"), F.col("end_date").alias("old_end"), F.col("event_id").alias("old_id"))
     pairs = fresh.join(left, "identity", "left")
     exact = F.col("old_start") == F.col("start_date")
@@ -111,7 +116,7 @@ def reconcile(old: DataFrame, new: DataFrame, as_of: str) -> dict[str, DataFrame
     matched = marked.withColumn("_hit", F.coalesce(hit, F.lit(False))).groupBy("identity", "start_date").agg(
         F.max(F.when(F.col("_hit"), F.struct("old_id", "old_start", "old_end"))).alias("prev")
     )
-    rows = fresh.join(matched, ["identity", "start_date"])
+    rows = keep(fresh.join(matched, ["identity", "start_date"]))
     same = (F.col("prev.old_start") == F.col("start_date")) & (F.col("prev.old_end") == F.col("end_date"))
     exact_rows, corrected = rows.filter(F.col("prev").isNotNull() & same), rows.filter(F.col("prev").isNotNull() & ~same)
     gone = rows.filter("prev is not null").select(F.col("prev.old_id").alias("event_id"), "identity").distinct()

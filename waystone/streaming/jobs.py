@@ -15,13 +15,19 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from waystone.operators import reconcile as R
 from waystone.operators import search as S
-from waystone.sources.files import scratch
+from waystone.sources.files import scratch, written
 
 
 def event_stream(spark: SparkSession, folder: str, name: str = "events.parquet") -> DataFrame:
-    """The files of a name in a folder as a stream, with `ts` as a timestamp of the session's zone."""
+    """The file of a name in a folder, or the files in the folder of that name, as a stream, with `ts` as a timestamp of
+    the session's zone."""
     schema = spark.read.parquet(f"{folder}/{name}").schema
-    got = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    reader = spark.readStream.schema(schema)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        got = reader.parquet(f"{folder}/{name}")
+    else:
+        got = reader.option("pathGlobFilter", name).parquet(folder)
     return got.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in got.columns else got
 
 
@@ -141,7 +147,7 @@ def merged(stream: DataFrame, published: DataFrame, as_of: str, root: str | None
 
     def each(batch: DataFrame, n: int) -> None:
         held = batch.sparkSession.read.schema(published.schema).parquet(f"{root}/v{n}")
-        got = R.reconcile(held, batch, as_of)["published"].select(*published.columns)
+        got = R.reconcile(held, batch, as_of, keep=written)["published"].select(*published.columns)
         got.write.mode("overwrite").parquet(f"{root}/v{n + 1}")
 
     writer = stream.writeStream.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).foreachBatch(each)
