@@ -11,6 +11,7 @@ from waystone.functions import geo as G
 from waystone.functions import text as T
 from waystone.functions.udfs import ratcliff
 from waystone.operators.reconcile import overlapping
+from waystone.sources.files import written
 
 
 def live_at_station(stations: DataFrame, events: DataFrame) -> DataFrame:
@@ -279,7 +280,9 @@ def classified(notices: DataFrame, published: DataFrame, same: float = 0.75, nea
     o = published.select("road_name", "url", t.alias("_o"))
     urls = n.select("url", "_t").distinct().join(o.select("url", "_o").distinct(), "url")
     names = n.select("road_name", "_t").distinct().join(o.select("road_name", "_o").distinct(), "road_name")
-    scored = alike(urls.select("_t", "_o").unionByName(names.select("_t", "_o")).distinct(), "_t", "_o", min(same, near))
+    # written, as the filters would else be moved before the distinct and Python would compare the titles of every row
+    pairs = written(urls.select("_t", "_o").unionByName(names.select("_t", "_o")).distinct())
+    scored = alike(pairs, "_t", "_o", min(same, near))
     at_least = lambda x: F.coalesce(F.col("score") >= x, F.lit(False))
     like = F.contains("_o", "_t") | F.contains("_t", "_o") | at_least(same)
     by_url = urls.join(scored, ["_t", "_o"], "left").groupBy("url", "_t").agg(F.bool_or(like).alias("_same"))
