@@ -3,6 +3,7 @@
 import datetime as dt
 import itertools
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -175,6 +176,37 @@ def test_venue_is_never_borrowed(spark):
     assert [r.section for r in X.notice_blocks(rows).collect()] == [2]
 
 
+def test_a_task_sorts_a_share_of_the_lines(spark, monkeypatch):
+    monkeypatch.setattr(X, "TASK_LINES", 100, raising=False)
+    kinds = ["【A】祭", "開催日時：2026年3月1日", "会場：道の駅 あ", "x"]
+    rows = spark.createDataFrame([(a, n, kinds[n]) for a in range(500) for n in range(4)], "article_id long, line_no int, line_text string")
+    for got in (X.section_events(rows), X.notice_blocks(rows), X.heading_context(rows, 60)):
+        per = got.groupBy(F.spark_partition_id().alias("p")).count().collect()
+        assert sum(r["count"] for r in per) == 500 and max(r["count"] for r in per) < 100
+
+
+def test_section_events_by_brute_force(spark):
+    rng = random.Random(5)
+    kinds = ["【A】祭", "【B】", "開催日時：2026年3月1日", "日時：令和8年4月2日", "期間：未定", "会場：あ", "場所：い", "a", "b", "c", "d", "e", None]
+    lines = [(a if a else None, rng.randrange(30), rng.choice(kinds[: rng.choice([5, 8, 13])])) for a in range(60) for _ in range(rng.randrange(40))]
+    want, parts = [], {}
+    for a, n, t in lines:
+        parts.setdefault(a, []).append((n, t is not None, t or ""))
+    for a, of in parts.items():
+        heads, of = [], sorted(of)
+        for i, (_, _, t) in enumerate(of):
+            if t.startswith("【"):
+                heads.append(i)
+        for k, i in enumerate(heads):
+            own = [t for _, _, t in of[i : min(i + 10, heads[k + 1] if k + 1 < len(heads) else len(of))]]
+            days = [day(2026, 3, 1) if "3月" in t else day(2026, 4, 2) for t in own if "日時：" in t]
+            venues = [t[3:] for t in own if t[:3] in ("会場：", "場所：")]
+            if days and venues:
+                want.append((a, k + 1, own[0], days[0], venues[0]))
+    got = X.section_events(spark.createDataFrame(lines, "article_id long, line_no int, line_text string"))
+    assert len(want) > 20 and sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
 def test_reason_order(spark):
     lines = [(1, 1, "【A】中止"), (2, 1, "x"), (3, 1, "【A】"), (3, 2, "【B】"), (4, 1, "【A】"), (5, 1, "【A】"), (5, 2, "会場：い"), (5, 3, "会場：う"), (6, 1, "【A】"), (6, 2, "会場：い"), (7, 1, "【A】"), (7, 2, "会場：い"), (7, 3, "日時：2020年1月1日"), (8, 1, "【A】"), (8, 2, "会場：い"), (8, 3, "日時：2026年2月1日"), (9, 1, "【A】"), (9, 2, "会場：い"), (9, 3, "日時：2026年2月1日"), (9, 4, "期間：2026年2月3日")]
     got = X.with_reasons(spark.createDataFrame(lines, "article_id long, line_no int, line_text string"), "2026-01-01", spark.createDataFrame([(k, "い") for k in range(1, 10)], "article_id long, station string")).orderBy("article_id").collect()
