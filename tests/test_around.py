@@ -48,3 +48,26 @@ def test_detours_are_all_places_near_a_track(spark, folder):
     for user, stops in got:
         near = {int(x[1:]) for x in stops.split(",") if x[0] == "d"}
         assert {k + far for k in range(user + 1, 97, 3) for far in (0, 220_000)} <= near
+
+
+def test_places_along_tracks_shuffle_no_pairs(spark, folder):
+    """GEO-07-places: equal positions, rows in whole; points are dealt by track, and nothing is dealt after the pairs are made."""
+    from waystone.plans.registry import QUERIES
+
+    got, want = both(spark, folder, "GEO-07-places")
+    assert got == want and {far for _, k, *_ in got for far in (k > 220_000,)} == {False, True}
+    plan = QUERIES["GEO-07-places"](spark, folder)._jdf.queryExecution().executedPlan().toString()
+    made = plan.index("FlatMapGroupsInArrow")
+    assert plan.count("Exchange ") == 1 and plan.index("Exchange ") > made and "Join" not in plan
+
+
+def test_an_id_of_several_positions_takes_its_best(spark):
+    """Ids that repeat, with and without the same position, and places without an id are one place each."""
+    from waystone.operators import tracks as K
+
+    points = [(None, 1, 0.0, 0.0), (None, 2, 0.0, 2.0), (None, 3, 2.0, 2.0)]
+    places = [("a", 0.05, 1.0), ("a", 0.05, 1.0), ("a", 0.01, 1.5), (None, 1.0, 2.02), (None, 1.0, 2.04), ("b", 9.0, 9.0), ("c", None, 1.0), ("c", 0.5, 2.0)]
+    segs = K.segments(spark.createDataFrame(points, "track string, n int, lat double, lng double"), "track", "n")
+    got = {(r.track, r.id): (r.progress, r.away) for r in K.places_along(segs, "track", spark.createDataFrame(places, "id string, lat double, lng double"), reach=0.1).collect()}
+    want = {"a": (1.5 / 4, 0.01), None: (3 / 4, 0.02), "c": (2.5 / 4, 0.0)}
+    assert got == {(None, k): (pytest.approx(p), pytest.approx(a)) for k, (p, a) in want.items()}

@@ -1,14 +1,20 @@
 """Tracks as polylines: segments, progress of places along them, points at a share of the way, detours in order (GEO-06 to GEO-09).
 
-Coordinates are taken as a plane, in degrees. A track's windows are bounded by the track.
+Coordinates are taken as a plane, in degrees. A track's windows are bounded by the track. Places meet a track in the task
+that has it (see `around`): pairs of tracks and places are made for one track at a time and are never shuffled.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as Y
 
 from waystone.functions import geo as G
+from waystone.operators import around as A
 
 #: A place beside an end of a segment counts as this much farther away.
 OUTSIDE = 20
@@ -42,25 +48,89 @@ def progress(segs: DataFrame, track: str, lat: Column, lng: Column) -> DataFrame
     return _best(_placed(segs, lat, lng), track)
 
 
-def places_along(segs: DataFrame, track: str, places: DataFrame, *alike: str, reach: float, size: float = 0.5) -> DataFrame:
-    """GEO-07: (track, id, progress, away) of every place (id, lat, lng) with every track within `reach` of it.
-
-    Segments are cut into the grid cells of `size` degrees that a place within reach can lie in, places are joined to
-    the segments of their cell; no other pair is made. A segment of any length has a row for each of its cells. Columns
-    `alike` must be equal on both sides.
-    """
-    low = lambda a, b: F.floor((F.least(F.col(a), F.col(b)) - reach) / size).cast("int")
-    high = lambda a, b: F.floor((F.greatest(F.col(a), F.col(b)) + reach) / size).cast("int")
-    s = segs.withColumn("cell_x", F.explode(F.sequence(low("lng", "lng2"), high("lng", "lng2"))))
-    # within a column of cells only the stretch of the segment that can be reached from it counts
-    left, right = F.col("cell_x") * size - reach, (F.col("cell_x") + 1) * size + reach
-    run = F.col("lng2") - F.col("lng")
-    cut = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), (x - F.col("lng")) / run))
-    at = lambda x, end: F.when(F.abs(run) < 1e-9, F.col(end)).otherwise(F.col("lat") + cut(x) * (F.col("lat2") - F.col("lat")))
-    s = s.withColumns({"ya": at(left, "lat"), "yb": at(right, "lat2")})
-    s = s.withColumn("cell_y", F.explode(F.sequence(low("ya", "yb"), high("ya", "yb")))).drop("ya", "yb")
-    p = places.select("id", *alike, F.col("lat").alias("_lat"), F.col("lng").alias("_lng"), F.floor(F.col("lat") / size).cast("int").alias("cell_y"), F.floor(F.col("lng") / size).cast("int").alias("cell_x"))
-    return _best(_placed(s.join(p.hint("merge"), ["cell_y", "cell_x", *alike]), F.col("_lat"), F.col("_lng")).filter(F.col("away") <= reach), track, "id")
+def _beside(at: A.Places, seg: dict[str, np.ndarray], reach: float, best: dict[str, np.ndarray]) -> np.ndarray:
+    """The positions within `reach` of a track. `best` has, for each of them, the nearest segment, `t`, `away` and `off`; its
+    `off` must be infinite before."""
+    found = []
+    for k in np.flatnonzero(np.isfinite(seg["lat"] + seg["lng"] + seg["lat2"] + seg["lng2"])):
+        y1, x1, y2, x2, size = (float(seg[c][k]) for c in ("lat", "lng", "lat2", "lng2", "len"))
+        dy, dx = y2 - y1, x2 - x1
+        band = at.bands(min(y1, y2) - reach - 1e-9, max(y1, y2) + reach + 1e-9)
+        if not len(band):
+            continue
+        # within a band only the stretch of the segment that can be reached from it counts
+        if abs(dy) < 1e-9:
+            ends = np.broadcast_to([[0.0], [1.0]], (2, len(band)))
+        else:
+            ends = np.clip(np.stack([(band * at.size - reach - 1e-9 - y1) / dy, ((band + 1) * at.size + reach + 1e-9 - y1) / dy]), 0, 1)
+        x = x1 + ends * dx
+        i = at.between(band, x.min(0) - reach, x.max(0) + reach)
+        px, py = at.lng[i] - x1, at.lat[i] - y1
+        dot, square = px * dx + py * dy, dx * dx + dy * dy
+        t = np.clip(dot / square, 0.0, 1.0) if square else np.zeros(len(i))
+        away = np.sqrt((px - t * dx) ** 2 + (py - t * dy) ** 2)
+        near = away <= reach
+        i, t, away = i[near], t[near], away[near]
+        raw = dot[near] / max(size * size, 1e-12)
+        off = A.rounded(away + np.where((raw >= 0) & (raw <= 1), 0, OUTSIDE), 9)
+        was = best["off"][i]
+        found.append(i[was == np.inf])
+        less = off < was
+        i = i[less]
+        for name, value in (("off", off[less]), ("segment", k), ("t", t[less]), ("away", away[less])):
+            best[name][i] = value
+    return np.concatenate(found) if found else np.zeros(0, np.int64)
+
+
+def _each_track(segs: DataFrame, track: str, places: DataFrame, reach: float, schema: Y.StructType, work) -> DataFrame:
+    """The rows that `work` makes of each track: of the places, the track's rows by rn and their columns, the numbers of the
+    places within `reach`, how many of them share each position, and the progress and distance of each position. Of the
+    positions of one id the best counts."""
+    sent = A.sent(places, max(A.BAND, reach), globe=False, distinct=True)
+    held: dict = {}
+
+    def run(table: pa.Table) -> pa.Table:
+        at = sent.value
+        if not held:
+            held.update(off=np.full(len(at.lat), np.inf), segment=np.zeros(len(at.lat), np.int64), t=np.zeros(len(at.lat)), away=np.zeros(len(at.lat)))
+        table = table.sort_by("rn")
+        seg = {c: table[c].to_numpy().astype(np.float64) for c in table.column_names if c in ("rn", "lat", "lng", "lat2", "lng2", "len", "before", "total")}
+        hit = _beside(at, seg, reach, held)
+        best = {c: held[c][hit] for c in ("off", "segment", "t", "away")}
+        held["off"][hit] = np.inf
+        with np.errstate(divide="ignore", invalid="ignore"):
+            part = (seg["before"][best["segment"]] + best["t"] * seg["len"][best["segment"]]) / seg["total"][best["segment"]]
+        progress = np.where(seg["total"][best["segment"]] > 0, part, np.nan)
+        count = at.counts(hit)
+        rows = at.members(hit)
+        if at.repeated:
+            of = np.repeat(np.arange(len(hit)), count)
+            order = np.lexsort((best["away"][of], best["t"][of], best["segment"][of], best["off"][of], at.rank[rows]))
+            order = order[np.append(True, np.diff(at.rank[rows[order]]) != 0)] if len(order) else order
+            rows, of = rows[order], of[order]
+            return work(at, table, seg, rows, np.ones(len(rows), np.int64), progress[of], best["away"][of])
+        return work(at, table, seg, rows, count, progress, best["away"])
+
+    return segs.groupBy(track).applyInArrow(run, schema)
+
+
+def places_along(segs: DataFrame, track: str, places: DataFrame, *, reach: float) -> DataFrame:
+    """GEO-07: (track, id, progress, away) of every place (id, lat, lng) with every track within `reach` of it."""
+    near = positions_along(segs, track, places, reach=reach)
+    return near.select(track, F.explode("ids").alias("id"), "progress", "away")
+
+
+def positions_along(segs: DataFrame, track: str, places: DataFrame, *, reach: float) -> DataFrame:
+    """GEO-07: (track, ids, progress, away): as `places_along`, with a row for the places that share a position."""
+    kind = places.schema["id"].dataType
+    schema = Y.StructType([segs.schema[track], Y.StructField("ids", Y.ArrayType(kind)), Y.StructField("progress", Y.DoubleType()), Y.StructField("away", Y.DoubleType())])
+
+    def work(at, table, seg, rows, count, progress, away):
+        ids = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)), pa.int32()), at.ids.take(pa.array(rows)))
+        tracks = table[track].combine_chunks().take(pa.array(np.zeros(len(count), np.int64)))
+        return pa.table([tracks, ids, pa.array(progress, mask=np.isnan(progress)), pa.array(away)], names=[track, "ids", "progress", "away"])
+
+    return _each_track(segs, track, places, reach, schema, work)
 
 
 def points_at(segs: DataFrame, track: str, share: Column) -> DataFrame:
