@@ -71,3 +71,22 @@ def test_an_id_of_several_positions_takes_its_best(spark):
     got = {(r.track, r.id): (r.progress, r.away) for r in K.places_along(segs, "track", spark.createDataFrame(places, "id string, lat double, lng double"), reach=0.1).collect()}
     want = {"a": (1.5 / 4, 0.01), None: (3 / 4, 0.02), "c": (2.5 / 4, 0.0)}
     assert got == {(None, k): (pytest.approx(p), pytest.approx(a)) for k, (p, a) in want.items()}
+
+
+def test_detours_shuffle_no_pairs(spark, folder):
+    """GEO-08: points are dealt by track, and nothing is dealt after."""
+    from waystone.plans.registry import QUERIES
+
+    plan = QUERIES["GEO-08"](spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "Join" not in plan
+
+
+def test_stops_in_the_order_of_progress(spark):
+    """Ties, a track without length, places without an id and tracks without places."""
+    from waystone.operators import tracks as K
+
+    points = [(1, 1, 0.0, 0.0), (1, 2, 0.0, 2.0), (1, 3, 0.0, 2.0), (1, 4, 2.0, 2.0), (2, 1, 50.0, 50.0), (2, 2, 50.0, 51.0), (3, 1, 0.0, 1.0), (3, 2, 0.0, 1.0)]
+    places = [(9, 0.0, 1.0), (10, 0.05, 1.0), (None, 0.0, 1.0), (4, 0.0, 2.0), (7, 0.0, 2.0), (3, 0.0, 0.0)]
+    segs = K.segments(spark.createDataFrame(points, "track int, n int, lat double, lng double"), "track", "n")
+    got = {r.track: r.stops for r in K.stops_along(segs, "track", spark.createDataFrame(places, "id int, lat double, lng double"), reach=0.1).collect()}
+    assert got == {1: "d3,o1,d9,d10,d4,d7,o2,o3", 2: "o1", 3: "d9,d10,o1"}

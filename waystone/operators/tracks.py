@@ -133,6 +133,34 @@ def positions_along(segs: DataFrame, track: str, places: DataFrame, *, reach: fl
     return _each_track(segs, track, places, reach, schema, work)
 
 
+def stops_along(segs: DataFrame, track: str, places: DataFrame, *, reach: float, sep: str = ",") -> DataFrame:
+    """GEO-08: (track, stops): the starts of a track's segments (o and their number) and all places within `reach` of it (d
+    and their id) in the order of progress, as text. On ties places come first, by id."""
+    schema = Y.StructType([segs.schema[track], Y.StructField("stops", Y.StringType())])
+    labels: list[pa.Array] = []
+
+    def labelled(at: A.Places, most: int) -> pa.Array:
+        """The labels of all places, then those of the numbers from 0 to `most` or more."""
+        if not labels or len(labels[0]) <= len(at.ids) + most:
+            d, o = at.ids.cast(pa.string()), pa.array(np.arange(2 * most + 1)).cast(pa.string())
+            labels[:] = [pa.concat_arrays([pc.binary_join_element_wise(x, y, "") for x, y in (("d", d), ("o", o))])]
+        return labels[0]
+
+    def work(at, table, seg, rows, count, progress, away):
+        rn, n = seg["rn"].astype(np.int64), len(progress)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            own = seg["before"] / seg["total"]
+        # one number has the order of (progress, place or start, id or number of the start)
+        _, step = np.unique(np.nan_to_num(A.rounded(np.append(progress, own), 9)), return_inverse=True)
+        step = step.astype(np.int64) << 33
+        order = np.sort(np.append(np.repeat(step[:n], count) + rows, step[n:] + len(at.ids) + rn))
+        words = labelled(at, int(rn.max())).take(pa.array(order & ((1 << 33) - 1))).drop_null()
+        text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), sep)
+        return pa.table([table[track].combine_chunks().slice(0, 1), text], names=[track, "stops"])
+
+    return _each_track(segs, track, places, reach, schema, work)
+
+
 def points_at(segs: DataFrame, track: str, share: Column) -> DataFrame:
     """GEO-09: (track, at_lat, at_lng): the point at a share of each track's length."""
     s = segs.withColumn("want", share * F.col("total")).filter("before + len >= want")
