@@ -90,3 +90,51 @@ def test_stops_in_the_order_of_progress(spark):
     segs = K.segments(spark.createDataFrame(points, "track int, n int, lat double, lng double"), "track", "n")
     got = {r.track: r.stops for r in K.stops_along(segs, "track", spark.createDataFrame(places, "id int, lat double, lng double"), reach=0.1).collect()}
     assert got == {1: "d3,o1,d9,d10,d4,d7,o2,o3", 2: "o1", 3: "d9,d10,o1"}
+
+
+@pytest.fixture(scope="module")
+def globe():
+    """Points and requests near the poles, around 180 degrees and close together; some share a position or an id."""
+    rng = random.Random(3)
+    spot = lambda: (rng.choice([rng.uniform(-90, 90), rng.uniform(84, 90), rng.uniform(34, 37)]), rng.choice([rng.uniform(-180, 180), rng.uniform(178, 180), rng.uniform(-180, -178), rng.uniform(134, 138)]))
+    places = [(k, *spot()) for k in range(1500)]
+    places += [(k + 2000, *p[1:]) for k, p in enumerate(places[:300])] + places[:20] + [(5000, None, 1.0)]
+    requests = [(k, *spot(), rng.choice([30.0, 200.0, 1500.0, 9000.0, 15000.0]), 40.0, 90.0 * (k % 4)) for k in range(150)]
+    return places, [*requests, *requests[:5], (None, *requests[7][1:]), (500, None, 1.0, 30.0, 40.0, 0.0)]
+
+
+def frames(spark, globe):
+    places, requests = globe
+    return spark.createDataFrame(requests, "request_id int, lat double, lng double, km double, tol double, bearing double"), spark.createDataFrame(places, "id int, lat double, lng double")
+
+
+def pairs(globe):
+    """(request row, place row, kilometres), by the formula of GEO-01."""
+    for r in globe[1]:
+        for p in globe[0]:
+            if r[1] is not None and p[1] is not None:
+                a = math.sin(math.radians(p[1] - r[1]) / 2) ** 2 + math.cos(math.radians(r[1])) * math.cos(math.radians(p[1])) * math.sin(math.radians(p[2] - r[2]) / 2) ** 2
+                yield r, p, 12742 * math.atan2(math.sqrt(a), math.sqrt(1 - a))
+
+
+def by_request(found):
+    got = {}
+    for key, *rest in found:
+        got.setdefault(key, []).append(tuple(rest))
+    return got
+
+
+def test_all_places_of_the_band_are_ranked(spark, globe):
+    """SRT-09: none is dropped, whatever their number; where the band is empty all up to its end."""
+    from waystone.operators import search as S
+
+    want = {}
+    for key, rows in by_request((r[0], round(d, 6), p[0], abs(d - r[3]) <= 10) for r, p, d in pairs(globe) if d <= r[3] + 10).items():
+        rows = sorted(rows)
+        want[key] = [p for _, p, inside in rows if inside] or [p for _, p, _ in rows]
+    got = by_request(tuple(r) for r in S.nearest_n(*frames(spark, globe), None, 10.0, None).collect())
+    assert {k: [p for p, _ in sorted(v, key=lambda x: x[1])] for k, v in got.items()} == want
+    assert all(sorted(n for _, n in v) == list(range(1, len(v) + 1)) for v in got.values())
+    assert max(map(len, want.values())) > 80 and {abs(k or 0) for k in want} > {0, 1, 2}
+    most = by_request(tuple(r) for r in S.nearest_n(*frames(spark, globe), 7, 10.0, 3).collect())
+    assert {k: len(v) for k, v in most.items()}.keys() == want.keys() and max(map(len, most.values())) == 7

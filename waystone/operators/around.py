@@ -149,7 +149,28 @@ def sent(places: DataFrame, size: float = BAND, globe: bool = True, distinct: bo
     return places.sparkSession.sparkContext.broadcast(Places((rows.distinct() if distinct else rows).toArrow(), size, globe))
 
 
-def dealt(requests: DataFrame, key: str, *columns: Column) -> DataFrame:
+def packed(lists, at: Places, names: list[str], most: int = 1 << 20):
+    """Record batches of (key, list of ids) from keys and the numbers of their places, about `most` places in each."""
+    keys, rows = [], []
+
+    def batch() -> pa.RecordBatch:
+        ends = np.cumsum([0, *map(len, rows)])
+        ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), at.ids.take(pa.array(np.concatenate(rows))))
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(keys), ids], names)
+
+    size = 0
+    for key, found in lists:
+        keys.append(key)
+        rows.append(found)
+        size += len(found)
+        if size >= most:
+            yield batch()
+            keys, rows, size = [], [], 0
+    if rows:
+        yield batch()
+
+
+def dealt(requests: DataFrame, key: str, *columns: Column | str) -> DataFrame:
     """(key, asks): a row for each request with the rows it has (one, unless its key repeats). Requests that ask the same lie
     next to each other. Few bytes, much work: a number of partitions that is named is not merged."""
     asks = requests.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("asks"))

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as Y
 
 from waystone.functions import geo as G
 from waystone.functions import text as T
+from waystone.operators import around as A
 from waystone.operators import reconcile as R
 
 #: Degrees of a grid cell. A search touches about (2 km / (111 size))**2 cells, so wide searches take wide cells.
@@ -114,18 +117,45 @@ def scored_pick(requests: DataFrame, places: DataFrame, top: int = 24, seed: str
     return ranked.filter(F.col("rn") == pick).select("req_request_id", "id", "score", "n")
 
 
-def nearest_n(requests: DataFrame, places: DataFrame, n: int, band: float, fallback: int) -> DataFrame:
-    """SRT-09: up to `n` places within `band` km of the wished distance; where there are none the `fallback` nearest."""
-    reach, near = F.col("km") + F.lit(band), F.abs(F.col("distance") - F.col("req_km")) <= band
-    ring = within(requests, places, reach, CELL / 2, least=F.col("km") - F.lit(band + 1e-6)).filter(near)
-    without = requests.join(ring.select(F.col("req_request_id").alias("request_id")).distinct(), "request_id", "left_anti")
-    first = within(without, places, reach)
+def nearest_n(requests: DataFrame, places: DataFrame, n: int | None, band: float, fallback: int | None) -> DataFrame:
+    """SRT-09: the places within `band` km of the wished distance, ranked by distance and id; where there are none all up to
+    the end of the band. At most `n` and `fallback` of them, all without these.
 
-    def best(pairs: DataFrame, most: int) -> DataFrame:
-        w = Window.partitionBy("req_request_id").orderBy(F.round("distance", 6), "id")
-        return pairs.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= most).select("req_request_id", "id", "rn")
-
-    return best(ring, n).unionByName(best(first, fallback))
+    A request is ranked in its task (see `around`), so pairs are neither shuffled nor sorted with those of others.
+    """
+    rows = A.dealt(requests.select("request_id", "lat", "lng", "km"), "request_id", "lat", "lng", "km")
+    sent = A.sent(places)
+    schema = Y.StructType([Y.StructField("req_request_id", requests.schema["request_id"].dataType), Y.StructField("ids", Y.ArrayType(places.schema["id"].dataType))])
+
+    def run(batches):
+        at = sent.value
+
+        @A.remembered
+        def search(ask: np.ndarray):
+            lat, lng, wish = ask
+            i, d = at.ring(lat, lng, wish - band - 1e-6, wish + band)
+            near = np.abs(d - wish) <= band
+            return i[near], d[near]
+
+        def ranked(asks, get, most):
+            found = [get(ask) for ask in asks]
+            i, d = (np.concatenate(x) for x in zip(*found, strict=True))
+            ids = at.members(i)
+            return ids[np.lexsort((ids, np.repeat(A.rounded(d, 6), at.counts(i))))][:most]
+
+        def lists():
+            for batch in batches:
+                for k, asks in enumerate(A.asked(batch)):
+                    got = ranked(asks, search, n)
+                    if not len(got):
+                        got = ranked(asks, lambda ask: at.ring(ask[0], ask[1], 0.0, ask[2] + band), fallback)
+                    if len(got):
+                        yield batch["request_id"].slice(k, 1), got
+
+        yield from A.packed(lists(), at, ["req_request_id", "ids"])
+
+    found = rows.mapInArrow(run, schema)
+    return found.select("req_request_id", F.posexplode("ids").alias("_at", "id")).select("req_request_id", "id", (F.col("_at") + 1).alias("rn"))
 
 
 def sorted_events(pairs: DataFrame, mode: str, as_of: str) -> DataFrame:
