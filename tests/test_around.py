@@ -99,7 +99,7 @@ def globe():
     spot = lambda: (rng.choice([rng.uniform(-90, 90), rng.uniform(84, 90), rng.uniform(34, 37)]), rng.choice([rng.uniform(-180, 180), rng.uniform(178, 180), rng.uniform(-180, -178), rng.uniform(134, 138)]))
     places = [(k, *spot()) for k in range(1500)]
     places += [(k + 2000, *p[1:]) for k, p in enumerate(places[:300])] + places[:20] + [(5000, None, 1.0)]
-    requests = [(k, *spot(), rng.choice([30.0, 200.0, 1500.0, 9000.0, 15000.0]), 40.0, 90.0 * (k % 4)) for k in range(150)]
+    requests = [(k, *spot(), rng.choice([30.0, 200.0, 1500.0, 9000.0, 15000.0]), rng.choice([40.0, 900.0]), 90.0 * (k % 4)) for k in range(150)]
     return places, [*requests, *requests[:5], (None, *requests[7][1:]), (500, None, 1.0, 30.0, 40.0, 0.0)]
 
 
@@ -138,3 +138,26 @@ def test_all_places_of_the_band_are_ranked(spark, globe):
     assert max(map(len, want.values())) > 80 and {abs(k or 0) for k in want} > {0, 1, 2}
     most = by_request(tuple(r) for r in S.nearest_n(*frames(spark, globe), 7, 10.0, 3).collect())
     assert {k: len(v) for k, v in most.items()}.keys() == want.keys() and max(map(len, most.values())) == 7
+
+
+def unit(*seeds):
+    import hashlib
+
+    return int(hashlib.md5("|".join(str(x) for x in seeds if x is not None).encode()).hexdigest()[:8], 16) / 2**32
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_goals_are_drawn_in_the_task_of_the_request(spark, globe):
+    """GEO-11: the drawn place by id among all of the ring, repeated rows counted; no pair is shuffled or joined."""
+    from waystone.operators import search as S
+
+    want = {}
+    for key, ids in by_request((r[0], p[0]) for r, p, d in pairs(globe) if abs(d - r[3]) <= max(10.0, r[3] * 0.12)).items():
+        ids = sorted(i for (i,) in ids)
+        want[key] = [(ids[math.floor(unit(key, 1) * len(ids))], len(ids))]
+    got = S.drawn_goals(*frames(spark, globe))
+    assert by_request(tuple(r) for r in got.collect()) == want and len(want) > 100
+    assert "Join" not in plan_of(got) and "Window" not in plan_of(got)

@@ -77,7 +77,7 @@ class Places:
         edges = np.radians(np.clip(np.stack([band, band + 1]) * self.size, -90, 90))
         sines, cosines = np.sin(p) * np.sin(edges), np.maximum(np.cos(p) * np.cos(edges), 1e-15)
         # half the width of a circle at both edges of each band
-        half = lambda km: np.arccos(np.clip((np.cos(min(np.pi, km)) - sines) / cosines, -1, 1))
+        half = lambda angle: np.arccos(np.clip((np.cos(min(np.pi, angle)) - sines) / cosines, -1, 1))
         wide = half(r).max(0)
         if r >= np.pi / 2:
             wide[:] = np.pi
@@ -88,12 +88,12 @@ class Places:
         wide = np.degrees(wide) + 1e-6
         x = np.mod(lng + 180, 360)
         if least > 1e-3:
-            hole = np.maximum(np.degrees(half((least - 1e-6) / EARTH).min(0)) - 1e-6, 0)
+            hole = np.degrees(half((least - 1e-6) / EARTH).min(0)) - 1e-6
+            hole[hole < 1e-5] = 0
             parts = [(band, x - wide, x - hole), (band[hole > 0], x + hole[hole > 0], x + wide[hole > 0])]
             parts[0][2][hole <= 0] = (x + wide)[hole <= 0]
         else:
             parts = [(band, x - wide, x + wide)]
-        whole = wide >= 180
         found = []
         for b, low, high in parts:
             for turn in (0, -360, 360):
@@ -102,7 +102,8 @@ class Places:
                     use = np.ones(len(b), bool) if turn == 0 else (low < 0) if turn == 360 else (high >= 360)
                     found.append(self.between(b[use], np.clip(low[use] + turn, -1, 361), np.clip(high[use] + turn, -1, 361)))
         at = np.concatenate(found)
-        if len(found) > len(parts) or whole.any() or len(parts) > 1:
+        if (wide >= 179.9).any():
+            # parts may meet on the other side
             at = np.unique(at)
         d = km(lat, lng, self.lat[at], self.lng[at])
         near = (d <= reach) & (d >= least)

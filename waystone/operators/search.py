@@ -105,6 +105,30 @@ def nearest_any(points: DataFrame, places: DataFrame, key: str, first_km: float)
         km = km * 4 if km < 5000 else 20_200
 
 
+def _chosen(requests: DataFrame, places: DataFrame, columns: list[str], seed: str, choose, *more: Y.StructField) -> DataFrame:
+    """(req_request_id, id, *more): the place that `choose(places, asks, key as text, share)` draws for each request, as (number, *values),
+    by a share from 0 to 1 that the request's key and the seed give. A request's pairs stay in its task (see `around`)."""
+    rows = A.dealt(requests, "request_id", *columns).withColumns({"_key": F.col("request_id").cast("string"), "_share": G.unit(F.col("request_id").cast("string"), F.lit(seed))})
+    sent = A.sent(places)
+    schema = Y.StructType([Y.StructField("req_request_id", requests.schema["request_id"].dataType), places.schema["id"], *more])
+
+    def run(batches):
+        at = sent.value
+        chooser = choose(at)
+        for batch in batches:
+            asks = zip(A.asked(batch), batch["_key"].to_pylist(), batch["_share"].to_pylist(), strict=True)
+            got = [(k, *c) for k, x in enumerate(asks) if (c := chooser(*x)) is not None]
+            if got:
+                keys, rows, *values = zip(*got, strict=True)
+                yield pa.RecordBatch.from_arrays([batch["request_id"].take(pa.array(keys)), at.ids.take(pa.array(rows)), *[pa.array(v) for v in values]], schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _drawn(share: float, n: int) -> int:
+    return int(np.floor(share * n))
+
+
 def scored_pick(requests: DataFrame, places: DataFrame, top: int = 24, seed: str = "1") -> DataFrame:
     """SRT-08: by distance from the wish, a tenth of the angle and seeded noise; of the best `top` one is drawn."""
     pairs = in_sector(annulus(requests, places), 45.0)
@@ -204,12 +228,24 @@ def corridor(requests: DataFrame, places: DataFrame) -> DataFrame:
 
 def drawn_goals(requests: DataFrame, places: DataFrame, seed: str = "1") -> DataFrame:
     """GEO-11: one place, drawn by a seed, among those within max(10, 12 %) of the wished distance."""
-    r = requests.withColumn("tol", F.greatest(F.lit(10.0), F.col("km") * 0.12))
-    got = annulus(r, places)
-    w = Window.partitionBy("req_request_id")
-    ranked = got.withColumn("rn", F.row_number().over(w.orderBy("id"))).withColumn("n", F.count("*").over(w))
-    pick = F.floor(G.unit(F.col("req_request_id").cast("string"), F.lit(seed)) * F.col("n")) + 1
-    return ranked.filter(F.col("rn") == pick).select("req_request_id", "id", "n")
+
+    def choose(at: A.Places):
+        @A.remembered
+        def search(ask: np.ndarray) -> np.ndarray:
+            lat, lng, wish = ask
+            tol = max(10.0, wish * 0.12)
+            return at.members(at.ring(lat, lng, max(0.0, wish - tol), wish + tol)[0])
+
+        def pick(asks: list, key: str | None, share: float):
+            ids = np.concatenate([search(ask) for ask in asks])
+            if not len(ids):
+                return None
+            k = _drawn(share, len(ids))
+            return int(np.partition(ids, k)[k]), len(ids)
+
+        return pick
+
+    return _chosen(requests, places, ["lat", "lng", "km"], seed, choose, Y.StructField("n", Y.LongType()))
 
 
 ROUTE = "request_id bigint, stops int, score double, path array<bigint>, length double"
