@@ -161,3 +161,23 @@ def test_goals_are_drawn_in_the_task_of_the_request(spark, globe):
     got = S.drawn_goals(*frames(spark, globe))
     assert by_request(tuple(r) for r in got.collect()) == want and len(want) > 100
     assert "Join" not in plan_of(got) and "Window" not in plan_of(got)
+
+
+def test_scored_picks_in_the_task_of_the_request(spark, globe):
+    """SRT-08: the drawn one of the best 24 by score and id, though noise is made for the near ones only; no pair is joined."""
+    from waystone.operators import search as S
+
+    def angle(r, p):
+        d, a, b = math.radians(p[2] - r[2]), math.radians(r[1]), math.radians(p[1])
+        to = (math.degrees(math.atan2(math.sin(d) * math.cos(b), math.cos(a) * math.sin(b) - math.sin(a) * math.cos(b) * math.cos(d))) + 360) % 360
+        return abs((to - r[5] + 540) % 360 - 180)
+
+    want = {}
+    near = ((r, p, d, angle(r, p)) for r, p, d in pairs(globe) if max(0.0, r[3] - r[4]) <= d <= r[3] + r[4])
+    for key, rows in by_request((r[0], abs(d - r[3]) + a / 10 + unit(r[0], p[0], 1) * 4, p[0]) for r, p, d, a in near if a <= 45).items():
+        best = sorted((round(s, 6), i) for s, i in rows)[:24]
+        score, i = best[math.floor(unit(key, 1) * len(best))]
+        want[key] = [(i, pytest.approx(score, abs=2e-6), len(best))]
+    got = S.scored_pick(*frames(spark, globe))
+    assert by_request(tuple(r) for r in got.collect()) == want and sum(v[0][2] == 24 for v in want.values()) > 20
+    assert "Join" not in plan_of(got) and "Window" not in plan_of(got)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from hashlib import md5
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -130,15 +132,43 @@ def _drawn(share: float, n: int) -> int:
 
 
 def scored_pick(requests: DataFrame, places: DataFrame, top: int = 24, seed: str = "1") -> DataFrame:
-    """SRT-08: by distance from the wish, a tenth of the angle and seeded noise; of the best `top` one is drawn."""
-    pairs = in_sector(annulus(requests, places), 45.0)
-    noise = G.unit(F.col("req_request_id").cast("string"), F.col("id").cast("string"), F.lit(seed)) * 4
-    scored = pairs.withColumn("score", F.round(F.abs(F.col("distance") - F.col("req_km")) + F.col("angle") / 10 + noise, 6))
-    w = Window.partitionBy("req_request_id")
-    ranked = scored.withColumn("rn", F.row_number().over(w.orderBy("score", "id"))).filter(F.col("rn") <= top)
-    ranked = ranked.withColumn("n", F.count("*").over(w))
-    pick = F.floor(G.unit(F.col("req_request_id").cast("string"), F.lit(seed)) * F.col("n")) + 1
-    return ranked.filter(F.col("rn") == pick).select("req_request_id", "id", "score", "n")
+    """SRT-08: by distance from the wish, a tenth of the angle and seeded noise; of the best `top` one is drawn.
+
+    Noise is never below 0: places are scored in the order of the rest, until that is behind the `top`th score so far.
+    """
+
+    def choose(at: A.Places):
+        @A.remembered
+        def search(ask: np.ndarray):
+            lat, lng, wish, tol, way = ask
+            i, d = at.ring(lat, lng, max(0.0, wish - tol), wish + tol)
+            angle = A.difference(A.bearing(lat, lng, at.lat[i], at.lng[i]), way)
+            ahead = angle <= 45
+            return i[ahead], np.abs(d[ahead] - wish) + angle[ahead] / 10
+
+        def pick(asks: list, key: str | None, share: float):
+            i, base = (np.concatenate(x) for x in zip(*map(search, asks), strict=True))
+            if not len(i):
+                return None
+            order = np.argsort(base, kind="stable")
+            i, base = i[order], base[order]
+            ends, done, upto = np.cumsum(at.counts(i)), 0, 2 * top
+            ids, score = np.zeros(0, np.int64), np.zeros(0)
+            # what is nearer without noise is scored first, until no other place can be among the best
+            while done < len(i) and (len(ids) < top or base[done] <= score[-1] + 1e-5):
+                now = slice(done, done := max(done + 1, int(np.searchsorted(ends, upto))))
+                more = at.members(i[now])
+                words = at.ids.take(pa.array(more)).cast(pa.string()).to_pylist()
+                noise = np.array([int(md5("|".join([x for x in (key, word, seed) if x is not None]).encode()).hexdigest()[:8], 16) for word in words]) / 4294967296.0
+                ids, score = np.append(ids, more), np.append(score, A.rounded(np.repeat(base[now], at.counts(i[now])) + noise * 4, 6))
+                best = np.lexsort((ids, score))[:top]
+                ids, score, upto = ids[best], score[best], 2 * upto
+            k = _drawn(share, len(ids))
+            return int(ids[k]), float(score[k]), len(ids)
+
+        return pick
+
+    return _chosen(requests, places, ["lat", "lng", "km", "tol", "bearing"], seed, choose, Y.StructField("score", Y.DoubleType()), Y.StructField("n", Y.LongType()))
 
 
 def nearest_n(requests: DataFrame, places: DataFrame, n: int | None, band: float, fallback: int | None) -> DataFrame:
