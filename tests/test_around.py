@@ -181,3 +181,35 @@ def test_scored_picks_in_the_task_of_the_request(spark, globe):
     got = S.scored_pick(*frames(spark, globe))
     assert by_request(tuple(r) for r in got.collect()) == want and sum(v[0][2] == 24 for v in want.values()) > 20
     assert "Join" not in plan_of(got) and "Window" not in plan_of(got)
+
+
+def test_routes_are_found_in_the_task_of_the_request(spark, globe, monkeypatch):
+    """GEO-12: the places of `corridor`, of those at one position the first; pairs in small parts; no pair is shuffled or joined."""
+    import numpy as np
+
+    from waystone.operators import around as A
+    from waystone.operators import search as S
+
+    rng = random.Random(5)
+    spots = [(rng.uniform(34, 37), rng.uniform(134, 138)) for _ in range(400)]
+    places = spark.createDataFrame([(k + far, *spot) for k, spot in enumerate(spots) for far in (1000, 0)], "id bigint, lat double, lng double")
+    asked = spark.createDataFrame([(k, rng.uniform(34, 37), rng.uniform(134, 138), rng.choice([60.0, 150.0, 300.0]), 90.0 * (k % 4)) for k in range(30)] + [(0, 35.0, 135.0, 0.0, 0.0), (None, None, 135.0, 9.0, 0.0)], "request_id int, lat double, lng double, km double, bearing double")
+    got = S.routes(S.with_goal(asked), places)
+    assert "Join" not in plan_of(got) and "Window" not in plan_of(got)
+    rows = sorted(map(tuple, got.collect()), key=str)
+    assert rows == sorted(map(tuple, S.routes(S.with_goal(asked), places.filter("id < 1000")).collect()), key=str)
+    assert sum(stops == 5 for _, stops, *_ in rows) > 5 and {stops for _, stops, *_ in rows} >= {0} and len(rows) == 32
+    # the paths do not depend on how many pairs are held at once
+    way, home = S._best_route(4, 1.3), [np.array(x) for x in ((34.0, 134.0), (36.5, 137.5))]
+    here = np.array(sorted(spots, key=sum))
+    one = way(400.0, np.arange(400.0), here, *home)
+    monkeypatch.setattr(S, "PAIRS", 1000)
+    assert way(400.0, np.arange(400.0), here, *home) == one and one[0] == 4
+    # corridors anywhere on the globe
+    requests, everywhere = frames(spark, globe)
+    go = S.with_goal(requests.filter("abs(lat) < 80 and request_id is not null").dropDuplicates(["request_id"]))
+    want = {(r.req_request_id, r.id) for r in S.corridor(go, everywhere).collect()}
+    at = A.sent(everywhere).value
+    direct = S.G.haversine(F.col("lat"), F.col("lng"), F.col("goal_lat"), F.col("goal_lng"))
+    found = {(r[0], at.ids[int(k)].as_py()) for r in go.select("request_id", direct, "lat", "lng", "goal_lat", "goal_lng").collect() for k in at.members(S._way(at, *r[1:])[0])}
+    assert found == want and len(want) > 100

@@ -37,10 +37,10 @@ class Places:
         self.size, self.globe = size, globe
         x = np.mod(lng + 180, 360) if globe else lng
         band = np.floor(lat / size).astype(np.int64)
-        rows = np.lexsort((np.arange(len(lat)), lat, x, band))
+        rows = np.lexsort((np.arange(len(lat)), lng, lat, x, band))
         lat, lng, x, band = lat[rows], lng[rows], x[rows], band[rows]
         first = np.ones(len(rows), bool)
-        first[1:] = (np.diff(lat) != 0) | (np.diff(x) != 0)
+        first[1:] = (np.diff(lat) != 0) | (np.diff(x) != 0) | (np.diff(lng) != 0)
         self.starts = np.append(np.flatnonzero(first), len(rows))
         self.rows, self.lat, self.lng = rows, lat[first], lng[first]
         self.left, self.low, self.high = (x.min(), band.min(), band.max()) if len(x) else (0.0, 0, -1)

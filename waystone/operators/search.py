@@ -5,7 +5,6 @@ from __future__ import annotations
 from hashlib import md5
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -278,18 +277,21 @@ def drawn_goals(requests: DataFrame, places: DataFrame, seed: str = "1") -> Data
     return _chosen(requests, places, ["lat", "lng", "km"], seed, choose, Y.StructField("n", Y.LongType()))
 
 
-ROUTE = "request_id bigint, stops int, score double, path array<bigint>, length double"
+ROUTE = "stops int, score double, path array<bigint>, length double"
+
+
+#: Pairs of places that a task holds at once.
+PAIRS = 1 << 20
 
 
 def _best_route(stops: int, most_ratio: float):
     """The best path through one request's corridor, layer by layer over arrays: pairs of a corridor never become rows, and
-    only places within a growing bound of the score are paired."""
+    only places within a growing bound of the score are paired, `PAIRS` at a time. Places come in the order of `along` and their ids."""
 
-    def run(key: tuple, places: pd.DataFrame) -> pd.DataFrame:
-        p = places.sort_values(["along", "id"], kind="stable").reset_index(drop=True)
-        d, along = float(p["d"][0]), p["along"].to_numpy()
-        ends = (p[["lat", "lng"]].to_numpy(), p[["req_lat", "req_lng"]].to_numpy()[:1], p[["req_goal_lat", "req_goal_lng"]].to_numpy()[:1])
-        here, origin, goal = (np.radians(x) for x in ends)
+    def run(d: float, along: np.ndarray, here: np.ndarray, origin: np.ndarray, goal: np.ndarray) -> tuple[int, float, list[int], float] | None:
+        if not len(along):
+            return None
+        here, origin, goal = (np.radians(x) for x in (here, origin[None, :], goal[None, :]))
 
         def km(a: np.ndarray, b: np.ndarray) -> np.ndarray:
             h = np.sin((b[None, :, 0] - a[:, None, 0]) / 2) ** 2 + np.cos(a[:, None, 0]) * np.cos(b[None, :, 0]) * np.sin((b[None, :, 1] - a[:, None, 1]) / 2) ** 2
@@ -310,13 +312,20 @@ def _best_route(stops: int, most_ratio: float):
                 if step == 1:
                     score, length = first[now], first[now]
                 else:
-                    leg = km(here[before], here[now])
-                    total = length[:, None] + leg
-                    ahead = along[None, now] - along[before, None] >= apart
-                    cost = np.where(ahead & (total <= most_ratio * d), np.round(score[:, None] + leg, 9), np.inf)
-                    by = cost.argmin(0)
+                    least, by, way = np.full(len(now), np.inf), np.zeros(len(now), np.int64), np.full(len(now), np.inf)
+                    step_size = max(1, PAIRS // len(now))
+                    for k in range(0, len(before), step_size):
+                        part = slice(k, k + step_size)
+                        leg = km(here[before[part]], here[now])
+                        total = length[part, None] + leg
+                        ahead = along[None, now] - along[before[part], None] >= apart
+                        cost = np.where(ahead & (total <= most_ratio * d), np.round(score[part, None] + leg, 9), np.inf)
+                        own = cost.argmin(0)
+                        value = cost[own, np.arange(len(now))]
+                        less = value < least
+                        least[less], by[less], way[less] = value[less], k + own[less], total[own, np.arange(len(now))][less]
                     paths.append((by, before))
-                    score, length = cost[by, np.arange(len(now))], total[by, np.arange(len(now))]
+                    score, length = least, way
                 score = score + penalty(step, count)[now]
                 score[length > most_ratio * d] = np.inf
                 before = now
@@ -331,7 +340,7 @@ def _best_route(stops: int, most_ratio: float):
                 path.append(int(places_before[k]))
             return float(score[at]), path[::-1], float(total[at])
 
-        top = float((first + last).max() + 0.25 * d) + 1 if len(p) else 0.0
+        top = float((first + last).max() + 0.25 * d) + 1
         for count in range(stops, 0, -1):
             # a path as good as the bound is the best of all: what the bound leaves out only makes worse ones
             most = d + max(0.2, 0.005 * d)
@@ -341,8 +350,8 @@ def _best_route(stops: int, most_ratio: float):
                     break
                 most = d + 2 * (most - d)
             if got:
-                return pd.DataFrame([(key[0], count, got[0], p["id"].to_numpy()[got[1]].tolist(), round(got[2], 6))], columns=["request_id", "stops", "score", "path", "length"])
-        return pd.DataFrame([], columns=["request_id", "stops", "score", "path", "length"])
+                return count, got[0], got[1], round(got[2], 6)
+        return None
 
     return run
 
@@ -355,11 +364,49 @@ def routes(requests: DataFrame, places: DataFrame, stops: int = 5, most_ratio: f
     0.25 d |along / d - step / (stops + 1)|; one best path is kept for each place, and no path gets longer than
     `most_ratio` of the direct way. Ties go to the place that comes first.
     """
-    cand = corridor(requests, places).select(F.col("req_request_id").alias("request_id"), "id", "lat", "lng", F.round("along", 9).alias("along"), F.col("req_direct").alias("d"), "req_lat", "req_lng", "req_goal_lat", "req_goal_lng")
+    here, goal = (F.col("lat"), F.col("lng")), (F.col("goal_lat"), F.col("goal_lng"))
+    rows = requests.select("request_id", G.haversine(*here, *goal).alias("_direct"), *here, *goal)
     # few bytes, much work: a number of partitions that is named is not merged
-    cand = cand.repartition(int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions")), "request_id")
-    found = cand.groupBy("request_id").applyInPandas(_best_route(stops, most_ratio), ROUTE)
-    direct = G.haversine(F.col("lat"), F.col("lng"), F.col("goal_lat"), F.col("goal_lng"))
-    every = requests.select("request_id", F.round(direct, 6).alias("_direct"))
-    got = every.join(found, "request_id", "left")
-    return got.select("request_id", F.coalesce("stops", F.lit(0)).alias("stops"), F.coalesce("score", "_direct").alias("score"), F.coalesce("path", F.array().cast("array<bigint>")).alias("path"), F.coalesce("length", "_direct").alias("length"))
+    rows = rows.repartition(int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions")), *here, *goal).sortWithinPartitions(*here, *goal)
+    sent = A.sent(places.withColumn("id", F.col("id").cast("bigint")))
+    schema = Y.StructType([*rows.schema.fields[:2], *Y.StructType.fromDDL(ROUTE).fields])
+
+    def run(batches):
+        at, best = sent.value, _best_route(stops, most_ratio)
+
+        @A.remembered
+        def search(ask: np.ndarray):
+            if not np.isfinite(ask).all():
+                return None
+            direct, *ends = ask
+            i, along = _way(at, direct, *ends)
+            # of places at one position the first comes before the others in all ties
+            order = np.lexsort((first := at.rows[at.starts[i]], along))
+            i, first = i[order], first[order]
+            got = best(direct, along[order], np.stack([at.lat[i], at.lng[i]], 1), ask[1:3], ask[3:5])
+            return got and (got[0], got[1], at.ids.take(pa.array(first[got[2]])).to_pylist(), got[3])
+
+        for batch in batches:
+            asks = np.stack([batch[k].to_numpy(zero_copy_only=False) for k in range(1, 6)], 1).astype(np.float64)
+            got = [search(ask) or (None,) * 4 for ask in asks]
+            values = [pa.array(x, t) for x, t in zip(zip(*got, strict=True), (pa.int32(), pa.float64(), pa.list_(pa.int64()), pa.float64()), strict=True)] if got else []
+            if got:
+                yield pa.RecordBatch.from_arrays([batch[0], batch[1], *values], schema.names)
+
+    direct = F.round("_direct", 6)
+    return rows.mapInArrow(run, schema).select("request_id", F.coalesce("stops", F.lit(0)).alias("stops"), F.coalesce("score", direct).alias("score"), F.coalesce("path", F.array().cast("array<bigint>")).alias("path"), F.coalesce("length", direct).alias("length"))
+
+
+def _way(at: A.Places, direct: float, lat: float, lng: float, goal_lat: float, goal_lng: float) -> tuple[np.ndarray, np.ndarray]:
+    """`corridor` of one request on arrays: the positions in it and how far along each lies."""
+    i, _ = at.ring(lat, lng, 0.0, direct + 1.0)
+    gx, gy = A.offset(lat, lng, goal_lat, goal_lng)
+    d = np.sqrt(gx * gx + gy * gy)
+    if not d:
+        return i[:0], np.zeros(0)
+    px, py = A.offset(lat, lng, at.lat[i], at.lng[i])
+    along, side = (px * gx + py * gy) / d, np.abs(px * gy - py * gx) / d
+    wide, m = min(35.0, max(6.0, 0.2 * direct)), max(1.0, 0.04 * d)
+    angle = A.difference(A.heading(lat, lng, at.lat[i], at.lng[i]), A.heading(lat, lng, goal_lat, goal_lng))
+    ok = (side <= wide) & (along > m) & (along < d - m) & (side <= 2 + 0.85 * np.minimum(along, d - along)) & (angle <= 45)
+    return i[ok], A.rounded(along[ok], 9)
