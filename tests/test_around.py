@@ -213,3 +213,24 @@ def test_routes_are_found_in_the_task_of_the_request(spark, globe, monkeypatch):
     direct = S.G.haversine(F.col("lat"), F.col("lng"), F.col("goal_lat"), F.col("goal_lng"))
     found = {(r[0], at.ids[int(k)].as_py()) for r in go.select("request_id", direct, "lat", "lng", "goal_lat", "goal_lng").collect() for k in at.members(S._way(at, *r[1:])[0])}
     assert found == want and len(want) > 100
+
+
+@pytest.mark.parametrize("name", ["FLT-05"])
+def test_pairs_of_equal_positions_are_computed_once(spark, folder, name):
+    """FLT-05: every place of a position has its rows; distances and angles are rounded before rows are made of them."""
+    from waystone.plans.registry import QUERIES
+
+    got, want = both(spark, folder, name)
+    assert got == want and {k > 220_000 for _, k, *_ in got} == {False, True}
+    plan = plan_of(QUERIES[name](spark, folder))
+    assert plan.index("Generate explode(request_ids") < plan.index("Generate explode(ids") < plan.index("round(") < plan.index("SortMergeJoin")
+
+
+def test_rows_by_position_and_back(spark):
+    """Repeated rows and null keys stay."""
+    from waystone.operators import search as S
+
+    rows = spark.createDataFrame([("a", 1.0), ("b", 1.0), ("b", 1.0), (None, 1.0), ("c", None), ("d", 2.0)], "k string, lat double")
+    groups = S.by_position(rows, "k", "lat")
+    assert groups.count() == 3
+    assert Counter(map(tuple, S.spread(groups, "k").collect())) == Counter(map(tuple, rows.collect()))

@@ -55,6 +55,19 @@ def within(requests: DataFrame, places: DataFrame, reach: Column, size: float =
     return got.filter(exact if least is None else exact & (F.col("distance") >= F.col("_least"))).drop("_c", *used, *v)
 
 
+def by_position(rows: DataFrame, key: str, *same: str) -> DataFrame:
+    """Rows that are alike in `same` as one row with `<key>s`, the list of their keys: pairs are made once for all of them."""
+    # a list of rows keeps null keys
+    return rows.groupBy(*same).agg(F.transform(F.collect_list(F.struct(key)), lambda x: x[key]).alias(f"{key}s"))
+
+
+def spread(pairs: DataFrame, *keys: str) -> DataFrame:
+    """The pairs of each key of `by_position`, from the lists `<key>s`. Compute columns before: they are the same for all."""
+    for key in keys:
+        pairs = pairs.select(F.explode(f"{key}s").alias(key), *[c for c in pairs.columns if c != f"{key}s"])
+    return pairs
+
+
 def annulus(requests: DataFrame, places: DataFrame, size: float = CELL / 2) -> DataFrame:
     """FLT-05: places between max(0, km - tol) and km + tol, both included."""
     return within(requests, places, F.col("km") + F.col("tol"), size, least=F.greatest(F.lit(0.0), F.col("km") - F.col("tol")))
