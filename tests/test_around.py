@@ -215,9 +215,9 @@ def test_routes_are_found_in_the_task_of_the_request(spark, globe, monkeypatch):
     assert found == want and len(want) > 100
 
 
-@pytest.mark.parametrize("name", ["FLT-05"])
+@pytest.mark.parametrize("name", ["FLT-05", "GEO-02"])
 def test_pairs_of_equal_positions_are_computed_once(spark, folder, name):
-    """FLT-05: every place of a position has its rows; distances and angles are rounded before rows are made of them."""
+    """FLT-05, GEO-02: every place of a position has its rows; distances and angles are rounded before rows are made of them."""
     from waystone.plans.registry import QUERIES
 
     got, want = both(spark, folder, name)
