@@ -133,3 +133,17 @@ def test_parts_that_begin_as_no_key_do_not_meet_the_keys(spark):
     got = containment(texts, keys, "text", "name")
     assert [(r.id, r.name) for r in got.collect()] == [(1, "Customer#000000007")]
     assert "LeftSemi" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_elements_of_some_names_only(spark):
+    """The same elements as without the choice, nested, unclosed and crossing; EXT-16 takes no others."""
+    from waystone.operators import pages as P
+    from waystone.sources.views import Views
+
+    html = ["<ul><li>a<li>b<b>c</ul></b><a href='x'>d</a>e</li><div>f", "", "no tags", "<A>x<li></a>y</li>", "<br></li><a>"]
+    pages = spark.createDataFrame([(k, h) for k, h in enumerate(html)], "page_id int, html string")
+    every, some = ({r.page_id: [tuple(e) for e in r.els] for r in P.parsed(pages, only=only).collect()} for only in ((), ("a", "li")))
+    assert some == {k: [e for e in els if e[0] in ("a", "li")] for k, els in every.items()} and sum(map(len, some.values())) == 6
+    v = Views(spark, "/root/testdata/sf0.001")
+    plan = P.event_cards(v.event_pages, v.stations, as_of="2026-01-01")._jdf.queryExecution().optimizedPlan().toString()
+    assert "a li article tr section div" in plan
